@@ -85,3 +85,128 @@ def q_rmse_fold(spark, sf):
 def q_mean_fold(spark, sf):
     s = metrics.roc_auc(_pred_long(spark, sf), "score", "y", by=["model", "fold"], out_col="value")
     return rounded(s.groupBy("model").agg(F.avg("value").alias("mean_value")))
+
+
+# --------------------------------------------------------------- encoders
+from ..operators import encode, stats  # noqa: E402
+
+CATS = ["o_orderpriority", "c_mktsegment"]
+TE = dict(smoothing=2.0, noise_level=0.01, seed=0)
+
+
+def _fcls_folds(spark, sf):
+    return folds.assign_stratified_kfold(_train(spark, sf), "y", k=5, seed=42)
+
+
+@query("ordinal_encode")
+def q_ordinal(spark, sf):
+    d = fx.fcls(spark, sf)
+    fit = d.filter(F.col("part") == "train")
+    tgt = d.filter(F.col("part").isin("train", "test")).select("id", "part", *CATS)
+    return encode.ordinal_encode(fit, [tgt], CATS)[0]
+
+
+@query("ordinal_encode_unknown")
+def q_ordinal_unknown(spark, sf):
+    d = fx.fcls(spark, sf)
+    fit = d.filter((F.col("part") == "train") & (F.col("o_orderpriority") != "5-LOW"))
+    return encode.ordinal_encode(fit, [d.select("id", "part", *CATS)], CATS)[0]
+
+
+@query("ordinal_encode_strict")
+def q_ordinal_strict(spark, sf):
+    d = fx.fcls(spark, sf)
+    return encode.ordinal_encode(d, [d.filter(F.col("part") == "test").select("id", *CATS)],
+                                 CATS, unknown="error")[0]
+
+
+@query("category_encode")
+def q_category(spark, sf):
+    d = fx.fcls(spark, sf)
+    fit = d.filter((F.col("part") == "train") & (F.col("o_orderpriority") != "5-LOW"))
+    cols = [*CATS, "c_nationkey"]
+    return encode.category_encode(fit, [d.select("id", "part", *cols)], cols)[0]
+
+
+@query("global_mean")
+def q_global_mean(spark, sf):
+    ex = folds.explode_outer_train(_fcls_folds(spark, sf), 5)
+    return rounded(stats.global_mean(ex, "y", ["outer"]))
+
+
+@query("target_encode")
+def q_te(spark, sf):
+    tr = _fcls_folds(spark, sf)
+    fit = folds.explode_outer_train(tr, 5).filter(F.col("o_orderpriority") != "5-LOW")
+    valid = tr.withColumn("outer", F.col("fold"))
+    test = (fx.fcls(spark, sf).filter(F.col("part") == "test")
+            .withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(4)))))
+    keep = ["outer", "id", *[c + "_encoded" for c in CATS]]
+    a, b, c = encode.target_encode(fit, [fit, valid, test], CATS, "y", by=["outer"], **TE)
+    out = (a.select(*keep, F.lit("train").alias("role"))
+           .unionByName(b.select(*keep, F.lit("valid").alias("role")))
+           .unionByName(c.select(*keep, F.lit("test").alias("role"))))
+    return rounded(out)
+
+
+@query("target_encode_oof")
+def q_te_oof(spark, sf):
+    tr = _fcls_folds(spark, sf)
+    enc = encode.target_encode_oof(tr, CATS, "y", k=5, **TE)
+    return rounded(enc.select("outer", "id", *[c + "_encoded" for c in CATS]))
+
+
+@query("target_encode_apply")
+def q_te_apply(spark, sf):
+    tr = _fcls_folds(spark, sf)
+    test = fx.fcls(spark, sf).filter(F.col("part") == "test")
+    valid, tst = encode.target_encode_apply(tr, test, CATS, "y", k=5, **TE)
+    keep = ["outer", "id", *[c + "_encoded" for c in CATS]]
+    return rounded(valid.select(*keep, F.lit("valid").alias("role"))
+                   .unionByName(tst.select(*keep, F.lit("test").alias("role"))))
+
+
+@query("te_oof_auc_by_fold")
+def q_flagship(spark, sf):
+    """Flagship slice: folds -> OOF target encoding -> AUC of the encoding per fold."""
+    tr = _fcls_folds(spark, sf)
+    _, valid, _ = encode.target_encode_cv(tr, None, CATS, "y", k=5, **TE)
+    scored = valid.withColumn("score", F.col("o_orderpriority_encoded") + F.col("c_mktsegment_encoded"))
+    return rounded(metrics.roc_auc(scored, "score", "y", by=["outer"], out_col="auc"))
+
+
+# --------------------------------------------------------------- external statistics
+STAT_COLS = ["o_orderpriority", "c_mktsegment", "c_nationkey", "o_totalprice", "c_acctbal"]
+
+
+def _ext(spark, sf, cols, mean, count):
+    d = fx.fcls(spark, sf)
+    ref = d.filter(F.col("part") == "original")
+    tgt = d.filter(F.col("part").isin("train", "test")).select("id", "part", *cols)
+    out = stats.external_stats(ref, [tgt], cols, "y", mean=mean, count=count)[0]
+    return rounded(out.drop(*cols))
+
+
+@query("external_target_mean")
+def q_ext_mean(spark, sf):
+    return _ext(spark, sf, STAT_COLS[:4], True, False)
+
+
+@query("external_count")
+def q_ext_count(spark, sf):
+    return _ext(spark, sf, STAT_COLS[:4], False, True)
+
+
+@query("external_stats_all")
+def q_ext_all(spark, sf):
+    return _ext(spark, sf, STAT_COLS, True, True)
+
+
+@query("category_stats")
+def q_cat_stats(spark, sf):
+    d = fx.fdoc(spark, sf)
+    st = stats.multi_key_stats(d, ["lang", "source"], {
+        "label_mean": F.avg(F.col("quality").cast("double")), "label_count": F.count("quality")})
+    parts = [s.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("key"),
+                      "label_mean", "label_count") for c, s in st.items()]
+    return rounded(parts[0].unionByName(parts[1]))

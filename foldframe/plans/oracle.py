@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .sqltext import FCLS, FPRED, FREG, auc_sql, md5_of, strat_fold
+from .sqltext import FCLS, FDOC, FPRED, FREG, auc_sql, md5_of, strat_fold
 
 D = 9
 ORACLE: dict[str, str] = {}
@@ -25,7 +25,7 @@ oracle("inner_fold_assign", f"""WITH {_SK},
 ex AS (SELECT CAST(o.k AS INTEGER) AS "outer", id, y, fold FROM skf, range(5) o(k) WHERE fold <> o.k)
 SELECT "outer", id, fold,
        CAST((row_number() OVER (PARTITION BY "outer" ORDER BY y, {md5_of('id', "'1'")}, id) - 1) % 5 AS INTEGER)
-         AS inner
+         AS "inner"
 FROM ex""")
 
 # --------------------------------------------------------------- metrics
@@ -49,3 +49,153 @@ FROM plong GROUP BY model, fold""")
 oracle("mean_fold_score", f"""WITH {_LONG}
 SELECT model, round(avg(value), {D}) AS mean_value
 FROM {auc_sql('plong', 'score', 'y', 'model, fold', 'value')} a GROUP BY model""")
+
+# --------------------------------------------------------------- encoders
+from .sqltext import d, noise, smoothed  # noqa: E402
+
+CATS = ["o_orderpriority", "c_mktsegment"]
+LAM, SIG, SEED = 2.0, 0.01, 0
+
+
+def _dict(c, where):
+    return (f"dict_{c} AS (SELECT {c} AS v, CAST(row_number() OVER (ORDER BY {c}) - 1 AS INTEGER) AS code "
+            f"FROM (SELECT DISTINCT {c} FROM fcls WHERE {where} AND {c} IS NOT NULL))")
+
+
+def _codes(cols, where, null_code="NULL"):
+    ctes = ",\n".join(_dict(c, where) for c in cols)
+    sel = ", ".join(
+        f"CASE WHEN t.{c} IS NULL THEN {null_code} ELSE coalesce(dict_{c}.code, -1) END AS {c}" for c in cols)
+    joins = " ".join(f"LEFT JOIN dict_{c} ON t.{c} = dict_{c}.v" for c in cols)
+    return ctes, sel, joins
+
+
+_c, _s, _j = _codes(CATS, "part = 'train'")
+oracle("ordinal_encode", f"""WITH {FCLS}, {_c}
+SELECT t.id, t.part, {_s} FROM fcls t {_j} WHERE t.part IN ('train', 'test')""")
+
+_c, _s, _j = _codes(CATS, "part = 'train' AND o_orderpriority <> '5-LOW'")
+oracle("ordinal_encode_unknown", f"""WITH {FCLS}, {_c}
+SELECT t.id, t.part, {_s} FROM fcls t {_j}""")
+
+_c, _s, _j = _codes(CATS, "TRUE")
+oracle("ordinal_encode_strict", f"""WITH {FCLS}, {_c}
+SELECT t.id, {_s} FROM fcls t {_j} WHERE t.part = 'test'""")
+
+_c, _s, _j = _codes([*CATS, "c_nationkey"], "part = 'train' AND o_orderpriority <> '5-LOW'", "-1")
+oracle("category_encode", f"""WITH {FCLS}, {_c}
+SELECT t.id, t.part, {_s} FROM fcls t {_j}""")
+
+_SKF = f"""{FCLS},
+skf AS (SELECT *, {strat_fold('id', 'y', 5, 42)} AS fold FROM fcls WHERE part = 'train'),
+ex AS (SELECT CAST(o.k AS INTEGER) AS "outer", skf.* FROM skf, range(5) o(k) WHERE fold <> o.k)"""
+
+oracle("global_mean", f"""WITH {_SKF}
+SELECT "outer", round(avg(CAST(y AS DOUBLE)), {D}) AS global_mean FROM ex GROUP BY "outer" """)
+
+
+def _te_plain():
+    fit = "(SELECT * FROM ex WHERE o_orderpriority <> '5-LOW')"
+    ctes = [f"fit AS {fit}", 'gm AS (SELECT "outer", avg(CAST(y AS DOUBLE)) AS gm FROM fit GROUP BY "outer")']
+    for c in CATS:
+        e = smoothed("st.s", "st.n", "gm.gm", LAM)
+        nz = noise(SIG, f"'te|{SEED}|{c}'", 'st."outer"', f"st.{c}")
+        ctes.append(f"""enc_{c} AS (SELECT st."outer", st.{c}, {e} + {nz} AS enc FROM
+          (SELECT "outer", {c}, sum(CAST(y AS DOUBLE)) AS s, count(y) AS n FROM fit WHERE {c} IS NOT NULL
+           GROUP BY "outer", {c}) st JOIN gm ON st."outer" = gm."outer")""")
+    ctes.append("""valid AS (SELECT fold AS "outer", * FROM skf)""")
+    ctes.append("""tst AS (SELECT CAST(o.k AS INTEGER) AS "outer", fcls.* FROM fcls, range(5) o(k)
+                   WHERE part = 'test')""")
+    body = []
+    for src, role in (("fit", "train"), ("valid", "valid"), ("tst", "test")):
+        sel = ", ".join(f"round(coalesce(enc_{c}.enc, gm.gm), {D}) AS {c}_encoded" for c in CATS)
+        joins = " ".join(f'LEFT JOIN enc_{c} ON t."outer" = enc_{c}."outer" AND t.{c} = enc_{c}.{c}'
+                         for c in CATS)
+        body.append(f"""SELECT t."outer", t.id, {sel}, '{role}' AS role FROM {src} t
+          JOIN gm ON t."outer" = gm."outer" {joins}""")
+    return f"WITH {_SKF}, " + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(body)
+
+
+oracle("target_encode", _te_plain())
+
+
+def _te_cv_ctes():
+    ctes = [f"""exi AS (SELECT *, CAST((row_number() OVER (PARTITION BY "outer" ORDER BY y, {md5_of('id', "'1'")}, id)
+                 - 1) % 5 AS INTEGER) AS "inner" FROM ex)""",
+            'gm AS (SELECT "outer", avg(CAST(y AS DOUBLE)) AS gm FROM exi GROUP BY "outer")']
+    for c in CATS:
+        ctes.append(f"""cell_{c} AS (SELECT "outer", "inner", {c} AS key, sum(CAST(y AS DOUBLE)) AS s, count(y) AS n
+          FROM exi WHERE {c} IS NOT NULL GROUP BY "outer", "inner", {c})""")
+        ctes.append(f"""tot_{c} AS (SELECT "outer", key, sum(s) AS S, sum(n) AS N FROM cell_{c}
+          GROUP BY "outer", key)""")
+    return ",\n".join(ctes)
+
+
+def _te_oof():
+    sels, joins = [], []
+    for c in CATS:
+        e = smoothed(f"(t_{c}.S - c_{c}.s)", f"(t_{c}.N - c_{c}.n)", "gm.gm", LAM)
+        nz = noise(SIG, f"'te_oof|{SEED}|{c}'", 'e."outer"', "e.id")
+        sels.append(f"round(coalesce({e}, gm.gm) + {nz}, {D}) AS {c}_encoded")
+        joins.append(f"""LEFT JOIN cell_{c} c_{c} ON e."outer" = c_{c}."outer" AND e."inner" = c_{c}."inner"
+                         AND e.{c} = c_{c}.key
+          LEFT JOIN tot_{c} t_{c} ON e."outer" = t_{c}."outer" AND e.{c} = t_{c}.key""")
+    return (f"WITH {_SKF}, {_te_cv_ctes()}\nSELECT e.\"outer\", e.id, {', '.join(sels)} FROM exi e "
+            f"JOIN gm ON e.\"outer\" = gm.\"outer\" " + " ".join(joins))
+
+
+oracle("target_encode_oof", _te_oof())
+
+
+def _te_apply_body(src, role, extra_sel=""):
+    sels, joins = [], []
+    for c in CATS:
+        e = smoothed(f"t_{c}.S", f"t_{c}.N", "gm.gm", LAM)
+        sels.append(f"coalesce({e}, gm.gm) AS {c}_encoded")
+        joins.append(f"""LEFT JOIN tot_{c} t_{c} ON v."outer" = t_{c}."outer" AND v.{c} = t_{c}.key""")
+    return (f"SELECT v.\"outer\", v.id, v.y, {', '.join(sels)}, '{role}' AS role FROM {src} v "
+            f"JOIN gm ON v.\"outer\" = gm.\"outer\" " + " ".join(joins))
+
+
+_APPLY = f"""WITH {_SKF}, {_te_cv_ctes()},
+valid AS (SELECT fold AS "outer", * FROM skf),
+tst AS (SELECT CAST(o.k AS INTEGER) AS "outer", fcls.* FROM fcls, range(5) o(k) WHERE part = 'test'),
+applied AS ({_te_apply_body('valid', 'valid')} UNION ALL {_te_apply_body('tst', 'test')})"""
+
+oracle("target_encode_apply", _APPLY + f"""
+SELECT "outer", id, role, {', '.join(f'round({c}_encoded, {D}) AS {c}_encoded' for c in CATS)} FROM applied""")
+
+oracle("te_oof_auc_by_fold", _APPLY + f""",
+scored AS (SELECT "outer", y, o_orderpriority_encoded + c_mktsegment_encoded AS score FROM applied
+           WHERE role = 'valid')
+SELECT "outer", round(auc, {D}) AS auc FROM {auc_sql('scored', 'score', 'y', '"outer"', 'auc')} a""")
+
+# --------------------------------------------------------------- external statistics
+STAT_COLS = ["o_orderpriority", "c_mktsegment", "c_nationkey", "o_totalprice", "c_acctbal"]
+
+
+def _ext(cols, mean, count):
+    ctes, sels, joins = [], [], []
+    for c in cols:
+        nan = f" AND NOT isnan({c})" if c in ("o_totalprice", "c_acctbal") else ""
+        ctes.append(f"""st_{c} AS (SELECT {c} AS key, avg(CAST(y AS DOUBLE)) AS m, count(*) AS n
+          FROM fcls WHERE part = 'original' AND {c} IS NOT NULL{nan} GROUP BY {c})""")
+        if mean:
+            sels.append(f"round(st_{c}.m, {D}) AS {c}_mean")
+        if count:
+            sels.append(f"st_{c}.n AS {c}_count")
+        joins.append(f"LEFT JOIN st_{c} ON t.{c} = st_{c}.key")
+    return (f"WITH {FCLS}, " + ",\n".join(ctes) + f"\nSELECT t.id, t.part, {', '.join(sels)} FROM fcls t "
+            + " ".join(joins) + " WHERE t.part IN ('train', 'test')")
+
+
+oracle("external_target_mean", _ext(STAT_COLS[:4], True, False))
+oracle("external_count", _ext(STAT_COLS[:4], False, True))
+oracle("external_stats_all", _ext(STAT_COLS, True, True))
+
+oracle("category_stats", f"""WITH {FDOC}
+SELECT 'lang' AS "column", CAST(lang AS VARCHAR) AS key, round(avg(CAST(quality AS DOUBLE)), {D}) AS label_mean,
+       count(quality) AS label_count FROM fdoc WHERE lang IS NOT NULL GROUP BY lang
+UNION ALL
+SELECT 'source', CAST(source AS VARCHAR), round(avg(CAST(quality AS DOUBLE)), {D}), count(quality)
+FROM fdoc WHERE source IS NOT NULL GROUP BY source""")
