@@ -210,3 +210,116 @@ def q_cat_stats(spark, sf):
     parts = [s.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("key"),
                       "label_mean", "label_count") for c, s in st.items()]
     return rounded(parts[0].unionByName(parts[1]))
+
+
+# --------------------------------------------------------------- features, labels, unions
+from ..functions.hashing import gaussian_noise, std_normal  # noqa: E402
+from ..operators import blend, features, linear  # noqa: E402
+
+
+@query("math_features")
+def q_math(spark, sf):
+    d = fx.fevt(spark, sf).select("id", "value", "user_id")
+    out = features.math_features(d, sin_cols=["value", "user_id"], num_cols=["value", "user_id", "absent"])
+    return rounded(out.drop("value", "user_id"))
+
+
+@query("hash_noise")
+def q_noise(spark, sf):
+    d = fx.fevt(spark, sf)
+    return rounded(d.select("id", std_normal(F.lit("evt"), F.col("id")).alias("z"),
+                            gaussian_noise(0.5, F.lit("evt2"), F.col("event_type"), F.col("id")).alias("noise")))
+
+
+@query("map_label")
+def q_map_label(spark, sf):
+    d = fx.fcls(spark, sf).select("id", "status")
+    return features.map_label(d, "status", {"F": 1, "O": 0}, out_col="label")
+
+
+@query("augment_train")
+def q_augment(spark, sf):
+    tr = _fcls_folds(spark, sf).filter(F.col("fold") != 0).select("id", "y", "o_orderpriority", "c_acctbal")
+    orig = fx.fcls(spark, sf).filter(F.col("part") == "original").select(
+        "id", "y", "o_orderpriority", "c_acctbal", "status")
+    return rounded(features.augment_train(tr, orig))
+
+
+# --------------------------------------------------------------- blends
+def _oof_tables(spark, sf):
+    oof = fx.fpred_oof(spark, sf)
+    return oof, [oof.select("id", c, "y") for c in ("p1", "p2", "p3")]
+
+
+@query("join_oof")
+def q_join_oof(spark, sf):
+    _, parts = _oof_tables(spark, sf)
+    return rounded(blend.join_oof(parts))
+
+
+@query("align_fold_predictions")
+def q_align(spark, sf):
+    t = fx.fpred_test(spark, sf)
+    return rounded(blend.align_fold_predictions([t.select("id", "fold", "p1"), t.select("id", "fold", "p2")]))
+
+
+@query("mean_over_folds")
+def q_mean_folds(spark, sf):
+    return rounded(blend.mean_over_folds(fx.fpred_test(spark, sf), ["p1", "p2"]))
+
+
+@query("mean_over_models")
+def q_mean_models(spark, sf):
+    oof = fx.fpred_oof(spark, sf)
+    return rounded(blend.mean_over_models(oof, ["p1", "p2", "p3"]).select("id", "pred"))
+
+
+# --------------------------------------------------------------- linear meta-models
+BLEND_X = ["p1", "p2"]
+
+
+@query("ridge_oof")
+def q_ridge_oof(spark, sf):
+    oof = fx.fpred_oof(spark, sf)
+    m = linear.fit_ridge_cv(oof, BLEND_X, "y", "fold", alpha=1.0)
+    return rounded(oof.select("id", "fold", m.predict_by_fold("fold").alias("pred")))
+
+
+@query("lda_oof")
+def q_lda_oof(spark, sf):
+    oof = fx.fpred_oof(spark, sf)
+    m = linear.fit_lda_cv(oof, BLEND_X, "y", "fold")
+    return rounded(oof.select("id", "fold", m.predict_by_fold("fold").alias("pred")))
+
+
+@query("logistic_oof")
+def q_logistic_oof(spark, sf):
+    oof = fx.fpred_oof(spark, sf)
+    m = linear.fit_logistic_cv(oof, BLEND_X, "y", "fold", C=1.0, penalize_intercept=True)
+    return rounded(oof.select("id", "fold", m.predict_by_fold("fold").alias("pred")))
+
+
+@query("vote_blend")
+def q_vote(spark, sf):
+    oof = fx.fpred_oof(spark, sf)
+    lr = linear.fit_logistic_cv(oof, BLEND_X, "y", "fold")
+    lda = linear.fit_lda_cv(oof, BLEND_X, "y", "fold")
+    return rounded(oof.select("id", "fold", linear.soft_vote_by_fold([lr, lda]).alias("pred")))
+
+
+def _blend_submission(spark, sf, fit):
+    oof = fx.fpred_oof(spark, sf)
+    m = fit(oof)
+    test = fx.fpred_test(spark, sf)          # one row per (id, fold)
+    scored = test.select("id", "fold", m.predict().alias("pred"))
+    return rounded(blend.mean_over_folds(scored, ["pred"]))
+
+
+@query("ridge_blend_submission")
+def q_ridge_sub(spark, sf):
+    return _blend_submission(spark, sf, lambda d: linear.fit_ridge_cv(d, BLEND_X, "y", None))
+
+
+@query("lda_blend_submission")
+def q_lda_sub(spark, sf):
+    return _blend_submission(spark, sf, lambda d: linear.fit_lda_cv(d, BLEND_X, "y", None))

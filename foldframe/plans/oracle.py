@@ -199,3 +199,95 @@ SELECT 'lang' AS "column", CAST(lang AS VARCHAR) AS key, round(avg(CAST(quality
 UNION ALL
 SELECT 'source', CAST(source AS VARCHAR), round(avg(CAST(quality AS DOUBLE)), {D}), count(quality)
 FROM fdoc WHERE source IS NOT NULL GROUP BY source""")
+
+# --------------------------------------------------------------- features, labels, unions
+from .sqltext import FEVT, z  # noqa: E402
+
+_SIN = "CAST(sin(2.0::double * pi() * CAST({c} AS DOUBLE) / 12.0::double) AS FLOAT)"
+oracle("math_features", f"""WITH {FEVT}
+SELECT id, {_SIN.format(c='value')} AS _value_sin, {_SIN.format(c='user_id')} AS _user_id_sin,
+       round(ln(1.0::double + value), {D}) AS log_value, round(value * value, {D}) AS value_sq,
+       round(ln(1.0::double + CAST(user_id AS DOUBLE)), {D}) AS log_user_id,
+       round(CAST(user_id AS DOUBLE) * CAST(user_id AS DOUBLE), {D}) AS user_id_sq
+FROM fevt""")
+
+oracle("hash_noise", f"""WITH {FEVT}
+SELECT id, round({z("'evt'", 'id')}, {D}) AS z, round({noise(0.5, "'evt2'", 'event_type', 'id')}, {D}) AS noise
+FROM fevt""")
+
+oracle("map_label", f"""WITH {FCLS}
+SELECT id, status, CASE status WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS label FROM fcls""")
+
+oracle("augment_train", f"""WITH {_SKF}
+SELECT id, y, o_orderpriority, round(c_acctbal, {D}) AS c_acctbal, 1 AS is_generated FROM skf WHERE fold <> 0
+UNION ALL
+SELECT id, y, o_orderpriority, round(c_acctbal, {D}), 0 FROM fcls WHERE part = 'original'""")
+
+# --------------------------------------------------------------- blends
+oracle("join_oof", f"""WITH {FPRED}
+SELECT id, y, round(p1, {D}) AS p1, round(p2, {D}) AS p2, round(p3, {D}) AS p3 FROM fpred""")
+
+oracle("align_fold_predictions", f"""WITH {FPRED}
+SELECT id, fold, round(p1, {D}) AS p1, round(p2, {D}) AS p2 FROM fpred_test""")
+
+oracle("mean_over_folds", f"""WITH {FPRED}
+SELECT id, round(avg(p1), {D}) AS p1, round(avg(p2), {D}) AS p2 FROM fpred_test GROUP BY id""")
+
+oracle("mean_over_models", f"""WITH {FPRED}
+SELECT id, round((p1 + p2 + p3) / 3.0::double, {D}) AS pred FROM fpred""")
+
+
+# --------------------------------------------------------------- linear meta-models, 2 features written out
+def _moments_ctes(by_class: bool):
+    """Centred moments of (p1, p2[, y]) per fold (and class); combined per outer fold and for all."""
+    cls = ", y" if by_class else ""
+    ycols = "" if by_class else """, sum(x3) AS s3, sum(x1 * x3) AS q13, sum(x2 * x3) AS q23"""
+    ymean = "" if by_class else ", avg(CAST(y AS DOUBLE)) AS m3"
+    yx = "" if by_class else ", CAST(y AS DOUBLE) - m.m3 AS x3"
+    ysum = "" if by_class else ", sum(s3) AS s3, sum(q13) AS q13, sum(q23) AS q23"
+    return f"""gmean AS (SELECT avg(p1) AS m1, avg(p2) AS m2{ymean} FROM fpred),
+cen AS (SELECT fold{cls}, p1 - m.m1 AS x1, p2 - m.m2 AS x2{yx} FROM fpred, gmean m),
+mom AS (SELECT fold{cls}, count(*) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(x1 * x1) AS q11,
+               sum(x1 * x2) AS q12, sum(x2 * x2) AS q22{ycols} FROM cen GROUP BY fold{cls}),
+keys AS (SELECT CAST(k AS INTEGER) AS o FROM range(-1, 5) t(k)),
+om AS (SELECT keys.o{cls}, sum(n) AS n, sum(s1) AS s1, sum(s2) AS s2, sum(q11) AS q11, sum(q12) AS q12,
+              sum(q22) AS q22{ysum}
+       FROM mom, keys WHERE keys.o = -1 OR mom.fold <> keys.o GROUP BY keys.o{cls})"""
+
+
+_RIDGE = f"""{FPRED},
+{_moments_ctes(False)},
+sc AS (SELECT o, n, m1 + s1 / n AS mx1, m2 + s2 / n AS mx2, m3 + s3 / n AS my,
+              q11 - s1 * s1 / n + 1.0::double AS a11, q12 - s1 * s2 / n AS a12, q22 - s2 * s2 / n + 1.0::double AS a22,
+              q13 - s1 * s3 / n AS c1, q23 - s2 * s3 / n AS c2 FROM om, gmean),
+coef AS (SELECT o, (a22 * c1 - a12 * c2) / (a11 * a22 - a12 * a12) AS w1,
+                   (a11 * c2 - a12 * c1) / (a11 * a22 - a12 * a12) AS w2, mx1, mx2, my FROM sc),
+model AS (SELECT o, my - mx1 * w1 - mx2 * w2 AS b, w1, w2 FROM coef)"""
+
+oracle("ridge_oof", f"""WITH {_RIDGE}
+SELECT id, fold, round(b + w1 * p1 + w2 * p2, {D}) AS pred FROM fpred JOIN model ON model.o = fpred.fold""")
+
+oracle("ridge_blend_submission", f"""WITH {_RIDGE}
+SELECT id, round(avg(b + w1 * p1 + w2 * p2), {D}) AS pred FROM fpred_test, model WHERE model.o = -1 GROUP BY id""")
+
+_LDA = f"""{FPRED},
+{_moments_ctes(True)},
+cls AS (SELECT o, y, n, m1 + s1 / n AS mu1, m2 + s2 / n AS mu2,
+               q11 - s1 * s1 / n AS w11, q12 - s1 * s2 / n AS w12, q22 - s2 * s2 / n AS w22 FROM om, gmean),
+pooled AS (SELECT c0.o, c0.n AS n0, c1.n AS n1, c0.mu1 AS a1, c0.mu2 AS a2, c1.mu1 AS b1, c1.mu2 AS b2,
+                  (c0.w11 + c1.w11) / CAST(c0.n + c1.n - 2 AS DOUBLE) AS s11,
+                  (c0.w12 + c1.w12) / CAST(c0.n + c1.n - 2 AS DOUBLE) AS s12,
+                  (c0.w22 + c1.w22) / CAST(c0.n + c1.n - 2 AS DOUBLE) AS s22
+           FROM cls c0 JOIN cls c1 ON c0.o = c1.o AND c0.y = 0 AND c1.y = 1),
+beta AS (SELECT *, (s22 * (b1 - a1) - s12 * (b2 - a2)) / (s11 * s22 - s12 * s12) AS w1,
+                   (s11 * (b2 - a2) - s12 * (b1 - a1)) / (s11 * s22 - s12 * s12) AS w2 FROM pooled),
+model AS (SELECT o, -0.5::double * ((a1 + b1) * w1 + (a2 + b2) * w2) + ln(CAST(n1 AS DOUBLE) / CAST(n0 AS DOUBLE)) AS b,
+                 w1, w2 FROM beta)"""
+
+oracle("lda_oof", f"""WITH {_LDA}
+SELECT id, fold, round(1.0::double / (1.0::double + exp(-(b + w1 * p1 + w2 * p2))), {D}) AS pred
+FROM fpred JOIN model ON model.o = fpred.fold""")
+
+oracle("lda_blend_submission", f"""WITH {_LDA}
+SELECT id, round(avg(1.0::double / (1.0::double + exp(-(b + w1 * p1 + w2 * p2)))), {D}) AS pred
+FROM fpred_test, model WHERE model.o = -1 GROUP BY id""")
