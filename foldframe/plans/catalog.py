@@ -323,3 +323,164 @@ def q_ridge_sub(spark, sf):
 @query("lda_blend_submission")
 def q_lda_sub(spark, sf):
     return _blend_submission(spark, sf, lambda d: linear.fit_lda_cv(d, BLEND_X, "y", None))
+
+
+# --------------------------------------------------------------- boosting (T1-T7) and pipelines
+from ..operators import boost  # noqa: E402
+from . import pipelines, registry  # noqa: E402
+
+SIG_NUM = ["o_totalprice", "c_acctbal", "c_nationkey"]
+SPLIT_CUTS = [50000.0, 100000.0, 150000.0, 200000.0, 250000.0, 300000.0, 350000.0, 400000.0]
+SPLIT_P = boost.BoostParams(reg_lambda=1.0, reg_alpha=0.5, gamma=0.0, min_child_weight=1.0)
+
+
+def _sig_rows(spark, sf, cat=True):
+    d = fx.fsig(spark, sf).filter(F.col("part").isin("train", "test"))
+    if cat:
+        d = encode.category_encode(d.filter(F.col("part") == "train"), [d], ["c_mktsegment", "o_orderpriority"])[0]
+    return d
+
+
+def _quick(objective, **kw):
+    base = dict(objective=objective, n_trees=12, learning_rate=0.3, max_depth=3, reg_lambda=1.0,
+                early_stopping=4, max_bins=32, checkpoint_every=5)
+    base.update(kw)
+    return boost.BoostParams(**base)
+
+
+@query("quantile_bin")
+def q_qbin(spark, sf):
+    d = fx.fsig(spark, sf).filter(F.col("part") == "train").select("id", "o_totalprice", "c_acctbal")
+    return boost.quantile_bin(d, ["o_totalprice", "c_acctbal"], max_bins=16).select(
+        "id", "o_totalprice_bin", "c_acctbal_bin")
+
+
+@query("best_split")
+def q_best_split(spark, sf):
+    """T6 at the root of five fold models: fixed cut points, closed form, SQL-checkable."""
+    tr = folds.assign_kfold(fx.fsig(spark, sf).filter(F.col("part") == "train"), k=5, seed=42)
+    ex = folds.explode_outer_train(tr, 5, outer_col="model")
+    binning = boost.Binning(["o_totalprice", "c_nationkey"], [False, True], [SPLIT_CUTS, []], [len(SPLIT_CUTS) + 2, 26])
+    ex = boost.apply_bins(ex, binning)
+    base = ex.groupBy("model").agg(F.avg("s").alias("__b"))
+    ex = ex.join(F.broadcast(base), "model")
+    entries = [(m, F.col("model") == m, F.lit(1), F.col("__b") - F.col("s"), F.lit(1.0), [0, 1]) for m in range(5)]
+    hist = boost.gradient_histogram(ex, entries, binning).toPandas()
+    best = boost.best_splits(hist, binning, SPLIT_P)
+    out = best[["model", "feat", "bin", "gain", "GL", "HL"]].copy()
+    out["model"] = out["model"].astype(int)
+    out["feat"] = out["feat"].astype(int)
+    out["bin"] = out["bin"].astype(int)
+    out["HL"] = out["HL"].astype(float)
+    return rounded(spark.createDataFrame(out, "model int, feat int, bin int, gain double, GL double, HL double"), 6)
+
+
+@query("boost_regress_oof")
+def q_boost_reg(spark, sf):
+    d = _sig_rows(spark, sf)
+    tr = folds.assign_kfold(d.filter(F.col("part") == "train"), k=5, seed=42)
+    rows = tr.unionByName(d.filter(F.col("part") == "test").withColumn("fold", F.lit(-1)))
+    res = boost.fit_boosted(rows, SIG_NUM, "s", boost.cv_specs(5, "fold", "part"), _quick("squared"),
+                            keep_cols=["fold", "part"])
+    return boost.oof_predictions(res, 5)
+
+
+@query("boost_classify_oof")
+def q_boost_cls(spark, sf):
+    d = _sig_rows(spark, sf)
+    tr = folds.assign_stratified_kfold(d.filter(F.col("part") == "train"), "y_sig", k=5, seed=42)
+    res = boost.fit_boosted(tr, SIG_NUM, "y_sig", boost.cv_specs(5, "fold"), _quick("logistic"),
+                            keep_cols=["fold"])
+    return boost.oof_predictions(res, 5)
+
+
+@query("boost_categorical")
+def q_boost_cat(spark, sf):
+    d = _sig_rows(spark, sf)
+    tr = folds.assign_kfold(d.filter(F.col("part") == "train"), k=5, seed=42)
+    feats = [*SIG_NUM, "c_mktsegment", "o_orderpriority"]
+    res = boost.fit_boosted(tr, feats, "s", boost.cv_specs(5, "fold"), _quick("squared"),
+                            categorical=["c_mktsegment", "o_orderpriority"], keep_cols=["fold"])
+    return boost.oof_predictions(res, 5)
+
+
+@query("boost_early_stop")
+def q_boost_es(spark, sf):
+    d = _sig_rows(spark, sf)
+    tr = folds.assign_kfold(d.filter(F.col("part") == "train"), k=5, seed=42)
+    p = _quick("squared", n_trees=30, learning_rate=0.6, early_stopping=2)
+    res = boost.fit_boosted(tr, SIG_NUM, "s", boost.cv_specs(5, "fold"), p, keep_cols=["fold"])
+    rows = [(o, res.best_iter[o], len(res.trees[o]), float(min(res.valid_loss[o]))) for o in range(5)]
+    return spark.createDataFrame(rows, "fold int, best_iter int, trees_grown int, best_valid_loss double")
+
+
+@query("boost_sampled")
+def q_boost_sampled(spark, sf):
+    d = _sig_rows(spark, sf)
+    tr = folds.assign_kfold(d.filter(F.col("part") == "train"), k=5, seed=42)
+    p = _quick("squared", subsample=0.7, colsample_bytree=0.67, reg_alpha=1.0, gamma=0.5,
+               min_child_weight=20.0)
+    res = boost.fit_boosted(tr, SIG_NUM, "s", boost.cv_specs(5, "fold"), p, keep_cols=["fold"])
+    return boost.oof_predictions(res, 5)
+
+
+@query("cv_pipeline")
+def q_cv_pipeline(spark, sf):
+    d = fx.fsig(spark, sf)
+    train = d.filter(F.col("part") == "train").select("id", "y_sig", "o_totalprice", "c_acctbal",
+                                                      "c_mktsegment", "o_orderpriority")
+    test = d.filter(F.col("part") == "test").select("id", "o_totalprice", "c_acctbal", "c_mktsegment",
+                                                    "o_orderpriority")
+    p, enc = registry.model_spec("lgb_ep12_7", n_trees=10, early_stopping=3, learning_rate=0.3, max_bins=32)
+    r = pipelines.cv_pipeline(train, test, "y_sig", ["o_totalprice", "c_acctbal", "c_mktsegment", "o_orderpriority"],
+                              p, k=5, target_encode_cols=["c_mktsegment", "o_orderpriority"], **enc)
+    return r.submission
+
+
+@query("cv_scores")
+def q_cv_scores(spark, sf):
+    d = fx.fsig(spark, sf)
+    train = d.filter(F.col("part") == "train").select("id", "s", "o_totalprice", "c_acctbal", "c_mktsegment")
+    test = d.filter(F.col("part") == "test").select("id", "o_totalprice", "c_acctbal", "c_mktsegment")
+    ext = d.filter(F.col("part") == "original").select("s", "c_mktsegment")
+    p, _ = registry.model_spec("xgb_ep1_4", n_trees=10, early_stopping=3, learning_rate=0.3, max_depth=3,
+                               min_child_weight=5.0, max_bins=32)
+    r = pipelines.cv_pipeline(train, test, "s", ["o_totalprice", "c_acctbal", "c_mktsegment"], p, k=5,
+                              stratified=False, categorical_cols=["c_mktsegment"], external=ext,
+                              external_cols=["c_mktsegment"], metric="rmse")
+    return r.scores
+
+
+@query("vote_pipeline")
+def q_vote_pipeline(spark, sf):
+    oof = fx.fpred_oof(spark, sf)
+    t = fx.fpred_test(spark, sf)
+    r = pipelines.vote_pipeline([oof.select("id", "p1", "y"), oof.select("id", "p2", "y")],
+                                [t.select("id", "fold", "p1"), t.select("id", "fold", "p2")], ["p1", "p2"])
+    return r.submission
+
+
+@query("stack_pipeline")
+def q_stack(spark, sf):
+    d = fx.fsig(spark, sf)
+    train = d.filter(F.col("part") == "train").select("id", "y_sig", "o_totalprice", "c_acctbal", "c_nationkey")
+    test = d.filter(F.col("part") == "test").select("id", "o_totalprice", "c_acctbal", "c_nationkey")
+    orig = d.filter(F.col("part") == "original").select("y_sig", "c_nationkey")
+    pa, _ = registry.model_spec("xgb_ep2_a", n_trees=6, learning_rate=0.3, max_bins=32)
+    pb, _ = registry.model_spec("cat_ep2_b", n_trees=6, learning_rate=0.3, max_bins=32)
+    _, auc, sub = pipelines.stack_pipeline(train, test, "y_sig", ["o_totalprice", "c_acctbal", "c_nationkey"],
+                                           [("xgb", pa), ("cat", pb)], external=orig,
+                                           external_cols=["c_nationkey"])
+    return sub
+
+
+@query("stacking_report")
+def q_stacking_report(spark, sf):
+    d = fx.fsig(spark, sf).filter(F.col("part") == "train").select(
+        "id", "y_sig", "o_totalprice", "c_acctbal", "c_nationkey")
+    pa, _ = registry.model_spec("lgbm_ep2_a", n_trees=6, learning_rate=0.3, max_bins=32)
+    pb, _ = registry.model_spec("cat_ep2_a", n_trees=6, learning_rate=0.3, max_bins=32)
+    ev = pipelines.StackingEvaluator(
+        [pipelines.BaseModel("lgbm", pa, ["o_totalprice", "c_acctbal"]),
+         pipelines.BaseModel("cat", pb, ["o_totalprice", "c_nationkey"])], d, "y_sig").fit()
+    return rounded(ev.report())

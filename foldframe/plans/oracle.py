@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .sqltext import FCLS, FDOC, FPRED, FREG, auc_sql, md5_of, strat_fold
+from .sqltext import FCLS, FDOC, FPRED, FREG, FSIG, auc_sql, md5_of, strat_fold
 
 D = 9
 ORACLE: dict[str, str] = {}
@@ -291,3 +291,39 @@ FROM fpred JOIN model ON model.o = fpred.fold""")
 oracle("lda_blend_submission", f"""WITH {_LDA}
 SELECT id, round(avg(1.0::double / (1.0::double + exp(-(b + w1 * p1 + w2 * p2)))), {D}) AS pred
 FROM fpred_test, model WHERE model.o = -1 GROUP BY id""")
+
+# --------------------------------------------------------------- boosting: root split of five fold models
+_CUTS = [50000.0, 100000.0, 150000.0, 200000.0, 250000.0, 300000.0, 350000.0, 400000.0]
+_BIN0 = ("CASE WHEN o_totalprice IS NULL OR isnan(o_totalprice) THEN 9 " +
+         " ".join(f"WHEN o_totalprice < {d(c)} THEN {i}" for i, c in enumerate(_CUTS)) + " ELSE 8 END")
+_BIN1 = "CASE WHEN c_nationkey IS NULL OR c_nationkey < 0 OR c_nationkey >= 25 THEN 25 ELSE c_nationkey END"
+
+
+def _T(x):
+    return f"(sign({x}) * greatest(abs({x}) - 0.5::double, 0.0::double))"
+
+
+oracle("best_split", f"""WITH {FSIG},
+kf AS (SELECT *, {strat_fold('id', None, 5, 42)} AS fold FROM fsig WHERE part = 'train'),
+ex AS (SELECT CAST(o.k AS INTEGER) AS model, kf.* FROM kf, range(5) o(k) WHERE fold <> o.k),
+base AS (SELECT model, avg(s) AS b FROM ex GROUP BY model),
+r AS (SELECT ex.model, base.b - ex.s AS g, {_BIN0} AS bin0, {_BIN1} AS bin1 FROM ex JOIN base ON ex.model = base.model),
+hist AS (SELECT model, 0 AS feat, bin0 AS bin, sum(g) AS G, count(*) * 1.0::double AS H, count(*) AS C
+         FROM r GROUP BY model, bin0
+         UNION ALL
+         SELECT model, 1, bin1, sum(g), count(*) * 1.0::double, count(*) FROM r GROUP BY model, bin1),
+ord AS (SELECT *, CASE WHEN feat = 1 THEN (CASE WHEN bin = 25 THEN 'Infinity'::double ELSE G / (H + 1.0::double) END)
+                  ELSE CAST(bin AS DOUBLE) END AS key FROM hist),
+cum AS (SELECT *,
+          sum(G) OVER w AS GL, sum(H) OVER w AS HL, sum(C) OVER w AS CL,
+          sum(G) OVER (PARTITION BY model, feat) AS Gt, sum(H) OVER (PARTITION BY model, feat) AS Ht,
+          sum(C) OVER (PARTITION BY model, feat) AS Ct
+        FROM ord WINDOW w AS (PARTITION BY model, feat ORDER BY key, bin ROWS UNBOUNDED PRECEDING)),
+gains AS (SELECT *, 0.5::double * ({_T('GL')} * {_T('GL')} / (HL + 1.0::double)
+                   + {_T('(Gt - GL)')} * {_T('(Gt - GL)')} / (Ht - HL + 1.0::double)
+                   - {_T('Gt')} * {_T('Gt')} / (Ht + 1.0::double)) AS gain
+          FROM cum
+          WHERE HL >= 1.0::double AND Ht - HL >= 1.0::double AND CL >= 1 AND Ct - CL >= 1
+            AND ((feat = 0 AND bin <> 9) OR (feat = 1 AND key <> 'Infinity'::double))),
+best AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY gain DESC, feat, key) AS rn FROM gains WHERE gain > 0)
+SELECT model, feat, bin, round(gain, 6) AS gain, round(GL, 6) AS GL, round(HL, 6) AS HL FROM best WHERE rn = 1""")
