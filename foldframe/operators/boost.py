@@ -45,6 +45,17 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_hex, uniform01
 from ..session import cut_lineage
 
+import os as _os
+import time as _time
+
+_PROF = _os.environ.get("FOLDFRAME_PROFILE")
+
+
+def _tick(label, t0):
+    if _PROF:
+        print(f"[boost] {label}: {_time.time() - t0:.3f}s", flush=True)
+    return _time.time()
+
 GOLDEN = 0.6180339887498949   # fixed value: fractional golden ratio, rotates the row-sample offset
 
 
@@ -64,7 +75,7 @@ class BoostParams:
     max_bins: int = 64
     early_stopping: int | None = None
     seed: int = 42
-    checkpoint_every: int = 10
+    checkpoint_every: int = 5
 
 
 @dataclass
@@ -216,26 +227,48 @@ def best_splits(hist: pd.DataFrame, binning: Binning, p: BoostParams) -> pd.Data
 
 
 # --------------------------------------------------------------------------- trees as expressions
-def _split_cond(s: Split, binning: Binning) -> Column:
-    b = F.col(binning.bin_col(s.feature))
-    return b.isin(list(s.left)) if s.categorical else (b <= F.lit(s.threshold))
-
-
-def node_expr(tree: Tree, binning: Binning, nid: int = 1) -> Column:
+# Trees become SQL text (one JVM call per expression instead of one per node):
+# building deep Column trees through py4j costs more than running the job.
+def dlit(x: float) -> str:
+    """A DOUBLE literal in Spark SQL text (bare decimals would be DECIMAL)."""
+    x = float(x)
+    if x != x:
+        return "CAST('NaN' AS DOUBLE)"
+    if x in (float("inf"), float("-inf")):
+        return f"CAST('{'-' if x < 0 else ''}Infinity' AS DOUBLE)"
+    return f"({x!r}D)"
+
+
+def _cond_sql(s: Split, binning: Binning) -> str:
+    b = binning.bin_col(s.feature)
+    if s.categorical:
+        return f"{b} IN ({', '.join(str(int(v)) for v in s.left)})" if s.left else "FALSE"
+    return f"{b} <= {int(s.threshold)}"
+
+
+def node_sql(tree: Tree, binning: Binning, nid: int = 1) -> str:
     """Heap id of the deepest assigned node (root = 1, children 2n / 2n+1)."""
     if nid not in tree.splits:
-        return F.lit(nid)
+        return str(nid)
     s = tree.splits[nid]
-    return F.when(_split_cond(s, binning), node_expr(tree, binning, 2 * nid)).otherwise(
-        node_expr(tree, binning, 2 * nid + 1))
+    return (f"CASE WHEN {_cond_sql(s, binning)} THEN {node_sql(tree, binning, 2 * nid)} "
+            f"ELSE {node_sql(tree, binning, 2 * nid + 1)} END")
 
 
-def leaf_expr(tree: Tree, binning: Binning, nid: int = 1) -> Column:
+def leaf_sql(tree: Tree, binning: Binning, nid: int = 1) -> str:
     if nid not in tree.splits:
-        return F.lit(float(tree.leaves.get(nid, 0.0)))
+        return dlit(tree.leaves.get(nid, 0.0))
     s = tree.splits[nid]
-    return F.when(_split_cond(s, binning), leaf_expr(tree, binning, 2 * nid)).otherwise(
-        leaf_expr(tree, binning, 2 * nid + 1))
+    return (f"CASE WHEN {_cond_sql(s, binning)} THEN {leaf_sql(tree, binning, 2 * nid)} "
+            f"ELSE {leaf_sql(tree, binning, 2 * nid + 1)} END")
+
+
+def node_expr(tree: Tree, binning: Binning) -> Column:
+    return F.expr(node_sql(tree, binning))
+
+
+def leaf_expr(tree: Tree, binning: Binning) -> Column:
+    return F.expr(leaf_sql(tree, binning))
 
 
 # --------------------------------------------------------------------------- model specs
@@ -269,49 +302,59 @@ class BoostResult:
 
     def score_expr(self, m: int) -> Column:
         """Model ``m`` (best iteration) as one expression over ``__bin`` columns."""
-        z = F.lit(float(self.base[m]))
-        for t in self.trees[m][: self.best_iter[m]]:
-            z = z + leaf_expr(t, self.binning)
+        z = " + ".join([dlit(self.base[m])] + [f"({leaf_sql(t, self.binning)})"
+                                               for t in self.trees[m][: self.best_iter[m]]])
         if self.params.objective == "logistic":
-            return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-        return z
+            return F.expr(f"1.0D / (1.0D + exp(-({z})))")
+        return F.expr(z)
 
 
-def _grad_hess(objective: str, z: Column, y: Column):
+def _grad_hess(objective: str, z: str, y: str) -> tuple[str, str]:
     if objective == "squared":
-        return z - y, F.lit(1.0)
+        return f"({z} - {y})", "1.0D"
     if objective == "logistic":
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-        return p - y, p * (F.lit(1.0) - p)
+        p = f"(1.0D / (1.0D + exp(-{z})))"
+        return f"({p} - {y})", f"({p} * (1.0D - {p}))"
     raise ValueError(f"unknown objective {objective!r}")
 
 
-def _loss(objective: str, z: Column, y: Column) -> Column:
+def _loss(objective: str, z: str, y: str) -> str:
     if objective == "squared":
-        return (z - y) * (z - y)
+        return f"(({z} - {y}) * ({z} - {y}))"
     # log loss in a stable form: log(1 + e^z) - y z
-    return F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z
+    return f"(greatest({z}, 0.0D) + log1p(exp(-abs({z}))) - {y} * {z})"
 
 
 # --------------------------------------------------------------------------- histogram
-def gradient_histogram(df: DataFrame, entries, binning: Binning) -> DataFrame:
+def gradient_histogram(df: DataFrame, entries, binning: Binning, losses=()) -> DataFrame:
     """Sum of gradient, hessian and rows per ``(model, node, feature, bin)``.
 
-    ``entries``: ``(model, member, node, g, h, features)`` per model.  Each
-    row is unpivoted to one record per (model it belongs to, feature) and
-    summed with map-side partial aggregation; the output has at most
-    ``models x nodes x features x bins`` rows whatever the row count.
+    ``entries``: ``(model, member, node, g, h, features)`` per model, the
+    expressions as SQL text.  Each row is unpivoted to one record per (model
+    it belongs to, feature) and summed with map-side partial aggregation;
+    the output has at most ``models x nodes x features x bins`` rows
+    whatever the row count.  ``losses``: ``(model, flag, loss)``: the same
+    job also sums a per-row loss over the flagged rows, returned as
+    ``node = feat = bin = -1``.
     """
-    structs = []
+    pre, structs = [], []
     for m, member, node, g, h, feats in entries:
+        # per-model node / gradient / hessian once per row, referenced by every feature
+        pre += [f"CASE WHEN {member} THEN {node} END AS __n{m}", f"{g} AS __g{m}",
+                f"CAST({h} AS DOUBLE) AS __h{m}"]
         for i in feats:
-            structs.append(F.when(member, F.struct(
-                F.lit(m).alias("model"), node.alias("node"), F.lit(i).alias("feat"),
-                F.col(binning.bin_col(i)).alias("bin"), g.alias("g"), h.alias("h"))))
-    flat = (df.select(F.explode(F.array(*structs)).alias("e"))
-              .filter(F.col("e").isNotNull()).select("e.*"))
-    return (flat.groupBy("model", "node", "feat", "bin")
-                .agg(F.sum("g").alias("G"), F.sum("h").alias("H"), F.count(F.lit(1)).alias("C")))
+            structs.append(f"CASE WHEN __n{m} IS NOT NULL THEN named_struct('model', {m}, 'node', __n{m}, "
+                           f"'feat', {i}, 'bin', {binning.bin_col(i)}, 'g', __g{m}, 'h', __h{m}) END")
+    for m, flag, loss in losses:
+        pre.append(f"CASE WHEN {flag} THEN {loss} END AS __l{m}")
+        structs.append(f"CASE WHEN __l{m} IS NOT NULL THEN named_struct('model', {m}, 'node', -1, "
+                       f"'feat', -1, 'bin', -1, 'g', __l{m}, 'h', 1.0D) END")
+    bins = [binning.bin_col(i) for i in range(len(binning.features))]
+    flat = (df.selectExpr(*bins, *pre)
+              .selectExpr(f"explode(array({', '.join(structs)})) AS e")
+              .where("e IS NOT NULL").selectExpr("e.*"))
+    return flat.groupBy("model", "node", "feat", "bin").agg(
+        F.expr("sum(g) AS G"), F.expr("sum(h) AS H"), F.expr("count(1) AS C"))
 
 
 # --------------------------------------------------------------------------- trainer
@@ -319,11 +362,10 @@ def _advance(state: DataFrame, M: int, cur: dict, binning: Binning, pending: dic
     """Add this tree's leaf values to ``__F<m>``; copy ``__F`` to ``__B`` where pending."""
     cols = []
     for m in range(M):
-        f = F.col(f"__F{m}")
-        cols.append((f + leaf_expr(cur[m], binning)).alias(f"__F{m}") if m in cur else f)
-        cols.append(f.alias(f"__B{m}") if pending.get(m) else F.col(f"__B{m}"))
-    keep = [c for c in state.columns if not (c.startswith("__F") or c.startswith("__B"))]
-    return state.select(*keep, *cols)
+        cols.append(f"__F{m} + ({leaf_sql(cur[m], binning)}) AS __F{m}" if m in cur else f"__F{m}")
+        cols.append(f"__F{m} AS __B{m}" if pending.get(m) else f"__B{m}")
+    keep = [f"`{c}`" for c in state.columns if not (c.startswith("__F") or c.startswith("__B"))]
+    return state.selectExpr(*keep, *cols)
 
 
 def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: Sequence[ModelSpec],
@@ -332,14 +374,15 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
     """Train ``len(specs)`` boosted models over the rows of ``df`` in the same passes.
 
     ``df`` holds every row any model trains on, validates on or must score
-    (e.g. train rows with a ``fold`` column plus test rows).
+    (e.g. train rows with a ``fold`` column plus test rows).  Jobs per tree:
+    one per level; the validation losses of the previous tree ride along in
+    the first level's job, and the new scores are cached by that same job.
     """
     p = params
     specs = list(specs)
     M = len(specs)
     numeric = [f for f in features if f not in set(categorical)]
     cats = [f for f in features if f in set(categorical)]
-    spark = df.sparkSession
     if binning is None:
         fit_rows = df.filter(specs[0].train) if M == 1 else df.filter(
             F.greatest(*[s.train.cast("int") for s in specs]) == 1)
@@ -355,6 +398,7 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
     base_df = apply_bins(df, binning).select(
         id_col, *keep_cols, y.alias("__y"), *[F.col(binning.bin_col(i)) for i in range(nf)], *flags,
         uniform01(hash_hex(F.lit(f"bag|{p.seed}"), F.col(id_col))).alias("__u"))
+    base_df = base_df.persist(StorageLevel.MEMORY_AND_DISK)
 
     # base score per model (label mean on its training rows): one aggregate
     row = base_df.agg(*[F.sum(F.when(F.col(f"__T{m}"), F.col("__y"))).alias(f"s{m}") for m in range(M)],
@@ -369,9 +413,7 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
             base.append(mean)
     state = base_df.select("*", *[F.lit(base[m]).alias(f"__F{m}") for m in range(M)],
                            *[F.lit(base[m]).alias(f"__B{m}") for m in range(M)])
-    state = state.persist(StorageLevel.MEMORY_AND_DISK)
-    prev = state
-    pending: dict[int, bool] = {}
+    release = [base_df]
 
     trees: list[list[Tree]] = [[] for _ in range(M)]
     active = [True] * M
@@ -380,37 +422,70 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
     losses: list[list[float]] = [[] for _ in range(M)]
     has_valid = [s.valid is not None for s in specs]
     rng_cols = np.random.RandomState(p.seed)
-
-    for t in range(p.n_trees):
+    pending: dict[int, bool] = {}
+    t = 0
+    while True:
         live = [m for m in range(M) if active[m]]
-        if not live:
-            break
+        growing = t < p.n_trees and bool(live)
+        cur = {m: Tree() for m in live} if growing else {}
         feats_of = {}
-        for m in live:
+        for m in cur:
             if p.colsample_bytree < 1.0:
-                k = max(1, int(round(nf * p.colsample_bytree)))
-                feats_of[m] = sorted(rng_cols.choice(nf, k, replace=False).tolist())
+                kk = max(1, int(round(nf * p.colsample_bytree)))
+                feats_of[m] = sorted(rng_cols.choice(nf, kk, replace=False).tolist())
             else:
                 feats_of[m] = list(range(nf))
-        cur = {m: Tree() for m in live}
-        open_nodes = {m: [1] for m in live}
-        for depth in range(p.max_depth):
-            grow = [m for m in live if open_nodes[m]]
-            if not grow:
-                break
+        open_nodes = {m: [1] for m in cur}
+        loss_models = [m for m in live if has_valid[m]]
+        for depth in range(p.max_depth if growing else 1):
             entries = []
-            for m in grow:
-                node = node_expr(cur[m], binning)
-                sample = F.lit(True)
+            for m in cur:
+                if not open_nodes[m]:
+                    continue
+                node = node_sql(cur[m], binning)
+                member = f"__T{m}"
                 if p.subsample < 1.0:
-                    off = (F.col("__u") + F.lit((t * GOLDEN + m * 0.1234567) % 1.0)) % F.lit(1.0)
-                    sample = off < F.lit(p.subsample)
-                member = F.col(f"__T{m}") & sample & node.isin(open_nodes[m])
-                g, h = _grad_hess(p.objective, F.col(f"__F{m}"), F.col("__y"))
+                    shift = (t * GOLDEN + m * 0.1234567) % 1.0
+                    member += f" AND pmod(__u + {dlit(shift)}, 1.0D) < {dlit(p.subsample)}"
+                if depth > 0:
+                    member += f" AND ({node}) IN ({', '.join(map(str, open_nodes[m]))})"
+                g, h = _grad_hess(p.objective, f"__F{m}", "__y")
                 entries.append((m, member, node, g, h, feats_of[m]))
-            hist = gradient_histogram(state, entries, binning).toPandas()
+            loss_args = ([(m, f"__V{m}", _loss(p.objective, f"__F{m}", "__y"))
+                          for m in loss_models] if depth == 0 else [])
+            if not entries and not loss_args:
+                break
+            _t = _time.time()
+            hist = gradient_histogram(state, entries, binning, loss_args).toPandas()
+            _tick(f"hist t={t} d={depth}", _t)
+            for d in release:           # the new state is cached now; drop the old one
+                d.unpersist()
+            release = []
+            if depth == 0:
+                lrows = hist[hist["node"] == -1]
+                hist = hist[hist["node"] != -1]
+                pending = {}
+                for m in live:          # bookkeeping for the t trees built so far
+                    if has_valid[m]:
+                        r = lrows[lrows["model"] == m]
+                        loss = float(r["G"].sum() / r["H"].sum()) if len(r) and r["H"].sum() > 0 else np.inf
+                        losses[m].append(loss)
+                        if loss < best_loss[m] - 1e-15:
+                            best_loss[m], best_iter[m] = loss, t
+                            pending[m] = True
+                        elif p.early_stopping and t - best_iter[m] >= p.early_stopping:
+                            active[m] = False
+                    else:
+                        best_iter[m] = t
+                        pending[m] = True
+                for m in [m for m in cur if not active[m]]:
+                    del cur[m]
+                    open_nodes.pop(m)
+                hist = hist[hist["model"].isin(list(cur))]
+                if not cur:
+                    break
             splits = best_splits(hist, binning, p)
-            for m in grow:
+            for m in open_nodes:
                 open_nodes[m] = []
             for _, r in splits.iterrows():
                 m, nid = int(r["model"]), int(r["node"])
@@ -427,38 +502,21 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
                         tree.leaves[2 * nid + 1] = float(leaf_weight(r["GR"], r["HR"], p)) * p.learning_rate
                 else:
                     tree.leaves[nid] = float(leaf_weight(r["G"], r["H"], p)) * p.learning_rate
-        # score update for every row of the live models; the best-iteration
-        # margins take the previous tree's verdict (deferred one tree so that
-        # the loss aggregate below is also the job that fills the cache)
-        state = _advance(state, M, cur, binning, pending)
-        nxt = state
-        if p.checkpoint_every and (t + 1) % p.checkpoint_every == 0:
-            nxt = cut_lineage(nxt).persist(StorageLevel.MEMORY_AND_DISK)
-        else:
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        vl = [m for m in live if has_valid[m]]
-        if vl:
-            lrow = nxt.agg(*[F.avg(F.when(F.col(f"__V{m}"), _loss(p.objective, F.col(f"__F{m}"), F.col("__y"))))
-                             .alias(f"l{m}") for m in vl]).first()
-        else:
-            nxt.count()
-        prev.unpersist()
-        prev = state = nxt
-        pending = {}
-        for m in live:
+        if not cur:
+            state = _advance(state, M, {}, binning, pending)
+            break
+        # new scores for every row (also validation and test rows); best-iteration
+        # margins take the verdict on the previous tree.  Cached lazily: the next
+        # histogram job fills the cache.
+        nxt = _advance(state, M, cur, binning, pending)
+        for m in cur:
             trees[m].append(cur[m])
-            if has_valid[m]:
-                loss = float(lrow[f"l{m}"]) if lrow[f"l{m}"] is not None else np.inf
-                losses[m].append(loss)
-                if loss < best_loss[m] - 1e-15:
-                    best_loss[m], best_iter[m] = loss, len(trees[m])
-                    pending[m] = True
-                elif p.early_stopping and len(trees[m]) - best_iter[m] >= p.early_stopping:
-                    active[m] = False
-            else:
-                best_iter[m] = len(trees[m])
-                pending[m] = True
-    state = _advance(state, M, {}, binning, pending)
+        t += 1
+        if p.checkpoint_every and t % p.checkpoint_every == 0:
+            nxt = cut_lineage(nxt)
+        nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+        release.append(state)
+        state = nxt
     return BoostResult(p, binning, specs, base, trees, best_iter, losses, state)
 
 

@@ -23,6 +23,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,27 +176,27 @@ def fit_logistic_cv(df: DataFrame, features: Sequence[str], label_col: str,
         k = int(df.agg(F.max(fold_col)).first()[0]) + 1
     keys = ([*range(k)] if fold_col else []) + [ALL]
     w = {key: np.zeros(d) for key in keys}
-    xs = [F.lit(1.0)] + [F.col(f).cast("double") for f in feats]
-    y = F.col(label_col).cast("double")
     reg = np.eye(d)
     if not penalize_intercept:
         reg[0, 0] = 0.0
-    data = df.select(*feats, label_col, *([fold_col] if fold_col else []))
+    data = df.select(*[F.col(f).cast("double").alias(f"__x{j}") for j, f in enumerate(feats, 1)],
+                     F.col(label_col).cast("double").alias("__y"),
+                     *([F.col(fold_col).alias("__fold")] if fold_col else []))
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)     # narrow: p features, label, fold
+    xs = ["1.0D"] + [f"__x{j}" for j in range(1, d)]
     it = 0
     for it in range(1, max_iter + 1):
+        # all k+1 models' gradients and Hessians in one aggregate, written as SQL text
+        # (one JVM call per expression, not one per operator)
         aggs = []
         for key in keys:
-            z = F.lit(float(w[key][0]))
-            for j in range(1, d):
-                z = z + F.lit(float(w[key][j])) * xs[j]
-            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-            mask = (F.lit(1.0) if key == ALL
-                    else F.when(F.col(fold_col) != key, F.lit(1.0)).otherwise(F.lit(0.0)))
-            r = mask * (p - y)
-            h = mask * p * (F.lit(1.0) - p)
+            z = " + ".join([f"({float(w[key][0])!r}D)"] +
+                           [f"({float(w[key][j])!r}D) * {xs[j]}" for j in range(1, d)])
+            p = f"(1.0D / (1.0D + exp(-({z}))))"
+            mask = "" if key == ALL else f"CASE WHEN __fold <> {key} THEN 1.0D ELSE 0.0D END * "
             tag = "a" if key == ALL else str(key)
-            aggs += [F.sum(r * xs[i]).alias(f"g{tag}_{i}") for i in range(d)]
-            aggs += [F.sum(h * xs[i] * xs[j]).alias(f"h{tag}_{i}_{j}")
+            aggs += [F.expr(f"sum({mask}({p} - __y) * {xs[i]}) AS g{tag}_{i}") for i in range(d)]
+            aggs += [F.expr(f"sum({mask}{p} * (1.0D - {p}) * {xs[i]} * {xs[j]}) AS h{tag}_{i}_{j}")
                      for i in range(d) for j in range(i, d)]
         row = data.agg(*aggs).first()
         step = 0.0
@@ -212,6 +213,7 @@ def fit_logistic_cv(df: DataFrame, features: Sequence[str], label_col: str,
             step = max(step, float(np.max(np.abs(delta))))
         if step < tol:
             break
+    data.unpersist()
     model = LinearModel("logistic", feats, n_iter=it)
     for key in keys:
         model.coefs[key] = (float(w[key][0]), w[key][1:].copy())

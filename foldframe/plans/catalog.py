@@ -364,8 +364,8 @@ def q_best_split(spark, sf):
     ex = boost.apply_bins(ex, binning)
     base = ex.groupBy("model").agg(F.avg("s").alias("__b"))
     ex = ex.join(F.broadcast(base), "model")
-    entries = [(m, F.col("model") == m, F.lit(1), F.col("__b") - F.col("s"), F.lit(1.0), [0, 1]) for m in range(5)]
-    hist = boost.gradient_histogram(ex, entries, binning).toPandas()
+    entries = [(m, f"model = {m}", "1", "(__b - s)", "1.0D", [0, 1]) for m in range(5)]
+    hist = boost.gradient_histogram(ex.withColumn("s", F.col("s").cast("double")), entries, binning).toPandas()
     best = boost.best_splits(hist, binning, SPLIT_P)
     out = best[["model", "feat", "bin", "gain", "GL", "HL"]].copy()
     out["model"] = out["model"].astype(int)

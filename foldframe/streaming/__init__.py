@@ -1,0 +1,23 @@
+"""Streaming use of fitted models.
+
+The reference has no streaming operators.  The only streaming concern is
+that fitted models (T12) score micro-batches: linear models and boosted
+trees are plain column expressions, so they apply to a streaming DataFrame
+exactly as to a batch one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+
+def score_stream(stream: DataFrame, model, query_name: str, checkpoint_dir: str,
+                 id_col: str = "id", out_col: str = "pred", sink: str = "memory") -> StreamingQuery:
+    """Score every incoming row with ``model.predict()``; append to ``sink``.
+
+    ``checkpoint_dir`` must be a shared, reliable folder on a cluster.
+    """
+    scored = stream.select(id_col, model.predict().alias(out_col))
+    return (scored.writeStream.outputMode("append").format(sink).queryName(query_name)
+                  .option("checkpointLocation", checkpoint_dir).start())
