@@ -326,31 +326,51 @@ def _loss(objective: str, z: str, y: str) -> str:
 
 
 # --------------------------------------------------------------------------- histogram
-def gradient_histogram(df: DataFrame, entries, binning: Binning, losses=()) -> DataFrame:
+def gradient_histogram(df: DataFrame, entries, binning: Binning, losses=(),
+                       disjoint: bool = False) -> DataFrame:
     """Sum of gradient, hessian and rows per ``(model, node, feature, bin)``.
 
     ``entries``: ``(model, member, node, g, h, features)`` per model, the
-    expressions as SQL text.  Each row is unpivoted to one record per (model
-    it belongs to, feature) and summed with map-side partial aggregation;
-    the output has at most ``models x nodes x features x bins`` rows
-    whatever the row count.  ``losses``: ``(model, flag, loss)``: the same
-    job also sums a per-row loss over the flagged rows, returned as
-    ``node = feat = bin = -1``.
+    expressions as SQL text.  Rows no model needs are dropped first; each
+    remaining row is unpivoted to one record per (model it belongs to,
+    feature) and summed with map-side partial aggregation.  The output has
+    at most ``models x nodes x features x bins`` rows whatever the row
+    count.  ``disjoint=True`` (every row in at most one model, e.g. one
+    model per outer fold on replicated rows) emits one record per feature
+    instead of one per (model, feature).  ``losses``: ``(model, flag,
+    loss)``: the same job also sums a per-row loss over the flagged rows,
+    returned as ``node = feat = bin = -1``.
     """
-    pre, structs = [], []
+    pre, structs, need = [], [], []
     for m, member, node, g, h, feats in entries:
         # per-model node / gradient / hessian once per row, referenced by every feature
         pre += [f"CASE WHEN {member} THEN {node} END AS __n{m}", f"{g} AS __g{m}",
                 f"CAST({h} AS DOUBLE) AS __h{m}"]
-        for i in feats:
-            structs.append(f"CASE WHEN __n{m} IS NOT NULL THEN named_struct('model', {m}, 'node', __n{m}, "
-                           f"'feat', {i}, 'bin', {binning.bin_col(i)}, 'g', __g{m}, 'h', __h{m}) END")
+        need.append(f"({member})")
+    if disjoint and entries:
+        ms = [e[0] for e in entries]
+        pick = lambda what: "CASE " + " ".join(
+            f"WHEN __n{m} IS NOT NULL THEN {what.format(m=m)}" for m in ms) + " END"
+        feats_all = sorted({i for e in entries for i in e[5]})
+        for i in feats_all:
+            owners = [e[0] for e in entries if i in e[5]]
+            has = " OR ".join(f"__n{m} IS NOT NULL" for m in owners)
+            structs.append(f"CASE WHEN {has} THEN named_struct('model', {pick('{m}')}, "
+                           f"'node', {pick('__n{m}')}, 'feat', {i}, 'bin', {binning.bin_col(i)}, "
+                           f"'g', {pick('__g{m}')}, 'h', {pick('__h{m}')}) END")
+    else:
+        for m, member, node, g, h, feats in entries:
+            for i in feats:
+                structs.append(f"CASE WHEN __n{m} IS NOT NULL THEN named_struct('model', {m}, "
+                               f"'node', __n{m}, 'feat', {i}, 'bin', {binning.bin_col(i)}, "
+                               f"'g', __g{m}, 'h', __h{m}) END")
     for m, flag, loss in losses:
         pre.append(f"CASE WHEN {flag} THEN {loss} END AS __l{m}")
+        need.append(f"({flag})")
         structs.append(f"CASE WHEN __l{m} IS NOT NULL THEN named_struct('model', {m}, 'node', -1, "
                        f"'feat', -1, 'bin', -1, 'g', __l{m}, 'h', 1.0D) END")
     bins = [binning.bin_col(i) for i in range(len(binning.features))]
-    flat = (df.selectExpr(*bins, *pre)
+    flat = (df.where(" OR ".join(need)).selectExpr(*bins, *pre)
               .selectExpr(f"explode(array({', '.join(structs)})) AS e")
               .where("e IS NOT NULL").selectExpr("e.*"))
     return flat.groupBy("model", "node", "feat", "bin").agg(
@@ -370,11 +390,13 @@ def _advance(state: DataFrame, M: int, cur: dict, binning: Binning, pending: dic
 
 def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: Sequence[ModelSpec],
                 params: BoostParams, categorical: Sequence[str] = (), id_col: str = "id",
-                binning: Binning | None = None, keep_cols: Sequence[str] = ()) -> BoostResult:
+                binning: Binning | None = None, keep_cols: Sequence[str] = (),
+                disjoint: bool = False) -> BoostResult:
     """Train ``len(specs)`` boosted models over the rows of ``df`` in the same passes.
 
     ``df`` holds every row any model trains on, validates on or must score
-    (e.g. train rows with a ``fold`` column plus test rows).  Jobs per tree:
+    (e.g. train rows with a ``fold`` column plus test rows).  ``disjoint``:
+    no row trains more than one model (see ``gradient_histogram``).  Jobs per tree:
     one per level; the validation losses of the previous tree ride along in
     the first level's job, and the new scores are cached by that same job.
     """
@@ -383,6 +405,8 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
     M = len(specs)
     numeric = [f for f in features if f not in set(categorical)]
     cats = [f for f in features if f in set(categorical)]
+    # the input is read by the bin fit and by the first state: compute it once
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     if binning is None:
         fit_rows = df.filter(specs[0].train) if M == 1 else df.filter(
             F.greatest(*[s.train.cast("int") for s in specs]) == 1)
@@ -411,9 +435,11 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
             base.append(float(np.log(mean / (1 - mean))))
         else:
             base.append(mean)
+    df.unpersist()                     # base_df (filled by the aggregate above) replaces it
     state = base_df.select("*", *[F.lit(base[m]).alias(f"__F{m}") for m in range(M)],
                            *[F.lit(base[m]).alias(f"__B{m}") for m in range(M)])
-    release = [base_df]
+    cached = base_df                   # the persisted frame the current state reads
+    release = []
 
     trees: list[list[Tree]] = [[] for _ in range(M)]
     active = [True] * M
@@ -456,7 +482,7 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
             if not entries and not loss_args:
                 break
             _t = _time.time()
-            hist = gradient_histogram(state, entries, binning, loss_args).toPandas()
+            hist = gradient_histogram(state, entries, binning, loss_args, disjoint).toPandas()
             _tick(f"hist t={t} d={depth}", _t)
             for d in release:           # the new state is cached now; drop the old one
                 d.unpersist()
@@ -515,8 +541,8 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
         if p.checkpoint_every and t % p.checkpoint_every == 0:
             nxt = cut_lineage(nxt)
         nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        release.append(state)
-        state = nxt
+        release.append(cached)         # dropped once the next job has filled nxt's cache
+        cached = state = nxt
     return BoostResult(p, binning, specs, base, trees, best_iter, losses, state)
 
 
