@@ -33,26 +33,30 @@ def _assign(df: DataFrame, k: int, seed: int, id_col: str, strata: str | None,
     if k < 2:
         raise ValueError("k must be at least 2")
     by = list(by)
-    keyed = (df.withColumn("__h", hash_hex(F.col(id_col), F.lit(str(seed))))
-               .withColumn("__s", F.col(strata) if strata else F.lit(0))
-               .withColumn("__b", F.substring("__h", 1, bucket_digits)))
-    grp = [*by, "__s", "__b"]
+    keyed = df.withColumn("__h", hash_hex(F.col(id_col), F.lit(str(seed))))
+    if strata:
+        # (is-not-null flag, value): plain equi-join keys that still order nulls first
+        t = df.schema[strata].dataType
+        keyed = (keyed.withColumn("__sn", F.col(strata).isNotNull().cast("int"))
+                      .withColumn("__s", F.coalesce(F.col(strata), F.lit(0).cast(t) if t.typeName() != "string"
+                                                    else F.lit(""))))
+    else:
+        keyed = keyed.withColumn("__sn", F.lit(1)).withColumn("__s", F.lit(0))
+    keyed = keyed.withColumn("__b", F.substring("__h", 1, bucket_digits))
+    grp = [*by, "__sn", "__s", "__b"]
 
     counts = keyed.groupBy(*grp).agg(F.count(F.lit(1)).alias("__n"))
-    before = (Window.partitionBy(*by).orderBy("__s", "__b")
+    before = (Window.partitionBy(*by).orderBy("__sn", "__s", "__b")
               .rowsBetween(Window.unboundedPreceding, -1))
     offsets = (counts.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
                      .drop("__n"))
-
+    # rows are hash-partitioned by grp for the window; joining on exactly grp
+    # keeps that partitioning, so only the small offset table moves
     ranked = keyed.withColumn(
         "__r", F.row_number().over(Window.partitionBy(*grp).orderBy("__h", id_col)))
-    # Null-safe keys: a null stratum is a stratum of its own, never dropped.
-    offs = offsets.select(*[F.col(c).alias(c + "__o") for c in grp], "__off")
-    cond = [ranked[c].eqNullSafe(offs[c + "__o"]) for c in grp]
-    out = ranked.join(offs, on=cond, how="inner")
+    out = ranked.join(offsets, on=grp, how="inner")
     fold = ((F.col("__off") + F.col("__r") - 1) % F.lit(k)).cast("int")
-    return (out.withColumn(fold_col, fold)
-               .drop("__h", "__s", "__b", "__r", "__off", *[c + "__o" for c in grp]))
+    return out.withColumn(fold_col, fold).drop("__h", "__sn", "__s", "__b", "__r", "__off")
 
 
 def assign_kfold(df: DataFrame, k: int = 5, seed: int = 42, id_col: str = "id",
