@@ -52,8 +52,10 @@ def roc_auc(df: DataFrame, score_col: str, label_col: str = "y", by: Sequence[st
     before_s = (Window.partitionBy(*by, "__bk").orderBy(score_col)
                 .rowsBetween(Window.unboundedPreceding, -1))
     inside = g.withColumn("__in", F.coalesce(F.sum("__q").over(before_s), F.lit(0)))
-    # bucket_off has at most (groups x n_buckets) rows: a proven bound.
-    j = inside.join(F.broadcast(bucket_off), [*by, "__bk"], "inner")
+    # ``inside`` is hash-partitioned by (by, bucket) for its window; joining on
+    # exactly those keys keeps that partitioning, so only the small offset
+    # table (groups x n_buckets rows) moves -- or AQE broadcasts it.
+    j = inside.join(bucket_off, [*by, "__bk"], "inner")
     below = F.col("__off") + F.col("__in")
     term = (F.col("__p") * (F.lit(2) * below + F.col("__q"))).cast(_EXACT)
     agg = j.groupBy(*by).agg(F.sum(term).alias("__num"), F.sum("__p").alias("__P"),

@@ -484,3 +484,19 @@ def q_stacking_report(spark, sf):
         [pipelines.BaseModel("lgbm", pa, ["o_totalprice", "c_acctbal"]),
          pipelines.BaseModel("cat", pb, ["o_totalprice", "c_nationkey"])], d, "y_sig").fit()
     return rounded(ev.report())
+
+
+# --------------------------------------------------------------- sinks
+from ..sources import io  # noqa: E402
+
+
+@query("submission")
+def q_submission(spark, sf):
+    """Template ids (all test rows) left-joined to the ridge blend of the fold predictions."""
+    oof = fx.fpred_oof(spark, sf)
+    t = fx.fpred_test(spark, sf)
+    preds = pipelines.blend_pipeline([oof.select("id", "p1", "y"), oof.select("id", "p2", "y")],
+                                     [t.select("id", "fold", "p1"), t.select("id", "fold", "p2")],
+                                     ["p1", "p2"], kind="ridge")
+    template = fx.fsig(spark, sf).filter(F.col("part").isin("test", "original")).select("id")
+    return rounded(io.submission(template, preds, "target"))

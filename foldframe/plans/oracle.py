@@ -327,3 +327,48 @@ gains AS (SELECT *, 0.5::double * ({_T('GL')} * {_T('GL')} / (HL + 1.0::double)
             AND ((feat = 0 AND bin <> 9) OR (feat = 1 AND key <> 'Infinity'::double))),
 best AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY gain DESC, feat, key) AS rn FROM gains WHERE gain > 0)
 SELECT model, feat, bin, round(gain, 6) AS gain, round(GL, 6) AS GL, round(HL, 6) AS HL FROM best WHERE rn = 1""")
+
+
+# --------------------------------------------------------------- logistic (penalised intercept), unrolled Newton steps
+def _logistic_ctes(steps: int = 10) -> str:
+    ctes = ["lr0 AS (SELECT CAST(k AS INTEGER) AS o, 0.0::double AS b, 0.0::double AS w1, 0.0::double AS w2 "
+            "FROM range(-1, 5) t(k))"]
+    for i in range(1, steps + 1):
+        prev = f"lr{i - 1}"
+        ctes.append(f"""ag{i} AS (
+  SELECT m.o, m.b, m.w1, m.w2,
+         sum(pp - y) + m.b AS g0, sum((pp - y) * p1) + m.w1 AS g1, sum((pp - y) * p2) + m.w2 AS g2,
+         sum(pp * (1.0::double - pp)) + 1.0::double AS h00, sum(pp * (1.0::double - pp) * p1) AS h01,
+         sum(pp * (1.0::double - pp) * p2) AS h02, sum(pp * (1.0::double - pp) * p1 * p1) + 1.0::double AS h11,
+         sum(pp * (1.0::double - pp) * p1 * p2) AS h12, sum(pp * (1.0::double - pp) * p2 * p2) + 1.0::double AS h22
+  FROM (SELECT m.o, m.b, m.w1, m.w2, f.p1, f.p2, CAST(f.y AS DOUBLE) AS y,
+               1.0::double / (1.0::double + exp(-(m.b + m.w1 * f.p1 + m.w2 * f.p2))) AS pp
+        FROM {prev} m JOIN fpred f ON m.o = -1 OR f.fold <> m.o) z
+  JOIN {prev} m ON z.o = m.o GROUP BY m.o, m.b, m.w1, m.w2),
+cf{i} AS (SELECT *, h11 * h22 - h12 * h12 AS c00, -(h01 * h22 - h02 * h12) AS c01, h01 * h12 - h02 * h11 AS c02,
+                 h00 * h22 - h02 * h02 AS c11, -(h00 * h12 - h01 * h02) AS c12, h00 * h11 - h01 * h01 AS c22
+          FROM ag{i}),
+lr{i} AS (SELECT o,
+                 b - (c00 * g0 + c01 * g1 + c02 * g2) / (h00 * c00 + h01 * c01 + h02 * c02) AS b,
+                 w1 - (c01 * g0 + c11 * g1 + c12 * g2) / (h00 * c00 + h01 * c01 + h02 * c02) AS w1,
+                 w2 - (c02 * g0 + c12 * g1 + c22 * g2) / (h00 * c00 + h01 * c01 + h02 * c02) AS w2
+          FROM cf{i})""")
+    return ",\n".join(ctes) + f",\nlrmodel AS (SELECT * FROM lr{steps})"
+
+
+_LOGIT = f"{FPRED},\n{_logistic_ctes()}"
+
+oracle("logistic_oof", f"""WITH {_LOGIT}
+SELECT id, fold, round(1.0::double / (1.0::double + exp(-(b + w1 * p1 + w2 * p2))), {D}) AS pred
+FROM fpred JOIN lrmodel ON lrmodel.o = fpred.fold""")
+
+oracle("vote_blend", f"""WITH {_LDA},
+{_logistic_ctes()}
+SELECT f.id, f.fold, round((1.0::double / (1.0::double + exp(-(l.b + l.w1 * f.p1 + l.w2 * f.p2)))
+                     + 1.0::double / (1.0::double + exp(-(d.b + d.w1 * f.p1 + d.w2 * f.p2)))) / 2.0::double, {D}) AS pred
+FROM fpred f JOIN lrmodel l ON l.o = f.fold JOIN model d ON d.o = f.fold""")
+
+oracle("submission", f"""WITH {_RIDGE},
+preds AS (SELECT id, avg(b + w1 * p1 + w2 * p2) AS pred FROM fpred_test, model WHERE model.o = -1 GROUP BY id)
+SELECT t.id, round(preds.pred, {D}) AS target FROM fsig t LEFT JOIN preds ON t.id = preds.id
+WHERE t.part IN ('test', 'original')""")
