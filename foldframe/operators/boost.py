@@ -406,11 +406,13 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
     numeric = [f for f in features if f not in set(categorical)]
     cats = [f for f in features if f in set(categorical)]
     # the input is read by the bin fit and by the first state: compute it once
+    _t0 = _time.time()
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     if binning is None:
         fit_rows = df.filter(specs[0].train) if M == 1 else df.filter(
             F.greatest(*[s.train.cast("int") for s in specs]) == 1)
         binning = fit_bins(fit_rows, numeric, cats, p.max_bins)
+    _t0 = _tick("bins (input computed)", _t0)
     nf = len(binning.features)
     y = F.col(label_col).cast("double")
 
@@ -435,6 +437,7 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
             base.append(float(np.log(mean / (1 - mean))))
         else:
             base.append(mean)
+    _t0 = _tick("base scores (state cached)", _t0)
     df.unpersist()                     # base_df (filled by the aggregate above) replaces it
     state = base_df.select("*", *[F.lit(base[m]).alias(f"__F{m}") for m in range(M)],
                            *[F.lit(base[m]).alias(f"__B{m}") for m in range(M)])
