@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,6 +136,9 @@ def target_encode_cv(train: DataFrame, test: DataFrame | None, cat_cols: Sequenc
     """
     ex = assign_inner_folds(train, label_col, k_outer=k, k_inner=inner_k, seed=inner_seed,
                             id_col=id_col, fold_col=fold_col, outer_col=outer_col)
+    # ex feeds the prior, the cell aggregate and one join per column: compute it once
+    # (memory and disk; a lost block is recomputed from its lineage)
+    ex = ex.persist(StorageLevel.MEMORY_AND_DISK)
     y = F.col(label_col).cast("double")
     gm = global_mean(ex, label_col, [outer_col], "__gm")          # k rows: broadcast
     cells = multi_key_stats(ex, cat_cols, {"__s": F.sum(y), "__n": F.count(y)},
