@@ -78,8 +78,11 @@ def centred_moments(df: DataFrame, cols: Sequence[str], by: Sequence[str]):
 
     ``s = sum(x - m)``, ``Q = sum((x - m)(x - m)^T)``.  Returns ``(m, groups)``.
     """
+    # two passes (means, then centred moments) over a narrow cached projection
+    df = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).persist(
+        StorageLevel.MEMORY_AND_DISK)
     m = _means(df, cols)
-    xs = [F.col(c).cast("double") - F.lit(float(mi)) for c, mi in zip(cols, m)]
+    xs = [F.col(c) - F.lit(float(mi)) for c, mi in zip(cols, m)]
     p = len(cols)
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.sum(xs[i]).alias(f"s{i}") for i in range(p)]
@@ -93,6 +96,7 @@ def centred_moments(df: DataFrame, cols: Sequence[str], by: Sequence[str]):
             for j in range(i, p):
                 Q[i, j] = Q[j, i] = float(r[f"q{i}_{j}"])
         out[key] = (int(r["n"]), s, Q)
+    df.unpersist()
     return m, out
 
 
