@@ -424,14 +424,14 @@ def q_boost_sampled(spark, sf):
     return boost.oof_predictions(res, 5)
 
 
-@query("cv_pipeline")
+@query("cv_submission")
 def q_cv_pipeline(spark, sf):
     d = fx.fsig(spark, sf)
     train = d.filter(F.col("part") == "train").select("id", "y_sig", "o_totalprice", "c_acctbal",
                                                       "c_mktsegment", "o_orderpriority")
     test = d.filter(F.col("part") == "test").select("id", "o_totalprice", "c_acctbal", "c_mktsegment",
                                                     "o_orderpriority")
-    p, enc = registry.model_spec("lgb_ep12_7", n_trees=10, early_stopping=3, learning_rate=0.3, max_bins=32)
+    p, enc = registry.model_spec("bin_leafwise_7", n_trees=10, early_stopping=3, learning_rate=0.3, max_bins=32)
     r = pipelines.cv_pipeline(train, test, "y_sig", ["o_totalprice", "c_acctbal", "c_mktsegment", "o_orderpriority"],
                               p, k=5, target_encode_cols=["c_mktsegment", "o_orderpriority"], **enc)
     return r.submission
@@ -443,7 +443,7 @@ def q_cv_scores(spark, sf):
     train = d.filter(F.col("part") == "train").select("id", "s", "o_totalprice", "c_acctbal", "c_mktsegment")
     test = d.filter(F.col("part") == "test").select("id", "o_totalprice", "c_acctbal", "c_mktsegment")
     ext = d.filter(F.col("part") == "original").select("s", "c_mktsegment")
-    p, _ = registry.model_spec("xgb_ep1_4", n_trees=10, early_stopping=3, learning_rate=0.3, max_depth=3,
+    p, _ = registry.model_spec("reg_depthwise_4", n_trees=10, early_stopping=3, learning_rate=0.3, max_depth=3,
                                min_child_weight=5.0, max_bins=32)
     r = pipelines.cv_pipeline(train, test, "s", ["o_totalprice", "c_acctbal", "c_mktsegment"], p, k=5,
                               stratified=False, categorical_cols=["c_mktsegment"], external=ext,
@@ -451,7 +451,7 @@ def q_cv_scores(spark, sf):
     return r.scores
 
 
-@query("vote_pipeline")
+@query("vote_submission")
 def q_vote_pipeline(spark, sf):
     oof = fx.fpred_oof(spark, sf)
     t = fx.fpred_test(spark, sf)
@@ -460,14 +460,14 @@ def q_vote_pipeline(spark, sf):
     return r.submission
 
 
-@query("stack_pipeline")
+@query("stack_submission")
 def q_stack(spark, sf):
     d = fx.fsig(spark, sf)
     train = d.filter(F.col("part") == "train").select("id", "y_sig", "o_totalprice", "c_acctbal", "c_nationkey")
     test = d.filter(F.col("part") == "test").select("id", "o_totalprice", "c_acctbal", "c_nationkey")
     orig = d.filter(F.col("part") == "original").select("y_sig", "c_nationkey")
-    pa, _ = registry.model_spec("xgb_ep2_a", n_trees=6, learning_rate=0.3, max_bins=32)
-    pb, _ = registry.model_spec("cat_ep2_b", n_trees=6, learning_rate=0.3, max_bins=32)
+    pa, _ = registry.model_spec("cls_depthwise_a", n_trees=6, learning_rate=0.3, max_bins=32)
+    pb, _ = registry.model_spec("cls_symmetric_b", n_trees=6, learning_rate=0.3, max_bins=32)
     _, auc, sub = pipelines.stack_pipeline(train, test, "y_sig", ["o_totalprice", "c_acctbal", "c_nationkey"],
                                            [("xgb", pa), ("cat", pb)], external=orig,
                                            external_cols=["c_nationkey"])
@@ -478,8 +478,8 @@ def q_stack(spark, sf):
 def q_stacking_report(spark, sf):
     d = fx.fsig(spark, sf).filter(F.col("part") == "train").select(
         "id", "y_sig", "o_totalprice", "c_acctbal", "c_nationkey")
-    pa, _ = registry.model_spec("lgbm_ep2_a", n_trees=6, learning_rate=0.3, max_bins=32)
-    pb, _ = registry.model_spec("cat_ep2_a", n_trees=6, learning_rate=0.3, max_bins=32)
+    pa, _ = registry.model_spec("cls_leafwise_a", n_trees=6, learning_rate=0.3, max_bins=32)
+    pb, _ = registry.model_spec("cls_symmetric_a", n_trees=6, learning_rate=0.3, max_bins=32)
     ev = pipelines.StackingEvaluator(
         [pipelines.BaseModel("lgbm", pa, ["o_totalprice", "c_acctbal"]),
          pipelines.BaseModel("cat", pb, ["o_totalprice", "c_nationkey"])], d, "y_sig").fit()

@@ -15,65 +15,65 @@ from ..operators.boost import BoostParams
 # Hyper-parameter sets of the reference scripts, rounded to six digits,
 # with rounds / early-stopping patience where the scripts set them.
 REGISTRY: dict[str, dict] = {
-    "hgb_ep12_1": dict(l2_regularization=0.0173356, learning_rate=0.0751467, max_iter=1000, max_depth=4,
+    "bin_hist_1": dict(l2_regularization=0.0173356, learning_rate=0.0751467, max_iter=1000, max_depth=4,
                        min_samples_leaf=29, max_leaf_nodes=19, random_state=42, smoothing=0.685068,
                        noise_level=0.0076208, objective="logistic"),
-    "lgb_ep12_1": dict(learning_rate=0.096672, max_depth=5, reg_alpha=7.64623, reg_lambda=0.150229,
+    "bin_leafwise_1": dict(learning_rate=0.096672, max_depth=5, reg_alpha=7.64623, reg_lambda=0.150229,
                        num_leaves=15, colsample_bytree=0.935497, rounds=1000, patience=100),
-    "lgb_ep12_2": dict(learning_rate=0.0873055, max_depth=5, reg_alpha=7.62994, reg_lambda=0.0540758,
+    "bin_leafwise_2": dict(learning_rate=0.0873055, max_depth=5, reg_alpha=7.62994, reg_lambda=0.0540758,
                        num_leaves=23, colsample_bytree=0.62358, rounds=1000, patience=100),
-    "lgb_ep12_3": dict(learning_rate=0.0999849, max_depth=5, reg_alpha=5.8768, reg_lambda=0.031945,
+    "bin_leafwise_3": dict(learning_rate=0.0999849, max_depth=5, reg_alpha=5.8768, reg_lambda=0.031945,
                        num_leaves=24, colsample_bytree=0.639751, rounds=1000, patience=100),
-    "lgb_ep12_4": dict(learning_rate=0.0976503, max_depth=6, reg_alpha=9.5435, reg_lambda=8.49525,
+    "bin_leafwise_4": dict(learning_rate=0.0976503, max_depth=6, reg_alpha=9.5435, reg_lambda=8.49525,
                        num_leaves=23, colsample_bytree=0.603871, rounds=1000, patience=100),
-    "lgb_ep12_5": dict(learning_rate=0.121525, max_depth=4, reg_alpha=6.92602, reg_lambda=9.99027,
+    "bin_leafwise_5": dict(learning_rate=0.121525, max_depth=4, reg_alpha=6.92602, reg_lambda=9.99027,
                        num_leaves=25, colsample_bytree=0.686504, subsample=0.705433, min_child_samples=45,
                        smoothing=0.275552, noise_level=0.00658459, rounds=1000, patience=100),
-    "lgb_ep12_6": dict(learning_rate=0.145741, max_depth=4, reg_alpha=0.63875, reg_lambda=0.0102703,
+    "bin_leafwise_6": dict(learning_rate=0.145741, max_depth=4, reg_alpha=0.63875, reg_lambda=0.0102703,
                        num_leaves=26, colsample_bytree=0.827253, subsample=0.702768, min_child_samples=50,
                        smoothing=4.47323, noise_level=0.0332988, rounds=1000, patience=100),
-    "lgb_ep12_7": dict(learning_rate=0.112412, max_depth=4, reg_alpha=9.71059, reg_lambda=0.3092,
+    "bin_leafwise_7": dict(learning_rate=0.112412, max_depth=4, reg_alpha=9.71059, reg_lambda=0.3092,
                        num_leaves=26, colsample_bytree=0.600977, subsample=0.890955, min_child_samples=31,
                        smoothing=0.372608, noise_level=0.0164693, rounds=1000, patience=100),
-    "xgb_ep12_1": dict(max_depth=8, learning_rate=0.0129314, gamma=0.271071, min_child_weight=37,
+    "bin_depthwise_1": dict(max_depth=8, learning_rate=0.0129314, gamma=0.271071, min_child_weight=37,
                        colsample_bytree=0.8, reg_lambda=8.07458, reg_alpha=0.615398, rounds=1000, patience=100),
-    "xgb_ep12_2": dict(max_depth=11, learning_rate=0.0148888, gamma=0.0624874, min_child_weight=34,
+    "bin_depthwise_2": dict(max_depth=11, learning_rate=0.0148888, gamma=0.0624874, min_child_weight=34,
                        colsample_bytree=0.6, reg_lambda=2.97606, reg_alpha=7.4085, rounds=2000, patience=150),
-    "xgb_ep12_3": dict(max_depth=8, learning_rate=0.0174306, gamma=0.0536744, min_child_weight=39,
+    "bin_depthwise_3": dict(max_depth=8, learning_rate=0.0174306, gamma=0.0536744, min_child_weight=39,
                        colsample_bytree=0.7, reg_lambda=9.85281, reg_alpha=4.34722, rounds=2000, patience=100),
-    "xgb_ep12_4": dict(max_depth=9, learning_rate=0.0182228, gamma=0.0229925, min_child_weight=46,
+    "bin_depthwise_4": dict(max_depth=9, learning_rate=0.0182228, gamma=0.0229925, min_child_weight=46,
                        colsample_bytree=0.7, reg_lambda=6.08967, reg_alpha=6.35141, rounds=2000, patience=100),
-    "xgb_ep12_5": dict(max_depth=5, learning_rate=0.0440182, gamma=0.103059, min_child_weight=39,
+    "bin_depthwise_5": dict(max_depth=5, learning_rate=0.0440182, gamma=0.103059, min_child_weight=39,
                        colsample_bytree=0.8, reg_lambda=1.44486, reg_alpha=9.47931, smoothing=0.302429,
                        noise_level=0.0355637, rounds=1000, patience=100),
-    "lgb_ep1_1": dict(learning_rate=0.0942218, max_depth=6, reg_alpha=2.11133, reg_lambda=5.32629,
+    "reg_leafwise_1": dict(learning_rate=0.0942218, max_depth=6, reg_alpha=2.11133, reg_lambda=5.32629,
                       num_leaves=15, colsample_bytree=0.926715, rounds=1000, patience=100),
-    "lgb_ep1_2": dict(learning_rate=0.0906618, max_depth=5, reg_alpha=0.0297342, reg_lambda=2.26045,
+    "reg_leafwise_2": dict(learning_rate=0.0906618, max_depth=5, reg_alpha=0.0297342, reg_lambda=2.26045,
                       num_leaves=20, colsample_bytree=0.790149, rounds=1000, patience=100),
-    "lgb_ep1_3": dict(learning_rate=0.0925768, max_depth=5, reg_alpha=0.0241682, reg_lambda=0.693097,
+    "reg_leafwise_3": dict(learning_rate=0.0925768, max_depth=5, reg_alpha=0.0241682, reg_lambda=0.693097,
                       num_leaves=22, colsample_bytree=0.842481, rounds=1000, patience=100),
-    "xgb_ep1_1": dict(max_depth=7, learning_rate=0.0521054, gamma=2.09807, min_child_weight=74,
+    "reg_depthwise_1": dict(max_depth=7, learning_rate=0.0521054, gamma=2.09807, min_child_weight=74,
                       colsample_bytree=0.7, reg_lambda=6.19423, reg_alpha=2.08771, rounds=1000, patience=100),
-    "xgb_ep1_2": dict(max_depth=8, learning_rate=0.0379291, gamma=2.72363, min_child_weight=83,
+    "reg_depthwise_2": dict(max_depth=8, learning_rate=0.0379291, gamma=2.72363, min_child_weight=83,
                       colsample_bytree=0.6, reg_lambda=3.58039, reg_alpha=4.21721, rounds=1000, patience=100),
-    "xgb_ep1_3": dict(max_depth=7, learning_rate=0.045415, gamma=2.65465, min_child_weight=90,
+    "reg_depthwise_3": dict(max_depth=7, learning_rate=0.045415, gamma=2.65465, min_child_weight=90,
                       colsample_bytree=0.8, reg_lambda=7.2914, reg_alpha=9.2802, rounds=1000, patience=100),
-    "xgb_ep1_4": dict(max_depth=6, learning_rate=0.0727397, gamma=1.78889, min_child_weight=89,
+    "reg_depthwise_4": dict(max_depth=6, learning_rate=0.0727397, gamma=1.78889, min_child_weight=89,
                       colsample_bytree=0.6, reg_lambda=2.24209, reg_alpha=2.49161, rounds=1000, patience=100),
-    "lgbm_ep2_a": dict(n_estimators=998, learning_rate=0.112395, num_leaves=35, max_depth=3,
+    "cls_leafwise_a": dict(n_estimators=998, learning_rate=0.112395, num_leaves=35, max_depth=3,
                        min_child_samples=50, subsample=0.709424, colsample_bytree=0.993952,
                        reg_alpha=0.984437, reg_lambda=0.00229621, random_state=42, objective="logistic"),
-    "xgb_ep2_a": dict(n_estimators=943, learning_rate=0.0971779, max_depth=3, subsample=0.831297,
+    "cls_depthwise_a": dict(n_estimators=943, learning_rate=0.0971779, max_depth=3, subsample=0.831297,
                       colsample_bytree=0.606741, gamma=0.459794, min_child_weight=6, random_state=42,
                       objective="logistic"),
-    "cat_ep2_a": dict(max_depth=4, objective="logistic"),
-    "lgbm_ep2_b": dict(n_estimators=783, learning_rate=0.112323, num_leaves=40, max_depth=3,
+    "cls_symmetric_a": dict(max_depth=4, objective="logistic"),
+    "cls_leafwise_b": dict(n_estimators=783, learning_rate=0.112323, num_leaves=40, max_depth=3,
                        min_child_samples=64, subsample=0.93465, colsample_bytree=0.614404,
                        reg_alpha=0.269323, reg_lambda=0.330374, random_state=42, objective="logistic"),
-    "xgb_ep2_b": dict(n_estimators=832, max_depth=7, learning_rate=0.0134328, subsample=0.771105,
+    "cls_depthwise_b": dict(n_estimators=832, max_depth=7, learning_rate=0.0134328, subsample=0.771105,
                       random_state=42, objective="logistic"),
-    "cat_ep2_b": dict(max_depth=2, objective="logistic"),
-    "ydf_ep1": dict(num_trees=1000),
+    "cls_symmetric_b": dict(max_depth=2, objective="logistic"),
+    "reg_forest_1": dict(num_trees=1000),
 }
 
 _ALIASES = {

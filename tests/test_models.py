@@ -73,7 +73,7 @@ def test_logistic_matches_newton(spark):
 
 
 def test_vote_identity(spark):
-    """mean(LR, LDA, vote) with vote = (LR+LDA)/2 equals the vote (Ensemble 4 = Ensemble 5)."""
+    """mean(LR, LDA, vote) with vote = (LR+LDA)/2 equals the vote."""
     from foldframe.plans import pipelines
     df, *_ = _data(spark)
     oof = df.select("id", "x1", "x2", "y")

@@ -25,7 +25,7 @@ def test_cv_pipeline_learns_planted_signal(spark):
     cols = ["o_totalprice", "c_acctbal", "c_mktsegment"]
     train = d.filter(F.col("part") == "train").select("id", "y_sig", *cols)
     test = d.filter(F.col("part") == "test").select("id", *cols)
-    p, enc = registry.model_spec("lgb_ep12_7", n_trees=8, early_stopping=3, learning_rate=0.3, max_bins=32)
+    p, enc = registry.model_spec("bin_leafwise_7", n_trees=8, early_stopping=3, learning_rate=0.3, max_bins=32)
     r = pipelines.cv_pipeline(train, test, "y_sig", cols, p, k=5, target_encode_cols=["c_mktsegment"], **enc)
     auc = metrics.roc_auc(r.oof, "pred", "y").first()["auc"]
     assert auc > 0.75
@@ -39,8 +39,8 @@ def test_stacking_evaluator_fit_report_predict(spark):
     cols = ["o_totalprice", "c_acctbal"]
     train = d.filter(F.col("part") == "train").select("id", "y_sig", *cols)
     test = d.filter(F.col("part") == "test").select("id", *cols)
-    pa, _ = registry.model_spec("xgb_ep2_a", n_trees=5, learning_rate=0.3, max_bins=16)
-    pb, _ = registry.model_spec("cat_ep2_b", n_trees=5, learning_rate=0.3, max_bins=16)
+    pa, _ = registry.model_spec("cls_depthwise_a", n_trees=5, learning_rate=0.3, max_bins=16)
+    pb, _ = registry.model_spec("cls_symmetric_b", n_trees=5, learning_rate=0.3, max_bins=16)
     ev = pipelines.StackingEvaluator([pipelines.BaseModel("a", pa, cols), pipelines.BaseModel("b", pb, cols[:1])],
                                      train, "y_sig", k=3).fit()
     rep = {r["model"]: r["value"] for r in ev.report().collect()}
