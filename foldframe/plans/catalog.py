@@ -457,7 +457,7 @@ def q_vote_pipeline(spark, sf):
     t = fx.fpred_test(spark, sf)
     r = pipelines.vote_pipeline([oof.select("id", "p1", "y"), oof.select("id", "p2", "y")],
                                 [t.select("id", "fold", "p1"), t.select("id", "fold", "p2")], ["p1", "p2"])
-    return r.submission
+    return rounded(r.submission)
 
 
 @query("stack_submission")

@@ -372,3 +372,12 @@ oracle("submission", f"""WITH {_RIDGE},
 preds AS (SELECT id, avg(b + w1 * p1 + w2 * p2) AS pred FROM fpred_test, model WHERE model.o = -1 GROUP BY id)
 SELECT t.id, round(preds.pred, {D}) AS target FROM fsig t LEFT JOIN preds ON t.id = preds.id
 WHERE t.part IN ('test', 'original')""")
+
+oracle("vote_submission", f"""WITH {_LDA},
+{_logistic_ctes()},
+per AS (SELECT t.id,
+               1.0::double / (1.0::double + exp(-(l.b + l.w1 * t.p1 + l.w2 * t.p2))) AS lr,
+               1.0::double / (1.0::double + exp(-(d.b + d.w1 * t.p1 + d.w2 * t.p2))) AS lda
+        FROM fpred_test t, lrmodel l, model d WHERE l.o = -1 AND d.o = -1),
+avgd AS (SELECT id, avg(lr) AS lr, avg(lda) AS lda, avg((lr + lda) / 2.0::double) AS vote FROM per GROUP BY id)
+SELECT id, round((lr + lda + vote) / 3.0::double, {D}) AS pred FROM avgd""")
