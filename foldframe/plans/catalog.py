@@ -500,3 +500,24 @@ def q_submission(spark, sf):
                                      ["p1", "p2"], kind="ridge")
     template = fx.fsig(spark, sf).filter(F.col("part").isin("test", "original")).select("id")
     return rounded(io.submission(template, preds, "target"))
+
+
+ACCT_CUTS = [-500.0, 0.0, 1000.0, 2000.0, 3000.0, 4000.0, 5000.0, 6000.0, 7000.0, 8000.0, 9000.0]
+
+
+@query("gbt_first_tree")
+def q_first_tree(spark, sf):
+    """The first depth-2 tree of five fold models on fixed cut points (splits and leaves)."""
+    tr = folds.assign_kfold(fx.fsig(spark, sf).filter(F.col("part") == "train"), k=5, seed=42)
+    binning = boost.Binning(["o_totalprice", "c_acctbal"], [False, False], [SPLIT_CUTS, ACCT_CUTS],
+                            [len(SPLIT_CUTS) + 2, len(ACCT_CUTS) + 2])
+    p = boost.BoostParams(objective="squared", n_trees=1, learning_rate=1.0, max_depth=2, reg_alpha=0.5,
+                          reg_lambda=1.0, min_child_weight=1.0, checkpoint_every=0)
+    res = boost.fit_boosted(tr, binning.features, "s", boost.cv_specs(5, "fold"), p, binning=binning,
+                            keep_cols=["fold"])
+    rows = []
+    for m in range(5):
+        t = res.trees[m][0]
+        rows += [(m, n, sp.feature, sp.threshold, None) for n, sp in sorted(t.splits.items())]
+        rows += [(m, n, None, None, float(v)) for n, v in sorted(t.leaves.items())]
+    return rounded(spark.createDataFrame(rows, "model int, node int, feat int, bin int, value double"), 6)

@@ -381,3 +381,51 @@ per AS (SELECT t.id,
         FROM fpred_test t, lrmodel l, model d WHERE l.o = -1 AND d.o = -1),
 avgd AS (SELECT id, avg(lr) AS lr, avg(lda) AS lda, avg((lr + lda) / 2.0::double) AS vote FROM per GROUP BY id)
 SELECT id, round((lr + lda + vote) / 3.0::double, {D}) AS pred FROM avgd""")
+
+# --------------------------------------------------------------- boosting: first depth-2 tree of five fold models
+_ACCT = [-500.0, 0.0, 1000.0, 2000.0, 3000.0, 4000.0, 5000.0, 6000.0, 7000.0, 8000.0, 9000.0]
+_BINA = ("CASE WHEN c_acctbal IS NULL OR isnan(c_acctbal) THEN 12 " +
+         " ".join(f"WHEN c_acctbal < {d(c)} THEN {i}" for i, c in enumerate(_ACCT)) + " ELSE 11 END")
+
+
+def _best(hist: str, keys: str) -> str:
+    """Best numeric split per (keys) over a histogram relation (feat 0: missing bin 9, feat 1: 12)."""
+    return f"""(SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY gain DESC, feat, bin) AS rn FROM (
+    SELECT *, 0.5::double * ({_T('GL')} * {_T('GL')} / (HL + 1.0::double)
+                 + {_T('(Gt - GL)')} * {_T('(Gt - GL)')} / (Ht - HL + 1.0::double)
+                 - {_T('Gt')} * {_T('Gt')} / (Ht + 1.0::double)) AS gain
+    FROM (SELECT *, sum(G) OVER w AS GL, sum(H) OVER w AS HL, sum(C) OVER w AS CL,
+                 sum(G) OVER (PARTITION BY {keys}, feat) AS Gt, sum(H) OVER (PARTITION BY {keys}, feat) AS Ht,
+                 sum(C) OVER (PARTITION BY {keys}, feat) AS Ct
+          FROM {hist} WINDOW w AS (PARTITION BY {keys}, feat ORDER BY bin ROWS UNBOUNDED PRECEDING)) c
+    WHERE HL >= 1.0::double AND Ht - HL >= 1.0::double AND CL >= 1 AND Ct - CL >= 1
+      AND ((feat = 0 AND bin <> 9) OR (feat = 1 AND bin <> 12))) g
+  WHERE gain > 0) b WHERE rn = 1)"""
+
+
+def _hist_sql(src: str, keys: str) -> str:
+    return f"""(SELECT {keys}, 0 AS feat, bin0 AS bin, sum(g) AS G, count(*) * 1.0::double AS H, count(*) AS C
+       FROM {src} GROUP BY {keys}, bin0
+       UNION ALL
+       SELECT {keys}, 1, bin1, sum(g), count(*) * 1.0::double, count(*) FROM {src} GROUP BY {keys}, bin1)"""
+
+
+def _goes_left(split: str) -> str:
+    return f"(({split}.feat = 0 AND bin0 <= {split}.bin) OR ({split}.feat = 1 AND bin1 <= {split}.bin))"
+
+
+oracle("gbt_first_tree", f"""WITH {FSIG},
+kf AS (SELECT *, {strat_fold('id', None, 5, 42)} AS fold FROM fsig WHERE part = 'train'),
+ex AS (SELECT CAST(o.k AS INTEGER) AS model, kf.* FROM kf, range(5) o(k) WHERE fold <> o.k),
+base AS (SELECT model, avg(s) AS b FROM ex GROUP BY model),
+r0 AS (SELECT ex.model, base.b - ex.s AS g, {_BIN0} AS bin0, {_BINA} AS bin1 FROM ex JOIN base ON ex.model = base.model),
+s0 AS {_best(_hist_sql('r0', 'model'), 'model')},
+r1 AS (SELECT r0.*, CASE WHEN {_goes_left('s0')} THEN 2 ELSE 3 END AS node FROM r0 JOIN s0 ON r0.model = s0.model),
+s1 AS {_best(_hist_sql('r1', 'model, node'), 'model, node')},
+r2 AS (SELECT r1.g, r1.model, 2 * r1.node + CASE WHEN {_goes_left('s1')} THEN 0 ELSE 1 END AS leaf
+       FROM r1 JOIN s1 ON r1.model = s1.model AND r1.node = s1.node),
+lv AS (SELECT model, leaf, sum(g) AS G, count(*) * 1.0::double AS H FROM r2 GROUP BY model, leaf)
+SELECT model, 1 AS node, feat, bin, NULL::double AS value FROM s0
+UNION ALL SELECT model, node, feat, bin, NULL::double FROM s1
+UNION ALL SELECT model, leaf, NULL, NULL, round(-{_T('G')} / (H + 1.0::double), 6) FROM lv""")
