@@ -378,16 +378,6 @@ def gradient_histogram(df: DataFrame, entries, binning: Binning, losses=(),
 
 
 # --------------------------------------------------------------------------- trainer
-def _advance(state: DataFrame, M: int, cur: dict, binning: Binning, pending: dict) -> DataFrame:
-    """Add this tree's leaf values to ``__F<m>``; copy ``__F`` to ``__B`` where pending."""
-    cols = []
-    for m in range(M):
-        cols.append(f"__F{m} + ({leaf_sql(cur[m], binning)}) AS __F{m}" if m in cur else f"__F{m}")
-        cols.append(f"__F{m} AS __B{m}" if pending.get(m) else f"__B{m}")
-    keep = [f"`{c}`" for c in state.columns if not (c.startswith("__F") or c.startswith("__B"))]
-    return state.selectExpr(*keep, *cols)
-
-
 def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: Sequence[ModelSpec],
                 params: BoostParams, categorical: Sequence[str] = (), id_col: str = "id",
                 binning: Binning | None = None, keep_cols: Sequence[str] = (),
@@ -396,9 +386,11 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
 
     ``df`` holds every row any model trains on, validates on or must score
     (e.g. train rows with a ``fold`` column plus test rows).  ``disjoint``:
-    no row trains more than one model (see ``gradient_histogram``).  Jobs per tree:
-    one per level; the validation losses of the previous tree ride along in
-    the first level's job, and the new scores are cached by that same job.
+    no row trains more than one model (see ``gradient_histogram``).  Jobs per
+    tree: one per level; the validation losses of the previous tree ride along
+    in the first level's job.  Margins live in one cached table, refreshed (and
+    checkpointed) every ``checkpoint_every`` trees; in between they are that
+    table plus the new trees' leaf expressions.
     """
     p = params
     specs = list(specs)
@@ -439,10 +431,15 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
             base.append(mean)
     _t0 = _tick("base scores (state cached)", _t0)
     df.unpersist()                     # base_df (filled by the aggregate above) replaces it
-    state = base_df.select("*", *[F.lit(base[m]).alias(f"__F{m}") for m in range(M)],
-                           *[F.lit(base[m]).alias(f"__B{m}") for m in range(M)])
-    cached = base_df                   # the persisted frame the current state reads
-    release = []
+    keep = [f"`{c}`" for c in base_df.columns]
+    # anchor: a cached (periodically checkpointed) table holding each model's margin
+    # after anc[m] trees; margins of the trees grown since are evaluated on the fly
+    # from their expressions, so every job reads one projection over one cached table
+    anchor = base_df.selectExpr(*keep, *[f"{dlit(base[m])} AS __F{m}" for m in range(M)],
+                                *[f"{dlit(base[m])} AS __B{m}" for m in range(M)])
+    anchor_src = base_df
+    anc = [0] * M
+    every = p.checkpoint_every or 10
 
     trees: list[list[Tree]] = [[] for _ in range(M)]
     active = [True] * M
@@ -451,7 +448,21 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
     losses: list[list[float]] = [[] for _ in range(M)]
     has_valid = [s.valid is not None for s in specs]
     rng_cols = np.random.RandomState(p.seed)
-    pending: dict[int, bool] = {}
+
+    def f_sql(m: int, upto: int | None = None) -> str:
+        ts = trees[m][anc[m]: len(trees[m]) if upto is None else upto]
+        return " + ".join([f"__F{m}"] + [f"({leaf_sql(tr, binning)})" for tr in ts])
+
+    def b_sql(m: int) -> str:
+        return f_sql(m, best_iter[m]) if best_iter[m] >= anc[m] else f"__B{m}"
+
+    def current(with_best: bool = False) -> DataFrame:
+        cols = [f"{f_sql(m)} AS __F{m}" for m in range(M)]
+        if with_best:
+            cols += [f"{b_sql(m)} AS __B{m}" for m in range(M)]
+        base_cols = [c for c in keep]
+        return anchor.selectExpr(*base_cols, *cols)
+
     t = 0
     while True:
         live = [m for m in range(M) if active[m]]
@@ -466,6 +477,7 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
                 feats_of[m] = list(range(nf))
         open_nodes = {m: [1] for m in cur}
         loss_models = [m for m in live if has_valid[m]]
+        view = current()
         for depth in range(p.max_depth if growing else 1):
             entries = []
             for m in cur:
@@ -485,28 +497,24 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
             if not entries and not loss_args:
                 break
             _t = _time.time()
-            hist = gradient_histogram(state, entries, binning, loss_args, disjoint).toPandas()
+            hdf = gradient_histogram(view, entries, binning, loss_args, disjoint)
+            _t = _tick(f"build t={t} d={depth}", _t)
+            hist = hdf.toPandas()
             _tick(f"hist t={t} d={depth}", _t)
-            for d in release:           # the new state is cached now; drop the old one
-                d.unpersist()
-            release = []
             if depth == 0:
                 lrows = hist[hist["node"] == -1]
                 hist = hist[hist["node"] != -1]
-                pending = {}
                 for m in live:          # bookkeeping for the t trees built so far
                     if has_valid[m]:
                         r = lrows[lrows["model"] == m]
                         loss = float(r["G"].sum() / r["H"].sum()) if len(r) and r["H"].sum() > 0 else np.inf
                         losses[m].append(loss)
                         if loss < best_loss[m] - 1e-15:
-                            best_loss[m], best_iter[m] = loss, t
-                            pending[m] = True
-                        elif p.early_stopping and t - best_iter[m] >= p.early_stopping:
+                            best_loss[m], best_iter[m] = loss, len(trees[m])
+                        elif p.early_stopping and len(trees[m]) - best_iter[m] >= p.early_stopping:
                             active[m] = False
                     else:
-                        best_iter[m] = t
-                        pending[m] = True
+                        best_iter[m] = len(trees[m])
                 for m in [m for m in cur if not active[m]]:
                     del cur[m]
                     open_nodes.pop(m)
@@ -532,20 +540,22 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
                 else:
                     tree.leaves[nid] = float(leaf_weight(r["G"], r["H"], p)) * p.learning_rate
         if not cur:
-            state = _advance(state, M, {}, binning, pending)
             break
-        # new scores for every row (also validation and test rows); best-iteration
-        # margins take the verdict on the previous tree.  Cached lazily: the next
-        # histogram job fills the cache.
-        nxt = _advance(state, M, cur, binning, pending)
         for m in cur:
             trees[m].append(cur[m])
         t += 1
-        if p.checkpoint_every and t % p.checkpoint_every == 0:
-            nxt = cut_lineage(nxt)
-        nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        release.append(cached)         # dropped once the next job has filled nxt's cache
-        cached = state = nxt
+        if t % every == 0:
+            # materialise the margins: a reliable checkpoint (shared folder) when
+            # enabled, so a lost executor never replays more than `every` trees
+            nxt = current(with_best=True)
+            if p.checkpoint_every:
+                nxt = cut_lineage(nxt)
+            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+            nxt.count()
+            anchor_src.unpersist()
+            anchor = anchor_src = nxt
+            anc = [len(trees[m]) for m in range(M)]
+    state = current(with_best=True)
     return BoostResult(p, binning, specs, base, trees, best_iter, losses, state)
 
 

@@ -100,15 +100,17 @@ def target_encode(fit: DataFrame, targets: Sequence[DataFrame], cat_cols: Sequen
     y = F.col(label_col).cast("double")
     stats = multi_key_stats(fit, cat_cols, {"__s": F.sum(y), "__n": F.count(y)}, by)
     encoded = {}
+    # the prior table has one row per by-group: broadcast only when that is a single row,
+    # otherwise AQE picks the join from its measured size
     for c, st in stats.items():
-        st = st.join(F.broadcast(gm), by, "inner") if by else st.crossJoin(F.broadcast(gm))
+        st = st.join(gm, by, "inner") if by else st.crossJoin(F.broadcast(gm))
         e = (smoothed_mean(F.coalesce(F.col("__s"), F.lit(0.0)), F.col("__n"), F.col(gm_col), smoothing)
              + gaussian_noise(noise_level, _noise_tag("te", seed, c), *[F.col(b) for b in by],
                               F.col(c)))
         encoded[c] = st.select(*by, c, e.alias(c + suffix))
     out = []
     for t in targets:
-        t = t.join(F.broadcast(gm), by, "left") if by else t.crossJoin(F.broadcast(gm))
+        t = t.join(gm, by, "left") if by else t.crossJoin(F.broadcast(gm))
         for c, st in encoded.items():
             t = t.join(st, [*by, c], "left").withColumn(
                 c + suffix, F.coalesce(F.col(c + suffix), F.col(gm_col)))
