@@ -521,3 +521,12 @@ def q_first_tree(spark, sf):
         rows += [(m, n, sp.feature, sp.threshold, None) for n, sp in sorted(t.splits.items())]
         rows += [(m, n, None, None, float(v)) for n, v in sorted(t.leaves.items())]
     return rounded(spark.createDataFrame(rows, "model int, node int, feat int, bin int, value double"), 6)
+
+
+@query("source_flag")
+def q_source_flag(spark, sf):
+    """P5: generated rows flagged 1, external (original) rows 0."""
+    d = fx.fcls(spark, sf)
+    gen = features.add_source_flag(d.filter(F.col("part") == "train").select("id", "y"), 1)
+    orig = features.add_source_flag(d.filter(F.col("part") == "original").select("id", "y"), 0)
+    return gen.unionByName(orig)

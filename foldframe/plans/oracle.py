@@ -429,3 +429,6 @@ lv AS (SELECT model, leaf, sum(g) AS G, count(*) * 1.0::double AS H FROM r2 GROU
 SELECT model, 1 AS node, feat, bin, NULL::double AS value FROM s0
 UNION ALL SELECT model, node, feat, bin, NULL::double FROM s1
 UNION ALL SELECT model, leaf, NULL, NULL, round(-{_T('G')} / (H + 1.0::double), 6) FROM lv""")
+
+oracle("source_flag", f"""WITH {FCLS}
+SELECT id, y, CASE WHEN part = 'train' THEN 1 ELSE 0 END AS is_generated FROM fcls WHERE part IN ('train', 'original')""")
