@@ -140,6 +140,8 @@ def fit_ridge_cv(df: DataFrame, features: Sequence[str], label_col: str, fold_co
 # ---------------------------------------------------------------- LDA
 def _lda_solve(per_class, m):
     (n0, s0, Q0), (n1, s1, Q1) = per_class[0], per_class[1]
+    if n0 == 0 or n1 == 0:
+        raise ValueError("LDA needs both classes in every training part")
     mu0, mu1 = m + s0 / n0, m + s1 / n1
     W = (Q0 - np.outer(s0, s0) / n0) + (Q1 - np.outer(s1, s1) / n1)
     S = W / (n0 + n1 - 2)

@@ -20,7 +20,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_EXACT = "decimal(38,0)"
+_FACTOR = "decimal(20,0)"
 
 
 def _score_buckets(g: DataFrame, score_col: str, n_buckets: int) -> DataFrame:
@@ -57,11 +57,15 @@ def roc_auc(df: DataFrame, score_col: str, label_col: str = "y", by: Sequence[st
     # table (groups x n_buckets rows) moves -- or AQE broadcasts it.
     j = inside.join(bucket_off, [*by, "__bk"], "inner")
     below = F.col("__off") + F.col("__in")
-    term = (F.col("__p") * (F.lit(2) * below + F.col("__q"))).cast(_EXACT)
+    # exact integer arithmetic at any scale: both factors as DECIMAL(20,0)
+    # (p * (2Q + q) can exceed a long beyond ~2e9 rows), summed as DECIMAL(38,0)
+    term = F.col("__p").cast(_FACTOR) * (F.lit(2) * below + F.col("__q")).cast(_FACTOR)
     agg = j.groupBy(*by).agg(F.sum(term).alias("__num"), F.sum("__p").alias("__P"),
                              F.sum("__q").alias("__N"))
-    auc = (F.col("__num").cast("double")
-           / (F.lit(2.0) * F.col("__P").cast("double") * F.col("__N").cast("double")))
+    # a group with a single class has no AUC: null, not a division by zero
+    auc = F.when((F.col("__P") > 0) & (F.col("__N") > 0),
+                 F.col("__num").cast("double")
+                 / (F.lit(2.0) * F.col("__P").cast("double") * F.col("__N").cast("double")))
     return agg.select(*by, auc.alias(out_col))
 
 

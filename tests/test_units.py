@@ -170,3 +170,9 @@ def test_math_features_skip_absent(spark):
     r = out.first()
     assert abs(r["_a_sin"] - np.float32(np.sin(2 * np.pi * 3 / 12))) < 1e-7
     assert dict(out.dtypes)["_a_sin"] == "float"
+
+
+def test_auc_single_class_group_is_null(spark):
+    df = spark.createDataFrame([(1, 0.2, 0), (1, 0.5, 0), (0, 0.1, 1), (1, 0.3, 1)], "y int, s double, g int")
+    out = {r["g"]: r["auc"] for r in metrics.roc_auc(df, "s", "y", by=["g"]).collect()}
+    assert out[0] is None and out[1] == 1.0
