@@ -530,3 +530,12 @@ def q_source_flag(spark, sf):
     gen = features.add_source_flag(d.filter(F.col("part") == "train").select("id", "y"), 1)
     orig = features.add_source_flag(d.filter(F.col("part") == "original").select("id", "y"), 0)
     return gen.unionByName(orig)
+
+
+@query("target_encode_oof_sparse")
+def q_te_oof_sparse(spark, sf):
+    """E5 on unbalanced labels (51 of 399 positive at sf0.01): near-empty (fold, class, category) cells."""
+    d = fx.fdoc(spark, sf).select("id", F.col("toxic").alias("y"), "lang", "source")
+    tr = folds.assign_stratified_kfold(d, "y", k=5, seed=42)
+    enc = encode.target_encode_oof(tr, ["lang", "source"], "y", k=5, smoothing=1.0, noise_level=0.0, seed=0)
+    return rounded(enc.select("outer", "id", "lang_encoded", "source_encoded"))

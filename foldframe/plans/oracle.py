@@ -119,11 +119,12 @@ def _te_plain():
 oracle("target_encode", _te_plain())
 
 
-def _te_cv_ctes():
+def _te_cv_ctes(cats=None):
+    cats = cats or CATS
     ctes = [f"""exi AS (SELECT *, CAST((row_number() OVER (PARTITION BY "outer" ORDER BY y, {md5_of('id', "'1'")}, id)
                  - 1) % 5 AS INTEGER) AS "inner" FROM ex)""",
             'gm AS (SELECT "outer", avg(CAST(y AS DOUBLE)) AS gm FROM exi GROUP BY "outer")']
-    for c in CATS:
+    for c in cats:
         ctes.append(f"""cell_{c} AS (SELECT "outer", "inner", {c} AS key, sum(CAST(y AS DOUBLE)) AS s, count(y) AS n
           FROM exi WHERE {c} IS NOT NULL GROUP BY "outer", "inner", {c})""")
         ctes.append(f"""tot_{c} AS (SELECT "outer", key, sum(s) AS S, sum(n) AS N FROM cell_{c}
@@ -131,16 +132,17 @@ def _te_cv_ctes():
     return ",\n".join(ctes)
 
 
-def _te_oof():
+def _te_oof(cats=None, base=None, lam=LAM, sig=SIG, seed=SEED):
+    cats, base = cats or CATS, base or _SKF
     sels, joins = [], []
-    for c in CATS:
-        e = smoothed(f"(t_{c}.S - c_{c}.s)", f"(t_{c}.N - c_{c}.n)", "gm.gm", LAM)
-        nz = noise(SIG, f"'te_oof|{SEED}|{c}'", 'e."outer"', "e.id")
+    for c in cats:
+        e = smoothed(f"(t_{c}.S - c_{c}.s)", f"(t_{c}.N - c_{c}.n)", "gm.gm", lam)
+        nz = noise(sig, f"'te_oof|{seed}|{c}'", 'e."outer"', "e.id")
         sels.append(f"round(coalesce({e}, gm.gm) + {nz}, {D}) AS {c}_encoded")
         joins.append(f"""LEFT JOIN cell_{c} c_{c} ON e."outer" = c_{c}."outer" AND e."inner" = c_{c}."inner"
                          AND e.{c} = c_{c}.key
           LEFT JOIN tot_{c} t_{c} ON e."outer" = t_{c}."outer" AND e.{c} = t_{c}.key""")
-    return (f"WITH {_SKF}, {_te_cv_ctes()}\nSELECT e.\"outer\", e.id, {', '.join(sels)} FROM exi e "
+    return (f"WITH {base}, {_te_cv_ctes(cats)}\nSELECT e.\"outer\", e.id, {', '.join(sels)} FROM exi e "
             f"JOIN gm ON e.\"outer\" = gm.\"outer\" " + " ".join(joins))
 
 
@@ -432,3 +434,11 @@ UNION ALL SELECT model, leaf, NULL, NULL, round(-{_T('G')} / (H + 1.0::double),
 
 oracle("source_flag", f"""WITH {FCLS}
 SELECT id, y, CASE WHEN part = 'train' THEN 1 ELSE 0 END AS is_generated FROM fcls WHERE part IN ('train', 'original')""")
+
+
+# --------------------------------------------------------------- sparse cells: unbalanced document labels (F-DOC)
+_DOC_SKF = f"""{FDOC},
+skf AS (SELECT id, toxic AS y, lang, source, {strat_fold('id', 'toxic', 5, 42)} AS fold FROM fdoc),
+ex AS (SELECT CAST(o.k AS INTEGER) AS "outer", skf.* FROM skf, range(5) o(k) WHERE fold <> o.k)"""
+
+oracle("target_encode_oof_sparse", _te_oof(["lang", "source"], _DOC_SKF, lam=1.0, sig=0.0, seed=0))
