@@ -75,7 +75,10 @@ class BoostParams:
     max_bins: int = 64
     early_stopping: int | None = None
     seed: int = 42
-    checkpoint_every: int = 5
+    # trees between refreshes of the cached margins (a reliable checkpoint);
+    # None: every tree on a single machine (local disk), every 5 on a cluster,
+    # where in-between margins are evaluated from the new trees' expressions
+    checkpoint_every: int | None = None
 
 
 @dataclass
@@ -439,7 +442,10 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
                                 *[f"{dlit(base[m])} AS __B{m}" for m in range(M)])
     anchor_src = base_df
     anc = [0] * M
-    every = p.checkpoint_every or 10
+    ckpt = p.checkpoint_every
+    if ckpt is None:
+        ckpt = 1 if df.sparkSession.sparkContext.master.startswith("local") else 5
+    every = ckpt or 10
 
     trees: list[list[Tree]] = [[] for _ in range(M)]
     active = [True] * M
@@ -548,7 +554,7 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
             # materialise the margins: a reliable checkpoint (shared folder) when
             # enabled, so a lost executor never replays more than `every` trees
             nxt = current(with_best=True)
-            if p.checkpoint_every:
+            if ckpt:
                 nxt = cut_lineage(nxt)
             nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
             nxt.count()

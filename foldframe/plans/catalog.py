@@ -343,7 +343,7 @@ def _sig_rows(spark, sf, cat=True):
 
 def _quick(objective, **kw):
     base = dict(objective=objective, n_trees=12, learning_rate=0.3, max_depth=3, reg_lambda=1.0,
-                early_stopping=4, max_bins=32, checkpoint_every=5)
+                early_stopping=4, max_bins=32)
     base.update(kw)
     return boost.BoostParams(**base)
 
