@@ -555,9 +555,12 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
             # enabled, so a lost executor never replays more than `every` trees
             nxt = current(with_best=True)
             if ckpt:
-                nxt = cut_lineage(nxt)
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-            nxt.count()
+                # read back from the checkpoint: independent of the old cache, which
+                # can go now; the next histogram job fills the new cache
+                nxt = cut_lineage(nxt).persist(StorageLevel.MEMORY_AND_DISK)
+            else:
+                nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+                nxt.count()
             anchor_src.unpersist()
             anchor = anchor_src = nxt
             anc = [len(trees[m]) for m in range(M)]
