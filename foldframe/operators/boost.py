@@ -292,9 +292,10 @@ class BoostResult:
     best_iter: list[int]
     valid_loss: list[list[float]]
     state: DataFrame                    # rows with __F<m> (last) and __B<m> (best) margins
+    owned: bool = False                 # one margin pair (__F, __B) per row, of its owner model
 
     def margin_col(self, m: int) -> str:
-        return f"__B{m}"
+        return "__B" if self.owned else f"__B{m}"
 
     def prediction(self, m: int) -> Column:
         """Best-iteration prediction of model ``m`` (probability for logistic)."""
@@ -384,12 +385,14 @@ def gradient_histogram(df: DataFrame, entries, binning: Binning, losses=(),
 def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: Sequence[ModelSpec],
                 params: BoostParams, categorical: Sequence[str] = (), id_col: str = "id",
                 binning: Binning | None = None, keep_cols: Sequence[str] = (),
-                disjoint: bool = False) -> BoostResult:
+                disjoint: bool = False, owner: Column | None = None) -> BoostResult:
     """Train ``len(specs)`` boosted models over the rows of ``df`` in the same passes.
 
     ``df`` holds every row any model trains on, validates on or must score
     (e.g. train rows with a ``fold`` column plus test rows).  ``disjoint``:
-    no row trains more than one model (see ``gradient_histogram``).  Jobs per
+    no row trains more than one model (see ``gradient_histogram``).  ``owner``:
+    the one model whose margin a row needs (e.g. the outer fold of a replicated
+    row); then each row keeps a single margin pair instead of one per model.  Jobs per
     tree: one per level; the validation losses of the previous tree ride along
     in the first level's job.  Margins live in one cached table, refreshed (and
     checkpointed) every ``checkpoint_every`` trees; in between they are that
@@ -418,8 +421,11 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
                      else F.lit(False).alias(f"__V{m}"))
     base_df = apply_bins(df, binning).select(
         id_col, *keep_cols, y.alias("__y"), *[F.col(binning.bin_col(i)) for i in range(nf)], *flags,
-        uniform01(hash_hex(F.lit(f"bag|{p.seed}"), F.col(id_col))).alias("__u"))
+        uniform01(hash_hex(F.lit(f"bag|{p.seed}"), F.col(id_col))).alias("__u"),
+        *([owner.cast("int").alias("__own")] if owner is not None else []))
     base_df = base_df.persist(StorageLevel.MEMORY_AND_DISK)
+    owned = owner is not None
+    disjoint = disjoint or owned
 
     # base score per model (label mean on its training rows): one aggregate
     row = base_df.agg(*[F.sum(F.when(F.col(f"__T{m}"), F.col("__y"))).alias(f"s{m}") for m in range(M)],
@@ -438,8 +444,12 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
     # anchor: a cached (periodically checkpointed) table holding each model's margin
     # after anc[m] trees; margins of the trees grown since are evaluated on the fly
     # from their expressions, so every job reads one projection over one cached table
-    anchor = base_df.selectExpr(*keep, *[f"{dlit(base[m])} AS __F{m}" for m in range(M)],
-                                *[f"{dlit(base[m])} AS __B{m}" for m in range(M)])
+    if owned:
+        init = "CASE __own " + " ".join(f"WHEN {m} THEN {dlit(base[m])}" for m in range(M)) + " END"
+        anchor = base_df.selectExpr(*keep, f"{init} AS __F", f"{init} AS __B")
+    else:
+        anchor = base_df.selectExpr(*keep, *[f"{dlit(base[m])} AS __F{m}" for m in range(M)],
+                                    *[f"{dlit(base[m])} AS __B{m}" for m in range(M)])
     anchor_src = base_df
     anc = [0] * M
     ckpt = p.checkpoint_every
@@ -455,17 +465,27 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
     has_valid = [s.valid is not None for s in specs]
     rng_cols = np.random.RandomState(p.seed)
 
+    def fcol(m: int) -> str:
+        return "__F" if owned else f"__F{m}"
+
     def f_sql(m: int, upto: int | None = None) -> str:
         ts = trees[m][anc[m]: len(trees[m]) if upto is None else upto]
-        return " + ".join([f"__F{m}"] + [f"({leaf_sql(tr, binning)})" for tr in ts])
+        return " + ".join([fcol(m)] + [f"({leaf_sql(tr, binning)})" for tr in ts])
 
     def b_sql(m: int) -> str:
-        return f_sql(m, best_iter[m]) if best_iter[m] >= anc[m] else f"__B{m}"
+        return f_sql(m, best_iter[m]) if best_iter[m] >= anc[m] else ("__B" if owned else f"__B{m}")
 
     def current(with_best: bool = False) -> DataFrame:
-        cols = [f"{f_sql(m)} AS __F{m}" for m in range(M)]
-        if with_best:
-            cols += [f"{b_sql(m)} AS __B{m}" for m in range(M)]
+        if owned:       # only the owner's trees are evaluated for a row
+            cols = ["CASE __own " + " ".join(f"WHEN {m} THEN {f_sql(m)}" for m in range(M))
+                    + " ELSE __F END AS __F"]
+            if with_best:
+                cols.append("CASE __own " + " ".join(f"WHEN {m} THEN {b_sql(m)}" for m in range(M))
+                            + " ELSE __B END AS __B")
+        else:
+            cols = [f"{f_sql(m)} AS __F{m}" for m in range(M)]
+            if with_best:
+                cols += [f"{b_sql(m)} AS __B{m}" for m in range(M)]
         base_cols = [c for c in keep]
         return anchor.selectExpr(*base_cols, *cols)
 
@@ -496,9 +516,9 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
                     member += f" AND pmod(__u + {dlit(shift)}, 1.0D) < {dlit(p.subsample)}"
                 if depth > 0:
                     member += f" AND ({node}) IN ({', '.join(map(str, open_nodes[m]))})"
-                g, h = _grad_hess(p.objective, f"__F{m}", "__y")
+                g, h = _grad_hess(p.objective, fcol(m), "__y")
                 entries.append((m, member, node, g, h, feats_of[m]))
-            loss_args = ([(m, f"__V{m}", _loss(p.objective, f"__F{m}", "__y"))
+            loss_args = ([(m, f"__V{m}", _loss(p.objective, fcol(m), "__y"))
                           for m in loss_models] if depth == 0 else [])
             if not entries and not loss_args:
                 break
@@ -565,7 +585,7 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
             anchor = anchor_src = nxt
             anc = [len(trees[m]) for m in range(M)]
     state = current(with_best=True)
-    return BoostResult(p, binning, specs, base, trees, best_iter, losses, state)
+    return BoostResult(p, binning, specs, base, trees, best_iter, losses, state, owned)
 
 
 # --------------------------------------------------------------------------- CV conveniences (K5-K7)

@@ -68,7 +68,8 @@ def cv_pipeline(train: DataFrame, test: DataFrame, label_col: str, features: Seq
         specs = [ModelSpec(f"fold{o}", (F.col("outer") == o) & (F.col("__role") == "train"),
                            (F.col("outer") == o) & (F.col("__role") == "valid")) for o in range(k)]
         res = boost.fit_boosted(rows, feats, label_col, specs, params, categorical=categorical_cols,
-                                id_col=id_col, keep_cols=["outer", "fold", "__role"], disjoint=True)
+                                id_col=id_col, keep_cols=["outer", "fold", "__role"], disjoint=True,
+                                owner=F.col("outer"))
         st = res.state
         pred = None
         for o in range(k):
