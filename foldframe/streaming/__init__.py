@@ -2,8 +2,9 @@
 
 The reference has no streaming operators.  The only streaming concern is
 that fitted models (T12) score micro-batches: linear models and boosted
-trees are plain column expressions, so they apply to a streaming DataFrame
-exactly as to a batch one.
+trees are plain column expressions (trees over quantile bins from a JVM
+``Bucketizer``), so they apply to a streaming DataFrame exactly as to a
+batch one.
 """
 
 from __future__ import annotations
@@ -13,11 +14,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def score_stream(stream: DataFrame, model, query_name: str, checkpoint_dir: str,
-                 id_col: str = "id", out_col: str = "pred", sink: str = "memory") -> StreamingQuery:
-    """Score every incoming row with ``model.predict()``; append to ``sink``.
+                 id_col: str = "id", out_col: str = "pred", sink: str = "memory",
+                 model_index: int = 0) -> StreamingQuery:
+    """Score every incoming row; append ``(id, pred)`` to ``sink``.
 
-    ``checkpoint_dir`` must be a shared, reliable folder on a cluster.
+    ``model``: a ``LinearModel`` (full fit) or a ``BoostResult`` (model
+    ``model_index``, best iteration).  ``checkpoint_dir`` must be a shared,
+    reliable folder on a cluster.
     """
-    scored = stream.select(id_col, model.predict().alias(out_col))
+    from ..operators.boost import BoostResult, apply_bins
+    if isinstance(model, BoostResult):
+        pred = model.score_expr(model_index)
+        stream = apply_bins(stream, model.binning)
+    else:
+        pred = model.predict()
+    scored = stream.select(id_col, pred.alias(out_col))
     return (scored.writeStream.outputMode("append").format(sink).queryName(query_name)
                   .option("checkpointLocation", checkpoint_dir).start())

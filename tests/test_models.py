@@ -140,3 +140,21 @@ def test_streaming_scoring(spark, tmp_path):
     q.stop()
     out = spark.sql("SELECT * FROM scored_ridge").toPandas()
     assert len(out) == 200
+
+
+def test_streaming_boosted_scoring(spark, tmp_path):
+    rng = np.random.RandomState(5)
+    rows = [(i, float(x), float(3 * (x > 0.5) + 0.1 * rng.randn())) for i, x in enumerate(rng.rand(300))]
+    df = folds.assign_kfold(spark.createDataFrame(rows, "id long, x double, s double"), k=3)
+    p = boost.BoostParams(n_trees=4, learning_rate=0.5, max_depth=2, max_bins=16)
+    res = boost.fit_boosted(df, ["x"], "s", boost.cv_specs(3, refit=True), p, keep_cols=["fold"])
+    src = str(tmp_path / "in")
+    df.select("id", "x").write.parquet(src)
+    stream = spark.readStream.schema("id long, x double").parquet(src)
+    from foldframe.streaming import score_stream
+    q = score_stream(stream, res, "scored_boost", str(tmp_path / "ck"), model_index=3)
+    q.processAllAvailable()
+    q.stop()
+    out = spark.sql("SELECT * FROM scored_boost").toPandas().merge(
+        res.state.select("id", F.col("__B3").alias("b")).toPandas(), on="id")
+    assert len(out) == 300 and np.allclose(out["pred"], out["b"], atol=1e-9)
