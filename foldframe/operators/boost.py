@@ -32,6 +32,8 @@ Data-parallel histogram boosting, expressed with DataFrame operations:
 
 from __future__ import annotations
 
+import os
+import time as _time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -45,10 +47,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_hex, uniform01
 from ..session import cut_lineage
 
-import os as _os
-import time as _time
-
-_PROF = _os.environ.get("FOLDFRAME_PROFILE")
+_PROF = os.environ.get("FOLDFRAME_PROFILE")     # set to print per-job timings of the trainer
 
 
 def _tick(label, t0):

@@ -49,7 +49,6 @@ def compare(spark, con, name, fn, sql, sf_dir):
         res["ok"] = False
         return res
     a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
-    exact_a = sorted(map(repr, (tuple(r) for r in s_rows)))
     res["ok"] = a == b
     if not res["ok"]:
         diffs = [(x, y) for x, y in zip(a, b) if x != y][:3]
