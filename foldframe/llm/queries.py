@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from foldframe.llm.mixing import op3_mixing
 from foldframe.llm.simhash import op10_simhash
+from foldframe.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op7_toxicity": op7_toxicity,
     "op10_simhash": op10_simhash,
 }
 
