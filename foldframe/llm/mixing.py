@@ -124,6 +124,12 @@ def training_order(mixed: DataFrame) -> DataFrame:
             .drop("_e", "_epochs").orderBy("_position", "_hash", "_epoch"))
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` in training order: whole documents, each as often as the mix takes it."""
+    mixed = mix(sized(docs, [f"`{c}`" for c in docs.columns]), cut=False, **options)
+    return training_order(mixed).select(*docs.columns)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op3")
     base = scratch.write(sized(table(spark, sf_dir, "documents"), ["doc_id"]), "sized")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from foldframe.llm.mixing import op3_mixing
 from foldframe.llm.packing import op9_packing
+from foldframe.llm.secrets import op8_secrets
 from foldframe.llm.simhash import op10_simhash
 from foldframe.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }

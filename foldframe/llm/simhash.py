@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldframe.llm.common import Scratch, table
@@ -105,19 +105,32 @@ def _centres(members: DataFrame, radius: int) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                   max_bits: int = 2, segments: int = 2, max_entry: int = 1000) -> DataFrame:
-    """One row per input row: ``id_col``, fp (long), component_id (smallest id reachable by links)."""
+                   max_bits: int = 2, segments: int = 2, max_entry: int = 1000, keep: dict[str, Column] | None = None) -> DataFrame:
+    """One row per input row: ``id_col``, fp (long), root (a fingerprint that names the component),
+    component_id (smallest id reachable by links) and the columns of ``keep``."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    fps = scratch.write(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), shingle).alias("fp")),
-                        "fp")
+    keep = keep or {}
+    fps = scratch.write(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), shingle).alias("fp"),
+                                    *(c.alias(k) for k, c in keep.items())), "fp")
     distinct = scratch.write(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     comp = connected_components(link_fingerprints(distinct, max_bits, segments, max_entry, scratch), scratch)
     linked = distinct.join(comp, F.col("fp") == F.col("node"))
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     of_fp = scratch.write(
-        distinct.join(linked.join(least, "component").select("fp", "component_id"), "fp", "left")
-        .select("fp", F.coalesce("component_id", "least").alias("component_id")), "of-fp")
-    return fps.join(of_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+        distinct.join(linked.join(least, "component").select("fp", "component", "component_id"), "fp", "left")
+        .select("fp", F.coalesce("component", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id")), "of-fp")
+    return fps.join(of_fp, "fp").select(F.col("id").alias(id_col), "fp", "root", "component_id", *keep)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group, that of the smallest id (null ids after all others)."""
+    key = F.sha2(F.concat_ws("\u0001", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text_col), 256)
+    groups = simhash_groups(docs, id_col, text_col, keep={"_key": key}, **options)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "_key"))["_key"].alias("_key"))
+    # repeated rows share a key; the rank within it needs no shuffle beyond the join's
+    again = Window.partitionBy("_key").orderBy("_key")
+    return (docs.withColumn("_key", key).join(first.select("_key").distinct(), "_key", "left_semi")
+            .withColumn("_nth", F.row_number().over(again)).where("_nth = 1").select(*docs.columns))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

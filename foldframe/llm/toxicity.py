@@ -169,3 +169,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity_score(model, F.col("text")).alias("score")
                        ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more."""
+    score = toxicity_score(fit_toxicity(docs, labels, **options), F.col(text_col))
+    return docs.withColumn("_toxicity", score).where(F.col("_toxicity") < threshold).select(*docs.columns)
