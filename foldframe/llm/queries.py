@@ -7,8 +7,10 @@ from foldframe.llm.packing import op9_packing
 from foldframe.llm.secrets import op8_secrets
 from foldframe.llm.simhash import op10_simhash
 from foldframe.llm.toxicity import op7_toxicity
+from foldframe.llm.warc import op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op3_mixing": op3_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
@@ -16,4 +18,40 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first, count(*) AS c FROM p WHERE n >= 100 GROUP BY d HAVING count(*) > 1)
+SELECT p.page_id, p.n::BIGINT AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN f.first IS NULL OR f.first = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f USING (d)
+""",
+    "op3_mixing": """
+WITH b AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+                  md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM b GROUP BY source),
+w AS (SELECT *, place % 3 AS slot, CASE place % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w,
+             2.0::DOUBLE * n AS cap FROM s),
+r AS (SELECT *, cap / w AS ratio, sum(n) OVER () * 1.5::DOUBLE AS total FROM w),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+                / sum(w) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+v AS (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, place LIMIT 1),
+t AS (SELECT source, n, slot, least(cap, coalesce((SELECT level FROM v) * w, cap)) AS target FROM l),
+a AS (SELECT b.*, t.n, t.slot, t.target,
+             coalesce(sum(size) OVER (PARTITION BY b.source ORDER BY h, doc_id, size
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS u
+      FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, greatest(0, least(size, floor(target)::BIGINT - u)) AS t0,
+             greatest(0, least(size, floor(target)::BIGINT - u - n)) AS t1,
+             CASE WHEN target > 0 THEN u / target ELSE 0.0 END AS x FROM a),
+c AS (SELECT *, CASE slot WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS c0,
+             CASE slot WHEN 0 THEN 0.625::DOUBLE WHEN 1 THEN 0.375::DOUBLE ELSE 0.5::DOUBLE END AS half,
+             CASE slot WHEN 0 THEN -1.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS bend FROM e)
+SELECT doc_id, size, n AS source_size, target, (t0 + t1)::BIGINT AS taken,
+       CASE WHEN t0 > 0 THEN least(1.0::DOUBLE, CASE
+            WHEN x < half THEN 2 * x / (c0 + sqrt(greatest(0.0, c0 * c0 + 2 * bend * x)))
+            ELSE 0.5 + 2 * (x - half) / (1.0 + sqrt(greatest(0.0, 1.0 + 2 * bend * (x - half)))) END) END AS position
+FROM c
+""",
+}
