@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from foldframe.llm.embedding_dedup import op2_embedding_dedup
 from foldframe.llm.mixing import op3_mixing
 from foldframe.llm.packing import op9_packing
 from foldframe.llm.secrets import op8_secrets
@@ -11,6 +12,7 @@ from foldframe.llm.warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_mixing": op3_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
