@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from foldframe.llm.ann import op5_ann
 from foldframe.llm.embedding_dedup import op2_embedding_dedup
 from foldframe.llm.mixing import op3_mixing
 from foldframe.llm.packing import op9_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_mixing": op3_mixing,
+    "op5_ann": op5_ann,
     "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
