@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from foldframe.llm.ann import op5_ann
 from foldframe.llm.embedding_dedup import op2_embedding_dedup
+from foldframe.llm.hmm import op4_hmm
 from foldframe.llm.mixing import op3_mixing
 from foldframe.llm.packing import op9_packing
 from foldframe.llm.secrets import op8_secrets
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_mixing": op3_mixing,
+    "op4_hmm": op4_hmm,
     "op5_ann": op5_ann,
     "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
