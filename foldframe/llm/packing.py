@@ -17,6 +17,7 @@ any other; repeated rows are packed each; extra columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from foldframe.llm.common import Scratch, table
 
 _RANGES = 1024
+#: A stop or comma that ends a word; the letters before it are ASCII or in the two-byte range of Latin letters.
+_STOP = re.compile(rb"(?<=[a-z0-9])[.,](?=[\x20\x09-\x0D]|$)|(?<=\xc3[\xa0-\xb6\xb8-\xbf])[.,](?=[\x20\x09-\x0D]|$)")
 
 
 def default_tokenizer() -> str:
@@ -47,16 +50,25 @@ def _tokenizer(path: str):
 class TokenIds:
     """Token ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    parts between ASCII white space.  The ids of short parts are remembered in two generations of at
-    most ``memo_parts`` each; when the young one is full the old one goes.
+    The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are those of its
+    lower-cased parts between ASCII white space.  It never joins a letter with a stop or comma either, so these make
+    parts of their own where they end a word.  The ids of short parts are remembered in two
+    generations of at most ``memo_parts`` each; when the young one is full the old one goes.
     """
 
-    def __init__(self, path: str, memo_parts: int = 400_000, memo_bytes: int = 48):
+    def __init__(self, path: str, memo_parts: int = 700_000, memo_bytes: int = 48):
         self.tokenizer, self.limit, self.short = _tokenizer(path), memo_parts, memo_bytes
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def parts(text: str | None) -> list[bytes]:
+        if not text:
+            return []
+        if "<|" in text:  # a special token in capitals is ordinary text
+            return text.encode().split()
+        return _STOP.sub(rb" \g<0>", text.encode().lower()).split()
+
     def _learn(self, parts: set[bytes]) -> dict[bytes, bytes]:
         """Puts the ids of ``parts`` into the young generation; returns those of long parts."""
         if len(self.young) + len(parts) > self.limit:
@@ -70,7 +82,7 @@ class TokenIds:
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         for text in texts:
-            parts = text.encode().split() if text else []
+            parts = self.parts(text)
             distinct = set(parts)
             new = {p for p in distinct if p not in self.young}
             if not new:
