@@ -7,6 +7,7 @@ from foldframe.llm.embedding_dedup import op2_embedding_dedup
 from foldframe.llm.hmm import op4_hmm
 from foldframe.llm.mixing import op3_mixing
 from foldframe.llm.packing import op9_packing
+from foldframe.llm.repeats import op6_repeats
 from foldframe.llm.secrets import op8_secrets
 from foldframe.llm.simhash import op10_simhash
 from foldframe.llm.toxicity import op7_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_hmm": op4_hmm,
     "op5_ann": op5_ann,
+    "op6_repeats": op6_repeats,
     "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
