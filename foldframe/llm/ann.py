@@ -9,7 +9,8 @@ whose centroid is at most ``copy_ratio`` times as far, up to ``copies``.  Lists
 ``max_list`` are cut into pieces by hash; all pieces of a list are searched.
 
 Search: a query walks the graph from fixed entry points and expands whatever lies within ``probe_ratio`` times its nearest
-centroid; those lists are searched (more, nearest first, where they hold too few vectors).  Distances
+centroid; those lists are searched.  Where they hold no more than ``spare * k`` vectors, the ratio starts from the nearest
+list with which there are more.  Distances
 are exact, in double precision, from the original vectors: matrix products preselect, with a margin beyond their error.
 
 Results: vectors that are null, zero or hold null or non-finite components, rows without id, and vectors whose
@@ -124,7 +125,7 @@ def _post(vectors: DataFrame, graph: CentroidGraph, dim: int, copies: int, copy_
                               "list int, nth int, id long, vec binary")
 
 
-def _probe(queries: DataFrame, graph: CentroidGraph, dim: int, primary: np.ndarray, k: int, probe_ratio: float) -> DataFrame:
+def _probe(queries: DataFrame, graph: CentroidGraph, dim: int, primary: np.ndarray, k: int, probe_ratio: float, spare: int) -> DataFrame:
     """(list, id, vec): the lists that each query searches."""
     def choose(ids, x):
         if x.shape[1] != dim:
@@ -132,11 +133,12 @@ def _probe(queries: DataFrame, graph: CentroidGraph, dim: int, primary: np.ndarr
         x64 = x.astype(np.float64)
         d = graph.search(x64, probe_ratio)
         take = d <= probe_ratio * d.min(axis=1, keepdims=True)
-        for i in np.flatnonzero(take @ primary <= k):  # too few vectors there: nearest lists until there are enough
-            all_d = _square(x64[i:i + 1], graph.centroids)[0]
+        for i in np.flatnonzero(take @ primary <= spare * k):
+            # too few vectors there: the ratio then starts from the list with which there are enough
+            all_d = np.sqrt(_square(x64[i:i + 1], graph.centroids)[0])
             order = np.argsort(all_d, kind="stable")
-            enough = int(np.searchsorted(np.cumsum(primary[order]), k + 1)) + 1
-            take[i, order[:enough]] = True
+            enough = min(int(np.searchsorted(np.cumsum(primary[order]), spare * k + 1)), len(order) - 1)
+            take[i] |= all_d <= probe_ratio * all_d[order[enough]]
         rows, lists = np.nonzero(take)
         raw = [v.tobytes() for v in x]
         return lists, ids[rows], [raw[i] for i in rows]
@@ -197,7 +199,8 @@ def _search(rows: DataFrame, dtype: str, k: int) -> DataFrame:
 
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
                        fit_rows: int = 20_000, list_size: int = 200, max_lists: int = 4096, max_list: int = 4096, copies: int = 4,
-                       copy_ratio: float = 1.15, probe_ratio: float = 1.2) -> DataFrame:
+                       copy_ratio: float = 1.15, probe_ratio: float = 1.2,
+                       spare: int = 4) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found of each row with ``is_query``."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
@@ -225,7 +228,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col
     for r in counts:
         primary[r["list"]], pieces[r["list"]] = r["own"], -(-r["n"] // max_list)
     n_pieces = F.element_at(F.lit([int(p) for p in pieces]), F.col("list") + 1)
-    probes = _probe(rows.where("_q").select("id", "v"), graph, dim, primary, k, probe_ratio)
+    probes = _probe(rows.where("_q").select("id", "v"), graph, dim, primary, k, probe_ratio, spare)
     both = posts.select("list", F.pmod(F.xxhash64("id"), n_pieces).cast("int").alias("piece"), F.lit(0).alias("kind"), "id", "vec").unionByName(
         probes.select("list", F.explode(F.sequence(F.lit(0), (n_pieces - 1).cast("int"))).alias("piece"), F.lit(1).alias("kind"), "id", "vec"))
     found = _search(both.repartition("list", "piece").sortWithinPartitions("list", "piece", "kind"), dtype, k)
