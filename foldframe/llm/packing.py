@@ -218,24 +218,41 @@ def best_fit(rest: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     return [x for own in groups.values() for x in own]
 
 
+def _round_down(program: list[tuple[Pattern, float]], rest: dict[int, int], capacity: int, share: float) -> list[tuple[Pattern, int]]:
+    """Whole counts of ``share`` of a program's well-filled patterns, taken out of ``rest``."""
+    out = []
+    for pattern, x in sorted(program, key=lambda p: -p[1]):
+        if sum(length * a for length, a in pattern) < 0.998 * capacity:
+            continue  # better fitted with what is left
+        n = min(int(x * share), *(rest[length] // a for length, a in pattern))
+        if n > 0:
+            out.append((pattern, n))
+            for length, a in pattern:
+                rest[length] -= n * a
+    return out
+
+
 def plan_sequences(histogram: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
-    """Whole counts of patterns that hold every piece of the histogram exactly once."""
-    rest, out = dict(histogram), []
+    """Whole counts of patterns that hold every piece of the histogram exactly once.
+
+    Rounding down loses most where lengths are many and pieces few, so several shares of the program are rounded,
+    the whole one with a second program for what is left; the plan of the fewest sequences is taken.
+    """
+    rest, full = dict(histogram), []
     if capacity in rest:
-        out.append((((capacity, 1),), rest.pop(capacity)))
-    for _ in range(3):  # what is left after rounding has a program of its own
-        todo = {x: n for x, n in rest.items() if n}
-        if not todo:
-            break
-        for pattern, x in sorted(solve_configuration_lp(todo, capacity), key=lambda p: -p[1]):
-            if sum(length * a for length, a in pattern) < 0.998 * capacity:
-                continue  # better fitted with what is left
-            n = min(int(x), *(rest[length] // a for length, a in pattern))
-            if n > 0:
-                out.append((pattern, n))
-                for length, a in pattern:
-                    rest[length] -= n * a
-    return out + best_fit(rest, capacity)
+        full.append((((capacity, 1),), rest.pop(capacity)))
+    if not rest:
+        return full
+    program, plans = solve_configuration_lp(rest, capacity), []
+    for share in (1.0, 0.9, 0.5, 0.0):
+        left = dict(rest)
+        plan = _round_down(program, left, capacity, share)
+        plans.append(plan + best_fit(left, capacity))
+        todo = {x: n for x, n in left.items() if n}
+        if share == 1.0 and todo:
+            plan = plan + _round_down(solve_configuration_lp(todo, capacity), left, capacity, 1.0)
+            plans.append(plan + best_fit(left, capacity))
+    return full + min(plans, key=lambda p: sum(n for _, n in p))
 
 
 def _slots(plan: list[tuple[Pattern, int]]):

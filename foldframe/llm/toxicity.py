@@ -80,7 +80,7 @@ class FactorizationMachine:
 
 
 def fit_fm(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 25, rate: float = 0.3,
-           l2_w: float = 0.002, l2_v: float = 0.005, min_rows: int = 5, min_z: float = 3.5, batch: int = 256,
+           l2_w: float = 0.002, l2_v: float = 0.005, min_rows: int = 5, min_z: float = 4.5, batch: int = 256,
            seed: int = 7) -> FactorizationMachine:
     """AdaGrad on the logistic loss of (rows of hashed terms, 0/1 labels)."""
     n = len(rows)

@@ -19,7 +19,7 @@ def odd_documents(spark):
     rows = [row(1, None), row(2, ""), row(3, "  \t\n "), row(4, "one"), row(5, "One"), row(6, "one two"),
             row(7, long_text, "b"), row(8, long_text, "b"), row(9, "ünï cödé 你好 " * 30, None),
             row(10, "idiot trash " * 5, None), row(10, "idiot trash " * 5, None), row(None, "no id here", "c"),
-            row(11, 'the key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" is here', "c"), row(12, None, None)]
+            row(11, 'the api_key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" is here', "c"), row(12, None, None)]
     return spark.createDataFrame(rows, DOCS)
 
 
