@@ -70,16 +70,18 @@ def source_targets(sizes: DataFrame, weights, budget: float, max_epochs: int) ->
     s = s.withColumn("_level", F.min_by(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level")),
                                         F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "_place"))).over(every))
     return s.withColumn("_target", F.least(F.col("_cap"), F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap")))
-                        ).select("source", "_n", "_slot", "_target")
+                        ).drop("_place", "_w", "_cap", "_ratio", "_all", "_before", "_from", "_level")
 
 
 def sized(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text",
           source_col: str = "source") -> DataFrame:
-    """``keep`` and the columns that the mix works with: _size, _hash, _bucket, _source."""
+    """``keep`` and the columns that the mix works with: _size, _hash, _bucket, and _source with _null, neither of
+    them null, so that a join and a window on them share one shuffle."""
     h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     return docs.select(*keep, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
                        h.alias("_hash"), F.substring(h, 1, 3).alias("_bucket"),
-                       F.col(source_col).alias("_source"), F.col(id_col).alias("_id"))
+                       F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"),
+                       F.col(source_col).isNull().alias("_null"), F.col(id_col).alias("_id"))
 
 
 def mix(base: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int = 2, cut: bool = True) -> DataFrame:
@@ -90,16 +92,16 @@ def mix(base: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int
     takes its target rounded down; without, a document is taken whole if its middle lies before the target.
     """
     scratch = Scratch(base.sparkSession, "mixing")
-    parts = scratch.write(base.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_n")), "parts")
-    targets = source_targets(parts.groupBy(F.col("_source").alias("source")).agg(F.sum("_n").alias("_n")),
-                             weights, budget, max_epochs)
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(
+    own = ["_source", "_null"]
+    parts = scratch.write(base.groupBy(*own, "_bucket").agg(F.sum("_size").alias("_n")), "parts")
+    source = F.when(~F.col("_null"), F.col("_source"))
+    targets = source_targets(parts.groupBy(*own).agg(F.sum("_n").alias("_n")).withColumn("source", source),
+                             weights, budget, max_epochs).drop("source")
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*own).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))
-    starts = parts.select("_source", F.col("_bucket").alias("_b"), before.alias("_start")).join(
-        targets, F.col("_source").eqNullSafe(F.col("source"))).withColumnRenamed("_source", "_s").drop("source")
-    starts = scratch.write(starts, "starts")
-    rows = base.join(starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_hash", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    starts = scratch.write(parts.select(*own, "_bucket", before.alias("_start")).join(targets, own), "starts")
+    rows = base.join(starts, [*own, "_bucket"])
+    inside = Window.partitionBy(*own, "_bucket").orderBy("_hash", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_at", F.col("_start") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
 
     def epoch(e: int) -> Column:
@@ -114,7 +116,7 @@ def mix(base: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int
         return F.struct(F.lit(e).alias("epoch"), position.alias("position"), taken.cast("long").alias("taken"))
 
     taken = F.filter(F.array(*[epoch(e) for e in range(max_epochs)]), lambda x: x.taken > 0 if cut else x.taken.isNotNull())
-    return rows.withColumn("_epochs", taken).drop("_s", "_b", "_start", "_at", "_slot")
+    return rows.withColumn("_epochs", taken).drop("_start", "_at", "_slot")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
