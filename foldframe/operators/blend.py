@@ -2,7 +2,9 @@
 
 Prediction tables are always keyed: OOF tables by ``id``, fold test
 tables by ``(id, fold)`` (Q1-Q3).  Positional alignment of the reference
-becomes an equi-join; duplicated keys are rejected by ``assert_unique``.
+becomes an equi-join; duplicated or null keys are rejected by ``assert_unique`` and tables that
+don't hold the same keys by ``assert_same_keys`` (``check=False`` leaves both out where the
+caller has made sure).
 """
 
 from __future__ import annotations
@@ -24,8 +26,28 @@ def assert_unique(df: DataFrame, keys: Sequence[str], name: str = "table") -> Da
     return df
 
 
-def join_oof(tables: Sequence[DataFrame], id_col: str = "id", label_col: str = "y") -> DataFrame:
+def assert_same_keys(tables: Sequence[DataFrame], keys: Sequence[str], name: str = "tables") -> None:
+    """Fail if a table lacks a key that another one has: one aggregate over the keys of all tables."""
+    n = len(tables)
+    every = tables[0].select(*keys)
+    for t in tables[1:]:
+        every = every.unionByName(t.select(*keys))
+    odd = every.groupBy(*keys).count().filter(F.col("count") != n).limit(1).collect()
+    if odd:
+        raise ValueError(f"{name}: key {[odd[0][k] for k in keys]} is in {odd[0]['count']} rows of {n} tables")
+
+
+def _checked(tables: Sequence[DataFrame], keys: Sequence[str], name: str, check: bool) -> None:
+    if check:
+        for t in tables:
+            assert_unique(t, keys, name)
+        if len(tables) > 1:
+            assert_same_keys(tables, keys, name)
+
+
+def join_oof(tables: Sequence[DataFrame], id_col: str = "id", label_col: str = "y", check: bool = True) -> DataFrame:
     """N-way inner join of OOF tables on ``id``; the label comes from the first."""
+    _checked(tables, [id_col], "oof tables", check)
     out = tables[0]
     for t in tables[1:]:
         out = out.join(t.drop(label_col) if label_col in t.columns else t, id_col, "inner")
@@ -33,8 +55,9 @@ def join_oof(tables: Sequence[DataFrame], id_col: str = "id", label_col: str = "
 
 
 def align_fold_predictions(tables: Sequence[DataFrame], id_col: str = "id",
-                           fold_col: str = "fold") -> DataFrame:
-    """Per-fold test predictions side by side, joined on ``(id, fold)``."""
+                           fold_col: str = "fold", check: bool = True) -> DataFrame:
+    """Per-fold test predictions side by side, joined on ``(id, fold)``; every table must hold the same pairs."""
+    _checked(tables, [id_col, fold_col], "fold tables", check)
     out = tables[0]
     for t in tables[1:]:
         out = out.join(t, [id_col, fold_col], "inner")
@@ -43,8 +66,10 @@ def align_fold_predictions(tables: Sequence[DataFrame], id_col: str = "id",
 
 def stack_predictions(long_df: DataFrame, models: Sequence[str], id_col: str = "id",
                       model_col: str = "model", pred_col: str = "pred",
-                      keys: Sequence[str] = ()) -> DataFrame:
+                      keys: Sequence[str] = (), check: bool = True) -> DataFrame:
     """Long ``(id, model, pred)`` -> wide stack matrix (one column per model)."""
+    if check:
+        assert_unique(long_df, [id_col, model_col, *keys], "predictions")
     return (long_df.groupBy(id_col, *keys).pivot(model_col, list(models))
                    .agg(F.first(pred_col)))
 

@@ -4,7 +4,8 @@ Data-parallel histogram boosting, expressed with DataFrame operations:
 
 * **T5 quantile binning** -- cut points from one ``percentile_approx``
   aggregate over all features (``max_bins`` per feature, bounded), bins by a
-  JVM ``Bucketizer``; missing values get their own last bin (always right).
+  JVM ``Bucketizer``; missing values get their own last bin and go to the
+  side with the larger gain (right if equal).
 * **Many models per pass** -- the cross-validation models (``fold <> o``)
   and a full refit train *together*: every row carries one score column per
   model, and one aggregate per tree level builds the gradient histograms of
@@ -23,17 +24,15 @@ Data-parallel histogram boosting, expressed with DataFrame operations:
   same table; after each tree one aggregate gives every model's validation
   loss; a model stops after ``early_stopping`` rounds without gain and keeps
   the scores of its best iteration (Q7, best-iteration semantics).
-* **T4 sampling** -- row subsampling by a per-row hash offset rotated each
-  tree (deterministic, layout independent); per-tree column sampling.
-* Scores are updated with a column expression per tree; the state is cached
-  each tree and cut with a reliable ``checkpoint`` every few trees, so a
-  lost executor recomputes at most that many tree updates.
+* **T4 sampling** -- row subsampling by a hash of (seed, tree, model, id), drawn anew for
+  every tree (deterministic, layout independent); per-tree column sampling.
+* Scores are updated with a column expression per tree; every few trees the state is
+  written to the shared folder and read back, and the one before is deleted, so a
+  lost executor recomputes at most that many tree updates.  ``BoostResult.close`` releases the last one.
 """
 
 from __future__ import annotations
 
-import os
-import time as _time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -44,19 +43,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_hex, uniform01
-from ..session import cut_lineage
-
-_PROF = os.environ.get("FOLDFRAME_PROFILE")     # set to print per-job timings of the trainer
-
-
-def _tick(label, t0):
-    if _PROF:
-        print(f"[boost] {label}: {_time.time() - t0:.3f}s", flush=True)
-    return _time.time()
-
-GOLDEN = 0.6180339887498949   # fixed value: fractional golden ratio, rotates the row-sample offset
-
+from ..session import delete_path, scratch_path
 
 @dataclass
 class BoostParams:
@@ -74,10 +61,9 @@ class BoostParams:
     max_bins: int = 64
     early_stopping: int | None = None
     seed: int = 42
-    # trees between refreshes of the cached margins (a reliable checkpoint);
-    # None: every tree on a single machine (local disk), every 5 on a cluster,
-    # where in-between margins are evaluated from the new trees' expressions
-    checkpoint_every: int | None = None
+    # trees between refreshes of the cached margins, which are then written to the shared folder
+    # (the table before is deleted); in between they are evaluated from the new trees' expressions
+    checkpoint_every: int = 3
 
 
 @dataclass
@@ -87,6 +73,7 @@ class Split:
     threshold: int = 0                  # numeric: bin <= threshold goes left
     left: tuple[int, ...] = ()          # categorical: codes going left
     gain: float = 0.0
+    missing_left: bool = False          # numeric: the side of missing values, chosen by gain
 
 
 @dataclass
@@ -195,6 +182,22 @@ def best_splits(hist: pd.DataFrame, binning: Binning, p: BoostParams) -> pd.Data
     TL, TR, TT = _soft(h["GL"], alpha), _soft(h["GR"], alpha), _soft(h["Gt"], alpha)
     h["gain"] = 0.5 * (TL ** 2 / (h["HL"] + lam) + TR ** 2 / (h["HR"] + lam)
                        - TT ** 2 / (h["Ht"] + lam)) - p.gamma
+    # numeric features: the same threshold with the missing rows on the left
+    lost = h["bin"].to_numpy() == np.array([binning.missing_bin(i) for i in range(len(binning.features))])[h["feat"].to_numpy()]
+    group = [h["model"], h["node"], h["feat"]]
+    moved = {c: h[c].where(lost, 0.0).groupby(group).transform("sum") for c in ("G", "H", "C")}
+    GL2, HL2, CL2 = h["GL"] + moved["G"], h["HL"] + moved["H"], h["CL"] + moved["C"]
+    GR2, HR2, CR2 = h["Gt"] - GL2, h["Ht"] - HL2, h["Ct"] - CL2
+    gain2 = 0.5 * (_soft(GL2, alpha) ** 2 / (HL2 + lam) + _soft(GR2, alpha) ** 2 / (HR2 + lam)
+                   - TT ** 2 / (h["Ht"] + lam)) - p.gamma
+    fits = lambda hl, hr, cl, cr: ((hl >= p.min_child_weight) & (hr >= p.min_child_weight)
+                                   & (cl >= p.min_child_samples) & (cr >= p.min_child_samples))
+    numeric = ~np.array(binning.categorical)[h["feat"].to_numpy()]
+    first = fits(h["HL"], h["HR"], h["CL"], h["CR"])
+    h["miss_left"] = (numeric & ~lost & (moved["C"] > 0) & fits(HL2, HR2, CL2, CR2)
+                      & (~first | (gain2 > h["gain"] + 1e-12)))
+    for c, v in (("GL", GL2), ("HL", HL2), ("CL", CL2), ("GR", GR2), ("HR", HR2), ("CR", CR2), ("gain", gain2)):
+        h[c] = h[c].where(~h["miss_left"], v)
     cat_s = np.array(binning.categorical)[h["feat"].to_numpy()]
     miss_s = np.array([binning.missing_bin(i) for i in range(len(binning.features))])[h["feat"].to_numpy()]
     ok = ((h["HL"] >= p.min_child_weight) & (h["HR"] >= p.min_child_weight)
@@ -221,7 +224,7 @@ def best_splits(hist: pd.DataFrame, binning: Binning, p: BoostParams) -> pd.Data
         else:
             lefts.append(())
     best = best.assign(left=lefts)
-    keep = ["model", "node", "feat", "bin", "gain", "GL", "HL", "CL", "GR", "HR", "CR", "left"]
+    keep = ["model", "node", "feat", "bin", "gain", "GL", "HL", "CL", "GR", "HR", "CR", "left", "miss_left"]
     out = totals.merge(best[keep], on=["model", "node"], how="left")
     out["feat"] = out["feat"].fillna(-1).astype(int)
     out["gain"] = out["gain"].fillna(0.0)
@@ -245,7 +248,8 @@ def _cond_sql(s: Split, binning: Binning) -> str:
     b = binning.bin_col(s.feature)
     if s.categorical:
         return f"{b} IN ({', '.join(str(int(v)) for v in s.left)})" if s.left else "FALSE"
-    return f"{b} <= {int(s.threshold)}"
+    own = f"{b} <= {int(s.threshold)}"
+    return f"({own} OR {b} = {binning.missing_bin(s.feature)})" if s.missing_left else own
 
 
 def node_sql(tree: Tree, binning: Binning, nid: int = 1) -> str:
@@ -292,6 +296,13 @@ class BoostResult:
     valid_loss: list[list[float]]
     state: DataFrame                    # rows with __F<m> (last) and __B<m> (best) margins
     owned: bool = False                 # one margin pair (__F, __B) per row, of its owner model
+    held: list = field(default_factory=list)   # cached tables and scratch folders under ``state``
+
+    def close(self) -> None:
+        """Release what ``state`` reads; call it when its predictions have been written."""
+        for x in self.held:
+            x.unpersist() if isinstance(x, DataFrame) else delete_path(self.state.sparkSession, x)
+        self.held = []
 
     def margin_col(self, m: int) -> str:
         return "__B" if self.owned else f"__B{m}"
@@ -312,6 +323,12 @@ class BoostResult:
         return F.expr(z)
 
 
+def bag_sql(seed: int, tree: int, model: int, id_col: str) -> str:
+    """T4: a number in [0, 1) for every row, tree and model."""
+    return (f"(CAST(conv(substr(md5(concat_ws('|', 'bag', '{seed}', '{tree}', '{model}', CAST(`{id_col}` AS STRING))), 1, 8), "
+            f"16, 10) AS DOUBLE) / 4294967296.0D)")
+
+
 def _grad_hess(objective: str, z: str, y: str) -> tuple[str, str]:
     if objective == "squared":
         return f"({z} - {y})", "1.0D"
@@ -403,13 +420,11 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
     numeric = [f for f in features if f not in set(categorical)]
     cats = [f for f in features if f in set(categorical)]
     # the input is read by the bin fit and by the first state: compute it once
-    _t0 = _time.time()
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     if binning is None:
         fit_rows = df.filter(specs[0].train) if M == 1 else df.filter(
             F.greatest(*[s.train.cast("int") for s in specs]) == 1)
         binning = fit_bins(fit_rows, numeric, cats, p.max_bins)
-    _t0 = _tick("bins (input computed)", _t0)
     nf = len(binning.features)
     y = F.col(label_col).cast("double")
 
@@ -420,7 +435,6 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
                      else F.lit(False).alias(f"__V{m}"))
     base_df = apply_bins(df, binning).select(
         id_col, *keep_cols, y.alias("__y"), *[F.col(binning.bin_col(i)) for i in range(nf)], *flags,
-        uniform01(hash_hex(F.lit(f"bag|{p.seed}"), F.col(id_col))).alias("__u"),
         *([owner.cast("int").alias("__own")] if owner is not None else []))
     base_df = base_df.persist(StorageLevel.MEMORY_AND_DISK)
     owned = owner is not None
@@ -437,7 +451,6 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
             base.append(float(np.log(mean / (1 - mean))))
         else:
             base.append(mean)
-    _t0 = _tick("base scores (state cached)", _t0)
     df.unpersist()                     # base_df (filled by the aggregate above) replaces it
     keep = [f"`{c}`" for c in base_df.columns]
     # anchor: a cached (periodically checkpointed) table holding each model's margin
@@ -451,10 +464,8 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
                                     *[f"{dlit(base[m])} AS __B{m}" for m in range(M)])
     anchor_src = base_df
     anc = [0] * M
-    ckpt = p.checkpoint_every
-    if ckpt is None:
-        ckpt = 1 if df.sparkSession.sparkContext.master.startswith("local") else 5
-    every = ckpt or 10
+    every = max(1, p.checkpoint_every)
+    written = None                     # folder of the last refresh
 
     trees: list[list[Tree]] = [[] for _ in range(M)]
     active = [True] * M
@@ -511,8 +522,7 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
                 node = node_sql(cur[m], binning)
                 member = f"__T{m}"
                 if p.subsample < 1.0:
-                    shift = (t * GOLDEN + m * 0.1234567) % 1.0
-                    member += f" AND pmod(__u + {dlit(shift)}, 1.0D) < {dlit(p.subsample)}"
+                    member += f" AND {bag_sql(p.seed, t, m, id_col)} < {dlit(p.subsample)}"
                 if depth > 0:
                     member += f" AND ({node}) IN ({', '.join(map(str, open_nodes[m]))})"
                 g, h = _grad_hess(p.objective, fcol(m), "__y")
@@ -521,11 +531,8 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
                           for m in loss_models] if depth == 0 else [])
             if not entries and not loss_args:
                 break
-            _t = _time.time()
             hdf = gradient_histogram(view, entries, binning, loss_args, disjoint)
-            _t = _tick(f"build t={t} d={depth}", _t)
             hist = hdf.toPandas()
-            _tick(f"hist t={t} d={depth}", _t)
             if depth == 0:
                 lrows = hist[hist["node"] == -1]
                 hist = hist[hist["node"] != -1]
@@ -556,7 +563,7 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
                     fi = int(r["feat"])
                     tree.splits[nid] = Split(fi, binning.categorical[fi], int(r["bin"]),
                                              tuple(r["left"]) if binning.categorical[fi] else (),
-                                             float(r["gain"]))
+                                             float(r["gain"]), bool(r["miss_left"]))
                     if depth + 1 < p.max_depth:
                         open_nodes[m] += [2 * nid, 2 * nid + 1]
                     else:
@@ -570,21 +577,21 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
             trees[m].append(cur[m])
         t += 1
         if t % every == 0:
-            # materialise the margins: a reliable checkpoint (shared folder) when
-            # enabled, so a lost executor never replays more than `every` trees
+            # materialise the margins in the shared folder: a lost executor never replays
+            # more than `every` trees; the refresh before goes once this one is complete
+            folder = scratch_path(df.sparkSession, "boost")
             nxt = current(with_best=True)
-            if ckpt:
-                # read back from the checkpoint: independent of the old cache, which
-                # can go now; the next histogram job fills the new cache
-                nxt = cut_lineage(nxt).persist(StorageLevel.MEMORY_AND_DISK)
-            else:
-                nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-                nxt.count()
+            schema = nxt.schema
+            nxt.write.parquet(folder)
             anchor_src.unpersist()
-            anchor = anchor_src = nxt
+            if written:
+                delete_path(df.sparkSession, written)
+            written = folder
+            anchor = anchor_src = df.sparkSession.read.schema(schema).parquet(folder).persist(StorageLevel.MEMORY_AND_DISK)
             anc = [len(trees[m]) for m in range(M)]
     state = current(with_best=True)
-    return BoostResult(p, binning, specs, base, trees, best_iter, losses, state, owned)
+    return BoostResult(p, binning, specs, base, trees, best_iter, losses, state, owned,
+                       [anchor_src, *([written] if written else [])])
 
 
 # --------------------------------------------------------------------------- CV conveniences (K5-K7)

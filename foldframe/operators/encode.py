@@ -5,8 +5,8 @@
 * Target encodings are smoothed means ``(S + s*g) / (N + s)`` with a
   deterministic hash-Gaussian noise (Q10).
 * The out-of-fold encoding (E5) is computed for **all** outer folds in one
-  job: rows are replicated once per outer fold they train in, an inner fold
-  is assigned inside each outer-train part, one aggregate yields the
+  job: one window ranks every row inside each outer-train part, the rows are then
+  replicated once per outer fold they train in, one aggregate per column yields the
   ``(outer, key, inner)`` cells, and the leave-one-inner-fold-out statistic
   is ``total - own`` (a window over the small cell table).  No per-fold
   loop, no per-row Python.
@@ -16,12 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import gaussian_noise
 from ..functions.scalar import smoothed_mean
+from ..session import materialise
 from .folds import assign_inner_folds
 from .stats import global_mean, multi_key_stats, valid_key
 
@@ -119,79 +119,74 @@ def target_encode(fit: DataFrame, targets: Sequence[DataFrame], cat_cols: Sequen
 
 
 # --------------------------------------------------------------------- E5, E6
-def target_encode_cv(train: DataFrame, test: DataFrame | None, cat_cols: Sequence[str],
-                     label_col: str, k: int = 5, smoothing: float = 1.0,
-                     noise_level: float = 0.0, inner_k: int = 5, inner_seed: int = 1,
-                     seed: int = 0, id_col: str = "id", fold_col: str = "fold",
-                     outer_col: str = "outer", suffix: str = "_encoded"):
-    """E5 + E6 for every outer fold at once.
-
-    Returns ``(train_enc, valid_enc, test_enc)``, all keyed by ``(outer, id)``:
-
-    * ``train_enc`` (E5): rows with ``fold <> outer``; each encoded with the
-      statistics of the *other* inner folds of its outer-train part, the
-      prior being the whole outer-train mean (Q8), plus one noise draw per
-      training row (Q9);
-    * ``valid_enc`` (E6): rows with ``fold = outer``, full outer-train
-      statistics, no noise;
-    * ``test_enc`` (E6): every test row once per outer fold (Q20).
+def target_encode_apply(train: DataFrame, test: DataFrame | None, cat_cols: Sequence[str], label_col: str,
+                        k: int = 5, smoothing: float = 1.0, id_col: str = "id", fold_col: str = "fold",
+                        outer_col: str = "outer", suffix: str = "_encoded", **_):
+    """E6 for every outer fold: ``(valid_enc, test_enc)`` keyed by ``(outer, id)``, without noise.
+
+    ``valid_enc`` holds rows with ``fold = outer``, ``test_enc`` every test row once per outer fold
+    (Q20).  The statistics of an outer-train part are all minus its own fold, from one aggregate by
+    ``(fold, key)``: no training row is copied.
     """
+    y = F.col(label_col).cast("double")
+    sums = [F.coalesce(F.sum(y), F.lit(0.0)).alias("__s"), F.count(y).alias("__n")]
+    folds_ = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(outer_col)
+
+    def less_own(cells: DataFrame, keys: list[str]) -> DataFrame:
+        """(outer, keys...) -> sums over all folds but ``outer``."""
+        total = cells.groupBy(*keys).agg(F.sum("__s").alias("__ts"), F.sum("__n").alias("__tn")).select("*", folds_)
+        own = cells.withColumnRenamed(fold_col, outer_col)
+        return total.join(own, [outer_col, *keys], "left").select(
+            outer_col, *keys, (F.col("__ts") - F.coalesce("__s", F.lit(0.0))).alias("__ts"),
+            (F.col("__tn") - F.coalesce("__n", F.lit(0))).alias("__tn"))
+
+    known = train.filter(F.col(fold_col).isNotNull())
+    gm = less_own(known.groupBy(fold_col).agg(*sums), []).select(       # k rows
+        outer_col, F.when(F.col("__tn") > 0, F.col("__ts") / F.col("__tn")).alias("__gm"))
+    valid = known.withColumn(outer_col, F.col(fold_col)).join(F.broadcast(gm), outer_col, "inner")
+    tst = None if test is None else test.select("*", folds_).join(F.broadcast(gm), outer_col, "inner")
+    for c in cat_cols:
+        cells = known.filter(valid_key(known, c)).groupBy(fold_col, c).agg(*sums)
+        stat = less_own(cells, [c])
+        e = F.coalesce(smoothed_mean(F.col("__ts"), F.col("__tn"), F.col("__gm"), float(smoothing)), F.col("__gm"))
+        valid = valid.join(stat, [outer_col, c], "left").withColumn(c + suffix, e).drop("__ts", "__tn")
+        if tst is not None:
+            tst = tst.join(stat, [outer_col, c], "left").withColumn(c + suffix, e).drop("__ts", "__tn")
+    return valid.drop("__gm"), tst.drop("__gm") if tst is not None else None
+
+
+def target_encode_oof(train: DataFrame, cat_cols: Sequence[str], label_col: str, k: int = 5, smoothing: float = 1.0,
+                      noise_level: float = 0.0, inner_k: int = 5, inner_seed: int = 1, seed: int = 0, id_col: str = "id",
+                      fold_col: str = "fold", outer_col: str = "outer", suffix: str = "_encoded") -> DataFrame:
+    """E5 for every outer fold: rows with ``fold <> outer``, each encoded with the statistics of the *other*
+    inner folds of its outer-train part, the prior being the whole outer-train mean (Q8), plus one noise
+    draw per training row (Q9).  The ranked rows are written once to the shared folder, since the prior, the
+    cells and every column's join read them."""
     ex = assign_inner_folds(train, label_col, k_outer=k, k_inner=inner_k, seed=inner_seed,
                             id_col=id_col, fold_col=fold_col, outer_col=outer_col)
-    # ex feeds the prior, the cell aggregate and one join per column: compute it once
-    # (memory and disk; a lost block is recomputed from its lineage)
-    ex = ex.persist(StorageLevel.MEMORY_AND_DISK)
+    ex = materialise(ex, "inner-folds")
     y = F.col(label_col).cast("double")
     gm = global_mean(ex, label_col, [outer_col], "__gm")          # k rows: broadcast
     cells = multi_key_stats(ex, cat_cols, {"__s": F.sum(y), "__n": F.count(y)},
                             by=[outer_col, "inner"])
     per_key = Window.partitionBy(outer_col, "__key")
-
-    train_enc = ex.join(F.broadcast(gm), outer_col, "inner")
-    valid_enc = (train.withColumn(outer_col, F.col(fold_col))
-                      .join(F.broadcast(gm), outer_col, "inner"))
-    test_enc = None
-    if test is not None:
-        test_enc = (test.withColumn(outer_col, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-                        .join(F.broadcast(gm), outer_col, "inner"))
-    lam = float(smoothing)
+    out = ex.join(F.broadcast(gm), outer_col, "inner")
     for c in cat_cols:
         cell = cells[c].withColumnRenamed(c, "__key").withColumn(
             "__s", F.coalesce(F.col("__s"), F.lit(0.0)))
-        cell = (cell.withColumn("__ts", F.sum("__s").over(per_key))
-                    .withColumn("__tn", F.sum("__n").over(per_key)))
         own = cell.select(outer_col, "inner", F.col("__key").alias(c),
-                          (F.col("__ts") - F.col("__s")).alias("__rs"),
-                          (F.col("__tn") - F.col("__n")).alias("__rn"))
-        totals = cell.select(outer_col, F.col("__key").alias(c), "__ts", "__tn").dropDuplicates(
-            [outer_col, c])
-        e_tr = (F.coalesce(smoothed_mean(F.col("__rs"), F.col("__rn"), F.col("__gm"), lam),
-                           F.col("__gm"))
-                + gaussian_noise(noise_level, _noise_tag("te_oof", seed, c), F.col(outer_col),
-                                 F.col(id_col)))
-        train_enc = (train_enc.join(own, [outer_col, "inner", c], "left")
-                              .withColumn(c + suffix, e_tr).drop("__rs", "__rn"))
-        e_ap = F.coalesce(smoothed_mean(F.col("__ts"), F.col("__tn"), F.col("__gm"), lam),
-                          F.col("__gm"))
-        valid_enc = (valid_enc.join(totals, [outer_col, c], "left")
-                              .withColumn(c + suffix, e_ap).drop("__ts", "__tn"))
-        if test_enc is not None:
-            test_enc = (test_enc.join(totals, [outer_col, c], "left")
-                                .withColumn(c + suffix, e_ap).drop("__ts", "__tn"))
-    drop = ["__gm"]
-    return (train_enc.drop(*drop), valid_enc.drop(*drop),
-            test_enc.drop(*drop) if test_enc is not None else None)
-
-
-def target_encode_oof(train, cat_cols, label_col, **kw) -> DataFrame:
-    """E5 only: training-row encodings for every outer fold."""
-    return target_encode_cv(train, None, cat_cols, label_col, **kw)[0]
-
-
-def target_encode_apply(train, test, cat_cols, label_col, **kw):
-    """E6 only: validation and test encodings with full outer-train statistics."""
-    _, valid, tst = target_encode_cv(train, test, cat_cols, label_col, **kw)
-    return valid, tst
+                          (F.sum("__s").over(per_key) - F.col("__s")).alias("__rs"),
+                          (F.sum("__n").over(per_key) - F.col("__n")).alias("__rn"))
+        e = (F.coalesce(smoothed_mean(F.col("__rs"), F.col("__rn"), F.col("__gm"), float(smoothing)), F.col("__gm"))
+             + gaussian_noise(noise_level, _noise_tag("te_oof", seed, c), F.col(outer_col), F.col(id_col)))
+        out = out.join(own, [outer_col, "inner", c], "left").withColumn(c + suffix, e).drop("__rs", "__rn")
+    return out.drop("__gm")
+
+
+def target_encode_cv(train: DataFrame, test: DataFrame | None, cat_cols: Sequence[str], label_col: str, **kw):
+    """E5 + E6 for every outer fold at once: ``(train_enc, valid_enc, test_enc)``."""
+    valid, tst = target_encode_apply(train, test, cat_cols, label_col, **kw)
+    return target_encode_oof(train, cat_cols, label_col, **kw), valid, tst
 
 
 __all__ = [

@@ -28,11 +28,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_hex
 
 
-def _assign(df: DataFrame, k: int, seed: int, id_col: str, strata: str | None,
-            by: Sequence[str], fold_col: str, bucket_digits: int) -> DataFrame:
-    if k < 2:
-        raise ValueError("k must be at least 2")
-    by = list(by)
+def _keyed(df: DataFrame, seed: int, id_col: str, strata: str | None, bucket_digits: int) -> DataFrame:
+    """Adds the order of the rows: hash, stratum (a flag and a value, nulls first) and hash bucket."""
     keyed = df.withColumn("__h", hash_hex(F.col(id_col), F.lit(str(seed))))
     if strata:
         # (is-not-null flag, value): plain equi-join keys that still order nulls first
@@ -42,7 +39,15 @@ def _assign(df: DataFrame, k: int, seed: int, id_col: str, strata: str | None,
                                                     else F.lit(""))))
     else:
         keyed = keyed.withColumn("__sn", F.lit(1)).withColumn("__s", F.lit(0))
-    keyed = keyed.withColumn("__b", F.substring("__h", 1, bucket_digits))
+    return keyed.withColumn("__b", F.substring("__h", 1, bucket_digits))
+
+
+def _assign(df: DataFrame, k: int, seed: int, id_col: str, strata: str | None,
+            by: Sequence[str], fold_col: str, bucket_digits: int) -> DataFrame:
+    if k < 2:
+        raise ValueError("k must be at least 2")
+    by = list(by)
+    keyed = _keyed(df, seed, id_col, strata, bucket_digits)
     grp = [*by, "__sn", "__s", "__b"]
 
     counts = keyed.groupBy(*grp).agg(F.count(F.lit(1)).alias("__n"))
@@ -87,11 +92,25 @@ def assign_inner_folds(df: DataFrame, label_col: str | None, k_outer: int = 5,
     """K3: re-split every outer-train part into ``k_inner`` (stratified) folds.
 
     Output: one row per ``(outer, row)`` with ``fold <> outer`` and its
-    ``inner`` fold, ranked inside the outer-train part only.
+    ``inner`` fold, ranked inside the outer-train part only.  One window over the rows
+    gives all ranks, as running counts of ``fold <> outer``; the copies are made afterwards.
     """
-    ex = explode_outer_train(df, k_outer, fold_col, outer_col)
-    return _assign(ex, k_inner, seed, id_col, label_col, [outer_col], inner_col,
-                   bucket_digits)
+    if k_inner < 2:
+        raise ValueError("k must be at least 2")
+    outers = range(k_outer)
+    keyed = _keyed(df.filter(F.col(fold_col).isNotNull()), seed, id_col, label_col, bucket_digits)
+    grp = ["__sn", "__s", "__b"]
+    outside = [(F.col(fold_col) != o).cast("long") for o in outers]
+    before = Window.orderBy(*grp).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (keyed.groupBy(*grp).agg(*[F.sum(c).alias(f"__n{o}") for o, c in zip(outers, outside)])
+               .select(*grp, *[F.coalesce(F.sum(f"__n{o}").over(before), F.lit(0)).alias(f"__off{o}") for o in outers]))
+    upto = Window.partitionBy(*grp).orderBy("__h", id_col).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = keyed.select("*", *[F.sum(c).over(upto).alias(f"__r{o}") for o, c in zip(outers, outside)])
+    copies = F.array(*[F.struct(F.lit(o).alias("o"), ((F.col(f"__off{o}") + F.col(f"__r{o}") - 1) % k_inner).cast("int").alias("i"))
+                       for o in outers])
+    out = ranked.join(offsets, grp, "inner").withColumn(
+        "__c", F.explode(F.filter(copies, lambda x: x.o != F.col(fold_col))))
+    return out.select(*df.columns, F.col("__c.o").alias(outer_col), F.col("__c.i").alias(inner_col))
 
 
 def train_valid_split(df: DataFrame, i: int, fold_col: str = "fold"):

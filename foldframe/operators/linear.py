@@ -175,13 +175,18 @@ def fit_logistic_cv(df: DataFrame, features: Sequence[str], label_col: str,
                     fold_col: str | None = "fold", C: float = 1.0,
                     penalize_intercept: bool = True, max_iter: int = 50,
                     tol: float = 1e-10, k: int | None = None) -> LinearModel:
-    """L2 logistic regression by Newton steps, all fold models per pass."""
+    """L2 logistic regression by damped Newton steps, all fold models per pass.
+
+    Each pass also sums the objective; a step that did not lower a model's objective is halved and
+    tried again.  Raises if ``max_iter`` passes don't bring the step below ``tol``.
+    """
     feats = list(features)
     d = len(feats) + 1
     if fold_col and k is None:
         k = int(df.agg(F.max(fold_col)).first()[0]) + 1
     keys = ([*range(k)] if fold_col else []) + [ALL]
     w = {key: np.zeros(d) for key in keys}
+    last = {key: (np.zeros(d), np.inf, np.zeros(d)) for key in keys}   # accepted point, its objective, its step
     reg = np.eye(d)
     if not penalize_intercept:
         reg[0, 0] = 0.0
@@ -190,7 +195,7 @@ def fit_logistic_cv(df: DataFrame, features: Sequence[str], label_col: str,
                      *([F.col(fold_col).alias("__fold")] if fold_col else []))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)     # narrow: p features, label, fold
     xs = ["1.0D"] + [f"__x{j}" for j in range(1, d)]
-    it = 0
+    it, step = 0, 0.0
     for it in range(1, max_iter + 1):
         # all k+1 models' gradients and Hessians in one aggregate, written as SQL text
         # (one JVM call per expression, not one per operator)
@@ -201,6 +206,7 @@ def fit_logistic_cv(df: DataFrame, features: Sequence[str], label_col: str,
             p = f"(1.0D / (1.0D + exp(-({z}))))"
             mask = "" if key == ALL else f"CASE WHEN __fold <> {key} THEN 1.0D ELSE 0.0D END * "
             tag = "a" if key == ALL else str(key)
+            aggs.append(F.expr(f"sum({mask}(greatest({z}, 0.0D) + log1p(exp(-abs({z}))) - __y * ({z}))) AS l{tag}"))
             aggs += [F.expr(f"sum({mask}({p} - __y) * {xs[i]}) AS g{tag}_{i}") for i in range(d)]
             aggs += [F.expr(f"sum({mask}{p} * (1.0D - {p}) * {xs[i]} * {xs[j]}) AS h{tag}_{i}_{j}")
                      for i in range(d) for j in range(i, d)]
@@ -208,6 +214,13 @@ def fit_logistic_cv(df: DataFrame, features: Sequence[str], label_col: str,
         step = 0.0
         for key in keys:
             tag = "a" if key == ALL else str(key)
+            value = (row[f"l{tag}"] or 0.0) * C + 0.5 * float(w[key] @ reg @ w[key])
+            point, least, move = last[key]
+            if not value <= least + 1e-9 * max(1.0, abs(least)):    # also when not a number
+                last[key] = (point, least, move / 2)
+                w[key] = point - move / 2
+                step = max(step, float(np.max(np.abs(move / 2))))
+                continue
             g = np.array([row[f"g{tag}_{i}"] for i in range(d)]) * C + reg @ w[key]
             H = np.zeros((d, d))
             for i in range(d):
@@ -215,11 +228,14 @@ def fit_logistic_cv(df: DataFrame, features: Sequence[str], label_col: str,
                     H[i, j] = H[j, i] = row[f"h{tag}_{i}_{j}"] * C
             H += reg
             delta = np.linalg.solve(H, g)
+            last[key] = (w[key], value, delta)
             w[key] = w[key] - delta
             step = max(step, float(np.max(np.abs(delta))))
         if step < tol:
             break
     data.unpersist()
+    if step >= tol:
+        raise RuntimeError(f"logistic regression: step {step:.3g} after {max_iter} passes, tolerance {tol:g}")
     model = LinearModel("logistic", feats, n_iter=it)
     for key in keys:
         model.coefs[key] = (float(w[key][0]), w[key][1:].copy())

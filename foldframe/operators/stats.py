@@ -1,8 +1,8 @@
 """Per-key statistics and their joins.
 
-Statistics for many key columns come from **one** scan: a GROUPING SETS
-aggregate (one set per key column, plus any ``by`` columns such as the
-outer fold).  Partial aggregation runs map-side, so a hot key costs one
+Every key column has one aggregate of its own that reads this column, the label and the
+``by`` columns only: each column of a columnar table is read once, and no row is expanded
+into one copy per column.  Partial aggregation runs map-side, so a hot key costs one
 row per task, not one task holding a third of the data.  Each column's
 statistics are then joined back once, carrying all of its measures.
 
@@ -39,29 +39,12 @@ def global_mean(df: DataFrame, label_col: str, by: Sequence[str] = (),
 
 def multi_key_stats(df: DataFrame, key_cols: Sequence[str], aggs: dict[str, Column],
                     by: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """One GROUPING SETS pass -> ``{key_col: DataFrame(by..., key_col, aggs...)}``.
+    """One aggregate per key column -> ``{key_col: DataFrame(by..., key_col, aggs...)}``.
 
     Null (and NaN) keys are dropped per column, as pandas ``groupby`` does.
     """
-    by, key_cols = list(by), list(key_cols)
-    if not key_cols:
-        return {}
     named = [e.alias(n) for n, e in aggs.items()]
-    if len(key_cols) == 1:
-        c = key_cols[0]
-        st = df.filter(valid_key(df, c)).groupBy(*by, c).agg(*named)
-        return {c: st}
-    sets = [[*by, c] for c in key_cols]
-    grouped = (df.groupingSets(sets, *by, *key_cols)
-                 .agg(*named, F.grouping_id().alias("__gid")))
-    n = len(key_cols)
-    out = {}
-    for i, c in enumerate(key_cols):
-        # grouping_id bit is 0 for grouped columns; by-columns are always grouped.
-        gid = sum(1 << (n - 1 - j) for j in range(n) if j != i)
-        st = grouped.filter((F.col("__gid") == gid) & valid_key(df, c))
-        out[c] = st.select(*by, c, *aggs.keys())
-    return out
+    return {c: df.filter(valid_key(df, c)).groupBy(*by, c).agg(*named) for c in key_cols}
 
 
 def key_target_stats(df: DataFrame, key_cols: Sequence[str], label_col: str,

@@ -84,7 +84,7 @@ def q_rmse_fold(spark, sf):
 @query("mean_fold_score")
 def q_mean_fold(spark, sf):
     s = metrics.roc_auc(_pred_long(spark, sf), "score", "y", by=["model", "fold"], out_col="value")
-    return rounded(s.groupBy("model").agg(F.avg("value").alias("mean_value")))
+    return rounded(metrics.mean_fold_score(s, by=["model"]))
 
 
 # --------------------------------------------------------------- encoders
@@ -137,12 +137,13 @@ def q_global_mean(spark, sf):
 @query("target_encode")
 def q_te(spark, sf):
     tr = _fcls_folds(spark, sf)
-    fit = folds.explode_outer_train(tr, 5).filter(F.col("o_orderpriority") != "5-LOW")
+    rows = folds.explode_outer_train(tr, 5)
+    fit = rows.filter(F.col("o_orderpriority") != "5-LOW")      # so that every table has an unseen category
     valid = tr.withColumn("outer", F.col("fold"))
     test = (fx.fcls(spark, sf).filter(F.col("part") == "test")
             .withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(4)))))
     keep = ["outer", "id", *[c + "_encoded" for c in CATS]]
-    a, b, c = encode.target_encode(fit, [fit, valid, test], CATS, "y", by=["outer"], **TE)
+    a, b, c = encode.target_encode(fit, [rows, valid, test], CATS, "y", by=["outer"], **TE)
     out = (a.select(*keep, F.lit("train").alias("role"))
            .unionByName(b.select(*keep, F.lit("valid").alias("role")))
            .unionByName(c.select(*keep, F.lit("test").alias("role"))))
@@ -168,10 +169,10 @@ def q_te_apply(spark, sf):
 
 @query("te_oof_auc_by_fold")
 def q_flagship(spark, sf):
-    """Flagship slice: folds -> OOF target encoding -> AUC of the encoding per fold."""
+    """Flagship slice: folds -> out-of-fold encoding of the training rows -> its AUC per outer fold."""
     tr = _fcls_folds(spark, sf)
-    _, valid, _ = encode.target_encode_cv(tr, None, CATS, "y", k=5, **TE)
-    scored = valid.withColumn("score", F.col("o_orderpriority_encoded") + F.col("c_mktsegment_encoded"))
+    train = encode.target_encode_oof(tr, CATS, "y", k=5, **TE)
+    scored = train.withColumn("score", F.col("o_orderpriority_encoded") + F.col("c_mktsegment_encoded"))
     return rounded(metrics.roc_auc(scored, "score", "y", by=["outer"], out_col="auc"))
 
 
@@ -377,7 +378,7 @@ def q_best_split(spark, sf):
 
 @query("boost_regress_oof")
 def q_boost_reg(spark, sf):
-    d = _sig_rows(spark, sf)
+    d = _sig_rows(spark, sf, cat=False)
     tr = folds.assign_kfold(d.filter(F.col("part") == "train"), k=5, seed=42)
     rows = tr.unionByName(d.filter(F.col("part") == "test").withColumn("fold", F.lit(-1)))
     res = boost.fit_boosted(rows, SIG_NUM, "s", boost.cv_specs(5, "fold", "part"), _quick("squared"),
@@ -387,7 +388,7 @@ def q_boost_reg(spark, sf):
 
 @query("boost_classify_oof")
 def q_boost_cls(spark, sf):
-    d = _sig_rows(spark, sf)
+    d = _sig_rows(spark, sf, cat=False)
     tr = folds.assign_stratified_kfold(d.filter(F.col("part") == "train"), "y_sig", k=5, seed=42)
     res = boost.fit_boosted(tr, SIG_NUM, "y_sig", boost.cv_specs(5, "fold"), _quick("logistic"),
                             keep_cols=["fold"])
@@ -406,7 +407,7 @@ def q_boost_cat(spark, sf):
 
 @query("boost_early_stop")
 def q_boost_es(spark, sf):
-    d = _sig_rows(spark, sf)
+    d = _sig_rows(spark, sf, cat=False)
     tr = folds.assign_kfold(d.filter(F.col("part") == "train"), k=5, seed=42)
     p = _quick("squared", n_trees=30, learning_rate=0.6, early_stopping=2)
     res = boost.fit_boosted(tr, SIG_NUM, "s", boost.cv_specs(5, "fold"), p, keep_cols=["fold"])
@@ -416,7 +417,7 @@ def q_boost_es(spark, sf):
 
 @query("boost_sampled")
 def q_boost_sampled(spark, sf):
-    d = _sig_rows(spark, sf)
+    d = _sig_rows(spark, sf, cat=False)
     tr = folds.assign_kfold(d.filter(F.col("part") == "train"), k=5, seed=42)
     p = _quick("squared", subsample=0.7, colsample_bytree=0.67, reg_alpha=1.0, gamma=0.5,
                min_child_weight=20.0)
@@ -498,7 +499,7 @@ def q_submission(spark, sf):
     preds = pipelines.blend_pipeline([oof.select("id", "p1", "y"), oof.select("id", "p2", "y")],
                                      [t.select("id", "fold", "p1"), t.select("id", "fold", "p2")],
                                      ["p1", "p2"], kind="ridge")
-    template = fx.fsig(spark, sf).filter(F.col("part").isin("test", "original")).select("id")
+    template = fx.fsig(spark, sf).filter(F.col("part") == "test").select("id")
     return rounded(io.submission(template, preds, "target"))
 
 
@@ -512,7 +513,7 @@ def q_first_tree(spark, sf):
     binning = boost.Binning(["o_totalprice", "c_acctbal"], [False, False], [SPLIT_CUTS, ACCT_CUTS],
                             [len(SPLIT_CUTS) + 2, len(ACCT_CUTS) + 2])
     p = boost.BoostParams(objective="squared", n_trees=1, learning_rate=1.0, max_depth=2, reg_alpha=0.5,
-                          reg_lambda=1.0, min_child_weight=1.0, checkpoint_every=0)
+                          reg_lambda=1.0, min_child_weight=1.0)
     res = boost.fit_boosted(tr, binning.features, "s", boost.cv_specs(5, "fold"), p, binning=binning,
                             keep_cols=["fold"])
     rows = []

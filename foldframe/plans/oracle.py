@@ -107,7 +107,7 @@ def _te_plain():
     ctes.append("""tst AS (SELECT CAST(o.k AS INTEGER) AS "outer", fcls.* FROM fcls, range(5) o(k)
                    WHERE part = 'test')""")
     body = []
-    for src, role in (("fit", "train"), ("valid", "valid"), ("tst", "test")):
+    for src, role in (("ex", "train"), ("valid", "valid"), ("tst", "test")):
         sel = ", ".join(f"round(coalesce(enc_{c}.enc, gm.gm), {D}) AS {c}_encoded" for c in CATS)
         joins = " ".join(f'LEFT JOIN enc_{c} ON t."outer" = enc_{c}."outer" AND t.{c} = enc_{c}.{c}'
                          for c in CATS)
@@ -132,18 +132,21 @@ def _te_cv_ctes(cats=None):
     return ",\n".join(ctes)
 
 
-def _te_oof(cats=None, base=None, lam=LAM, sig=SIG, seed=SEED):
+def _te_oof(cats=None, base=None, lam=LAM, sig=SIG, seed=SEED, raw=False):
     cats, base = cats or CATS, base or _SKF
     sels, joins = [], []
     for c in cats:
         e = smoothed(f"(t_{c}.S - c_{c}.s)", f"(t_{c}.N - c_{c}.n)", "gm.gm", lam)
         nz = noise(sig, f"'te_oof|{seed}|{c}'", 'e."outer"', "e.id")
-        sels.append(f"round(coalesce({e}, gm.gm) + {nz}, {D}) AS {c}_encoded")
+        value = f"coalesce({e}, gm.gm) + {nz}"
+        sels.append(f"{value if raw else f'round({value}, {D})'} AS {c}_encoded")
         joins.append(f"""LEFT JOIN cell_{c} c_{c} ON e."outer" = c_{c}."outer" AND e."inner" = c_{c}."inner"
                          AND e.{c} = c_{c}.key
           LEFT JOIN tot_{c} t_{c} ON e."outer" = t_{c}."outer" AND e.{c} = t_{c}.key""")
-    return (f"WITH {base}, {_te_cv_ctes(cats)}\nSELECT e.\"outer\", e.id, {', '.join(sels)} FROM exi e "
+    ctes = f"WITH {base}, {_te_cv_ctes(cats)}"
+    body = (f"SELECT e.\"outer\", e.id, {'e.y, ' if raw else ''}{', '.join(sels)} FROM exi e "
             f"JOIN gm ON e.\"outer\" = gm.\"outer\" " + " ".join(joins))
+    return (ctes, body) if raw else f"{ctes}\n{body}"
 
 
 oracle("target_encode_oof", _te_oof())
@@ -167,9 +170,10 @@ applied AS ({_te_apply_body('valid', 'valid')} UNION ALL {_te_apply_body('tst',
 oracle("target_encode_apply", _APPLY + f"""
 SELECT "outer", id, role, {', '.join(f'round({c}_encoded, {D}) AS {c}_encoded' for c in CATS)} FROM applied""")
 
-oracle("te_oof_auc_by_fold", _APPLY + f""",
-scored AS (SELECT "outer", y, o_orderpriority_encoded + c_mktsegment_encoded AS score FROM applied
-           WHERE role = 'valid')
+_c, _b = _te_oof(raw=True)
+oracle("te_oof_auc_by_fold", f"""{_c},
+enc AS ({_b}),
+scored AS (SELECT "outer", y, o_orderpriority_encoded + c_mktsegment_encoded AS score FROM enc)
 SELECT "outer", round(auc, {D}) AS auc FROM {auc_sql('scored', 'score', 'y', '"outer"', 'auc')} a""")
 
 # --------------------------------------------------------------- external statistics
@@ -373,7 +377,7 @@ FROM fpred f JOIN lrmodel l ON l.o = f.fold JOIN model d ON d.o = f.fold""")
 oracle("submission", f"""WITH {_RIDGE},
 preds AS (SELECT id, avg(b + w1 * p1 + w2 * p2) AS pred FROM fpred_test, model WHERE model.o = -1 GROUP BY id)
 SELECT t.id, round(preds.pred, {D}) AS target FROM fsig t LEFT JOIN preds ON t.id = preds.id
-WHERE t.part IN ('test', 'original')""")
+WHERE t.part = 'test'""")
 
 oracle("vote_submission", f"""WITH {_LDA},
 {_logistic_ctes()},

@@ -7,8 +7,10 @@ benchmark; on a cluster the caller owns the session.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -66,3 +68,36 @@ def cut_lineage(df):
     """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_scratch: dict[str, SparkSession] = {}
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A fresh folder name below the checkpoint directory, deleted by ``delete_path`` or at exit."""
+    path = f"{ensure_checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _scratch[path] = spark
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    _scratch.pop(path, None)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def materialise(df, tag: str = "table"):
+    """Write a table to the shared folder and read it back: computed once, and nothing that has been
+    written is computed again when an executor is lost."""
+    path, schema = scratch_path(df.sparkSession, tag), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path, spark in list(_scratch.items()):
+        try:
+            delete_path(spark, path)
+        except Exception:  # noqa: BLE001  the session is gone
+            return

@@ -14,6 +14,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blend import assert_unique
+
 
 def _reader(spark: SparkSession, fmt: str, schema=None):
     r = spark.read.format(fmt)
@@ -37,6 +39,8 @@ def read_table(spark: SparkSession, path: str, id_col: str = "id", fmt: str | No
     df = _reader(spark, _fmt(path, fmt), schema).load(path)
     if rename_id and rename_id in df.columns:
         df = df.withColumnRenamed(rename_id, id_col)
+    if id_col not in df.columns:
+        raise ValueError(f"{path} has no key column {id_col!r}")
     return df
 
 
@@ -53,9 +57,9 @@ def read_reference_table(spark: SparkSession, path: str, key_col: str | None = N
 
 
 def read_oof(spark: SparkSession, path: str, name: str, id_col: str = "id", label_col: str = "y",
-             pred_col: str | None = None, keep_label: bool = True, fmt: str | None = None) -> DataFrame:
+             pred_col: str | None = None, keep_label: bool = True, fmt: str | None = None, schema=None) -> DataFrame:
     """S3: OOF table -> ``(id, <name>[, y])``."""
-    df = _reader(spark, _fmt(path, fmt)).load(path)
+    df = _reader(spark, _fmt(path, fmt), schema).load(path)
     pred = pred_col or [c for c in df.columns if c not in (id_col, label_col, "fold")][0]
     cols = [F.col(id_col), F.col(pred).cast("double").alias(name)]
     if keep_label and label_col in df.columns:
@@ -65,9 +69,9 @@ def read_oof(spark: SparkSession, path: str, name: str, id_col: str = "id", labe
 
 def read_fold_predictions(spark: SparkSession, path: str, name: str, id_col: str = "id",
                           fold_col: str = "fold", pred_col: str | None = None,
-                          fmt: str | None = None) -> DataFrame:
+                          fmt: str | None = None, schema=None) -> DataFrame:
     """Fold test table -> ``(id, fold, <name>)``."""
-    df = _reader(spark, _fmt(path, fmt)).load(path)
+    df = _reader(spark, _fmt(path, fmt), schema).load(path)
     if id_col not in df.columns:
         raise ValueError("fold prediction tables must carry the id column (no positional alignment)")
     pred = pred_col or [c for c in df.columns if c not in (id_col, fold_col)][0]
@@ -88,8 +92,17 @@ def write_fold_predictions(test_preds: DataFrame, path: str, fold_col: str = "fo
 
 
 def submission(template: DataFrame, preds: DataFrame, label_col: str, pred_col: str = "pred",
-               id_col: str = "id") -> DataFrame:
-    """S7 (frame): the template's ids with the label column filled by the prediction."""
+               id_col: str = "id", check: bool = True) -> DataFrame:
+    """S7 (frame): the template's ids with the label column filled by the prediction.
+
+    ``check``: both tables must hold each id once, and the predictions every id of the template.
+    """
+    if check:
+        assert_unique(template, [id_col], "template")
+        assert_unique(preds, [id_col], "predictions")
+        lost = template.join(preds.select(id_col), id_col, "left_anti").limit(1).collect()
+        if lost:
+            raise ValueError(f"no prediction for id {lost[0][id_col]}")
     return (template.select(id_col)
                     .join(preds.select(id_col, F.col(pred_col).alias(label_col)), id_col, "left"))
 
