@@ -2,8 +2,8 @@
 
 Data-parallel histogram boosting, expressed with DataFrame operations:
 
-* **T5 quantile binning** -- cut points from one ``percentile_approx``
-  aggregate over all features (``max_bins`` per feature, bounded), bins by a
+* **T5 quantile binning** -- exact, rank-defined cut points of all features
+  (``max_bins`` per feature, bounded), bins by a
   JVM ``Bucketizer``; missing values get their own last bin and go to the
   side with the larger gain (right if equal).
 * **Many models per pass** -- the cross-validation models (``fold <> o``)
@@ -40,10 +40,10 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import delete_path, scratch_path
+from ..session import delete_path, materialise, scratch_path
 
 @dataclass
 class BoostParams:
@@ -97,23 +97,40 @@ class Binning:
 
 
 # --------------------------------------------------------------------------- T5
+def quantile_cuts(df: DataFrame, cols: Sequence[str], max_bins: int) -> list[list[float]]:
+    """Exact cut points: value ``v`` is a cut if some ``i * n / max_bins``, 0 < i < max_bins, lies in (rows
+    below v, rows up to v].
+
+    The distinct values of all columns, counted with map-side combine, are sorted by ranges; ranks are running
+    counts inside a range plus the counts of the ranges before.  At most ``columns * max_bins`` rows reach the driver.
+    """
+    if not cols:
+        return []
+    cells = F.array(*[F.struct(F.lit(i).alias("feat"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])
+    counts = (df.select(F.explode(cells).alias("e")).select("e.*").where("v IS NOT NULL AND NOT isnan(v)")
+              .groupBy("feat", "v").agg(F.count(F.lit(1)).alias("n")))
+    # written, so that both reads below see the same ranges
+    counts = materialise(counts.repartitionByRange("feat", "v").withColumn("part", F.spark_partition_id()), "cuts")
+    parts = counts.groupBy("feat", "part").agg(F.sum("n").alias("pn"))
+    one = Window.partitionBy("feat")
+    parts = parts.select("feat", "part", F.coalesce(F.sum("pn").over(
+        one.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"), F.sum("pn").over(one).alias("total"))
+    upto = Window.partitionBy("feat", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("r", F.sum("n").over(upto)).join(parts, ["feat", "part"])
+    step = lambda c: F.expr(f"CAST(({c}) * {max_bins} AS BIGINT) div total")
+    rows = ranked.where(F.least(step("off + r"), F.lit(max_bins - 1)) > step("off + r - n")).select("feat", "v").collect()
+    return [sorted(r["v"] for r in rows if r["feat"] == i) for i in range(len(cols))]
+
+
 def fit_bins(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
              max_bins: int = 64) -> Binning:
-    """Quantile cut points for every numeric feature in one aggregate."""
+    """Exact quantile cut points of every numeric feature; category counts of the others."""
     numeric, categorical = list(numeric), list(categorical)
-    probs = [i / max_bins for i in range(1, max_bins)]
-    aggs = [F.percentile_approx(F.col(c).cast("double"), probs, 10000).alias(f"q{i}")
-            for i, c in enumerate(numeric)]
-    aggs += [F.max(F.col(c)).alias(f"k{i}") for i, c in enumerate(categorical)]
-    row = df.agg(*aggs).first() if aggs else None
-    feats, cat, cuts, n_bins = [], [], [], []
-    for i, c in enumerate(numeric):
-        vals = sorted({float(v) for v in (row[f"q{i}"] or []) if v is not None and v == v})
-        feats.append(c), cat.append(False), cuts.append(vals), n_bins.append(len(vals) + 2)
-    for i, c in enumerate(categorical):
-        k = int(row[f"k{i}"] or 0) + 1
-        feats.append(c), cat.append(True), cuts.append([]), n_bins.append(k + 1)
-    return Binning(feats, cat, cuts, n_bins)
+    cuts = quantile_cuts(df, numeric, max_bins)
+    top = df.agg(*[F.max(F.col(c)).alias(f"k{i}") for i, c in enumerate(categorical)]).first() if categorical else None
+    sizes = [len(c) + 2 for c in cuts] + [int(top[f"k{i}"] or 0) + 2 for i in range(len(categorical))]
+    return Binning([*numeric, *categorical], [False] * len(numeric) + [True] * len(categorical),
+                   cuts + [[] for _ in categorical], sizes)
 
 
 def apply_bins(df: DataFrame, binning: Binning) -> DataFrame:

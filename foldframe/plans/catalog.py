@@ -540,3 +540,135 @@ def q_te_oof_sparse(spark, sf):
     tr = folds.assign_stratified_kfold(d, "y", k=5, seed=42)
     enc = encode.target_encode_oof(tr, ["lang", "source"], "y", k=5, smoothing=1.0, noise_level=0.0, seed=0)
     return rounded(enc.select("outer", "id", "lang_encoded", "source_encoded"))
+
+
+# --------------------------------------------------------------- operators on their own
+from ..functions.scalar import as_int  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+
+def _written(spark, df, write) -> str:
+    """Path of a table written to the session's scratch folder by a sink under test."""
+    path = scratch_path(spark, "sink")
+    write(df, path)
+    return path
+
+
+@query("read_table")
+def q_read_table(spark, sf):
+    """The order keys and prices as CSV, read back with a schema and the key renamed."""
+    d = fx.fcls(spark, sf).select(F.col("id").alias("key"), "o_totalprice", "o_orderpriority")
+    path = _written(spark, d, lambda t, p: t.write.option("header", "true").csv(p))
+    return rounded(io.read_table(spark, path, fmt="csv", rename_id="key",
+                                 schema="key long, o_totalprice double, o_orderpriority string"))
+
+
+@query("read_reference_table")
+def q_read_reference(spark, sf):
+    """External labelled rows with their own key and label names."""
+    d = fx.fcls(spark, sf).filter(F.col("part") == "original").select(
+        F.col("id").alias("ext_id"), F.col("y").alias("target"), "c_nationkey")
+    path = _written(spark, d, lambda t, p: t.write.parquet(p))
+    return io.read_reference_table(spark, path, key_col="ext_id", rename={"target": "y"})
+
+
+@query("oof_round_trip")
+def q_oof_round_trip(spark, sf):
+    """S5 then S3: OOF predictions written, read back under a model name."""
+    d = fx.fpred_oof(spark, sf).select("id", "fold", F.col("p1").alias("pred"), "y")
+    return rounded(io.read_oof(spark, _written(spark, d, io.write_oof), "m1"))
+
+
+@query("fold_predictions_round_trip")
+def q_fold_round_trip(spark, sf):
+    """S6 then S4: fold test predictions written by fold, read back under a model name."""
+    d = fx.fpred_test(spark, sf).select("id", "fold", F.col("p1").alias("pred"))
+    return rounded(io.read_fold_predictions(spark, _written(spark, d, io.write_fold_predictions), "m1"))
+
+
+@query("split_features_label")
+def q_split_features(spark, sf):
+    """Feature columns without id, label and excludes; the label beside them."""
+    d = fx.fcls(spark, sf)
+    feats, label = features.split_features_label(d, "y", exclude=["part", "status"])
+    assert features.select_stat_columns(d, "y", exclude=["part", "status"]) == feats
+    return rounded(d.select("id", *feats, label))
+
+
+@query("categorical_columns")
+def q_categorical_columns(spark, sf):
+    """The string columns."""
+    d = fx.fcls(spark, sf)
+    return d.select("id", *features.categorical_columns(d, exclude=["part"]))
+
+
+@query("cast_label")
+def q_cast_label(spark, sf):
+    """A boolean label and a double code as integers."""
+    d = fx.fcls(spark, sf).select("id", (F.col("status") == "F").alias("label"), F.col("c_nationkey").cast("double").alias("code"))
+    return features.cast_label(d, "label").withColumn("code", as_int(F.col("code")))
+
+
+@query("fill_default")
+def q_fill_default(spark, sf):
+    """A left-joined statistic filled with the global mean, renamed, its source column dropped."""
+    d = fx.fcls(spark, sf)
+    fit = d.filter((F.col("part") == "train") & (F.col("o_orderpriority") != "5-LOW"))
+    st = stats.key_target_stats(fit, ["o_orderpriority"], "y", count=False)
+    t = stats.join_key_stats(d.filter(F.col("part") == "test").select("id", "o_orderpriority"), st)
+    t = t.crossJoin(F.broadcast(stats.global_mean(fit, "y")))      # one row
+    t = features.fill_default(t, ["o_orderpriority_mean"], "global_mean")
+    return rounded(features.rename_prediction(features.drop_encoded_sources(t, ["o_orderpriority"]), {"o_orderpriority_mean": "enc"}))
+
+
+@query("train_valid_split")
+def q_train_valid(spark, sf):
+    """Fold 2 split off, every part put together again."""
+    tr = _fcls_folds(spark, sf).select("id", "fold", "y")
+    train, valid = folds.train_valid_split(tr, 2)
+    other = folds.filter_fold(tr, 0).withColumn("role", F.lit("fold0"))
+    return features.union_folds([train.withColumn("role", F.lit("train")), valid.withColumn("role", F.lit("valid")), other])
+
+
+@query("stack_predictions")
+def q_stack_predictions(spark, sf):
+    """Long predictions of three models as a stack matrix."""
+    long = _pred_long(spark, sf).select("id", "model", F.col("score").alias("pred"))
+    return rounded(blend.stack_predictions(long, ["p1", "p2", "p3"]))
+
+
+@query("score_report")
+def q_score_report(spark, sf):
+    """V5, V4: pooled AUC of each prediction column."""
+    return rounded(metrics.score_report(fx.fpred_oof(spark, sf), ["p1", "p2", "p3"]))
+
+
+@query("fold_scores")
+def q_fold_scores(spark, sf):
+    """V3: AUC and RMSE of one model per fold."""
+    d = fx.fpred_oof(spark, sf)
+    return rounded(metrics.fold_scores(d, "p1").unionByName(metrics.fold_scores(d, "p1", metric="rmse")))
+
+
+def _blend_inputs(spark, sf):
+    oof, t = fx.fpred_oof(spark, sf), fx.fpred_test(spark, sf)
+    return ([oof.select("id", "p1", "y"), oof.select("id", "p2", "y")],
+            [t.select("id", "fold", "p1"), t.select("id", "fold", "p2")], ["p1", "p2"])
+
+
+@query("blend_pipeline_lda")
+def q_blend_lda(spark, sf):
+    """C2 with the discriminant."""
+    return rounded(pipelines.blend_pipeline(*_blend_inputs(spark, sf), kind="lda"))
+
+
+@query("vote_scores")
+def q_vote_scores(spark, sf):
+    """Pooled out-of-fold AUC of logistic regression, discriminant and vote."""
+    return rounded(pipelines.vote_pipeline(*_blend_inputs(spark, sf)).scores, 7)
+
+
+@query("vote_only_submission")
+def q_vote_only(spark, sf):
+    """C3 with the vote as the final prediction, which equals the mean of the three (Q22)."""
+    return rounded(pipelines.vote_pipeline(*_blend_inputs(spark, sf), final="vote").submission)

@@ -446,3 +446,58 @@ skf AS (SELECT id, toxic AS y, lang, source, {strat_fold('id', 'toxic', 5, 42)}
 ex AS (SELECT CAST(o.k AS INTEGER) AS "outer", skf.* FROM skf, range(5) o(k) WHERE fold <> o.k)"""
 
 oracle("target_encode_oof_sparse", _te_oof(["lang", "source"], _DOC_SKF, lam=1.0, sig=0.0, seed=0))
+
+
+# --------------------------------------------------------------- operators on their own
+oracle("read_table", f"""WITH {FCLS} SELECT id, round(o_totalprice, {D}) AS o_totalprice, o_orderpriority FROM fcls""")
+oracle("read_reference_table", f"""WITH {FCLS} SELECT id, y, c_nationkey FROM fcls WHERE part = 'original'""")
+oracle("oof_round_trip", f"""WITH {FPRED} SELECT id, round(p1, {D}) AS m1, y FROM fpred""")
+oracle("fold_predictions_round_trip", f"""WITH {FPRED} SELECT id, fold, round(p1, {D}) AS m1 FROM fpred_test""")
+oracle("split_features_label", f"""WITH {FCLS}
+SELECT id, o_orderpriority, c_mktsegment, c_nationkey, round(o_totalprice, {D}) AS o_totalprice,
+       round(c_acctbal, {D}) AS c_acctbal, y FROM fcls""")
+oracle("categorical_columns", f"""WITH {FCLS} SELECT id, o_orderpriority, c_mktsegment, status FROM fcls""")
+oracle("cast_label", f"""WITH {FCLS}
+SELECT id, CAST(status = 'F' AS INTEGER) AS label, CAST(c_nationkey AS INTEGER) AS code FROM fcls""")
+oracle("fill_default", f"""WITH {FCLS},
+fit AS (SELECT * FROM fcls WHERE part = 'train' AND o_orderpriority <> '5-LOW'),
+gm AS (SELECT avg(CAST(y AS DOUBLE)) AS g FROM fit),
+st AS (SELECT o_orderpriority AS k, avg(CAST(y AS DOUBLE)) AS m FROM fit GROUP BY 1)
+SELECT id, round(coalesce(st.m, gm.g), {D}) AS enc, round(gm.g, {D}) AS global_mean
+FROM fcls t LEFT JOIN st ON t.o_orderpriority = st.k, gm WHERE part = 'test'""")
+oracle("train_valid_split", f"""WITH {_SK}
+SELECT id, fold, y, CASE WHEN fold = 2 THEN 'valid' ELSE 'train' END AS role FROM skf
+UNION ALL SELECT id, fold, y, 'fold0' FROM skf WHERE fold = 0""")
+oracle("stack_predictions", f"""WITH {FPRED}
+SELECT id, round(p1, {D}) AS p1, round(p2, {D}) AS p2, round(p3, {D}) AS p3 FROM fpred""")
+oracle("score_report", f"""WITH {_LONG}
+SELECT model, 'auc' AS metric, round(value, {D}) AS value FROM {auc_sql('plong', 'score', 'y', 'model', 'value')} a""")
+oracle("fold_scores", f"""WITH {_LONG}
+SELECT model, fold, 'auc' AS metric, round(value, {D}) AS value
+FROM {auc_sql('plong', 'score', 'y', 'model, fold', 'value')} a WHERE model = 'p1'
+UNION ALL
+SELECT model, fold, 'rmse', round(sqrt(avg((CAST(y AS DOUBLE) - score) * (CAST(y AS DOUBLE) - score))), {D})
+FROM plong WHERE model = 'p1' GROUP BY model, fold""")
+oracle("blend_pipeline_lda", ORACLE["lda_blend_submission"])
+oracle("vote_scores", f"""WITH {FPRED},
+vs AS (SELECT 'lr' AS model, id, pred FROM ({ORACLE['logistic_oof']}) a UNION ALL
+       SELECT 'lda', id, pred FROM ({ORACLE['lda_oof']}) b UNION ALL
+       SELECT 'vote', id, pred FROM ({ORACLE['vote_blend']}) c),
+vy AS (SELECT vs.*, fpred.y FROM vs JOIN fpred USING (id))
+SELECT model, 'auc' AS metric, round(value, 7) AS value FROM {auc_sql('vy', 'pred', 'y', 'model', 'value')} a""")
+oracle("vote_only_submission", ORACLE["vote_submission"])
+
+
+def _bins(col: str, b: int) -> str:
+    """Exact rank-defined cut points: b * (rows up to v) / n passes a whole number below b."""
+    return f"""c_{col} AS (
+  SELECT v FROM (SELECT v, sum(n) OVER (ORDER BY v) AS r, n, sum(n) OVER () AS total
+                 FROM (SELECT {col} AS v, count(*) AS n FROM tr WHERE {col} IS NOT NULL AND NOT isnan({col}) GROUP BY 1))
+  WHERE least((r * {b}) // total, {b} - 1) > ((r - n) * {b}) // total)"""
+
+
+oracle("quantile_bin", f"""WITH {FSIG},
+tr AS (SELECT id, o_totalprice, c_acctbal FROM fsig WHERE part = 'train'),
+{_bins('o_totalprice', 16)}, {_bins('c_acctbal', 16)}
+SELECT id, (SELECT CAST(count(*) AS INTEGER) FROM c_o_totalprice WHERE v <= t.o_totalprice) AS o_totalprice_bin,
+       (SELECT CAST(count(*) AS INTEGER) FROM c_c_acctbal WHERE v <= t.c_acctbal) AS c_acctbal_bin FROM tr t""")
