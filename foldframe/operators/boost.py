@@ -606,6 +606,9 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
             written = folder
             anchor = anchor_src = df.sparkSession.read.schema(schema).parquet(folder).persist(StorageLevel.MEMORY_AND_DISK)
             anc = [len(trees[m]) for m in range(M)]
+    for m in range(M):
+        if not has_valid[m]:           # a refit keeps all its trees
+            best_iter[m] = len(trees[m])
     state = current(with_best=True)
     return BoostResult(p, binning, specs, base, trees, best_iter, losses, state, owned,
                        [anchor_src, *([written] if written else [])])

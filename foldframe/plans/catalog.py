@@ -500,7 +500,7 @@ def q_submission(spark, sf):
                                      [t.select("id", "fold", "p1"), t.select("id", "fold", "p2")],
                                      ["p1", "p2"], kind="ridge")
     template = fx.fsig(spark, sf).filter(F.col("part") == "test").select("id")
-    return rounded(io.submission(template, preds, "target"))
+    return rounded(io.submission(template, preds, "target", strict=True))
 
 
 ACCT_CUTS = [-500.0, 0.0, 1000.0, 2000.0, 3000.0, 4000.0, 5000.0, 6000.0, 7000.0, 8000.0, 9000.0]

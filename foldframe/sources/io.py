@@ -9,6 +9,7 @@ partition pruning.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,17 +93,21 @@ def write_fold_predictions(test_preds: DataFrame, path: str, fold_col: str = "fo
 
 
 def submission(template: DataFrame, preds: DataFrame, label_col: str, pred_col: str = "pred",
-               id_col: str = "id", check: bool = True) -> DataFrame:
+               id_col: str = "id", check: bool = True, strict: bool = False) -> DataFrame:
     """S7 (frame): the template's ids with the label column filled by the prediction.
 
-    ``check``: both tables must hold each id once, and the predictions every id of the template.
+    ``check``: both tables must hold each id once, and template ids without a prediction are reported
+    as a warning, or with ``strict`` as an error.
     """
     if check:
         assert_unique(template, [id_col], "template")
         assert_unique(preds, [id_col], "predictions")
-        lost = template.join(preds.select(id_col), id_col, "left_anti").limit(1).collect()
-        if lost:
-            raise ValueError(f"no prediction for id {lost[0][id_col]}")
+        lost = template.join(preds.select(id_col), id_col, "left_anti").agg(F.count(F.lit(1)), F.min(id_col)).first()
+        if lost[0]:
+            said = f"{lost[0]} ids of the template have no prediction, the first is {lost[1]}"
+            if strict:
+                raise ValueError(said)
+            warnings.warn(said, stacklevel=2)
     return (template.select(id_col)
                     .join(preds.select(id_col, F.col(pred_col).alias(label_col)), id_col, "left"))
 
