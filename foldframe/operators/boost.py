@@ -340,6 +340,14 @@ class BoostResult:
         return F.expr(z)
 
 
+def tree_features(p: BoostParams, n: int, tree: int, model: int) -> list[int]:
+    """T4: the features a tree may split on, whatever other models are still growing."""
+    if p.colsample_bytree >= 1.0:
+        return list(range(n))
+    kk = max(1, int(round(n * p.colsample_bytree)))
+    return sorted(np.random.RandomState([p.seed, tree, model]).choice(n, kk, replace=False).tolist())
+
+
 def bag_sql(seed: int, tree: int, model: int, id_col: str) -> str:
     """T4: a number in [0, 1) for every row, tree and model."""
     return (f"(CAST(conv(substr(md5(concat_ws('|', 'bag', '{seed}', '{tree}', '{model}', CAST(`{id_col}` AS STRING))), 1, 8), "
@@ -490,7 +498,6 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
     best_loss = [np.inf] * M
     losses: list[list[float]] = [[] for _ in range(M)]
     has_valid = [s.valid is not None for s in specs]
-    rng_cols = np.random.RandomState(p.seed)
 
     def fcol(m: int) -> str:
         return "__F" if owned else f"__F{m}"
@@ -523,11 +530,7 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
         cur = {m: Tree() for m in live} if growing else {}
         feats_of = {}
         for m in cur:
-            if p.colsample_bytree < 1.0:
-                kk = max(1, int(round(nf * p.colsample_bytree)))
-                feats_of[m] = sorted(rng_cols.choice(nf, kk, replace=False).tolist())
-            else:
-                feats_of[m] = list(range(nf))
+            feats_of[m] = tree_features(p, nf, t, m)
         open_nodes = {m: [1] for m in cur}
         loss_models = [m for m in live if has_valid[m]]
         view = current()

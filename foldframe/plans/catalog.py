@@ -376,6 +376,10 @@ def q_best_split(spark, sf):
     return rounded(spark.createDataFrame(out, "model int, feat int, bin int, gain double, GL double, HL double"), 6)
 
 
+EARLY_P = _quick("squared", n_trees=30, learning_rate=0.6, early_stopping=2)
+SAMPLED_P = _quick("squared", subsample=0.7, colsample_bytree=0.67, reg_alpha=1.0, gamma=0.5, min_child_weight=20.0)
+
+
 @query("boost_regress_oof")
 def q_boost_reg(spark, sf):
     d = _sig_rows(spark, sf, cat=False)
@@ -383,7 +387,7 @@ def q_boost_reg(spark, sf):
     rows = tr.unionByName(d.filter(F.col("part") == "test").withColumn("fold", F.lit(-1)))
     res = boost.fit_boosted(rows, SIG_NUM, "s", boost.cv_specs(5, "fold", "part"), _quick("squared"),
                             keep_cols=["fold", "part"])
-    return boost.oof_predictions(res, 5)
+    return rounded(boost.oof_predictions(res, 5), 6)
 
 
 @query("boost_classify_oof")
@@ -392,7 +396,7 @@ def q_boost_cls(spark, sf):
     tr = folds.assign_stratified_kfold(d.filter(F.col("part") == "train"), "y_sig", k=5, seed=42)
     res = boost.fit_boosted(tr, SIG_NUM, "y_sig", boost.cv_specs(5, "fold"), _quick("logistic"),
                             keep_cols=["fold"])
-    return boost.oof_predictions(res, 5)
+    return rounded(boost.oof_predictions(res, 5), 6)
 
 
 @query("boost_categorical")
@@ -402,27 +406,26 @@ def q_boost_cat(spark, sf):
     feats = [*SIG_NUM, "c_mktsegment", "o_orderpriority"]
     res = boost.fit_boosted(tr, feats, "s", boost.cv_specs(5, "fold"), _quick("squared"),
                             categorical=["c_mktsegment", "o_orderpriority"], keep_cols=["fold"])
-    return boost.oof_predictions(res, 5)
+    return rounded(boost.oof_predictions(res, 5), 6)
 
 
 @query("boost_early_stop")
 def q_boost_es(spark, sf):
     d = _sig_rows(spark, sf, cat=False)
     tr = folds.assign_kfold(d.filter(F.col("part") == "train"), k=5, seed=42)
-    p = _quick("squared", n_trees=30, learning_rate=0.6, early_stopping=2)
+    p = EARLY_P
     res = boost.fit_boosted(tr, SIG_NUM, "s", boost.cv_specs(5, "fold"), p, keep_cols=["fold"])
     rows = [(o, res.best_iter[o], len(res.trees[o]), float(min(res.valid_loss[o]))) for o in range(5)]
-    return spark.createDataFrame(rows, "fold int, best_iter int, trees_grown int, best_valid_loss double")
+    return rounded(spark.createDataFrame(rows, "fold int, best_iter int, trees_grown int, best_valid_loss double"), 6)
 
 
 @query("boost_sampled")
 def q_boost_sampled(spark, sf):
     d = _sig_rows(spark, sf, cat=False)
     tr = folds.assign_kfold(d.filter(F.col("part") == "train"), k=5, seed=42)
-    p = _quick("squared", subsample=0.7, colsample_bytree=0.67, reg_alpha=1.0, gamma=0.5,
-               min_child_weight=20.0)
+    p = SAMPLED_P
     res = boost.fit_boosted(tr, SIG_NUM, "s", boost.cv_specs(5, "fold"), p, keep_cols=["fold"])
-    return boost.oof_predictions(res, 5)
+    return rounded(boost.oof_predictions(res, 5), 6)
 
 
 @query("cv_submission")

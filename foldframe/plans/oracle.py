@@ -488,16 +488,31 @@ SELECT model, 'auc' AS metric, round(value, 7) AS value FROM {auc_sql('vy', 'pre
 oracle("vote_only_submission", ORACLE["vote_submission"])
 
 
-def _bins(col: str, b: int) -> str:
-    """Exact rank-defined cut points: b * (rows up to v) / n passes a whole number below b."""
-    return f"""c_{col} AS (
-  SELECT v FROM (SELECT v, sum(n) OVER (ORDER BY v) AS r, n, sum(n) OVER () AS total
-                 FROM (SELECT {col} AS v, count(*) AS n FROM tr WHERE {col} IS NOT NULL AND NOT isnan({col}) GROUP BY 1))
-  WHERE least((r * {b}) // total, {b} - 1) > ((r - n) * {b}) // total)"""
+# --------------------------------------------------------------- boosted fits, tree by tree
+from .boostsql import boost_ctes, cuts_sql, oof_sql  # noqa: E402
+from .catalog import EARLY_P, SAMPLED_P, SIG_NUM, _quick  # noqa: E402
 
 
+def _boost(p, label="s", strata=None, cats=()):
+    codes = ", ".join(f"(SELECT count(DISTINCT {c}) FROM fsig q WHERE q.part = 'train' AND q.{c} < f.{c}) AS {c}" for c in cats)
+    rows = f"""tr AS MATERIALIZED (SELECT id, {strat_fold('id', strata, 5, 42)} AS fold, {label} AS y,
+      {', '.join(SIG_NUM)}{', ' + codes if cats else ''} FROM fsig f WHERE part = 'train')"""
+    return f"WITH {FSIG},\n" + ",\n".join([rows, *boost_ctes("tr", SIG_NUM, list(cats), p, 5)]) + "\n"
+
+
+def _oof(p):
+    return f"SELECT id, fold, CAST(y AS DOUBLE) AS y, round(pred, 6) AS pred FROM ({oof_sql(p)}) o"
+
+
+oracle("boost_regress_oof", _boost(_quick("squared")) + _oof(_quick("squared")).replace("CAST(y AS DOUBLE)", "round(y, 6)"))
+oracle("boost_classify_oof", _boost(_quick("logistic"), "y_sig", "y_sig") + _oof(_quick("logistic")))
+oracle("boost_categorical", _boost(_quick("squared"), cats=("c_mktsegment", "o_orderpriority"))
+       + _oof(_quick("squared")).replace("CAST(y AS DOUBLE)", "round(y, 6)"))
+oracle("boost_sampled", _boost(SAMPLED_P) + _oof(SAMPLED_P).replace("CAST(y AS DOUBLE)", "round(y, 6)"))
+oracle("boost_early_stop", _boost(EARLY_P) + """SELECT model AS fold, CAST(best_iter AS INTEGER) AS best_iter,
+  CAST(trees_grown AS INTEGER) AS trees_grown, round(best_valid_loss, 6) AS best_valid_loss FROM best""")
 oracle("quantile_bin", f"""WITH {FSIG},
 tr AS (SELECT id, o_totalprice, c_acctbal FROM fsig WHERE part = 'train'),
-{_bins('o_totalprice', 16)}, {_bins('c_acctbal', 16)}
-SELECT id, (SELECT CAST(count(*) AS INTEGER) FROM c_o_totalprice WHERE v <= t.o_totalprice) AS o_totalprice_bin,
-       (SELECT CAST(count(*) AS INTEGER) FROM c_c_acctbal WHERE v <= t.c_acctbal) AS c_acctbal_bin FROM tr t""")
+{cuts_sql('c1', 'tr', 'o_totalprice', 16)}, {cuts_sql('c2', 'tr', 'c_acctbal', 16)}
+SELECT id, (SELECT CAST(count(*) AS INTEGER) FROM c1 WHERE v <= t.o_totalprice) AS o_totalprice_bin,
+       (SELECT CAST(count(*) AS INTEGER) FROM c2 WHERE v <= t.c_acctbal) AS c_acctbal_bin FROM tr t""")
