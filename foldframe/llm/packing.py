@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from foldframe.llm.common import Scratch, table
 
 _RANGES = 1024
+#: Words of lower-case ASCII and Latin-1 letters: the tokenizer's normaliser and splitter leave them as they are.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: A stop or comma that ends a word; the letters before it are ASCII or in the two-byte range of Latin letters.
 _STOP = re.compile(rb"(?<=[a-z0-9])[.,](?=[\x20\x09-\x0D]|$)|(?<=\xc3[\xa0-\xb6\xb8-\xbf])[.,](?=[\x20\x09-\x0D]|$)")
 
@@ -41,6 +44,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(maxsize=1)
+def _byte_letters() -> dict[int, str]:
+    """The letters that a byte-level vocabulary writes bytes with: printable Latin-1 ones stand for themselves, the
+    others follow from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -75,8 +87,13 @@ class TokenIds:
             self.old, self.young = self.young, {}
         unknown = [p for p in parts if p not in self.old]
         self.young.update((p, self.old[p]) for p in parts if p in self.old)
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in unknown], add_special_tokens=False)
-        ids = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(unknown, found)}
+        # plain words go to the model itself, which spares them the normaliser and the splitter
+        letters, tokenize = _byte_letters(), self.tokenizer.model.tokenize
+        ids = {p: array("I", [t.id for t in tokenize(p.decode("latin-1").translate(letters))]).tobytes()
+               for p in unknown if _PLAIN.fullmatch(p)}
+        other = [p for p in unknown if p not in ids]
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in other], add_special_tokens=False)
+        ids.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(other, found))
         self.young.update((p, b) for p, b in ids.items() if len(p) <= self.short)
         return {p: b for p, b in ids.items() if len(p) > self.short}
 

@@ -18,7 +18,7 @@ def reference_ids(text):
 
 
 ODD = ["a\x1cb c\x85d e f", "é x", "<|endoftext|> x <|startoftext|>y", "<|ENDOFTEXT|>, a. B, c.", "ΑΣ ΣΑΣ.", "don't can 't CAN'T, x'S.",
-       "ﬁ ① ½ 𝒳", "x　y z", "Été, Æ. ß. ñ, ×. ÷,", "é.́ a.́", "a.. b., c. d", "1. 2,", "I. 's. 't,", "É.", "́a ." "a" * 500, ""]
+       "ﬁ ① ½ 𝒳", "x　y z", "Été, Æ. ß. ñ, ×. ÷,", "é.́ a.́", "a.. b., c. d", "1. 2,", "I. 's. 't,", "É.", "straße ÿ÷ø naïve ×x", "́a ." "a" * 500, ""]
 
 
 @pytest.mark.parametrize("memo", [3, 100_000])
