@@ -61,5 +61,34 @@ SELECT doc_id, size, n AS source_size, target, (t0 + t1)::BIGINT AS taken,
             WHEN x < half THEN 2 * x / (c0 + sqrt(greatest(0.0, c0 * c0 + 2 * bend * x)))
             ELSE 0.5 + 2 * (x - half) / (1.0 + sqrt(greatest(0.0, 1.0 + 2 * bend * (x - half)))) END) END AS position
 FROM c
+""",
+    "op2_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT *, sqrt(list_dot_product(e, e)) AS size FROM v
+       WHERE label IS NOT NULL AND e IS NOT NULL AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0
+         AND len([x FOR x IN e IF x <> 0]) > 0),
+link AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
+         AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.93),
+reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, least.y)::BIGINT AS component_id,
+       vec_id = least(vec_id, least.y) AS kept
+FROM embeddings LEFT JOIN n ON vec_id = n.x LEFT JOIN least ON vec_id = least.x
+""",
+    "op6_repeats": """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS MATERIALIZED (SELECT r, i, hash(substr(x, 2 * i + 1, 400)) AS k
+     FROM (SELECT r, x, unnest(range(0, greatest(0, length(x) // 2 - 199))) AS i FROM d)),
+c AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+p AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS j FROM w WHERE k IN (SELECT k FROM c)),
+g AS (SELECT r, i, count(*) FILTER (WHERE j IS NULL OR i > j + 200) OVER (PARTITION BY r ORDER BY i) AS span FROM p),
+s AS (SELECT r, span, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, span),
+t AS (SELECT s.r, a, b, coalesce(lag(b) OVER (PARTITION BY s.r ORDER BY a), 0) AS z FROM s),
+u AS (SELECT t.r, sum(b - a)::BIGINT AS removed, count(*)::BIGINT AS spans, max(b) AS last,
+             string_agg(substr(x, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept FROM t JOIN d USING (r) GROUP BY t.r)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN removed IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN u USING (r)
 """,
 }
