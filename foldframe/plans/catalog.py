@@ -441,18 +441,20 @@ def q_cv_pipeline(spark, sf):
     return r.submission
 
 
+SCORES_P, _ = registry.model_spec("reg_depthwise_4", n_trees=10, early_stopping=3, learning_rate=0.3, max_depth=3,
+                                  min_child_weight=5.0, max_bins=32)
+
+
 @query("cv_scores")
 def q_cv_scores(spark, sf):
     d = fx.fsig(spark, sf)
     train = d.filter(F.col("part") == "train").select("id", "s", "o_totalprice", "c_acctbal", "c_mktsegment")
     test = d.filter(F.col("part") == "test").select("id", "o_totalprice", "c_acctbal", "c_mktsegment")
     ext = d.filter(F.col("part") == "original").select("s", "c_mktsegment")
-    p, _ = registry.model_spec("reg_depthwise_4", n_trees=10, early_stopping=3, learning_rate=0.3, max_depth=3,
-                               min_child_weight=5.0, max_bins=32)
-    r = pipelines.cv_pipeline(train, test, "s", ["o_totalprice", "c_acctbal", "c_mktsegment"], p, k=5,
+    r = pipelines.cv_pipeline(train, test, "s", ["o_totalprice", "c_acctbal", "c_mktsegment"], SCORES_P, k=5,
                               stratified=False, categorical_cols=["c_mktsegment"], external=ext,
                               external_cols=["c_mktsegment"], metric="rmse")
-    return r.scores
+    return rounded(r.scores, 6)
 
 
 @query("vote_submission")
@@ -675,3 +677,38 @@ def q_vote_scores(spark, sf):
 def q_vote_only(spark, sf):
     """C3 with the vote as the final prediction, which equals the mean of the three (Q22)."""
     return rounded(pipelines.vote_pipeline(*_blend_inputs(spark, sf), final="vote").submission)
+
+
+@query("stacking_linear_bases")
+def q_stacking_linear(spark, sf):
+    """C5 with linear bases on the caller's folds: the bases' pooled out-of-fold scores."""
+    d = fx.fpred_oof(spark, sf)
+    ev = pipelines.StackingEvaluator([pipelines.BaseModel("ridge", "ridge", BLEND_X), pipelines.BaseModel("lda", "lda", BLEND_X)],
+                                     d, "y", stacker="lda", fold_col="fold").fit()
+    return rounded(ev.report().filter(F.col("model").isin("ridge", "lda")), 7)
+
+
+CV_P = boost.BoostParams(objective="squared", n_trees=4, learning_rate=0.3, max_depth=3, max_bins=32, min_child_weight=5.0, early_stopping=3)
+
+
+@query("cv_external_mean")
+def q_cv_external(spark, sf):
+    """C1 with external means only (E7) and external training rows in every fold."""
+    d = fx.fsig(spark, sf)
+    cols = ["id", "s", "o_totalprice", "c_acctbal", "c_nationkey"]
+    ext = d.filter(F.col("part") == "original").select(*cols)
+    r = pipelines.cv_pipeline(d.filter(F.col("part") == "train").select(*cols), d.filter(F.col("part") == "test").select(*cols),
+                              "s", cols[2:], CV_P, stratified=False, external=ext, external_cols=["c_nationkey"],
+                              external_stats=("mean",), external_rows=ext, metric="rmse")
+    return rounded(r.oof, 6)
+
+
+@query("cv_plain_encoding")
+def q_cv_plain(spark, sf):
+    """C1 with the plain target encoding (E4) of every outer-train part."""
+    d = fx.fsig(spark, sf)
+    cols = ["id", "s", "o_totalprice", "c_mktsegment"]
+    r = pipelines.cv_pipeline(d.filter(F.col("part") == "train").select(*cols), d.filter(F.col("part") == "test").select(*cols),
+                              "s", cols[2:], CV_P, stratified=False, target_encode_cols=["c_mktsegment"], encoding="plain",
+                              smoothing=2.0, metric="rmse")
+    return rounded(r.submission, 6)

@@ -490,7 +490,7 @@ oracle("vote_only_submission", ORACLE["vote_submission"])
 
 # --------------------------------------------------------------- boosted fits, tree by tree
 from .boostsql import boost_ctes, cuts_sql, oof_sql  # noqa: E402
-from .catalog import EARLY_P, SAMPLED_P, SIG_NUM, _quick  # noqa: E402
+from .catalog import CV_P, EARLY_P, SAMPLED_P, SCORES_P, SIG_NUM, _quick  # noqa: E402
 
 
 def _boost(p, label="s", strata=None, cats=()):
@@ -516,3 +516,27 @@ tr AS (SELECT id, o_totalprice, c_acctbal FROM fsig WHERE part = 'train'),
 {cuts_sql('c1', 'tr', 'o_totalprice', 16)}, {cuts_sql('c2', 'tr', 'c_acctbal', 16)}
 SELECT id, (SELECT CAST(count(*) AS INTEGER) FROM c1 WHERE v <= t.o_totalprice) AS o_totalprice_bin,
        (SELECT CAST(count(*) AS INTEGER) FROM c2 WHERE v <= t.c_acctbal) AS c_acctbal_bin FROM tr t""")
+
+oracle("stacking_linear_bases", f"""WITH {FPRED},
+vs AS (SELECT 'ridge' AS model, id, pred FROM ({ORACLE['ridge_oof']}) a UNION ALL
+       SELECT 'lda', id, pred FROM ({ORACLE['lda_oof']}) b),
+vy AS (SELECT vs.*, fpred.y FROM vs JOIN fpred USING (id))
+SELECT model, 'auc' AS metric, round(value, 7) AS value FROM {auc_sql('vy', 'pred', 'y', 'model', 'value')} a""")
+
+_ROWS = f"""WITH {FSIG},
+em AS (SELECT c_nationkey AS k, avg(s) AS m FROM fsig WHERE part = 'original' GROUP BY 1),
+tr AS MATERIALIZED (SELECT id, fold, s AS y, o_totalprice, c_acctbal, c_nationkey, em.m AS c_nationkey_mean
+  FROM (SELECT *, {strat_fold('id', None, 5, 42)} AS fold FROM fsig WHERE part = 'train'
+        UNION ALL SELECT *, -2 FROM fsig WHERE part = 'original') f LEFT JOIN em ON f.c_nationkey = em.k)"""
+oracle("cv_external_mean", ",\n".join([_ROWS, *boost_ctes("tr", [*SIG_NUM, "c_nationkey_mean"], [], CV_P, 5)]) + "\n"
+       + _oof(CV_P).replace("CAST(y AS DOUBLE)", "round(y, 6)"))
+
+_ROWS = f"""WITH {FSIG},
+em AS (SELECT c_mktsegment AS k, avg(s) AS m, count(*) AS n FROM fsig WHERE part = 'original' GROUP BY 1),
+tr AS MATERIALIZED (SELECT id, {strat_fold('id', None, 5, 42)} AS fold, s AS y, o_totalprice, c_acctbal, em.m AS seg_mean,
+  em.n AS seg_count, (SELECT count(DISTINCT q.c_mktsegment) FROM fsig q WHERE q.part = 'train' AND q.c_mktsegment < f.c_mktsegment) AS seg
+  FROM fsig f LEFT JOIN em ON f.c_mktsegment = em.k WHERE part = 'train')"""
+oracle("cv_scores", ",\n".join([_ROWS, *boost_ctes("tr", ["o_totalprice", "c_acctbal", "seg_mean", "seg_count"], ["seg"], SCORES_P, 5)])
+       + f"""
+SELECT 'model' AS model, fold, 'rmse' AS metric, round(sqrt(avg((y - pred) * (y - pred))), 6) AS value
+FROM ({oof_sql(SCORES_P)}) o GROUP BY fold""")

@@ -32,21 +32,35 @@ def cv_pipeline(train: DataFrame, test: DataFrame, label_col: str, features: Seq
                 categorical_cols: Sequence[str] = (), target_encode_cols: Sequence[str] = (),
                 smoothing: float = 1.0, noise_level: float = 0.0,
                 external: DataFrame | None = None, external_cols: Sequence[str] = (),
-                metric: str | None = None, name: str = "model") -> CVResult:
+                external_stats: Sequence[str] = ("mean", "count"), external_rows: DataFrame | None = None,
+                encoding: str = "oof", metric: str | None = None, name: str = "model") -> CVResult:
     """Folds -> encoders -> k boosted models (one pass per level) -> OOF, fold test,
     fold scores, submission.
 
     * ``ordinal_cols`` (E1) and ``categorical_cols`` (E3, split natively, T7) use a
       dictionary fitted on train;
-    * ``external`` + ``external_cols`` add ``<col>_mean`` / ``<col>_count`` (E7/E8);
+    * ``external`` + ``external_cols`` add ``<col>_mean`` / ``<col>_count`` (E7/E8), those that
+      ``external_stats`` names;
+    * ``external_rows`` (same columns, own ids) join the training part of every fold (U2) and are never
+      validated on (Q26); not together with ``target_encode_cols``;
     * ``target_encode_cols`` are encoded out-of-fold (E5) for training rows and with
-      outer-train statistics for validation and test rows (E6), per outer fold.
+      outer-train statistics for validation and test rows (E6), per outer fold; with
+      ``encoding="plain"`` all three by the plain encoding of the outer-train part (E4).
     """
+    if external_rows is not None and target_encode_cols:
+        raise ValueError("external_rows can't be combined with target_encode_cols")
     metric = metric or ("auc" if params.objective == "logistic" or stratified else "rmse")
     feats = list(features)
     if external is not None and external_cols:
-        train, test = stats.external_stats(external, [train, test], external_cols, label_col)
-        feats += [f"{c}_{s}" for c in external_cols for s in ("mean", "count")]
+        tables = [train, test] + ([external_rows] if external_rows is not None else [])
+        train, test, *more = stats.external_stats(external, tables, external_cols, label_col,
+                                                  mean="mean" in external_stats, count="count" in external_stats)
+        external_rows = more[0] if more else None
+        feats += [f"{c}_{s}" for c in external_cols for s in ("mean", "count") if s in external_stats]
+    fit_cats = train
+    for cols, enc_fn in ((ordinal_cols, encode.ordinal_encode), (categorical_cols, encode.category_encode)):
+        if cols and external_rows is not None:
+            external_rows = enc_fn(fit_cats, [external_rows], cols)[0]
     if ordinal_cols:
         train, test = encode.ordinal_encode(train, [train, test], ordinal_cols)
     if categorical_cols:
@@ -55,9 +69,16 @@ def cv_pipeline(train: DataFrame, test: DataFrame, label_col: str, features: Seq
              if stratified else folds.assign_kfold(train, k=k, seed=seed, id_col=id_col))
 
     if target_encode_cols:
-        tr_enc, va_enc, te_enc = encode.target_encode_cv(
-            train, test, target_encode_cols, label_col, k=k, smoothing=smoothing,
-            noise_level=noise_level, seed=seed, id_col=id_col)
+        if encoding == "plain":
+            part = folds.explode_outer_train(train, k)
+            every = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+            tr_enc, va_enc, te_enc = encode.target_encode(
+                part, [part, train.withColumn("outer", F.col("fold")), test.withColumn("outer", every)],
+                target_encode_cols, label_col, smoothing=smoothing, noise_level=noise_level, seed=seed, by=["outer"])
+        else:
+            tr_enc, va_enc, te_enc = encode.target_encode_cv(
+                train, test, target_encode_cols, label_col, k=k, smoothing=smoothing,
+                noise_level=noise_level, seed=seed, id_col=id_col)
         enc = [f"{c}_encoded" for c in target_encode_cols]
         feats = [f for f in feats if f not in set(target_encode_cols)] + enc
         cols = [id_col, "outer", "fold", label_col, *feats]
@@ -84,7 +105,12 @@ def cv_pipeline(train: DataFrame, test: DataFrame, label_col: str, features: Seq
                 .unionByName(test.withColumn("fold", F.lit(-1))
                              .withColumn(label_col, F.lit(None).cast(train.schema[label_col].dataType))
                              .select(id_col, "fold", label_col, *feats, F.lit("test").alias("__role"))))
-        res = boost.fit_boosted(rows, feats, label_col, boost.cv_specs(k, "fold", "__role"), params,
+        specs = boost.cv_specs(k, "fold", "__role")
+        if external_rows is not None:
+            rows = rows.unionByName(external_rows.withColumn("fold", F.lit(-2)).select(
+                id_col, "fold", label_col, *feats, F.lit("external").alias("__role")))
+            specs = [ModelSpec(s.name, s.train | (F.col("__role") == "external"), s.valid) for s in specs]
+        res = boost.fit_boosted(rows, feats, label_col, specs, params,
                                 categorical=categorical_cols, id_col=id_col, keep_cols=["fold", "__role"])
         oof = boost.oof_predictions(res, k, id_col=id_col).select(id_col, "fold", "y", "pred")
         fold_test = boost.fold_test_predictions(res, k, F.col("__role") == "test", id_col=id_col)
@@ -145,23 +171,35 @@ def vote_pipeline(oof_tables: Sequence[DataFrame], fold_tables: Sequence[DataFra
 @dataclass
 class BaseModel:
     name: str
-    params: BoostParams
+    params: BoostParams | str      # a booster's parameters, or "ridge", "lda", "logistic"
     features: list[str]
     categorical: list[str] = field(default_factory=list)
 
 
+def _fit_linear(kind: str, df: DataFrame, features: Sequence[str], label_col: str, fold_col: str, k: int):
+    if kind == "ridge":
+        return linear.fit_ridge_cv(df, features, label_col, fold_col)
+    if kind == "lda":
+        return linear.fit_lda_cv(df, features, label_col, fold_col)
+    if kind == "logistic":
+        return linear.fit_logistic_cv(df, features, label_col, fold_col, penalize_intercept=False, k=k)
+    raise ValueError(f"unknown linear model {kind!r}")
+
+
 class StackingEvaluator:
     """Out-of-fold base predictions, per-base AUC, a stacker over them.
 
     ``fit`` trains every base model's k fold models **and** its refit on all
     rows in one boosted run, so ``predict`` needs no further fits (Q24).  The
-    stacker is a linear model: ``"logistic"`` (free intercept, the default)
-    or ``"ridge"`` (regressor: raw prediction).  ``report`` gives the base
+    stacker is a linear model: ``"logistic"`` (free intercept, the default), ``"lda"``
+    or ``"ridge"`` (regressor: raw prediction).  Bases are boosters or the same linear models.
+    ``fold_col`` names the caller's own folds, else stratified folds are assigned.  ``report`` gives the base
     scores, the stacker's in-sample score and its cross-validated score.
     """
 
     def __init__(self, models: Sequence[BaseModel], df: DataFrame, label_col: str, k: int = 5,
-                 seed: int = 42, stacker: str = "logistic", id_col: str = "id"):
+                 seed: int = 42, stacker: str = "logistic", id_col: str = "id", fold_col: str | None = None):
+        self.fold_col = fold_col
         self.models, self.df, self.label, self.k = list(models), df, label_col, k
         self.seed, self.stacker_kind, self.id = seed, stacker, id_col
         self.results: dict[str, boost.BoostResult] = {}
@@ -170,11 +208,18 @@ class StackingEvaluator:
         self.scores: DataFrame | None = None
 
     def fit(self) -> StackingEvaluator:
-        d = folds.assign_stratified_kfold(self.df, self.label, k=self.k, seed=self.seed, id_col=self.id)
+        d = (self.df.withColumn("fold", F.col(self.fold_col)) if self.fold_col else
+             folds.assign_stratified_kfold(self.df, self.label, k=self.k, seed=self.seed, id_col=self.id))
+        blend.assert_unique(d, [self.id], "stacking rows")
         specs = boost.cv_specs(self.k, "fold", None, refit=True)
         stack = d.select(self.id, "fold", F.col(self.label).alias("y"))
         names = []
         for bm in self.models:
+            if isinstance(bm.params, str):
+                self.results[bm.name] = m = _fit_linear(bm.params, d, bm.features, self.label, "fold", self.k)
+                stack = stack.join(d.select(self.id, m.predict_by_fold("fold").alias(bm.name)), self.id)
+                names.append(bm.name)
+                continue
             res = boost.fit_boosted(d, bm.features, self.label, specs, bm.params, categorical=bm.categorical,
                                     id_col=self.id, keep_cols=["fold"])
             self.results[bm.name] = res
@@ -182,9 +227,7 @@ class StackingEvaluator:
                                .select(self.id, F.col("pred").alias(bm.name)), self.id)
             names.append(bm.name)
         self.stack = stack
-        fit = linear.fit_ridge_cv if self.stacker_kind == "ridge" else (
-            lambda df, f, y, fo: linear.fit_logistic_cv(df, f, y, fo, penalize_intercept=False, k=self.k))
-        self.stacker = fit(stack, names, "y", "fold")
+        self.stacker = _fit_linear(self.stacker_kind, stack, names, "y", "fold", self.k)
         rep = metrics.score_report(stack, names, "y")
         s_in = stack.select("y", self.stacker.predict().alias("stacker_in_sample"))
         s_cv = stack.select("y", self.stacker.predict_by_fold("fold").alias("stacker_cv"))
@@ -200,10 +243,13 @@ class StackingEvaluator:
         cols = []
         for bm in self.models:
             res = self.results[bm.name]
+            cols.append(bm.name)
+            if isinstance(res, linear.LinearModel):
+                df = df.withColumn(bm.name, res.predict())
+                continue
             binned = boost.apply_bins(df, res.binning)
             df = binned.withColumn(bm.name, res.score_expr(self.k)).drop(
                 *[res.binning.bin_col(i) for i in range(len(res.binning.features))])
-            cols.append(bm.name)
         return df.select(self.id, self.stacker.predict().alias("pred"))
 
 
@@ -211,8 +257,9 @@ class StackingEvaluator:
 def stack_pipeline(train: DataFrame, test: DataFrame, label_col: str, features: Sequence[str],
                    bases: Sequence[tuple[str, BoostParams]], external: DataFrame | None = None,
                    external_cols: Sequence[str] = (), k: int = 5, seed: int = 42,
-                   id_col: str = "id", categorical: Sequence[str] = ()):
-    """C4: bases on raw features, the same bases on features + external means (E7),
+                   id_col: str = "id", categorical: Sequence[str] = (),
+                   external_bases: Sequence[tuple[str, BoostParams]] | None = None):
+    """C4: bases on raw features, ``external_bases`` (default: the same) on features + external means (E7),
     OOF columns (K5) and refit test columns (K7), ridge stacker cross-validated (V4),
     ridge refit scores the test rows.  Returns ``(oof_stack, ridge_auc, submission)``."""
     d = folds.assign_stratified_kfold(train, label_col, k=k, seed=seed, id_col=id_col)
@@ -229,7 +276,7 @@ def stack_pipeline(train: DataFrame, test: DataFrame, label_col: str, features:
     tst = test.select(id_col)
     names = []
     for fs_name, feats in feature_sets:
-        for b_name, params in bases:
+        for b_name, params in (external_bases or bases) if fs_name == "ext" else bases:
             name = f"{b_name}_{fs_name}"
             res = boost.fit_boosted(rows, feats, label_col, specs, params,
                                     categorical=[c for c in categorical if c in feats],
