@@ -6,15 +6,17 @@ Every byte covered by a ``window``-byte string that starts anywhere else too is
 2. All texts are cut into phrases at rolling-hash triggers (``prefix_free``).  The dictionary is counted over
    the corpus: a phrase found in one place only cannot lie in a repeated window.  The phrase hashes
    go to their bucket packed, after each task has put together what it holds, so a phrase that a
-   third of all texts share is two entries a task.
+   third of all texts share is two entries a batch; pairs known to repeat don't go through the bucket.
 3. What is left of a text, runs of windows without such a phrase, is cut where the smallest trigger hash of the window
    changes.  Equal windows have equal smallest hashes, so they meet in one group; equal runs
-   are merged first.  A group beyond ``hot_bytes`` is cut again by three further hashes of each window.
-4. Groups are streamed in order; for about ``chunk`` bytes of them at a time the suffix arrays of dictionary and parse
+   are merged first.  A group beyond ``hot_bytes`` is cut again by three further hashes of each window, and equal
+   pieces are merged.  Of groups still beyond it, such as the edges of a passage that many texts hold, every window
+   is counted by its 128-bit hash, so that no task holds such a group.
+4. The other groups are streamed in order; for about ``chunk`` bytes of them at a time the suffix arrays of dictionary and parse
    give the corpus order, in which equal windows are neighbours (``repeated_windows``).
 5. The windows found go back to their texts, which lose the bytes they cover.
 
-Hashes only direct the work: windows are compared byte by byte, and a collision of phrase hashes costs time only.
+Other hashes only direct the work: windows are compared byte by byte, and a collision of phrase hashes costs time only.
 
 Results: null text is empty; texts shorter than the window lose nothing, also if repeated; repeated rows
 and ids are documents of their own; an empty table gives an empty result; other columns are not read.
@@ -73,9 +75,9 @@ def _sorted_pairs(h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return h[new], k[new]
 
 
-def repeated_phrases(texts: DataFrame, buckets: int) -> DataFrame:
-    """(k, h): phrases of the texts (column t) that occur in another text or again in their own."""
-    names = ["bucket", "h", "k", "known_h", "known_k"]
+def repeated_phrases(texts: DataFrame, buckets: int, scratch: Scratch) -> DataFrame:
+    """(k, h): phrases of the texts (column t) that occur in another text or again in their own; pairs may come again."""
+    names = ["bucket", "h", "k"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,20 +98,19 @@ def repeated_phrases(texts: DataFrame, buckets: int) -> DataFrame:
             new = np.append(True, h[1:] != h[:-1]) if len(h) else several
             send = ~several | new | (np.append(new[1:], True) if len(h) else several)
             known_h, known_k = np.concatenate([h[several], twice_h]), np.concatenate([k[several], twice_k])
-            o1, c1 = _split(h[send], buckets)
-            o2, c2 = _split(known_h, buckets)
-            sh, sk, kh, kk = h[send][o1], k[send][o1], known_h[o2], known_k[o2]
-            use = [b for b in range(buckets) if c1[b] < c1[b + 1] or c2[b] < c2[b + 1]]
-            part = lambda a, c: pa.array([a[c[b]:c[b + 1]].tobytes() for b in use], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), part(sh, c1), part(sk, c1), part(kh, c2), part(kk, c2)], names=names)
+            order, cut = _split(h[send], buckets)
+            sh, sk = h[send][order], k[send][order]
+            use = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+            part = lambda a: [a[cut[b]:cut[b + 1]].tobytes() for b in use]
+            # known pairs have no bucket
+            yield pa.RecordBatch.from_arrays([pa.array([*use, None], pa.int32()), pa.array([*part(sh), known_h.tobytes()], pa.binary()),
+                                              pa.array([*part(sk), known_k.tobytes()], pa.binary())], names=names)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: list) -> pa.RecordBatch:
-            h, k, kh, kk = (np.frombuffer(b"".join(r[i] for r in rows), np.int64) for i in range(4))
-            h, k = _sorted_pairs(h, k)
+            h, k = _sorted_pairs(*(np.frombuffer(b"".join(r[i] for r in rows), np.int64) for i in range(2)))
             several = _several_texts(h, k) if len(h) else np.empty(0, bool)
-            h, k = _sorted_pairs(np.concatenate([h[several], kh]), np.concatenate([k[several], kk]))
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(h)], names=["k", "h"])
+            return pa.RecordBatch.from_arrays([pa.array(k[several]), pa.array(h[several])], names=["k", "h"])
 
         last, rows = None, []
         for batch in batches:
@@ -122,8 +123,15 @@ def repeated_phrases(texts: DataFrame, buckets: int) -> DataFrame:
         if rows:
             yield found(rows)
 
-    packed = texts.mapInArrow(scan, "bucket int, h binary, k binary, known_h binary, known_k binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(match, "k long, h long")
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (k, h)], names=["k", "h"])
+
+    packed = scratch.write(texts.mapInArrow(scan, "bucket int, h binary, k binary"), "packed")
+    known = packed.where("bucket is null").select("h", "k").mapInArrow(unpack, "k long, h long")
+    return packed.where("bucket is not null").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        match, "k long, h long").unionByName(known)
 
 
 def _runs(text: bytes, first: int, end: int, window: int, salts=(), block: int = 1 << 20) -> Iterator[tuple[int, int, int, bool]]:
@@ -196,14 +204,55 @@ def candidate_runs(texts: DataFrame, window: int) -> DataFrame:
 
 
 def _cut_hot(runs: DataFrame, window: int) -> DataFrame:
-    """(key, sid, start, s) -> the same windows under keys of four hashes; ``k`` holds nothing."""
+    """(sid, s) -> pieces (key, pid, sid, start, s, again) of the same windows under keys of four hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sid, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield _run_batch([(key, sid, 0, a, s[a:b + window - 1], again)
-                                  for key, a, b, again in _runs(s, 0, len(s) - window + 1, window, _SALTS)])
+                rows = []
+                for key, a, b, again in _runs(s, 0, len(s) - window + 1, window, _SALTS):
+                    piece = s[a:b + window - 1]
+                    rows.append((key, xxhash.xxh3_128_digest(piece), sid, a, piece, again))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.bool_()]
+    names = ["key", "pid", "sid", "start", "s", "again"]
+    return runs.select("sid", "s").mapInArrow(run, "key long, pid binary, sid binary, start long, s binary, again boolean")
+
 
-    return runs.select("sid", "s").mapInArrow(run, _RUN).select("key", "sid", "start", "s")
+def _repeats_by_count(runs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    """(sid, a, b): window starts of the distinct runs (sid, s) whose window occurs again, by counting 128-bit hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sid, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for lo in range(0, len(s) - window + 1, 1 << 16):
+                    at = range(lo, min(len(s) - window + 1, lo + (1 << 16)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([xxhash.xxh3_128_digest(s[i:i + window]) for i in at], pa.binary()),
+                         pa.array([sid] * len(at), pa.binary()), pa.array(at, pa.int64())], names=["w", "sid", "a"])
+
+    windows = scratch.write(runs.select("sid", "s").mapInArrow(run, "w binary, sid binary, a long"), "windows")
+    again = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
+    # written right after the join, so that Spark may split the rows of a frequent window
+    counted = scratch.write(windows.join(again, "w").select("sid", "a", (F.col("a") + 1).alias("b")), "counted")
+    scratch.drop(windows)
+    return counted
+
+
+def _hot_repeats(runs: DataFrame, window: int, chunk: int, hot_bytes: int, scratch: Scratch) -> DataFrame:
+    """(sid, a, b) of the runs (sid, s) of groups beyond ``hot_bytes``."""
+    cut = scratch.write(_cut_hot(runs, window), "cut_hot")
+    pieces = scratch.write(cut.groupBy("key", "pid", "s").agg(F.count("*").alias("n"), F.max("again").alias("again")), "pieces")
+    groups = pieces.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.octet_length("s")).alias("size"),
+                                       F.max("again").alias("any_again")).where("m > 1 or any_again")
+    own = scratch.write(pieces.join(groups, "key").select("key", F.col("pid").alias("sid"), "s", "size"), "hot_groups")
+    cold = own.where(F.col("size") <= hot_bytes).select("key", "sid", F.lit(0).cast("long").alias("start"), "s")
+    found = _repeats_in_groups(cold.repartition("key").sortWithinPartitions("key"), window, chunk)
+    found = found.unionByName(_repeats_by_count(own.where(F.col("size") > hot_bytes), window, scratch))
+    whole = pieces.where("n > 1").select(F.col("pid").alias("sid"), F.lit(0).cast("long").alias("a"),
+                                         (F.octet_length("s") - window + 1).cast("long").alias("b"))
+    found = found.unionByName(whole).withColumnRenamed("sid", "pid")
+    return cut.select("pid", "sid", "start").join(found, "pid").select(
+        "sid", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
 
 
 def _repeats_in_groups(runs: DataFrame, window: int, chunk: int) -> DataFrame:
@@ -230,7 +279,7 @@ def _repeats_in_groups(runs: DataFrame, window: int, chunk: int) -> DataFrame:
 
         for batch in batches:
             for key, sid, start, s in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != last and size >= chunk:  # a key is never cut
+                if key != last and size >= chunk:  # a key, of at most hot_bytes, is never cut
                     yield from found()
                     rows.clear()
                     size = 0
@@ -247,28 +296,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    hot_bytes: int = 1 << 21, bucket_bytes: int = 256 << 20) -> DataFrame:
     """One row per document: ``id_col``, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "repeats")
+    scratch, phrases, hot_groups = Scratch(spark, "repeats"), Scratch(spark, "repeats-phrases"), Scratch(spark, "repeats-hot")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.sha2(text, 256).alias("sha")).withColumn("k", _sql_key("sha"))
     info = scratch.write(rows.select("id", "k", "sha", F.octet_length("t").cast("long").alias("n_bytes")), "info")
     total = info.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
-    known = repeated_phrases(rows.select("t"), buckets).groupBy("k").agg(F.collect_list("h").alias("hs"))
+    known = repeated_phrases(rows.select("t"), buckets, phrases).groupBy("k").agg(F.collect_set("h").alias("hs"))
     # one copy of each text; copies meet in the map tasks first
     texts = rows.where(F.octet_length("t") >= window).groupBy("k").agg(F.any_value("t").alias("t")).join(known, "k", "left")
     runs = scratch.write(candidate_runs(texts, window), "runs")
+    phrases.clear()
     distinct = scratch.write(runs.groupBy("key", "sid", "s").agg(F.count("*").alias("n"), F.max("again").alias("again")), "distinct")
     hot = distinct.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.octet_length("s")).alias("size"), F.max("again").alias("any_again")).where("m > 1 or any_again")
     groups = distinct.join(hot, "key")  # no other run has windows equal to those of the rest
     cold = groups.where(F.col("size") <= hot_bytes).select("key", "sid", F.lit(0).cast("long").alias("start"), "s")
-    cut = _cut_hot(groups.where(F.col("size") > hot_bytes), window)
-    found = _repeats_in_groups(cold.unionByName(cut).repartition("key").sortWithinPartitions("key"), window, chunk)
+    found = _repeats_in_groups(cold.repartition("key").sortWithinPartitions("key"), window, chunk)
+    found = found.unionByName(_hot_repeats(groups.where(F.col("size") > hot_bytes), window, chunk, hot_bytes, hot_groups))
     twice = distinct.where("n > 1").select("sid", F.lit(0).cast("long").alias("a"), (F.octet_length("s") - window + 1).cast("long").alias("b"))
     found = scratch.write(found.unionByName(twice), "found")
+    hot_groups.clear()
+    scratch.drop(distinct)
     spans = runs.select("sid", "k", "start").join(found, "sid").groupBy("k").agg(F.collect_set(F.struct(
         (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans"))
     classes = info.groupBy("k").agg(F.count("*").alias("c"))
     once = scratch.write(spans.join(classes, "k").where("c = 1").select("k", "spans"), "spans")
+    scratch.drop(runs, found)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,7 +6,9 @@ from collections import Counter
 
 import pytest
 from odd import empty_documents, odd_documents
+from pyspark.sql import functions as F
 
+from foldframe.llm import repeats
 from foldframe.llm.common import table
 from foldframe.llm.prefix_free import repeated_windows
 from foldframe.llm.repeats import op6_repeats, remove_repeats
@@ -61,5 +63,24 @@ def test_odd_and_hot(spark, hot_bytes):
     assert got == expected([(d.doc_id, (d.text or "").encode()) for d in docs.collect()], 200)
 
 
+def test_no_task_holds_a_group_beyond_hot_bytes(spark, monkeypatch):
+    """One passage in many texts, each with other text around it: its edges are distinct runs under one key."""
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefghij klmnop") for _ in range(230))
+    other = lambda: "".join(rng.choice("qrstuvwxyz QRSTUVWXYZ") for _ in range(150))
+    texts = [(i, other() + passage + other()) for i in range(120)]
+
+    sizes = []
+
+    def watched(runs, *rest, real=repeats._repeats_in_groups):
+        sizes.extend(r.n for r in runs.groupBy("key").agg(F.sum(F.octet_length("s")).alias("n")).collect())
+        return real(runs, *rest)
+
+    monkeypatch.setattr(repeats, "_repeats_in_groups", watched)
+    got = sorted(map(tuple, remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), hot_bytes=1500, chunk=1).collect()), key=str)
+    assert got == expected([(i, t.encode()) for i, t in texts], 200)
+    assert max(sizes, default=0) <= 1500
+
+
 def test_empty(spark):
     assert remove_repeats(empty_documents(spark)).count() == 0
