@@ -11,7 +11,7 @@ least ``min_rows`` training rows whose share of toxic rows differs from the over
 to the scoring tasks; every text is scored whole.
 
 Results: null text counts as empty and gets the score of the bias; null labels teach nothing; a
-null id counts as the empty string in the split; with no labelled rows every score is 0.5 and every text counts as toxic or not by the caller's threshold;
+null id counts as the empty string in the split; without training rows every score is 0.5, no text is predicted toxic and ``drop_toxic`` keeps all;
 repeated rows are scored alike; an empty table gives an empty result; of other columns none is read.
 """
 
@@ -55,6 +55,7 @@ class FactorizationMachine:
     ids: np.ndarray  # hashed terms that have weights, ascending
     w: np.ndarray
     v: np.ndarray
+    trained: bool = True
 
     def scorer(self, bits: int = BITS, memo_words: int = 300_000):
         """A function text -> score that remembers which weights a word has."""
@@ -85,7 +86,7 @@ def fit_fm(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs:
     """AdaGrad on the logistic loss of (rows of hashed terms, 0/1 labels)."""
     n = len(rows)
     if n == 0:
-        return FactorizationMachine(0.0, np.empty(0, np.int32), np.empty(0), np.empty((0, factors)))
+        return FactorizationMachine(0.0, np.empty(0, np.int32), np.empty(0), np.empty((0, factors)), trained=False)
     y = np.asarray(labels, float)
     sizes = np.array([len(r) for r in rows])
     flat = np.concatenate(rows)
@@ -168,10 +169,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity_score(model, F.col("text")).alias("score")
-                       ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+                       ).withColumn("predicted", ((F.col("score") >= 0.5) & F.lit(model.trained)).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more."""
-    score = toxicity_score(fit_toxicity(docs, labels, **options), F.col(text_col))
+    """``docs`` without the rows that score ``threshold`` or more; all of them if no label trains the model."""
+    model = fit_toxicity(docs, labels, **options)
+    if not model.trained:
+        return docs
+    score = toxicity_score(model, F.col(text_col))
     return docs.withColumn("_toxicity", score).where(F.col("_toxicity") < threshold).select(*docs.columns)

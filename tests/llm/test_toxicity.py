@@ -53,3 +53,14 @@ def test_odd_rows(spark):
     kept = toxicity.drop_toxic(docs, labels, threshold=1.1)
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert toxicity.drop_toxic(empty_documents(spark), labels).count() == 0
+
+
+def test_without_training_rows_nothing_is_toxic(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    away = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5 == 0]
+    for rows in ([], [(4, None)], [(i, 1) for i in away], [(99, 1)]):
+        labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+        assert toxicity.drop_toxic(docs, labels).count() == 20
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert {(r.score, r.predicted) for r in toxicity.op7_toxicity(spark, str(tmp_path)).collect()} == {(0.5, 0)}
