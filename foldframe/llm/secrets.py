@@ -1,6 +1,8 @@
 """Secret scans: a random forest takes the false positives out of what a pattern finds.
 
-Candidates are runs of 16 or more letters, digits and ``_ + / -`` in whole texts.  Each gets its length,
+Candidates are runs of 16 or more letters, digits and ``_ + / -`` in whole texts, and values of 6 or more characters
+that follow a password-like name and ``=`` or ``:`` (to the closing quote, or unquoted to white space, quotes, brackets,
+``, ;`` and the ``&`` of a query string).  Before and behind a candidate is the text there, also where it belongs to another one.  Each gets its length,
 shares of character kinds, transitions between kinds, coverage by the letter trigrams of the words
 around all findings (the dictionary), marks of its path and of the words before and behind it.
 
@@ -29,6 +31,13 @@ from foldframe.llm.common import Scratch, table
 
 CANDIDATE = r"[A-Za-z0-9_+/\-]{16,}={0,2}"
 _NAMES = r"(?i)(password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|auth)"
+# a value's first character follows name, = or : and perhaps a quote; the first look behind only saves the second
+_NOT = r"\s\"'`,;<>()\[\]{}"  # what an unquoted value does not hold
+_VALUE = (r"(?<=[:=>\s\"'])(?<=" + _NAMES.replace("(?i)(", "(?i:") + r"\w{0,24}[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"']?)"
+          r"(?:(?<=\")[^\"\s]{6,}(?=\")|(?<=')[^'\s]{6,}(?=')"
+          rf"|(?![^{_NOT}]*&\w+=)[^{_NOT}:=][^{_NOT}]{{4,}}[^{_NOT}.:?]|[^{_NOT}&:=][^{_NOT}&]{{4,}}[^{_NOT}&.:?])")
+#: What findings are, in Java's syntax.
+FINDING = f"{_VALUE}|{CANDIDATE}"
 _ASSIGNED = _NAMES + r"\w*[\"']?\s*([:=]|=>|\s)\s*[\"']?$"
 _FORMATS = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^xox[abprs]-|^sk_(live|test)_|^eyJ[A-Za-z0-9_\-]{20,}"
 _DIGESTS = r"(?i)(sha-?\d*|md5|commit|digest|checksum|hash|uuid|etag)\W*$"
@@ -40,12 +49,17 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     """One row per candidate: id, text_hash, nth (from 0), start (characters before it), found, before, behind, path."""
     text = F.col("t")
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), path.alias("path")).where(text.rlike(CANDIDATE))
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), path.alias("path")).where(text.rlike(FINDING))
     d = d.select("id", "path", F.monotonically_increasing_id().alias("row"), F.xxhash64("t").alias("text_hash"),
-                 F.split("t", CANDIDATE, -1).alias("gaps"), F.regexp_extract_all("t", F.lit(f"({CANDIDATE})")).alias("hits"))
+                 F.split("t", FINDING, -1).alias("gaps"), F.regexp_extract_all("t", F.lit(f"({FINDING})")).alias("hits"))
+    # the text in pieces: gap, hit, gap, ...; hits have 6 or more characters, so 11 of them fill 64 and 6 fill 32
+    d = d.withColumn("pieces", F.flatten(F.zip_with("gaps", "hits", lambda g, h: F.array(g, F.coalesce(h, F.lit(""))))))
     gap = lambda i: F.get(F.col("gaps"), i)
+    first = lambda i: F.greatest(2 * i - 21, F.lit(1))
+    before = lambda i: F.array_join(F.slice("pieces", first(i), 2 * i + 2 - first(i)), "")
+    behind = lambda i: F.array_join(F.slice("pieces", 2 * i + 3, F.lit(13)), "")
     d = d.select("id", "path", "row", "text_hash", F.explode(F.transform("hits", lambda h, i: F.struct(
-        i.alias("nth"), h.alias("found"), F.right(gap(i), F.lit(64)).alias("before"), F.left(gap(i + 1), F.lit(32)).alias("behind"),
+        i.alias("nth"), h.alias("found"), F.right(before(i), F.lit(64)).alias("before"), F.left(behind(i), F.lit(32)).alias("behind"),
         F.length(gap(i)).alias("gap")))).alias("x")).select("id", "path", "row", "text_hash", "x.*")
     upto = Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     return d.withColumn("start", F.sum(F.col("gap") + F.length("found")).over(upto) - F.length("found")).select(
@@ -125,9 +139,9 @@ def redact(docs: DataFrame, scored: DataFrame, mark: str = "[SECRET]", id_col: s
     """``docs`` with every secret replaced; rows without candidates are not shuffled."""
     secret = scored.where("is_secret").groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_h")).agg(
         F.collect_set("nth").alias("_nth"))
-    has = F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))
+    has = F.coalesce(F.col(text_col).rlike(FINDING), F.lit(False))
     rows = docs.where(has).join(secret, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_h")), "left")
-    gaps, hits = F.split(text_col, CANDIDATE, -1), F.regexp_extract_all(text_col, F.lit(f"({CANDIDATE})"))
+    gaps, hits = F.split(text_col, FINDING, -1), F.regexp_extract_all(text_col, F.lit(f"({FINDING})"))
     put = F.concat(F.transform(hits, lambda h, i: F.when(F.array_contains("_nth", i), F.lit(mark)).otherwise(h)), F.array(F.lit("")))
     text = F.when(F.col("_nth").isNull(), F.col(text_col)).otherwise(
         F.array_join(F.zip_with(gaps, put, lambda g, h: F.concat(g, h)), ""))

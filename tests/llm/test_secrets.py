@@ -39,3 +39,20 @@ def test_redaction(spark):
     want[(11, "c")] = want[(11, "c")].replace(KEY, "[SECRET]")
     assert out == want and secrets.redact_secrets(docs).count() == docs.count()
     assert secrets.redact_secrets(empty_documents(spark)).count() == 0
+
+
+def test_short_values_and_neighbours(spark):
+    long = "wJalrXUtnFEMIK7MDENGbPxRfiCYzz"
+    texts = {1: 'password = "hunter2x9"', 2: "db_token: a8Xk20qz, done", 3: "pwd='p!ss$w0rd@x.y'", 4: f"AWS_SECRET_ACCESS_KEY={long}",
+             5: "DATABASE_PASSWORD: tr0ub4dor&3.", 9: "/x?token=ab12cd34&x=1", 6: 'api_key=>"k3yk3y"', 7: "say password here or hunter2x9", 8: f"{long} {long} aaaaaaaaaaaaaaaa"}
+    want = {1: "hunter2x9", 2: "a8Xk20qz", 3: "p!ss$w0rd@x.y", 4: long, 5: "tr0ub4dor&3", 9: "ab12cd34", 6: "k3yk3y"}
+    docs = spark.createDataFrame([(i, t, "a") for i, t in texts.items()], "doc_id long, text string, source string")
+    found = secrets.findings(docs)
+    rows = found.collect()
+    assert all(texts[r.id][r.start:].startswith(r.found) and texts[r.id][:r.start][-64:] == r.before
+               and texts[r.id][r.start + len(r.found):][:32] == r.behind for r in rows)
+    assert {i for i, v in want.items() if v in [r.found for r in rows if r.id == i]} == set(want) and not [r for r in rows if r.id == 7]
+    labels = {(r.id, r.found): r.label for r in secrets.label_findings(secrets.with_features(found)).collect()}
+    assert all(labels[(i, v)] == 1 for i, v in want.items())
+    clean = {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}
+    assert all(clean[i] == texts[i].replace(v, "[SECRET]") for i, v in want.items()) and clean[7] == texts[7]
