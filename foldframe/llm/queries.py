@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from foldframe.llm.ann import op5_ann
 from foldframe.llm.embedding_dedup import op2_embedding_dedup
+from foldframe.llm.exact_dedup import op13_exact_dedup
 from foldframe.llm.hmm import op4_hmm
+from foldframe.llm.lexical import op11_lexical
 from foldframe.llm.mixing import op3_mixing
 from foldframe.llm.packing import op9_packing
 from foldframe.llm.repeats import op6_repeats
+from foldframe.llm.runs import op12_runs
 from foldframe.llm.secrets import op8_secrets
 from foldframe.llm.simhash import op10_simhash
 from foldframe.llm.toxicity import op7_toxicity
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op11_lexical": op11_lexical,
+    "op12_runs": op12_runs,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE = {
@@ -90,5 +96,28 @@ u AS (SELECT t.r, sum(b - a)::BIGINT AS removed, count(*)::BIGINT AS spans, max(
 SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
        sha256(unhex(CASE WHEN removed IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256
 FROM d LEFT JOIN u USING (r)
+""",
+    "op11_lexical": r"""
+WITH pat AS (SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS p),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), p) AS t FROM documents, pat),
+i AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), p)) AS term FROM benchmark, pat),
+g AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS n, sum(len(t))::BIGINT AS l FROM d),
+tf AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, g GROUP BY term),
+m AS (SELECT r, doc_id, (10 + (90 * len(t) * n) // l)::BIGINT AS m FROM d, g WHERE len(t) > 0),
+s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM i JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+""",
+    "op13_exact_dedup": r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+       regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS x FROM documents),
+g AS (SELECT doc_id, sha256(x) AS text_sha256, count(*) OVER (PARTITION BY x) AS group_size,
+             first_value(doc_id) OVER o AS keep_id, row_number() OVER o AS nth
+      FROM d WINDOW o AS (PARTITION BY x ORDER BY length(t) DESC, doc_id NULLS LAST, r))
+SELECT doc_id, keep_id, group_size::BIGINT AS group_size, nth = 1 AS kept, text_sha256 FROM g
 """,
 }
