@@ -75,7 +75,7 @@ def hash_text(norm: bytes) -> int:
 def _prints(docs: DataFrame, bits: int, hasher) -> DataFrame:
     def run(batches):
         for b in batches:
-            norm = [raw.translate(None, _SPACES) for raw in map(pa.Scalar.as_py, b.column("t"))]
+            norm = [raw.translate(None, _SPACES) for raw in (x.as_py() for x in b.column("t"))]
             h = np.array([hasher(x) for x in norm], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("chars"), pa.array([hashlib.sha256(x).digest() for x in norm], pa.binary()),

@@ -84,7 +84,7 @@ def _bags(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     def run(batches):
         for b in batches:
             n, bags = [], []
-            for raw in map(pa.Scalar.as_py, b.column("t")):
+            for raw in (x.as_py() for x in b.column("t")):
                 found = terms(raw)
                 counts = Counter(map(vocabulary.get, found))
                 counts.pop(None, None)
