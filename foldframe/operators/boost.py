@@ -1,56 +1,60 @@
-"""Gradient-boosted trees as Spark jobs.
-
-Data-parallel histogram boosting, expressed with DataFrame operations:
-
-* **T5 quantile binning** -- exact, rank-defined cut points of all features
-  (``max_bins`` per feature, bounded), bins by a
-  JVM ``Bucketizer``; missing values get their own last bin and go to the
-  side with the larger gain (right if equal).
-* **Many models per pass** -- the cross-validation models (``fold <> o``)
-  and a full refit train *together*: every row carries one score column per
-  model, and one aggregate per tree level builds the gradient histograms of
-  all models and all open nodes: rows are unpivoted to
-  ``(model, node, feature, bin, g, h)`` and summed with map-side partial
-  aggregation.  The histogram size is ``models x nodes x features x bins``
-  -- fixed by the parameters, never by the data -- so collecting it is safe.
-* **T6 regularised split** -- on that small histogram: soft-threshold
-  ``T(G)=sign(G)max(|G|-alpha,0)``, gain
-  ``1/2[T(GL)^2/(HL+lambda) + T(GR)^2/(HR+lambda) - T(G)^2/(H+lambda)] - gamma``,
-  children need ``H >= min_child_weight`` and ``rows >= min_child_samples``;
-  leaf ``-T(G)/(H+lambda)`` times the learning rate (every tree shrunk).
-* **T7 categorical splits** -- categories sorted by ``G/(H+lambda)`` inside
-  each node, best prefix goes left (``isin`` of the chosen codes).
-* **T3 early stopping** -- validation rows (the held-out fold, Q6) sit in the
-  same table; after each tree one aggregate gives every model's validation
-  loss; a model stops after ``early_stopping`` rounds without gain and keeps
-  the scores of its best iteration (Q7, best-iteration semantics).
-* **T4 sampling** -- row subsampling by a hash of (seed, tree, model, id), drawn anew for
-  every tree (deterministic, layout independent); per-tree column sampling.
-* Scores are updated with a column expression per tree; every few trees the state is
-  written to the shared folder and read back, and the one before is deleted, so a
-  lost executor recomputes at most that many tree updates.  ``BoostResult.close`` releases the last one.
+"""Gradient-boosted trees as Spark jobs.
+
+Data-parallel histogram boosting of several models at once:
+
+* **T5 bins** -- exact, rank-defined cut points of all features (``max_bins`` per feature), bins by a JVM
+  ``Bucketizer``; missing values get their own last bin and go to the side with the larger gain.
+* **Histograms** -- the cross-validation models (``fold <> o``) and a full refit train *together*: one pass over the
+  cached rows sums gradient, hessian and count of all models and all nodes asked for.  A task walks its rows down the
+  trees grown since the last refresh (arrays, see ``forest.Nodes``), adds them up in arrays and emits a row per filled cell,
+  so what is shuffled is bounded by tasks x models x nodes x features x bins, never by rows.  Where both children of a
+  split are asked for, only the rows of the smaller one are added; the sibling is the parent's histogram, kept for the
+  tree, minus that.
+* **T6 split search** -- running sums over the histogram table on the executors (``splits.best_splits``); only the splits
+  reach the driver.  Soft threshold ``T(G)=sign(G)max(|G|-alpha,0)``, gain
+  ``1/2[T(GL)^2/(HL+lambda) + T(GR)^2/(HR+lambda) - T(G)^2/(H+lambda)] - gamma``, leaf ``-T(G)/(H+lambda)`` times the rate.
+* **T1/T2 growth** -- depth-wise; leaf-wise under ``max_leaves``: best first, a pass evaluates the children of all
+  splits that the queue would take so far, until none of them is unknown, which gives the splits of one-by-one growth in about as
+  many passes as the tree is deep; symmetric: one split for all nodes of a level.
+* **T7 categorical splits** -- categories ordered by ``G/(H+lambda)`` inside each node, the best prefix goes left.
+* **T3 early stopping** -- on the model's validation rows, or on an inner hold-out of its training rows
+  (``validation_fraction``), chosen by a hash; best-iteration scores are kept.
+* **T4 sampling** -- rows by a hash of (seed, tree, model, id), features per tree.
+* Margins live in one cached table, written to the shared folder every ``checkpoint_every`` trees; the copy before is deleted,
+  so a lost executor recomputes at most that many trees' margins.  ``BoostResult.close`` releases the last one.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import delete_path, materialise, scratch_path
+from .forest import Binning, Forest, Nodes, Split, Tree, apply_bins
+from .splits import best_level_splits, best_splits, dlit
+
+__all__ = ["Binning", "BoostParams", "BoostResult", "Forest", "ModelSpec", "Split", "Tree", "apply_bins", "best_splits", "cv_specs",
+           "fit_bins", "fit_boosted", "fold_test_predictions", "gradient_histogram", "oof_predictions", "quantile_bin", "quantile_cuts"]
+
+#: Heap ids of nodes are 64-bit integers.
+DEEPEST = 60
+
 
 @dataclass
 class BoostParams:
     objective: str = "squared"          # "squared" (T1) | "logistic" (T2)
     n_trees: int = 100
     learning_rate: float = 0.1
-    max_depth: int = 4
+    max_depth: int = 4                  # at most DEEPEST; smaller than 1: no limit but that
+    max_leaves: int | None = None       # leaf-wise growth: at most that many leaves, best split first
+    symmetric: bool = False             # one split for all nodes of a level; min_child_* don't apply
     reg_alpha: float = 0.0
     reg_lambda: float = 1.0
     gamma: float = 0.0
@@ -60,40 +64,17 @@ class BoostParams:
     colsample_bytree: float = 1.0
     max_bins: int = 64
     early_stopping: int | None = None
+    validation_fraction: float = 0.0    # share of a model's training rows held out for early stopping
     seed: int = 42
+    # passes that add up at least so many (row, feature) cells keep their histograms, and of two children only the smaller is
+    # added up, the sibling by subtraction; below that the kept table and its join cost more than the cells they spare
+    subtract_from: int = 20_000_000
     # trees between refreshes of the cached margins, which are then written to the shared folder
-    # (the table before is deleted); in between they are evaluated from the new trees' expressions
-    checkpoint_every: int = 3
-
-
-@dataclass
-class Split:
-    feature: int
-    categorical: bool
-    threshold: int = 0                  # numeric: bin <= threshold goes left
-    left: tuple[int, ...] = ()          # categorical: codes going left
-    gain: float = 0.0
-    missing_left: bool = False          # numeric: the side of missing values, chosen by gain
-
-
-@dataclass
-class Tree:
-    splits: dict[int, Split] = field(default_factory=dict)
-    leaves: dict[int, float] = field(default_factory=dict)
-
-
-@dataclass
-class Binning:
-    features: list[str]
-    categorical: list[bool]
-    cuts: list[list[float]]             # numeric cut points (empty for categorical)
-    n_bins: list[int]                   # bins including the missing bin (last)
+    checkpoint_every: int = 10
 
-    def bin_col(self, i: int) -> str:
-        return f"__bin{i}"
-
-    def missing_bin(self, i: int) -> int:
-        return self.n_bins[i] - 1
+    @property
+    def depth_limit(self) -> int:
+        return self.max_depth if 0 < self.max_depth <= DEEPEST else DEEPEST
 
 
 # --------------------------------------------------------------------------- T5
@@ -133,28 +114,6 @@ def fit_bins(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] =
                    cuts + [[] for _ in categorical], sizes)
 
 
-def apply_bins(df: DataFrame, binning: Binning) -> DataFrame:
-    """Adds ``__bin<i>`` integer columns; missing/unknown -> last bin."""
-    num = [i for i, c in enumerate(binning.categorical) if not c]
-    if num:
-        tmp = [f"__raw{i}" for i in num]
-        df = df.select("*", *[F.col(binning.features[i]).cast("double").alias(t)
-                              for i, t in zip(num, tmp)])
-        bz = Bucketizer(splitsArray=[[float("-inf"), *binning.cuts[i], float("inf")] for i in num],
-                        inputCols=tmp, outputCols=[f"__bk{i}" for i in num], handleInvalid="keep")
-        df = bz.transform(df).drop(*tmp)
-    for i, f in enumerate(binning.features):
-        miss = F.lit(binning.missing_bin(i))
-        if binning.categorical[i]:
-            v = F.col(f).cast("int")
-            b = F.when(v.isNull() | (v < 0) | (v >= miss), miss).otherwise(v)
-        else:
-            v = F.col(f"__bk{i}")
-            b = F.when(v.isNull() | (v >= miss), miss).otherwise(v.cast("int"))
-        df = df.withColumn(binning.bin_col(i), b.cast("int"))
-    return df.drop(*[f"__bk{i}" for i in num])
-
-
 def quantile_bin(df: DataFrame, cols: Sequence[str], max_bins: int = 64) -> DataFrame:
     """T5 as a user operator: ``<col>_bin`` for each column."""
     b = fit_bins(df, cols, (), max_bins)
@@ -163,138 +122,7 @@ def quantile_bin(df: DataFrame, cols: Sequence[str], max_bins: int = 64) -> Data
         out = out.withColumnRenamed(b.bin_col(i), f"{c}_bin")
     return out
 
-
-# --------------------------------------------------------------------------- T6
-def _soft(G, alpha):
-    return np.sign(G) * np.maximum(np.abs(G) - alpha, 0.0)
-
-
-def leaf_weight(G, H, p: BoostParams):
-    return -_soft(G, p.reg_alpha) / (H + p.reg_lambda)
-
-
-def best_splits(hist: pd.DataFrame, binning: Binning, p: BoostParams) -> pd.DataFrame:
-    """Best regularised split per ``(model, node)`` from a gradient histogram.
-
-    ``hist`` columns: model, node, feat, bin, G, H, C.  Returns one row per
-    ``(model, node)`` with node totals and, when a split has positive gain,
-    its feature, threshold / left set and child totals.
-    """
-    if hist.empty:
-        return pd.DataFrame(columns=["model", "node", "G", "H", "C", "feat", "gain"])
-    lam, alpha = p.reg_lambda, p.reg_alpha
-    h = hist.copy()
-    cat = np.array(binning.categorical)[h["feat"].to_numpy()]
-    ratio = h["G"] / (h["H"] + lam)
-    # numeric: order by bin; categorical: by gradient ratio, missing last
-    miss = np.array([binning.missing_bin(i) for i in range(len(binning.features))])[h["feat"].to_numpy()]
-    is_miss = h["bin"].to_numpy() == miss
-    h["__key"] = np.where(cat, np.where(is_miss, np.inf, ratio), h["bin"].to_numpy().astype(float))
-    h = h.sort_values(["model", "node", "feat", "__key", "bin"], kind="mergesort").reset_index(drop=True)
-    g = h.groupby(["model", "node", "feat"], sort=False)
-    h["GL"], h["HL"], h["CL"] = g["G"].cumsum(), g["H"].cumsum(), g["C"].cumsum()
-    tot = g[["G", "H", "C"]].transform("sum")
-    h["Gt"], h["Ht"], h["Ct"] = tot["G"], tot["H"], tot["C"]
-    h["GR"], h["HR"], h["CR"] = h["Gt"] - h["GL"], h["Ht"] - h["HL"], h["Ct"] - h["CL"]
-    TL, TR, TT = _soft(h["GL"], alpha), _soft(h["GR"], alpha), _soft(h["Gt"], alpha)
-    h["gain"] = 0.5 * (TL ** 2 / (h["HL"] + lam) + TR ** 2 / (h["HR"] + lam)
-                       - TT ** 2 / (h["Ht"] + lam)) - p.gamma
-    # numeric features: the same threshold with the missing rows on the left
-    lost = h["bin"].to_numpy() == np.array([binning.missing_bin(i) for i in range(len(binning.features))])[h["feat"].to_numpy()]
-    group = [h["model"], h["node"], h["feat"]]
-    moved = {c: h[c].where(lost, 0.0).groupby(group).transform("sum") for c in ("G", "H", "C")}
-    GL2, HL2, CL2 = h["GL"] + moved["G"], h["HL"] + moved["H"], h["CL"] + moved["C"]
-    GR2, HR2, CR2 = h["Gt"] - GL2, h["Ht"] - HL2, h["Ct"] - CL2
-    gain2 = 0.5 * (_soft(GL2, alpha) ** 2 / (HL2 + lam) + _soft(GR2, alpha) ** 2 / (HR2 + lam)
-                   - TT ** 2 / (h["Ht"] + lam)) - p.gamma
-    fits = lambda hl, hr, cl, cr: ((hl >= p.min_child_weight) & (hr >= p.min_child_weight)
-                                   & (cl >= p.min_child_samples) & (cr >= p.min_child_samples))
-    numeric = ~np.array(binning.categorical)[h["feat"].to_numpy()]
-    first = fits(h["HL"], h["HR"], h["CL"], h["CR"])
-    h["miss_left"] = (numeric & ~lost & (moved["C"] > 0) & fits(HL2, HR2, CL2, CR2)
-                      & (~first | (gain2 > h["gain"] + 1e-12)))
-    for c, v in (("GL", GL2), ("HL", HL2), ("CL", CL2), ("GR", GR2), ("HR", HR2), ("CR", CR2), ("gain", gain2)):
-        h[c] = h[c].where(~h["miss_left"], v)
-    cat_s = np.array(binning.categorical)[h["feat"].to_numpy()]
-    miss_s = np.array([binning.missing_bin(i) for i in range(len(binning.features))])[h["feat"].to_numpy()]
-    ok = ((h["HL"] >= p.min_child_weight) & (h["HR"] >= p.min_child_weight)
-          & (h["CL"] >= p.min_child_samples) & (h["CR"] >= p.min_child_samples)
-          & (h["gain"] > 0))
-    ok &= np.where(cat_s, h["__key"] != np.inf, h["bin"] != miss_s)
-    totals = (h.groupby(["model", "node"], sort=True)
-                .agg(G=("Gt", "first"), H=("Ht", "first"), C=("Ct", "first")).reset_index())
-    cand = h[ok].copy()
-    if cand.empty:
-        totals["feat"] = -1
-        totals["gain"] = 0.0
-        return totals
-    cand["__pos"] = cand.groupby(["model", "node", "feat"]).cumcount()
-    cand = cand.sort_values(["model", "node", "gain", "feat", "__key"],
-                            ascending=[True, True, False, True, True], kind="mergesort")
-    best = cand.groupby(["model", "node"], sort=False).head(1)
-    # left sets for categorical winners: the bins up to the chosen position
-    lefts = []
-    for idx, r in best.iterrows():
-        if binning.categorical[int(r["feat"])]:
-            grp = h[(h["model"] == r["model"]) & (h["node"] == r["node"]) & (h["feat"] == r["feat"])]
-            lefts.append(tuple(int(b) for b in grp.loc[grp.index <= idx, "bin"]))
-        else:
-            lefts.append(())
-    best = best.assign(left=lefts)
-    keep = ["model", "node", "feat", "bin", "gain", "GL", "HL", "CL", "GR", "HR", "CR", "left", "miss_left"]
-    out = totals.merge(best[keep], on=["model", "node"], how="left")
-    out["feat"] = out["feat"].fillna(-1).astype(int)
-    out["gain"] = out["gain"].fillna(0.0)
-    return out
-
-
-# --------------------------------------------------------------------------- trees as expressions
-# Trees become SQL text (one JVM call per expression instead of one per node):
-# building deep Column trees through py4j costs more than running the job.
-def dlit(x: float) -> str:
-    """A DOUBLE literal in Spark SQL text (bare decimals would be DECIMAL)."""
-    x = float(x)
-    if x != x:
-        return "CAST('NaN' AS DOUBLE)"
-    if x in (float("inf"), float("-inf")):
-        return f"CAST('{'-' if x < 0 else ''}Infinity' AS DOUBLE)"
-    return f"({x!r}D)"
-
-
-def _cond_sql(s: Split, binning: Binning) -> str:
-    b = binning.bin_col(s.feature)
-    if s.categorical:
-        return f"{b} IN ({', '.join(str(int(v)) for v in s.left)})" if s.left else "FALSE"
-    own = f"{b} <= {int(s.threshold)}"
-    return f"({own} OR {b} = {binning.missing_bin(s.feature)})" if s.missing_left else own
-
-
-def node_sql(tree: Tree, binning: Binning, nid: int = 1) -> str:
-    """Heap id of the deepest assigned node (root = 1, children 2n / 2n+1)."""
-    if nid not in tree.splits:
-        return str(nid)
-    s = tree.splits[nid]
-    return (f"CASE WHEN {_cond_sql(s, binning)} THEN {node_sql(tree, binning, 2 * nid)} "
-            f"ELSE {node_sql(tree, binning, 2 * nid + 1)} END")
-
-
-def leaf_sql(tree: Tree, binning: Binning, nid: int = 1) -> str:
-    if nid not in tree.splits:
-        return dlit(tree.leaves.get(nid, 0.0))
-    s = tree.splits[nid]
-    return (f"CASE WHEN {_cond_sql(s, binning)} THEN {leaf_sql(tree, binning, 2 * nid)} "
-            f"ELSE {leaf_sql(tree, binning, 2 * nid + 1)} END")
-
-
-def node_expr(tree: Tree, binning: Binning) -> Column:
-    return F.expr(node_sql(tree, binning))
-
-
-def leaf_expr(tree: Tree, binning: Binning) -> Column:
-    return F.expr(leaf_sql(tree, binning))
-
-
-# --------------------------------------------------------------------------- model specs
+# --------------------------------------------------------------------------- models
 @dataclass
 class ModelSpec:
     name: str
@@ -325,19 +153,16 @@ class BoostResult:
         return "__B" if self.owned else f"__B{m}"
 
     def prediction(self, m: int) -> Column:
-        """Best-iteration prediction of model ``m`` (probability for logistic)."""
+        """Best-iteration prediction of model ``m`` (probability for logistic) over ``state``."""
         z = F.col(self.margin_col(m))
         if self.params.objective == "logistic":
             return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
         return z
 
-    def score_expr(self, m: int) -> Column:
-        """Model ``m`` (best iteration) as one expression over ``__bin`` columns."""
-        z = " + ".join([dlit(self.base[m])] + [f"({leaf_sql(t, self.binning)})"
-                                               for t in self.trees[m][: self.best_iter[m]]])
-        if self.params.objective == "logistic":
-            return F.expr(f"1.0D / (1.0D + exp(-({z})))")
-        return F.expr(z)
+    def forest(self) -> Forest:
+        """The models (best iterations) as data, for other rows and for streams."""
+        return Forest(self.binning, self.params.objective, list(self.base),
+                      [t[:b] for t, b in zip(self.trees, self.best_iter)])
 
 
 def tree_features(p: BoostParams, n: int, tree: int, model: int) -> list[int]:
@@ -348,78 +173,214 @@ def tree_features(p: BoostParams, n: int, tree: int, model: int) -> list[int]:
     return sorted(np.random.RandomState([p.seed, tree, model]).choice(n, kk, replace=False).tolist())
 
 
-def bag_sql(seed: int, tree: int, model: int, id_col: str) -> str:
-    """T4: a number in [0, 1) for every row, tree and model."""
+def bag_sql(seed: int, tree: int | str, model: int, id_col: str) -> str:
+    """T4: a number in [0, 1) for every row, tree and model (``tree`` "hold": the inner hold-out, T3)."""
     return (f"(CAST(conv(substr(md5(concat_ws('|', 'bag', '{seed}', '{tree}', '{model}', CAST(`{id_col}` AS STRING))), 1, 8), "
             f"16, 10) AS DOUBLE) / 4294967296.0D)")
 
 
-def _grad_hess(objective: str, z: str, y: str) -> tuple[str, str]:
+def leaf_weight(G: float, H: float, p: BoostParams) -> float:
+    soft = np.sign(G) * max(abs(G) - p.reg_alpha, 0.0)
+    return float(-soft / (H + p.reg_lambda)) if H + p.reg_lambda else 0.0
+
+
+def gradients(objective: str, z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if objective == "squared":
-        return f"({z} - {y})", "1.0D"
+        return z - y, np.ones(len(z))
     if objective == "logistic":
-        p = f"(1.0D / (1.0D + exp(-{z})))"
-        return f"({p} - {y})", f"({p} * (1.0D - {p}))"
+        with np.errstate(over="ignore"):
+            pr = 1.0 / (1.0 + np.exp(-z))
+        return pr - y, pr * (1.0 - pr)
     raise ValueError(f"unknown objective {objective!r}")
 
 
-def _loss(objective: str, z: str, y: str) -> str:
+def row_loss(objective: str, z: np.ndarray, y: np.ndarray) -> np.ndarray:
     if objective == "squared":
-        return f"(({z} - {y}) * ({z} - {y}))"
-    # log loss in a stable form: log(1 + e^z) - y z
-    return f"(greatest({z}, 0.0D) + log1p(exp(-abs({z}))) - {y} * {z})"
-
-
-# --------------------------------------------------------------------------- histogram
-def gradient_histogram(df: DataFrame, entries, binning: Binning, losses=(),
-                       disjoint: bool = False) -> DataFrame:
-    """Sum of gradient, hessian and rows per ``(model, node, feature, bin)``.
-
-    ``entries``: ``(model, member, node, g, h, features)`` per model, the
-    expressions as SQL text.  Rows no model needs are dropped first; each
-    remaining row is unpivoted to one record per (model it belongs to,
-    feature) and summed with map-side partial aggregation.  The output has
-    at most ``models x nodes x features x bins`` rows whatever the row
-    count.  ``disjoint=True`` (every row in at most one model, e.g. one
-    model per outer fold on replicated rows) emits one record per feature
-    instead of one per (model, feature).  ``losses``: ``(model, flag,
-    loss)``: the same job also sums a per-row loss over the flagged rows,
-    returned as ``node = feat = bin = -1``.
+        return (z - y) ** 2
+    return np.maximum(z, 0.0) + np.log1p(np.exp(-np.abs(z))) - y * z       # log(1 + e^z) - y z
+
+
+# --------------------------------------------------------------------------- histograms
+HIST = "model int, node long, feat int, bin int, G double, H double, C long"
+
+
+def gradient_histogram(df: DataFrame, g: str, h: str, by: Sequence[str], binning: Binning) -> DataFrame:
+    """Sums of gradient and hessian (SQL text) and rows per ``(*by, feat, bin)`` of a binned table, in DataFrame operations."""
+    cells = ", ".join(f"named_struct('feat', {i}, 'bin', {binning.bin_col(i)})" for i in range(len(binning.features)))
+    flat = df.selectExpr(*by, f"{g} AS __g", f"{h} AS __h", f"explode(array({cells})) AS e")
+    return flat.groupBy(*by, F.col("e.feat").alias("feat"), F.col("e.bin").alias("bin")).agg(
+        F.sum("__g").alias("G"), F.sum("__h").alias("H"), F.count(F.lit(1)).alias("C"))
+
+
+@dataclass
+class _Ask:
+    """What one model wants from a pass."""
+
+    model: int
+    margin: str                          # margin column of the last refresh
+    grown: Nodes                         # trees since then
+    tree: Nodes | None = None            # the tree that grows
+    nodes: list[int] = field(default_factory=list)      # whose rows are added up
+    sibling: list[int] = field(default_factory=list)    # node to subtract them from, or 0
+    feats: list[int] = field(default_factory=list)
+    loss: bool = False
+
+
+def _histogram_task(asks: list[_Ask], bin_cols: list[str], n_bins: list[int], objective: str, dense: bool, cells: int = 1 << 21):
+    """Function over Arrow batches: a row per filled cell and, for losses, ``node = feat = bin = -1`` (sum, rows, rows).
+
+    Cells of all models are summed in arrays over the task's batches while at most ``cells`` are needed; beyond that each
+    batch's filled cells are emitted.
     """
-    pre, structs, need = [], [], []
-    for m, member, node, g, h, feats in entries:
-        # per-model node / gradient / hessian once per row, referenced by every feature
-        pre += [f"CASE WHEN {member} THEN {node} END AS __n{m}", f"{g} AS __g{m}",
-                f"CAST({h} AS DOUBLE) AS __h{m}"]
-        need.append(f"({member})")
-    if disjoint and entries:
-        ms = [e[0] for e in entries]
-        pick = lambda what: "CASE " + " ".join(
-            f"WHEN __n{m} IS NOT NULL THEN {what.format(m=m)}" for m in ms) + " END"
-        feats_all = sorted({i for e in entries for i in e[5]})
-        for i in feats_all:
-            owners = [e[0] for e in entries if i in e[5]]
-            has = " OR ".join(f"__n{m} IS NOT NULL" for m in owners)
-            structs.append(f"CASE WHEN {has} THEN named_struct('model', {pick('{m}')}, "
-                           f"'node', {pick('__n{m}')}, 'feat', {i}, 'bin', {binning.bin_col(i)}, "
-                           f"'g', {pick('__g{m}')}, 'h', {pick('__h{m}')}) END")
-    else:
-        for m, member, node, g, h, feats in entries:
-            for i in feats:
-                structs.append(f"CASE WHEN __n{m} IS NOT NULL THEN named_struct('model', {m}, "
-                               f"'node', __n{m}, 'feat', {i}, 'bin', {binning.bin_col(i)}, "
-                               f"'g', __g{m}, 'h', __h{m}) END")
-    for m, flag, loss in losses:
-        pre.append(f"CASE WHEN {flag} THEN {loss} END AS __l{m}")
-        need.append(f"({flag})")
-        structs.append(f"CASE WHEN __l{m} IS NOT NULL THEN named_struct('model', {m}, 'node', -1, "
-                       f"'feat', -1, 'bin', -1, 'g', __l{m}, 'h', 1.0D) END")
-    bins = [binning.bin_col(i) for i in range(len(binning.features))]
-    flat = (df.where(" OR ".join(need)).selectExpr(*bins, *pre)
-              .selectExpr(f"explode(array({', '.join(structs)})) AS e")
-              .where("e IS NOT NULL").selectExpr("e.*"))
-    return flat.groupBy("model", "node", "feat", "bin").agg(
-        F.expr("sum(g) AS G"), F.expr("sum(h) AS H"), F.expr("count(1) AS C"))
+    need = sum(len(a.nodes) * n_bins[f] for a in asks for f in a.feats)
+    hold = need <= cells
+
+    def emit(ask: _Ask, feat: int, key, G, H, C):
+        nb = n_bins[feat]
+        slot, b = key // nb, key % nb
+        node, other = np.array(ask.nodes, np.int64)[slot], np.array(ask.sibling, np.int64)[slot]
+        sub = other > 0
+        join = lambda a, x: np.concatenate([a, x])
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(key) + sub.sum(), ask.model, np.int32)), pa.array(join(node, other[sub])),
+            pa.array(np.full(len(key) + sub.sum(), feat, np.int32)), pa.array(join(b, b[sub]).astype(np.int32)),
+            pa.array(join(G, -G[sub])), pa.array(join(H, -H[sub])), pa.array(join(C, -C[sub]).astype(np.int64))], names=HIST_NAMES)
+
+    def run(batches):
+        sums = {(i, f): [np.zeros(len(a.nodes) * n_bins[f]) for _ in range(3)] for i, a in enumerate(asks) for f in a.feats} if hold else {}
+        losses = {i: [0.0, 0] for i, a in enumerate(asks) if a.loss}
+        slot_of = []
+        for a in asks:
+            at = {n: i for i, n in enumerate(a.nodes)}
+            slot_of.append(np.array([at.get(int(n), -1) for n in a.tree.heap], np.int64) if a.nodes else None)
+        for b in batches:
+            col = lambda c: b.column(c).to_numpy(zero_copy_only=False)
+            bins, y = np.column_stack([col(c) for c in bin_cols]), col("__y")
+            for i, a in enumerate(asks):
+                for flag, wanted in ((f"__G{a.model}", bool(a.nodes)), (f"__S{a.model}", a.loss)):
+                    if not wanted:
+                        continue
+                    rows = np.flatnonzero(col(flag))
+                    if not len(rows):
+                        continue
+                    x = bins[rows]
+                    learns = flag.startswith("__G")
+                    if learns:
+                        slot = slot_of[i][a.tree.descend(x)[:, 0]]
+                        here = slot >= 0
+                        rows, x, slot = rows[here], x[here], slot[here]
+                    z = col(a.margin)[rows] + a.grown.score(x)
+                    if not learns:
+                        losses[i][0] += float(row_loss(objective, z, y[rows]).sum())
+                        losses[i][1] += len(rows)
+                        continue
+                    g, h = gradients(objective, z, y[rows])
+                    for f in a.feats:
+                        key = slot * n_bins[f] + x[:, f]
+                        if hold:
+                            size = len(a.nodes) * n_bins[f]
+                            for total, w in zip(sums[i, f], (g, h, None)):
+                                total += np.bincount(key, w, size)
+                        else:
+                            u, inv, count = np.unique(key, return_inverse=True, return_counts=True)
+                            yield emit(a, f, u, np.bincount(inv, g, len(u)), np.bincount(inv, h, len(u)), count)
+        for (i, f), (G, H, C) in sums.items():
+            at = np.arange(len(C)) if dense else np.flatnonzero(C)
+            if len(at):
+                yield emit(asks[i], f, at, G[at], H[at], C[at])
+        if not hold and dense:      # zeros, so that every bin of every node has a row
+            for a in asks:
+                for f in a.feats:
+                    at = np.arange(len(a.nodes) * n_bins[f])
+                    yield emit(a, f, at, np.zeros(len(at)), np.zeros(len(at)), np.zeros(len(at)))
+        for i, (total, n) in losses.items():
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(
+                    (asks[i].model, -1, -1, -1, total, float(n), n), HIST_TYPES)], names=HIST_NAMES)
+    return run
+
+
+HIST_NAMES = [c.split()[0] for c in HIST.split(", ")]
+HIST_TYPES = [{"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[c.split()[1]] for c in HIST.split(", ")]
+
+
+# --------------------------------------------------------------------------- growth
+class Growth:
+    """One growing tree: which nodes must be evaluated next, and the tree that the answers give."""
+
+    def __init__(self, p: BoostParams):
+        self.p, self.known, self.size = p, {}, {1: None}
+
+    def _may_split(self, n: int) -> bool:
+        if n.bit_length() > self.p.depth_limit:
+            return False
+        if self.p.symmetric or self.size[n] is None:
+            return True
+        _, h, c = self.size[n]
+        return c >= 2 * max(1, self.p.min_child_samples) and h >= 2 * self.p.min_child_weight
+
+    def learn(self, r) -> None:
+        n = r["node"]
+        self.known[n] = r
+        self.size[n] = (r["G"], r["H"], r["C"])
+        if r["feat"] is not None:
+            self.size[2 * n] = (r["GL"], r["HL"], r["CL"])
+            self.size[2 * n + 1] = (r["GR"], r["HR"], r["CR"])
+
+    def select(self) -> tuple[list[int], list[int]]:
+        """(nodes split, nodes to evaluate): the queue as far as it is known."""
+        most = (self.p.max_leaves or (1 << 62)) - 1 if not self.p.symmetric else 1 << 62
+        if 1 not in self.known:
+            return [], [1]
+        queue, taken, unknown = [], [], []
+
+        def offer(n):
+            if self._may_split(n):
+                if n not in self.known:
+                    unknown.append(n)
+                elif self.known[n]["feat"] is not None:
+                    heapq.heappush(queue, (-round(self.known[n]["gain"], 8), n))
+        offer(1)
+        while queue and len(taken) < most:
+            _, n = heapq.heappop(queue)
+            taken.append(n)
+            if len(taken) < most:
+                offer(2 * n)
+                offer(2 * n + 1)
+        return taken, unknown
+
+    def tree(self, binning: Binning, rate: float = 1.0) -> Tree:
+        t = Tree()
+        taken, _ = self.select()
+        for n in taken:
+            r = self.known[n]
+            f = r["feat"]
+            cat = binning.categorical[f]
+            t.splits[n] = Split(f, cat, int(r["bin"]), tuple(r["left"]) if cat else (), float(r["gain"]), bool(r["miss_left"]))
+        for n in [1, *(c for s in taken for c in (2 * s, 2 * s + 1))]:
+            if n not in t.splits and self.size[n] is not None:
+                t.leaves[n] = leaf_weight(self.size[n][0], self.size[n][1], self.p) * rate
+        return t
+
+
+def _pass(view: DataFrame, asks: list[_Ask], kept: list[DataFrame], binning: Binning, p: BoostParams, persist: bool):
+    """One pass: (answers, losses by model, histogram table)."""
+    task = _histogram_task(asks, binning.bin_cols, binning.n_bins, p.objective, p.symmetric)
+    spark = view.sparkSession
+    part = view.mapInArrow(task, HIST)
+    rows, tables = "SELECT * FROM {part}", {"part": part}
+    pairs = ", ".join(f"({a.model}, {n // 2}L, {o}L)" for a in asks for n, o in zip(a.nodes, a.sibling) if o)
+    if pairs:       # parents' rows under the sibling's number; the task sends the smaller child's with minus
+        wanted = f"(VALUES {pairs})"        # three numbers per split of this pass
+        tables |= {f"kept{i}": k for i, k in enumerate(kept)}
+        rows += "".join(f""" UNION ALL SELECT /*+ BROADCAST(w) */ k.model, w.sibling, feat, bin, G, H, C FROM {{kept{i}}} k
+  JOIN {wanted} w(model, node, sibling) ON k.model = w.model AND k.node = w.node""" for i in range(len(kept)))
+    hist = spark.sql(f"""SELECT model, node, feat, bin, sum(G) AS G, sum(H) AS H, sum(C) AS C
+FROM (SELECT /*+ REPARTITION(model, node, feat) */ * FROM ({rows})) GROUP BY model, node, feat, bin {'' if p.symmetric else 'HAVING sum(C) > 0'}""", **tables)
+    if persist:
+        hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = (best_level_splits if p.symmetric else best_splits)(hist, binning, p).collect()
+    return [r for r in rows if r["node"] > 0], {r["model"]: (r["G"], r["H"]) for r in rows if r["node"] == -1}, hist
 
 
 # --------------------------------------------------------------------------- trainer
@@ -429,15 +390,10 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
                 disjoint: bool = False, owner: Column | None = None) -> BoostResult:
     """Train ``len(specs)`` boosted models over the rows of ``df`` in the same passes.
 
-    ``df`` holds every row any model trains on, validates on or must score
-    (e.g. train rows with a ``fold`` column plus test rows).  ``disjoint``:
-    no row trains more than one model (see ``gradient_histogram``).  ``owner``:
-    the one model whose margin a row needs (e.g. the outer fold of a replicated
-    row); then each row keeps a single margin pair instead of one per model.  Jobs per
-    tree: one per level; the validation losses of the previous tree ride along
-    in the first level's job.  Margins live in one cached table, refreshed (and
-    checkpointed) every ``checkpoint_every`` trees; in between they are that
-    table plus the new trees' leaf expressions.
+    ``df`` holds every row any model trains on, validates on or must score (e.g. train rows with a ``fold`` column plus
+    test rows).  ``owner``: the one model whose margin a row needs (e.g. the outer fold of a replicated row); then each
+    row keeps a single margin pair instead of one per model.  ``disjoint`` is implied by it and changes nothing else.  Passes per
+    tree: one per level; the validation losses of the tree before ride along in the first.
     """
     p = params
     specs = list(specs)
@@ -453,17 +409,18 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
     nf = len(binning.features)
     y = F.col(label_col).cast("double")
 
+    inner = p.validation_fraction > 0.0
     flags = []
     for m, s in enumerate(specs):
-        flags.append(F.coalesce(s.train, F.lit(False)).alias(f"__T{m}"))
-        flags.append(F.coalesce(s.valid, F.lit(False)).alias(f"__V{m}") if s.valid is not None
-                     else F.lit(False).alias(f"__V{m}"))
+        learns, judged = F.coalesce(s.train, F.lit(False)), F.coalesce(s.valid, F.lit(False)) if s.valid is not None else F.lit(False)
+        held = F.expr(f"{bag_sql(p.seed, 'hold', m, id_col)} < {dlit(p.validation_fraction)}")
+        flags += [(learns & ~held if inner else learns).alias(f"__T{m}"), (learns & held if inner else judged).alias(f"__S{m}"),
+                  judged.alias(f"__V{m}")]
     base_df = apply_bins(df, binning).select(
-        id_col, *keep_cols, y.alias("__y"), *[F.col(binning.bin_col(i)) for i in range(nf)], *flags,
+        id_col, *keep_cols, y.alias("__y"), *[F.col(c) for c in binning.bin_cols], *flags,
         *([owner.cast("int").alias("__own")] if owner is not None else []))
     base_df = base_df.persist(StorageLevel.MEMORY_AND_DISK)
     owned = owner is not None
-    disjoint = disjoint or owned
 
     # base score per model (label mean on its training rows): one aggregate
     row = base_df.agg(*[F.sum(F.when(F.col(f"__T{m}"), F.col("__y"))).alias(f"s{m}") for m in range(M)],
@@ -476,11 +433,10 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
             base.append(float(np.log(mean / (1 - mean))))
         else:
             base.append(mean)
+    train_rows = sum(int(row[f"n{m}"] or 0) for m in range(M))
     df.unpersist()                     # base_df (filled by the aggregate above) replaces it
     keep = [f"`{c}`" for c in base_df.columns]
-    # anchor: a cached (periodically checkpointed) table holding each model's margin
-    # after anc[m] trees; margins of the trees grown since are evaluated on the fly
-    # from their expressions, so every job reads one projection over one cached table
+    # anchor: a cached table with each model's margin after anc[m] trees; later trees are walked through by the tasks
     if owned:
         init = "CASE __own " + " ".join(f"WHEN {m} THEN {dlit(base[m])}" for m in range(M)) + " END"
         anchor = base_df.selectExpr(*keep, f"{init} AS __F", f"{init} AS __B")
@@ -497,110 +453,121 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
     best_iter = [0] * M
     best_loss = [np.inf] * M
     losses: list[list[float]] = [[] for _ in range(M)]
-    has_valid = [s.valid is not None for s in specs]
+    has_valid = [s.valid is not None or inner for s in specs]
 
     def fcol(m: int) -> str:
         return "__F" if owned else f"__F{m}"
 
-    def f_sql(m: int, upto: int | None = None) -> str:
-        ts = trees[m][anc[m]: len(trees[m]) if upto is None else upto]
-        return " + ".join([fcol(m)] + [f"({leaf_sql(tr, binning)})" for tr in ts])
-
-    def b_sql(m: int) -> str:
-        return f_sql(m, best_iter[m]) if best_iter[m] >= anc[m] else ("__B" if owned else f"__B{m}")
-
-    def current(with_best: bool = False) -> DataFrame:
-        if owned:       # only the owner's trees are evaluated for a row
-            cols = ["CASE __own " + " ".join(f"WHEN {m} THEN {f_sql(m)}" for m in range(M))
-                    + " ELSE __F END AS __F"]
-            if with_best:
-                cols.append("CASE __own " + " ".join(f"WHEN {m} THEN {b_sql(m)}" for m in range(M))
-                            + " ELSE __B END AS __B")
-        else:
-            cols = [f"{f_sql(m)} AS __F{m}" for m in range(M)]
-            if with_best:
-                cols += [f"{b_sql(m)} AS __B{m}" for m in range(M)]
-        base_cols = [c for c in keep]
-        return anchor.selectExpr(*base_cols, *cols)
+    def current() -> DataFrame:
+        """The rows with last and best margins."""
+        last = [Nodes(trees[m][anc[m]:], binning) for m in range(M)]
+        best = [Nodes(trees[m][anc[m]:best_iter[m]], binning) if best_iter[m] >= anc[m] else None for m in range(M)]
+        bin_cols, schema = binning.bin_cols, anchor.schema
+
+        def run(batches):
+            for b in batches:
+                col = lambda c: b.column(c).to_numpy(zero_copy_only=False)
+                bins, new = np.column_stack([col(c) for c in bin_cols]), {}
+                if owned:
+                    own, f, best_f = col("__own"), col("__F").astype(float), col("__B").astype(float)
+                    for m in range(M):
+                        rows = np.flatnonzero(own == m)
+                        if len(rows):
+                            if best[m] is not None:
+                                best_f[rows] = f[rows] + best[m].score(bins[rows])
+                            f[rows] = f[rows] + last[m].score(bins[rows])
+                    new = {"__F": f, "__B": best_f}
+                else:
+                    for m in range(M):
+                        f = col(f"__F{m}")
+                        new[f"__F{m}"] = f + last[m].score(bins)
+                        if best[m] is not None:
+                            new[f"__B{m}"] = f + best[m].score(bins)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(new[n]) if n in new else c for n, c in zip(b.schema.names, b.columns)], names=b.schema.names)
+        return anchor.mapInArrow(run, schema)
 
     t = 0
     while True:
         live = [m for m in range(M) if active[m]]
         growing = t < p.n_trees and bool(live)
-        cur = {m: Tree() for m in live} if growing else {}
-        feats_of = {}
-        for m in cur:
-            feats_of[m] = tree_features(p, nf, t, m)
-        open_nodes = {m: [1] for m in cur}
-        loss_models = [m for m in live if has_valid[m]]
-        view = current()
-        for depth in range(p.max_depth if growing else 1):
-            entries = []
-            for m in cur:
-                if not open_nodes[m]:
-                    continue
-                node = node_sql(cur[m], binning)
-                member = f"__T{m}"
-                if p.subsample < 1.0:
-                    member += f" AND {bag_sql(p.seed, t, m, id_col)} < {dlit(p.subsample)}"
-                if depth > 0:
-                    member += f" AND ({node}) IN ({', '.join(map(str, open_nodes[m]))})"
-                g, h = _grad_hess(p.objective, fcol(m), "__y")
-                entries.append((m, member, node, g, h, feats_of[m]))
-            loss_args = ([(m, f"__V{m}", _loss(p.objective, fcol(m), "__y"))
-                          for m in loss_models] if depth == 0 else [])
-            if not entries and not loss_args:
+        grow = {m: Growth(p) for m in live} if growing else {}
+        feats_of = {m: tree_features(p, nf, t, m) for m in grow}
+        judged = [m for m in live if has_valid[m]]
+        bag = [f"__T{m} AND {bag_sql(p.seed, t, m, id_col)} < {dlit(p.subsample)} AS __G{m}" if p.subsample < 1.0 else f"__T{m} AS __G{m}"
+               for m in grow]
+        since = {m: Nodes(trees[m][anc[m]:], binning) for m in live}
+        kept: list[DataFrame | None] = []
+        at: dict[tuple[int, int], int] = {}
+        first = True
+        while True:
+            asks = []
+            for m, g in grow.items():
+                _, unknown = g.select()
+                ask = _Ask(m, fcol(m), since[m], loss=first and m in judged)
+                if unknown:
+                    ask.tree, ask.feats = Nodes([g.tree(binning)], binning), feats_of[m]
+                    todo = set(unknown)
+                    for n in unknown:
+                        other = n ^ 1
+                        if n == 1 or other not in todo or kept[at[m, n // 2]] is None:
+                            ask.nodes.append(n)
+                            ask.sibling.append(0)
+                        elif (g.size[n][2], n) < (g.size[other][2], other):       # the smaller of two
+                            ask.nodes.append(n)
+                            ask.sibling.append(other)
+                if unknown or ask.loss:
+                    asks.append(ask)
+            if first and not grow:
+                asks = [_Ask(m, fcol(m), since[m], loss=True) for m in judged]
+            if not asks:
                 break
-            hdf = gradient_histogram(view, entries, binning, loss_args, disjoint)
-            hist = hdf.toPandas()
-            if depth == 0:
-                lrows = hist[hist["node"] == -1]
-                hist = hist[hist["node"] != -1]
+            need = sorted({a.margin for a in asks})
+            view = anchor.selectExpr(*binning.bin_cols, "__y", *need, *bag, *[f"__S{m}" for m in judged] if first else [])
+            # parents' tables, by round; a round whose children can't be split needs no keeping
+            rounds = sorted({at[a.model, n // 2] for a in asks for n, o in zip(a.nodes, a.sibling) if o})
+            work = [g.size[n] for m, g in grow.items() for n in g.select()[1]]
+            rows = None if None in work else sum(c for _, _, c in work)
+            cells = (train_rows if rows is None else rows) * max((len(f) for f in feats_of.values()), default=0)
+            further = cells >= p.subtract_from and any(n.bit_length() < p.depth_limit for a in asks for n in a.nodes)
+            answers, told, hist = _pass(view, asks, [kept[i] for i in rounds], binning, p, persist=further)
+            at |= {(r["model"], r["node"]): len(kept) for r in answers}
+            kept.append(hist if further else None)
+            for r in answers:
+                if r["model"] in grow:
+                    grow[r["model"]].learn(r)
+            if first:
+                first = False
                 for m in live:          # bookkeeping for the t trees built so far
                     if has_valid[m]:
-                        r = lrows[lrows["model"] == m]
-                        loss = float(r["G"].sum() / r["H"].sum()) if len(r) and r["H"].sum() > 0 else np.inf
+                        total, n = told.get(m, (0.0, 0.0))
+                        loss = total / n if n else np.inf
                         losses[m].append(loss)
                         if loss < best_loss[m] - 1e-15:
                             best_loss[m], best_iter[m] = loss, len(trees[m])
                         elif p.early_stopping and len(trees[m]) - best_iter[m] >= p.early_stopping:
                             active[m] = False
+                            grow.pop(m, None)
                     else:
                         best_iter[m] = len(trees[m])
-                for m in [m for m in cur if not active[m]]:
-                    del cur[m]
-                    open_nodes.pop(m)
-                hist = hist[hist["model"].isin(list(cur))]
-                if not cur:
-                    break
-            splits = best_splits(hist, binning, p)
-            for m in open_nodes:
-                open_nodes[m] = []
-            for _, r in splits.iterrows():
-                m, nid = int(r["model"]), int(r["node"])
-                tree = cur[m]
-                if int(r["feat"]) >= 0:
-                    fi = int(r["feat"])
-                    tree.splits[nid] = Split(fi, binning.categorical[fi], int(r["bin"]),
-                                             tuple(r["left"]) if binning.categorical[fi] else (),
-                                             float(r["gain"]), bool(r["miss_left"]))
-                    if depth + 1 < p.max_depth:
-                        open_nodes[m] += [2 * nid, 2 * nid + 1]
-                    else:
-                        tree.leaves[2 * nid] = float(leaf_weight(r["GL"], r["HL"], p)) * p.learning_rate
-                        tree.leaves[2 * nid + 1] = float(leaf_weight(r["GR"], r["HR"], p)) * p.learning_rate
-                else:
-                    tree.leaves[nid] = float(leaf_weight(r["G"], r["H"], p)) * p.learning_rate
-        if not cur:
+                # a model without training rows keeps its start value
+                for m in [m for m, g in grow.items() if 1 not in g.known]:
+                    active[m] = False
+                    del grow[m]
+            if not grow:
+                break
+        for k in kept:
+            if k is not None:
+                k.unpersist()
+        if not grow:
             break
-        for m in cur:
-            trees[m].append(cur[m])
+        for m, g in grow.items():
+            trees[m].append(g.tree(binning, p.learning_rate))
         t += 1
         if t % every == 0:
-            # materialise the margins in the shared folder: a lost executor never replays
-            # more than `every` trees; the refresh before goes once this one is complete
+            # the margins go to the shared folder; the refresh before is deleted once this one is complete
             folder = scratch_path(df.sparkSession, "boost")
-            nxt = current(with_best=True)
+            nxt = current()
             schema = nxt.schema
             nxt.write.parquet(folder)
             anchor_src.unpersist()
@@ -612,8 +579,7 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label_col: str, specs: S
     for m in range(M):
         if not has_valid[m]:           # a refit keeps all its trees
             best_iter[m] = len(trees[m])
-    state = current(with_best=True)
-    return BoostResult(p, binning, specs, base, trees, best_iter, losses, state, owned,
+    return BoostResult(p, binning, specs, base, trees, best_iter, losses, current(), owned,
                        [anchor_src, *([written] if written else [])])
 
 
@@ -628,17 +594,21 @@ def cv_specs(k: int, fold_col: str = "fold", role_col: str | None = None, refit:
     return specs
 
 
+def oof_expr(res: BoostResult, k: int) -> Column:
+    """The prediction of the fold model that did not see the row; null for rows of no fold."""
+    e = F.when(F.col("__V0"), res.prediction(0))
+    for o in range(1, k):
+        e = e.when(F.col(f"__V{o}"), res.prediction(o))
+    return e
+
+
 def oof_predictions(res: BoostResult, k: int, fold_col: str = "fold", id_col: str = "id",
-                    role_col: str | None = None, pred_col: str = "pred") -> DataFrame:
+                    pred_col: str = "pred") -> DataFrame:
     """K5: each train row scored by the model that did not see its fold."""
     st = res.state
-    e = None
-    for o in range(k):
-        e = (F.when(F.col(f"__V{o}"), res.prediction(o)) if e is None
-             else e.when(F.col(f"__V{o}"), res.prediction(o)))
     out = st.filter(F.greatest(*[F.col(f"__V{o}").cast("int") for o in range(k)]) == 1)
     extra = [fold_col] if fold_col in st.columns else []
-    return out.select(id_col, *extra, F.col("__y").alias("y"), e.alias(pred_col))
+    return out.select(id_col, *extra, F.col("__y").alias("y"), oof_expr(res, k).alias(pred_col))
 
 
 def fold_test_predictions(res: BoostResult, k: int, test_flag: Column, id_col: str = "id",

@@ -30,15 +30,20 @@ from .stats import global_mean, multi_key_stats, valid_key
 def fit_dictionaries(fit: DataFrame, cols: Sequence[str]) -> dict[str, DataFrame]:
     """Sorted distinct non-null values of each column -> ``(col, <col>__code)``.
 
-    One GROUPING SETS pass finds the distinct values of every column; the
-    dictionary itself (category cardinality rows) is numbered by a
-    ``row_number`` over the distinct values only.
+    The distinct values (map-side combined) are sorted by ranges and written; a code is the place inside the range plus the
+    sizes of the ranges before, so no task orders a whole dictionary, and its size is known before it is joined.
     """
     values = multi_key_stats(fit, cols, {"__one": F.lit(1)})
     out = {}
     for c, v in values.items():
-        code = (F.row_number().over(Window.orderBy(F.col(c).asc())) - 1).cast("int")
-        out[c] = v.select(c, code.alias(f"{c}__code"))
+        ranged = materialise(v.select(c).repartitionByRange(c).withColumn("__part", F.spark_partition_id()), "codes")
+        # a row per range
+        parts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+        before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+        place = F.row_number().over(Window.partitionBy("__part").orderBy(F.col(c).asc()))
+        out[c] = ranged.withColumn("__place", place).join(F.broadcast(parts), "__part").select(
+            c, (F.col("__off") + F.col("__place") - 1).cast("int").alias(f"{c}__code"))
     return out
 
 

@@ -328,6 +328,8 @@ def q_lda_sub(spark, sf):
 
 # --------------------------------------------------------------- boosting (T1-T7) and pipelines
 from ..operators import boost  # noqa: E402
+from ..operators.forest import FEATURES as boost_features  # noqa: E402
+from ..operators.forest import MODELS as boost_models  # noqa: E402
 from . import pipelines, registry  # noqa: E402
 
 SIG_NUM = ["o_totalprice", "c_acctbal", "c_nationkey"]
@@ -365,15 +367,9 @@ def q_best_split(spark, sf):
     ex = boost.apply_bins(ex, binning)
     base = ex.groupBy("model").agg(F.avg("s").alias("__b"))
     ex = ex.join(F.broadcast(base), "model")
-    entries = [(m, f"model = {m}", "1", "(__b - s)", "1.0D", [0, 1]) for m in range(5)]
-    hist = boost.gradient_histogram(ex.withColumn("s", F.col("s").cast("double")), entries, binning).toPandas()
+    hist = boost.gradient_histogram(ex, "__b - CAST(s AS DOUBLE)", "1.0D", ["model"], binning).withColumn("node", F.lit(1).cast("long"))
     best = boost.best_splits(hist, binning, SPLIT_P)
-    out = best[["model", "feat", "bin", "gain", "GL", "HL"]].copy()
-    out["model"] = out["model"].astype(int)
-    out["feat"] = out["feat"].astype(int)
-    out["bin"] = out["bin"].astype(int)
-    out["HL"] = out["HL"].astype(float)
-    return rounded(spark.createDataFrame(out, "model int, feat int, bin int, gain double, GL double, HL double"), 6)
+    return rounded(best.select("model", "feat", "bin", "gain", "GL", "HL"), 6)
 
 
 EARLY_P = _quick("squared", n_trees=30, learning_rate=0.6, early_stopping=2)
@@ -428,6 +424,86 @@ def q_boost_sampled(spark, sf):
     return rounded(boost.oof_predictions(res, 5), 6)
 
 
+LEAF_P = _quick("squared", n_trees=5, max_depth=4, max_leaves=5, min_child_samples=20, early_stopping=3)
+SYMMETRIC_P = _quick("logistic", n_trees=5, max_depth=3, symmetric=True, reg_lambda=3.0, early_stopping=3)
+HOLD_P = _quick("squared", n_trees=12, max_leaves=6, min_child_samples=20, learning_rate=0.6, early_stopping=2, validation_fraction=0.1)
+MANY_P = _quick("squared", n_trees=3, max_depth=2, early_stopping=2)
+
+
+@query("boost_leafwise")
+def q_boost_leafwise(spark, sf):
+    """T1 leaf-wise: best split first, five leaves a tree."""
+    tr = folds.assign_kfold(_sig_rows(spark, sf, cat=False).filter(F.col("part") == "train"), k=5, seed=42)
+    res = boost.fit_boosted(tr, SIG_NUM, "s", boost.cv_specs(5, "fold"), LEAF_P, keep_cols=["fold"])
+    return rounded(boost.oof_predictions(res, 5), 6)
+
+
+@query("boost_symmetric")
+def q_boost_symmetric(spark, sf):
+    """T2 symmetric: one split for all nodes of a level, categories ordered over the whole level."""
+    tr = folds.assign_stratified_kfold(_sig_rows(spark, sf).filter(F.col("part") == "train"), "y_sig", k=5, seed=42)
+    res = boost.fit_boosted(tr, [*SIG_NUM, "c_mktsegment"], "y_sig", boost.cv_specs(5, "fold"), SYMMETRIC_P,
+                            categorical=["c_mktsegment"], keep_cols=["fold"])
+    return rounded(boost.oof_predictions(res, 5), 6)
+
+
+@query("boost_holdout")
+def q_boost_holdout(spark, sf):
+    """T3 without given validation rows: rows held out of each training part, the losses on them, the best iteration."""
+    tr = folds.assign_kfold(_sig_rows(spark, sf, cat=False).filter(F.col("part") == "train"), k=5, seed=42)
+    res = boost.fit_boosted(tr, SIG_NUM, "s", boost.cv_specs(5, "fold"), HOLD_P, keep_cols=["fold"])
+    rows = [(o, res.best_iter[o], len(res.trees[o]), float(min(res.valid_loss[o]))) for o in range(5)]
+    found = spark.createDataFrame(rows, "fold int, best_iter int, trees_grown int, best_valid_loss double")
+    held = res.state.agg(*[F.sum(F.col(f"__S{o}").cast("long")).alias(str(o)) for o in range(5)])
+    held = held.select(F.explode(F.array(*[F.struct(F.lit(o).alias("fold"), F.col(str(o)).alias("held_rows")) for o in range(5)])).alias("e"))
+    return rounded(found.join(held.select("e.*"), "fold"), 6)
+
+
+@query("boost_many_categories")
+def q_boost_many(spark, sf):
+    """T7 on a column of as many values as there are customers."""
+    d = fx.fsig(spark, sf).filter(F.col("part") == "train").withColumn("account", F.col("c_acctbal").cast("string"))
+    d = encode.category_encode(d, [d], ["account"])[0]
+    tr = folds.assign_kfold(d, k=5, seed=42)
+    res = boost.fit_boosted(tr, ["o_totalprice", "account"], "s", boost.cv_specs(5, "fold"), MANY_P, categorical=["account"], keep_cols=["fold"])
+    return rounded(boost.oof_predictions(res, 5), 6)
+
+
+# the number of trees and the depth of the registry's "cls_leafwise_a"
+FOREST_TREES, FOREST_DEPTH = registry.REGISTRY["cls_leafwise_a"]["n_estimators"], registry.REGISTRY["cls_leafwise_a"]["max_depth"]
+
+
+@query("forest_score")
+def q_forest_score(spark, sf):
+    """An ensemble of full size as a table: quantile cuts of the training rows, features, cuts and leaf values of the nodes
+    by hash; every row walks down all its trees."""
+    d = fx.fsig(spark, sf)
+    cols = ["o_totalprice", "c_acctbal"]
+    binning = boost.fit_bins(d.filter(F.col("part") == "train"), cols, max_bins=16)
+    inner = 1 << FOREST_DEPTH
+    nodes = spark.range(FOREST_TREES * (2 * inner - 1)).select(
+        (F.col("id") / F.lit(2 * inner - 1)).cast("int").alias("tree"), (F.col("id") % (2 * inner - 1) + 1).alias("node"))
+    u = lambda i: F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long")
+    nodes = nodes.withColumn("h", F.md5(F.concat_ws("|", F.lit("forest"), "tree", "node"))).withColumn("f", (u(0) % 2).cast("int"))
+    split = F.col("node") < inner
+    bins = F.when(F.col("f") == 0, F.lit(len(binning.cuts[0]))).otherwise(F.lit(len(binning.cuts[1])))
+    nodes = nodes.select(F.lit(0).alias("model"), "tree", "node", F.when(split, F.element_at(F.array(*map(F.lit, cols)), F.col("f") + 1)).alias("feature"),
+                         F.when(split, (u(1) % bins).cast("int")).alias("bin"), F.lit(False).alias("missing_left"),
+                         F.lit(None).cast("array<int>").alias("left_codes"),
+                         F.when(~split, u(2) / F.lit(2.0 ** 36) - 0.03).alias("value"))
+    features = spark.createDataFrame([(i, c, False, binning.cuts[i], binning.n_bins[i]) for i, c in enumerate(cols)], boost_features)
+    models = spark.createDataFrame([(0, 0.25, "logistic")], boost_models)
+    forest = boost.Forest.from_tables(nodes, features, models)
+    return rounded(forest.score(d.select("id", *cols), 0, "pred").select("id", "pred"), 6)
+
+
+# the pipelines' own parameters, small enough for a test run
+CV_SUBMISSION_P = boost.BoostParams(objective="logistic", n_trees=6, learning_rate=0.3, max_depth=4, max_leaves=6, reg_alpha=1.0, reg_lambda=0.5,
+                                    min_child_samples=31, max_bins=32, early_stopping=3)
+STACK_A = boost.BoostParams(objective="logistic", n_trees=4, learning_rate=0.3, max_depth=3, min_child_weight=6.0, max_bins=32)
+STACK_B = boost.BoostParams(objective="logistic", n_trees=4, learning_rate=0.3, max_depth=2, symmetric=True, reg_lambda=3.0, max_bins=32)
+
+
 @query("cv_submission")
 def q_cv_pipeline(spark, sf):
     d = fx.fsig(spark, sf)
@@ -435,14 +511,13 @@ def q_cv_pipeline(spark, sf):
                                                       "c_mktsegment", "o_orderpriority")
     test = d.filter(F.col("part") == "test").select("id", "o_totalprice", "c_acctbal", "c_mktsegment",
                                                     "o_orderpriority")
-    p, enc = registry.model_spec("bin_leafwise_7", n_trees=10, early_stopping=3, learning_rate=0.3, max_bins=32)
     r = pipelines.cv_pipeline(train, test, "y_sig", ["o_totalprice", "c_acctbal", "c_mktsegment", "o_orderpriority"],
-                              p, k=5, target_encode_cols=["c_mktsegment", "o_orderpriority"], **enc)
-    return r.submission
+                              CV_SUBMISSION_P, k=5, target_encode_cols=["c_mktsegment", "o_orderpriority"], smoothing=0.5)
+    return rounded(r.submission, 6)
 
 
-SCORES_P, _ = registry.model_spec("reg_depthwise_4", n_trees=10, early_stopping=3, learning_rate=0.3, max_depth=3,
-                                  min_child_weight=5.0, max_bins=32)
+SCORES_P = boost.BoostParams(objective="squared", n_trees=8, learning_rate=0.3, max_depth=3, gamma=1.5, min_child_weight=5.0,
+                             colsample_bytree=0.6, reg_lambda=2.0, reg_alpha=2.5, max_bins=32, early_stopping=3)
 
 
 @query("cv_scores")
@@ -472,23 +547,19 @@ def q_stack(spark, sf):
     train = d.filter(F.col("part") == "train").select("id", "y_sig", "o_totalprice", "c_acctbal", "c_nationkey")
     test = d.filter(F.col("part") == "test").select("id", "o_totalprice", "c_acctbal", "c_nationkey")
     orig = d.filter(F.col("part") == "original").select("y_sig", "c_nationkey")
-    pa, _ = registry.model_spec("cls_depthwise_a", n_trees=6, learning_rate=0.3, max_bins=32)
-    pb, _ = registry.model_spec("cls_symmetric_b", n_trees=6, learning_rate=0.3, max_bins=32)
     _, auc, sub = pipelines.stack_pipeline(train, test, "y_sig", ["o_totalprice", "c_acctbal", "c_nationkey"],
-                                           [("xgb", pa), ("cat", pb)], external=orig,
+                                           [("a", STACK_A), ("b", STACK_B)], external=orig,
                                            external_cols=["c_nationkey"])
-    return sub
+    return rounded(sub, 6)
 
 
 @query("stacking_report")
 def q_stacking_report(spark, sf):
     d = fx.fsig(spark, sf).filter(F.col("part") == "train").select(
         "id", "y_sig", "o_totalprice", "c_acctbal", "c_nationkey")
-    pa, _ = registry.model_spec("cls_leafwise_a", n_trees=6, learning_rate=0.3, max_bins=32)
-    pb, _ = registry.model_spec("cls_symmetric_a", n_trees=6, learning_rate=0.3, max_bins=32)
     ev = pipelines.StackingEvaluator(
-        [pipelines.BaseModel("lgbm", pa, ["o_totalprice", "c_acctbal"]),
-         pipelines.BaseModel("cat", pb, ["o_totalprice", "c_nationkey"])], d, "y_sig").fit()
+        [pipelines.BaseModel("a", STACK_A, ["o_totalprice", "c_acctbal"]),
+         pipelines.BaseModel("b", STACK_B, ["o_totalprice", "c_nationkey"])], d, "y_sig").fit()
     return rounded(ev.report())
 
 

@@ -331,7 +331,7 @@ gains AS (SELECT *, 0.5::double * ({_T('GL')} * {_T('GL')} / (HL + 1.0::double)
           FROM cum
           WHERE HL >= 1.0::double AND Ht - HL >= 1.0::double AND CL >= 1 AND Ct - CL >= 1
             AND ((feat = 0 AND bin <> 9) OR (feat = 1 AND key <> 'Infinity'::double))),
-best AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY gain DESC, feat, key) AS rn FROM gains WHERE gain > 0)
+best AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(gain, 8) DESC, feat, key) AS rn FROM gains WHERE gain > 0)
 SELECT model, feat, bin, round(gain, 6) AS gain, round(GL, 6) AS GL, round(HL, 6) AS HL FROM best WHERE rn = 1""")
 
 
@@ -397,7 +397,7 @@ _BINA = ("CASE WHEN c_acctbal IS NULL OR isnan(c_acctbal) THEN 12 " +
 def _best(hist: str, keys: str) -> str:
     """Best numeric split per (keys) over a histogram relation (feat 0: missing bin 9, feat 1: 12)."""
     return f"""(SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY gain DESC, feat, bin) AS rn FROM (
+  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(gain, 8) DESC, feat, bin) AS rn FROM (
     SELECT *, 0.5::double * ({_T('GL')} * {_T('GL')} / (HL + 1.0::double)
                  + {_T('(Gt - GL)')} * {_T('(Gt - GL)')} / (Ht - HL + 1.0::double)
                  - {_T('Gt')} * {_T('Gt')} / (Ht + 1.0::double)) AS gain
@@ -490,14 +490,15 @@ oracle("vote_only_submission", ORACLE["vote_submission"])
 
 # --------------------------------------------------------------- boosted fits, tree by tree
 from .boostsql import boost_ctes, cuts_sql, oof_sql  # noqa: E402
-from .catalog import CV_P, EARLY_P, SAMPLED_P, SCORES_P, SIG_NUM, _quick  # noqa: E402
+from .catalog import (  # noqa: E402
+    CV_P, EARLY_P, FOREST_DEPTH, FOREST_TREES, HOLD_P, LEAF_P, MANY_P, SAMPLED_P, SCORES_P, SIG_NUM, SYMMETRIC_P, _quick)
 
 
-def _boost(p, label="s", strata=None, cats=()):
+def _boost(p, label="s", strata=None, cats=(), num=SIG_NUM):
     codes = ", ".join(f"(SELECT count(DISTINCT {c}) FROM fsig q WHERE q.part = 'train' AND q.{c} < f.{c}) AS {c}" for c in cats)
     rows = f"""tr AS MATERIALIZED (SELECT id, {strat_fold('id', strata, 5, 42)} AS fold, {label} AS y,
-      {', '.join(SIG_NUM)}{', ' + codes if cats else ''} FROM fsig f WHERE part = 'train')"""
-    return f"WITH {FSIG},\n" + ",\n".join([rows, *boost_ctes("tr", SIG_NUM, list(cats), p, 5)]) + "\n"
+      {', '.join(num)}{', ' + codes if cats else ''} FROM fsig f WHERE part = 'train')"""
+    return f"WITH {FSIG},\n" + ",\n".join([rows, *boost_ctes("tr", list(num), list(cats), p, 5)]) + "\n"
 
 
 def _oof(p):
@@ -511,6 +512,30 @@ oracle("boost_categorical", _boost(_quick("squared"), cats=("c_mktsegment", "o_o
 oracle("boost_sampled", _boost(SAMPLED_P) + _oof(SAMPLED_P).replace("CAST(y AS DOUBLE)", "round(y, 6)"))
 oracle("boost_early_stop", _boost(EARLY_P) + """SELECT model AS fold, CAST(best_iter AS INTEGER) AS best_iter,
   CAST(trees_grown AS INTEGER) AS trees_grown, round(best_valid_loss, 6) AS best_valid_loss FROM best""")
+oracle("boost_leafwise", _boost(LEAF_P) + _oof(LEAF_P).replace("CAST(y AS DOUBLE)", "round(y, 6)"))
+oracle("boost_symmetric", _boost(SYMMETRIC_P, "y_sig", "y_sig", ("c_mktsegment",)) + _oof(SYMMETRIC_P))
+oracle("boost_holdout", _boost(HOLD_P) + """SELECT b.model AS fold, CAST(best_iter AS INTEGER) AS best_iter,
+  CAST(trees_grown AS INTEGER) AS trees_grown, round(best_valid_loss, 6) AS best_valid_loss, n AS held_rows
+  FROM best b JOIN (SELECT model, count(*) AS n FROM z0 WHERE st GROUP BY 1) h ON h.model = b.model""")
+_MANY = _boost(MANY_P, cats=("account",), num=("o_totalprice",)).replace(
+    "(SELECT count(DISTINCT account) FROM fsig q WHERE q.part = 'train' AND q.account < f.account)",
+    "(SELECT code FROM accounts a WHERE a.account = CAST(f.c_acctbal AS VARCHAR))").replace(
+    "tr AS MATERIALIZED", "accounts AS MATERIALIZED (SELECT account, row_number() OVER (ORDER BY account) - 1 AS code FROM "
+    "(SELECT DISTINCT CAST(c_acctbal AS VARCHAR) AS account FROM fsig WHERE part = 'train')),\ntr AS MATERIALIZED", 1)
+oracle("boost_many_categories", _MANY + _oof(MANY_P).replace("CAST(y AS DOUBLE)", "round(y, 6)"))
+_HALF = 1 << FOREST_DEPTH
+oracle("forest_score", f"""WITH {FSIG},
+{cuts_sql('c1', "(SELECT * FROM fsig WHERE part = 'train')", 'o_totalprice', 16)}, {cuts_sql('c2', "(SELECT * FROM fsig WHERE part = 'train')", 'c_acctbal', 16)},
+b AS MATERIALIZED (SELECT id, (SELECT count(*) FROM c1 WHERE v <= f.o_totalprice) AS b0, (SELECT count(*) FROM c2 WHERE v <= f.c_acctbal) AS b1 FROM fsig f),
+h AS (SELECT tree, node, md5('forest|' || tree || '|' || node) AS h FROM range({FOREST_TREES}) t(tree), range(1, {2 * _HALF}) n(node)),
+n AS MATERIALIZED (SELECT tree, node, ('0x' || substr(h, 1, 8))::BIGINT % 2 AS f, ('0x' || substr(h, 9, 8))::BIGINT AS u,
+      ('0x' || substr(h, 17, 8))::BIGINT / 68719476736.0::DOUBLE - 0.03 AS value FROM h),
+g AS MATERIALIZED (SELECT tree, node, f, u % (CASE f WHEN 0 THEN (SELECT count(*) FROM c1) ELSE (SELECT count(*) FROM c2) END) AS bin, value FROM n),
+w0 AS (SELECT DISTINCT b0, b1, t.tree, 1 AS node FROM b, range({FOREST_TREES}) t(tree)),
+""" + ",\n".join(f"""w{i + 1} AS (SELECT b0, b1, w.tree, 2 * w.node + CASE WHEN (CASE f WHEN 0 THEN b0 ELSE b1 END) <= bin THEN 0 ELSE 1 END AS node
+  FROM w{i} w JOIN g ON g.tree = w.tree AND g.node = w.node)""" for i in range(FOREST_DEPTH)) + f""",
+s AS (SELECT b0, b1, 0.25 + sum(value) AS z FROM w{FOREST_DEPTH} w JOIN g ON g.tree = w.tree AND g.node = w.node GROUP BY ALL)
+SELECT id, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-z)), 6) AS pred FROM b JOIN s USING (b0, b1)""")
 oracle("quantile_bin", f"""WITH {FSIG},
 tr AS (SELECT id, o_totalprice, c_acctbal FROM fsig WHERE part = 'train'),
 {cuts_sql('c1', 'tr', 'o_totalprice', 16)}, {cuts_sql('c2', 'tr', 'c_acctbal', 16)}

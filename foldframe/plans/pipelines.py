@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blend, boost, encode, folds, linear, metrics, stats
 from ..operators.boost import BoostParams, ModelSpec
+from ..session import materialise
 
 
 # ------------------------------------------------------------------------- C1
@@ -24,6 +25,12 @@ class CVResult:
     submission: DataFrame          # id, pred
     scores: DataFrame              # model, fold, metric, value
     best_iter: list[int]
+    fit: boost.BoostResult | None = None
+
+    def close(self) -> None:
+        """Release the booster's cached rows; call it when the tables above have been written."""
+        if self.fit:
+            self.fit.close()
 
 
 def cv_pipeline(train: DataFrame, test: DataFrame, label_col: str, features: Sequence[str],
@@ -116,7 +123,7 @@ def cv_pipeline(train: DataFrame, test: DataFrame, label_col: str, features: Seq
         fold_test = boost.fold_test_predictions(res, k, F.col("__role") == "test", id_col=id_col)
     scores = metrics.fold_scores(oof, "pred", "y", metric=metric, model=name)
     submission = blend.mean_over_folds(fold_test, ["pred"], id_col=id_col)
-    return CVResult(oof, fold_test, submission, scores, res.best_iter)
+    return CVResult(oof, fold_test, submission, scores, res.best_iter, res)
 
 
 # ------------------------------------------------------------------------- C2, C3
@@ -238,6 +245,12 @@ class StackingEvaluator:
     def report(self) -> DataFrame:
         return self.scores
 
+    def close(self) -> None:
+        """Release the bases' cached rows; the report can't be computed any more, ``predict`` still works."""
+        for res in self.results.values():
+            if isinstance(res, boost.BoostResult):
+                res.close()
+
     def predict(self, df: DataFrame) -> DataFrame:
         """Refit base models score ``df``; the stacker combines them -> ``(id, pred)``."""
         cols = []
@@ -247,9 +260,7 @@ class StackingEvaluator:
             if isinstance(res, linear.LinearModel):
                 df = df.withColumn(bm.name, res.predict())
                 continue
-            binned = boost.apply_bins(df, res.binning)
-            df = binned.withColumn(bm.name, res.score_expr(self.k)).drop(
-                *[res.binning.bin_col(i) for i in range(len(res.binning.features))])
+            df = res.forest().score(df, self.k, bm.name)
         return df.select(self.id, self.stacker.predict().alias("pred"))
 
 
@@ -261,7 +272,8 @@ def stack_pipeline(train: DataFrame, test: DataFrame, label_col: str, features:
                    external_bases: Sequence[tuple[str, BoostParams]] | None = None):
     """C4: bases on raw features, ``external_bases`` (default: the same) on features + external means (E7),
     OOF columns (K5) and refit test columns (K7), ridge stacker cross-validated (V4),
-    ridge refit scores the test rows.  Returns ``(oof_stack, ridge_auc, submission)``."""
+    ridge refit scores the test rows.  Returns ``(oof_stack, ridge_auc, submission)``; a base's predictions are written to the
+    shared folder as soon as it is fitted, and its cached rows released."""
     d = folds.assign_stratified_kfold(train, label_col, k=k, seed=seed, id_col=id_col)
     feature_sets = [("raw", list(features))]
     if external is not None and external_cols:
@@ -281,10 +293,10 @@ def stack_pipeline(train: DataFrame, test: DataFrame, label_col: str, features:
             res = boost.fit_boosted(rows, feats, label_col, specs, params,
                                     categorical=[c for c in categorical if c in feats],
                                     id_col=id_col, keep_cols=["fold", "__role"])
-            oof = oof.join(boost.oof_predictions(res, k, id_col=id_col).select(id_col, F.col("pred").alias(name)),
-                           id_col)
-            tst = tst.join(res.state.filter(F.col("__role") == "test")
-                           .select(id_col, res.prediction(k).alias(name)), id_col)
+            done = materialise(res.state.select(id_col, "__role", res.prediction(k).alias("refit"), boost.oof_expr(res, k).alias("oof")), "base")
+            res.close()
+            oof = oof.join(done.filter(F.col("__role") == "train").select(id_col, F.col("oof").alias(name)), id_col)
+            tst = tst.join(done.filter(F.col("__role") == "test").select(id_col, F.col("refit").alias(name)), id_col)
             names.append(name)
     ridge = linear.fit_ridge_cv(oof, names, "y", "fold", alpha=1.0)
     scored = oof.select("y", ridge.predict_by_fold("fold").alias("ridge"))

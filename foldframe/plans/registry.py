@@ -1,9 +1,9 @@
 """Named parameter sets (C6) and their mapping to ``BoostParams``.
 
 Encoder knobs (``smoothing``, ``noise_level``) are popped out of a model's
-parameters before the booster sees them.  Leaf-count limits of leaf-wise
-trainers have no equivalent in depth-wise growth and are dropped; device and
-thread settings are the cluster's business.
+parameters before the booster sees them.  Leaf limits mean leaf-wise growth;
+the symmetric family splits whole levels; device and thread settings are the
+cluster's business.
 """
 
 from __future__ import annotations
@@ -82,21 +82,22 @@ _ALIASES = {
     "min_samples_leaf": "min_child_samples", "subsample": "subsample",
     "colsample_bytree": "colsample_bytree", "objective": "objective", "random_state": "seed",
     "rounds": "n_trees", "n_estimators": "n_trees", "max_iter": "n_trees", "num_trees": "n_trees",
-    "patience": "early_stopping",
+    "patience": "early_stopping", "num_leaves": "max_leaves", "max_leaf_nodes": "max_leaves",
 }
 
 
 # What a parameter set leaves out follows its trainer's own defaults (fixed values).
 _FAMILY = {
-    "leafwise": {"reg_lambda": 0.0, "min_child_samples": 20, "min_child_weight": 1e-3, "n_trees": 100, "learning_rate": 0.1},
+    "leafwise": {"reg_lambda": 0.0, "min_child_samples": 20, "min_child_weight": 1e-3, "n_trees": 100, "learning_rate": 0.1,
+                 "max_leaves": 31, "max_depth": -1},
     "depthwise": {"reg_lambda": 1.0, "min_child_samples": 1, "min_child_weight": 1.0, "n_trees": 100, "learning_rate": 0.3,
                   "max_depth": 6},
-    "symmetric": {"reg_lambda": 3.0, "min_child_samples": 1, "n_trees": 1000, "max_depth": 6},
-    "hist": {"reg_lambda": 0.0, "min_child_samples": 20, "n_trees": 100, "learning_rate": 0.1},
-    "trees": {"reg_lambda": 0.0, "min_child_samples": 5, "n_trees": 300, "learning_rate": 0.1, "max_depth": 6},
+    "symmetric": {"reg_lambda": 3.0, "min_child_samples": 1, "n_trees": 1000, "max_depth": 6, "symmetric": True},
+    "hist": {"reg_lambda": 0.0, "min_child_samples": 20, "n_trees": 100, "learning_rate": 0.1, "max_leaves": 31, "max_depth": -1,
+             "validation_fraction": 0.1, "early_stopping": 10},
+    "trees": {"reg_lambda": 0.0, "min_child_samples": 5, "n_trees": 300, "learning_rate": 0.1, "max_depth": 6,
+              "validation_fraction": 0.1, "early_stopping": 30},
 }
-#: Known keys without an equivalent in depth-wise growth.
-IGNORED = {"num_leaves", "max_leaf_nodes"}
 
 
 def _family(name: str) -> dict:
@@ -106,8 +107,7 @@ def _family(name: str) -> dict:
 def model_spec(name_or_params, **overrides) -> tuple[BoostParams, dict]:
     """``(BoostParams, encoder_knobs)`` for a registry name or a raw parameter dict.
 
-    ``overrides`` replace BoostParams fields (e.g. ``n_trees=10`` in tests).  Keys that are neither
-    known nor in ``IGNORED`` are errors.
+    ``overrides`` replace BoostParams fields (e.g. ``n_trees=10`` in tests).  Unknown keys are errors.
     """
     raw = dict(REGISTRY[name_or_params] if isinstance(name_or_params, str) else name_or_params)
     enc = {k: raw.pop(k) for k in ("smoothing", "noise_level") if k in raw}
@@ -115,7 +115,7 @@ def model_spec(name_or_params, **overrides) -> tuple[BoostParams, dict]:
     for k, v in raw.items():
         if k in _ALIASES:
             kw[_ALIASES[k]] = v
-        elif k not in IGNORED:
+        else:
             raise ValueError(f"unknown parameter {k!r}")
     p = BoostParams(**kw)
     return replace(p, **overrides), enc

@@ -1,9 +1,9 @@
 """Streaming use of fitted models.
 
 The reference has no streaming operators.  The only streaming concern is
-that fitted models (T12) score micro-batches: linear models and boosted
-trees are plain column expressions (trees over quantile bins from a JVM
-``Bucketizer``), so they apply to a streaming DataFrame exactly as to a
+that fitted models (T12) score micro-batches: linear models are plain
+column expressions, ensembles score Arrow batches of bins from a JVM
+``Bucketizer``, so they apply to a streaming DataFrame exactly as to a
 batch one.
 """
 
@@ -18,16 +18,16 @@ def score_stream(stream: DataFrame, model, query_name: str, checkpoint_dir: str,
                  model_index: int = 0) -> StreamingQuery:
     """Score every incoming row; append ``(id, pred)`` to ``sink``.
 
-    ``model``: a ``LinearModel`` (full fit) or a ``BoostResult`` (model
+    ``model``: a ``LinearModel`` (full fit), a ``BoostResult`` or a saved ``Forest`` (model
     ``model_index``, best iteration).  ``checkpoint_dir`` must be a shared,
     reliable folder on a cluster.
     """
-    from ..operators.boost import BoostResult, apply_bins
+    from ..operators.boost import BoostResult, Forest
     if isinstance(model, BoostResult):
-        pred = model.score_expr(model_index)
-        stream = apply_bins(stream, model.binning)
+        model = model.forest()
+    if isinstance(model, Forest):
+        scored = model.score(stream, model_index, out_col).select(id_col, out_col)
     else:
-        pred = model.predict()
-    scored = stream.select(id_col, pred.alias(out_col))
+        scored = stream.select(id_col, model.predict().alias(out_col))
     return (scored.writeStream.outputMode("append").format(sink).queryName(query_name)
                   .option("checkpointLocation", checkpoint_dir).start())

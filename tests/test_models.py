@@ -101,9 +101,8 @@ def test_booster_beats_constant_and_is_repeatable(spark):
                            keep_cols=["fold"])
     o2 = boost.oof_predictions(r2, 3).toPandas().sort_values("id")
     assert np.allclose(o1["pred"].to_numpy(), o2["pred"].to_numpy(), atol=1e-9)
-    # in-state scores equal the standalone scoring expression
-    binned = boost.apply_bins(df, r1.binning)
-    sc = binned.select("id", "fold", r1.score_expr(0).alias("p0")).toPandas()
+    # in-state scores equal those of the ensemble as data
+    sc = r1.forest().score(df, 0, "p0").select("id", "fold", "p0").toPandas()
     st = r1.state.select("id", F.col("__B0").alias("b0")).toPandas()
     mm = sc.merge(st, on="id")
     assert np.allclose(mm["p0"], mm["b0"], atol=1e-9)
