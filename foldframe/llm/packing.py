@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from foldframe.llm.common import Scratch, table
 
 _RANGES = 1024
-#: Words of lower-case ASCII and Latin-1 letters: the tokenizer's normaliser and splitter leave them as they are.
-_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
-#: A stop or comma that ends a word; the letters before it are ASCII or in the two-byte range of Latin letters.
-_STOP = re.compile(rb"(?<=[a-z0-9])[.,](?=[\x20\x09-\x0D]|$)|(?<=\xc3[\xa0-\xb6\xb8-\xbf])[.,](?=[\x20\x09-\x0D]|$)")
+#: Letters of ASCII (lower case) and Latin-1, then punctuation without the apostrophe: the tokenizer's normaliser only lower-cases
+#: them and its splitter cuts them between the two and nowhere else.
+_WORD = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+_CHUNK = 1 << 20        # characters of texts that are looked up together
 
 
 def default_tokenizer() -> str:
@@ -63,12 +63,11 @@ class TokenIds:
     """Token ids of texts as little-endian 32-bit bytes.
 
     The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are those of its
-    lower-cased parts between ASCII white space.  It never joins a letter with a stop or comma either, so these make
-    parts of their own where they end a word.  The ids of short parts are remembered in two
-    generations of at most ``memo_parts`` each; when the young one is full the old one goes.
+    lower-cased parts between ASCII white space.  The ids of short parts are remembered in two generations of at most
+    ``memo_parts`` each; when the young one is full the old one goes.  With the defaults that is at most some 150 MB in a worker.
     """
 
-    def __init__(self, path: str, memo_parts: int = 700_000, memo_bytes: int = 48):
+    def __init__(self, path: str, memo_parts: int = 400_000, memo_bytes: int = 48):
         self.tokenizer, self.limit, self.short = _tokenizer(path), memo_parts, memo_bytes
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -79,37 +78,53 @@ class TokenIds:
             return []
         if "<|" in text:  # a special token in capitals is ordinary text
             return text.encode().split()
-        return _STOP.sub(rb" \g<0>", text.encode().lower()).split()
+        return text.encode().lower().split()
 
     def _learn(self, parts: set[bytes]) -> dict[bytes, bytes]:
-        """Puts the ids of ``parts`` into the young generation; returns those of long parts."""
+        """The ids of parts that the young generation lacks; it gets those of the short ones."""
         if len(self.young) + len(parts) > self.limit:
             self.old, self.young = self.young, {}
-        unknown = [p for p in parts if p not in self.old]
-        self.young.update((p, self.old[p]) for p in parts if p in self.old)
-        # plain words go to the model itself, which spares them the normaliser and the splitter
-        letters, tokenize = _byte_letters(), self.tokenizer.model.tokenize
-        ids = {p: array("I", [t.id for t in tokenize(p.decode("latin-1").translate(letters))]).tobytes()
-               for p in unknown if _PLAIN.fullmatch(p)}
-        other = [p for p in unknown if p not in ids]
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in other], add_special_tokens=False)
-        ids.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(other, found))
-        self.young.update((p, b) for p, b in ids.items() if len(p) <= self.short)
-        return {p: b for p, b in ids.items() if len(p) > self.short}
+        letters, tokenize, old = _byte_letters(), self.tokenizer.model.tokenize, self.old
+        found, other = {}, []
+        for p in parts:
+            ids = old.get(p)
+            if ids is None:
+                word = _WORD.fullmatch(p)
+                if word is None:
+                    other.append(p)
+                    continue
+                # a word goes to the model itself, which spares it the normaliser and the splitter
+                stem, stop = word.groups()
+                if not stem.isascii():
+                    stem = stem.decode().lower().encode()
+                tokens = tokenize(stem.decode("latin-1").translate(letters))
+                if stop:
+                    tokens += tokenize(stop.decode())
+                ids = array("I", [t.id for t in tokens]).tobytes()
+            found[p] = ids
+        for p, e in zip(other, self.tokenizer.encode_batch_fast([p.decode() for p in other], add_special_tokens=False) if other else ()):
+            found[p] = np.array(e.ids, "<u4").tobytes()
+        if len(parts) <= self.limit:
+            self.young.update((p, ids) for p, ids in found.items() if len(p) <= self.short)
+        return found
+
+    def _of_parts(self, texts: list[list[bytes]]) -> Iterator[bytes]:
+        young = self.young
+        rows = [list(map(young.get, parts)) for parts in texts]
+        lack = {p for parts, ids in zip(texts, rows) if None in ids for p, x in zip(parts, ids) if x is None}
+        found = self._learn(lack) if lack else {}
+        for parts, ids in zip(texts, rows):
+            yield b"".join([found[p] if x is None else x for p, x in zip(parts, ids)] if None in ids else ids)
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        held, size = [], 0
         for text in texts:
-            parts = self.parts(text)
-            distinct = set(parts)
-            new = {p for p in distinct if p not in self.young}
-            if not new:
-                yield b"".join([self.young[p] for p in parts])
-                continue
-            if len(self.young) + len(new) > self.limit:
-                new = distinct
-            long_parts = self._learn(new)
-            young = self.young
-            yield b"".join([young[p] if p in young else long_parts[p] for p in parts])
+            held.append(self.parts(text))
+            size += len(text or "")
+            if size > _CHUNK:
+                yield from self._of_parts(held)
+                held, size = [], 0
+        yield from self._of_parts(held)
 
 
 @lru_cache(maxsize=2)
