@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -220,22 +221,36 @@ def _cut_hot(runs: DataFrame, window: int) -> DataFrame:
 
 
 def _repeats_by_count(runs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """(sid, a, b): window starts of the distinct runs (sid, s) whose window occurs again, by counting 128-bit hashes."""
+    """(sid, a, b): ranges of window starts of the distinct runs (sid, s, n copies) whose window occurs again, by counting
+    128-bit hashes.  The windows of runs of several copies only count: all of them repeat, which the caller knows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sid, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for sid, s, n in zip(*(c.to_pylist() for c in batch.columns)):
                 for lo in range(0, len(s) - window + 1, 1 << 16):
                     at = range(lo, min(len(s) - window + 1, lo + (1 << 16)))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([xxhash.xxh3_128_digest(s[i:i + window]) for i in at], pa.binary()),
-                         pa.array([sid] * len(at), pa.binary()), pa.array(at, pa.int64())], names=["w", "sid", "a"])
+                         pa.array([sid if n == 1 else None] * len(at), pa.binary()), pa.array(at, pa.int64())], names=["w", "sid", "a"])
 
-    windows = scratch.write(runs.select("sid", "s").mapInArrow(run, "w binary, sid binary, a long"), "windows")
-    again = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
+    windows = scratch.write(runs.select("sid", "s", "n").mapInArrow(run, "w binary, sid binary, a long"), "windows")
+    again = windows.groupBy("w").agg(F.count("*").alias("n"), F.count("sid").alias("own")).where("n > 1 and own > 0").select("w")
     # written right after the join, so that Spark may split the rows of a frequent window
-    counted = scratch.write(windows.join(again, "w").select("sid", "a", (F.col("a") + 1).alias("b")), "counted")
+    counted = scratch.write(windows.where("sid is not null").join(again, "w").select("sid", "a"), "counted")
     scratch.drop(windows)
-    return counted
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Neighbouring starts as one range."""
+        for batch in batches:
+            sid, a = batch.column(0), batch.column(1).to_numpy()
+            if not len(a):
+                continue
+            own = np.asarray(pa.compute.rank(sid, tiebreaker="dense"))
+            new = np.append(True, (np.diff(own) != 0) | (np.diff(a) != 1))
+            at = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays([sid.take(pa.array(at)), pa.array(a[at]), pa.array(a[np.append(at[1:], len(a)) - 1] + 1)],
+                                             names=["sid", "a", "b"])
+
+    return counted.repartition("sid").sortWithinPartitions("sid", "a").mapInArrow(ranges, "sid binary, a long, b long")
 
 
 def _hot_repeats(runs: DataFrame, window: int, chunk: int, hot_bytes: int, scratch: Scratch) -> DataFrame:
@@ -244,7 +259,7 @@ def _hot_repeats(runs: DataFrame, window: int, chunk: int, hot_bytes: int, scrat
     pieces = scratch.write(cut.groupBy("key", "pid", "s").agg(F.count("*").alias("n"), F.max("again").alias("again")), "pieces")
     groups = pieces.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.octet_length("s")).alias("size"),
                                        F.max("again").alias("any_again")).where("m > 1 or any_again")
-    own = scratch.write(pieces.join(groups, "key").select("key", F.col("pid").alias("sid"), "s", "size"), "hot_groups")
+    own = scratch.write(pieces.join(groups, "key").select("key", F.col("pid").alias("sid"), "s", "size", "n"), "hot_groups")
     cold = own.where(F.col("size") <= hot_bytes).select("key", "sid", F.lit(0).cast("long").alias("start"), "s")
     found = _repeats_in_groups(cold.repartition("key").sortWithinPartitions("key"), window, chunk)
     found = found.unionByName(_repeats_by_count(own.where(F.col("size") > hot_bytes), window, scratch))
@@ -277,15 +292,24 @@ def _repeats_in_groups(runs: DataFrame, window: int, chunk: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())],
                                              names=["sid", "a", "b"])
 
+        own: list[tuple] = []       # rows of the key that is being read
+        own_size = 0
         for batch in batches:
             for key, sid, start, s in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != last and size >= chunk:  # a key, of at most hot_bytes, is never cut
-                    yield from found()
-                    rows.clear()
-                    size = 0
-                last = key
-                rows.append((sid, start, s))
-                size += len(s)
+                if key != last:
+                    if rows and size + own_size > chunk:        # a key, of at most hot_bytes, is never cut
+                        yield from found()
+                        rows.clear()
+                        size = 0
+                    rows += own
+                    size += own_size
+                    own, own_size, last = [], 0, key
+                own.append((sid, start, s))
+                own_size += len(s)
+        if rows and size + own_size > chunk:
+            yield from found()
+            rows.clear()
+        rows += own
         if rows:
             yield from found()
 
@@ -293,7 +317,7 @@ def _repeats_in_groups(runs: DataFrame, window: int, chunk: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, chunk: int = 1 << 19,
-                   hot_bytes: int = 1 << 21, bucket_bytes: int = 256 << 20) -> DataFrame:
+                   hot_bytes: int = 1 << 19, bucket_bytes: int = 256 << 20) -> DataFrame:
     """One row per document: ``id_col``, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
     scratch, phrases, hot_groups = Scratch(spark, "repeats"), Scratch(spark, "repeats-phrases"), Scratch(spark, "repeats-hot")
