@@ -57,7 +57,7 @@ class FactorizationMachine:
     v: np.ndarray
     trained: bool = True
 
-    def scorer(self, bits: int = BITS, memo_words: int = 300_000):
+    def scorer(self, bits: int = BITS, memo_words: int = 50_000):
         """A function text -> score that remembers which weights a word has."""
         at = {int(x): i for i, x in enumerate(self.ids)}
         memo: dict[str, tuple] = {}
