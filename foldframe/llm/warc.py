@@ -150,7 +150,8 @@ def index_warc(manifest: DataFrame, scratch: Scratch) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
-    files = manifest.select("file").repartition(F.col("file"))
+    # a given number is not merged by adaptive execution, which would read all archives in one task
+    files = manifest.select("file").repartition(max(1, min(manifest.count(), 1 << 16)), "file")
     return scratch.write(files.mapInArrow(run, INDEX), "index")
 
 
