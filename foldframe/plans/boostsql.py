@@ -6,6 +6,8 @@ queries can be compared value by value.  ``bins`` columns b0.. hold no missing v
 
 from __future__ import annotations
 
+import re
+
 from ..operators.boost import BoostParams, tree_features
 from .sqltext import d
 
@@ -39,23 +41,34 @@ def _chosen(t: int, p: BoostParams) -> list[str]:
     return ctes
 
 
-def boost_ctes(rows: str, numeric: list[str], categorical: list[str], p: BoostParams, k: int) -> list[str]:
+def prefixed(ctes: list[str], prefix: str) -> list[str]:
+    """The same fit under names of its own, for several fits in one statement."""
+    name = re.compile(r"\b((?:cut|z|h|m|l|p)\d+|[nceskh]\d+_\d+|binned|losses|runmin|stops|best)\b")
+    return [name.sub(prefix + r"\1", c) for c in ctes]
+
+
+def boost_ctes(rows: str, numeric: list[str], categorical: list[str], p: BoostParams, k: int, train: str = "TRUE",
+               refit: bool = False, owned: bool = False) -> list[str]:
     """CTEs from ``rows`` (id, fold, y, features) to ``z0 .. zn`` (model, id, tr, st, va, y, z, bins) and ``best``
-    (model, best_iter, trees_grown, best_valid_loss); model m learns from ``fold <> m``."""
+    (model, best_iter, trees_grown, best_valid_loss); model m learns from ``fold <> m`` of the rows that ``train`` names.
+    ``refit``: model k learns from all of these.  ``owned``: each row belongs to one model: ``rows`` has model, tr, va instead of fold."""
     feats = [*numeric, *categorical]
-    ctes = [cuts_sql(f"cut{i}", rows, f"CAST({c} AS DOUBLE)", p.max_bins) for i, c in enumerate(numeric)]
+    fit = f"(SELECT * FROM {rows} WHERE {'tr' if owned else train})"
+    ctes = [cuts_sql(f"cut{i}", fit, f"CAST({c} AS DOUBLE)", p.max_bins) for i, c in enumerate(numeric)]
     bins = [f"(SELECT count(*) FROM cut{i} WHERE v <= r.{c}) AS b{i}" for i, c in enumerate(numeric)]
     bins += [f"r.{c} AS b{len(numeric) + i}" for i, c in enumerate(categorical)]
-    ctes.append(f"binned AS MATERIALIZED (SELECT id, fold, CAST(y AS DOUBLE) AS y, {', '.join(bins)} FROM {rows} r)")
+    ctes.append(f"binned AS MATERIALIZED (SELECT id, {'model, tr, va' if owned else 'fold'}, CAST(y AS DOUBLE) AS y, {', '.join(bins)} FROM {rows} r)")
     hold = "FALSE"
     if p.validation_fraction:
         hold = f"{_bag_sql(p.seed, 'hold', 'm', 'id')} < {d(p.validation_fraction)}"
     mean = "avg(CASE WHEN tr THEN y END) OVER (PARTITION BY model)"
     base = mean if p.objective == "squared" else f"ln({mean} / (1 - {mean}))"
     # tr: learns, st: judged for early stopping, va: the fold left out
+    flags = (f"CAST(m AS INTEGER) AS model, *, fold <> m AND {train} AND NOT ({hold}) AS tr, "
+             f"{f'fold <> m AND {train} AND ({hold})' if p.validation_fraction else 'fold = m'} AS st, fold = m AS va "
+             f"FROM binned, range({k + refit}) t(m)") if not owned else "*, va AS st FROM binned"
     ctes.append(f"""z0 AS MATERIALIZED (SELECT model, id, tr, st, va, y, {base} AS z, {', '.join(f'b{i}' for i in range(len(feats)))}
-  FROM (SELECT CAST(m AS INTEGER) AS model, *, fold <> m AND NOT ({hold}) AS tr, {f"fold <> m AND ({hold})" if p.validation_fraction else "fold = m"} AS st,
-        fold = m AS va FROM binned, range({k}) t(m)))""")
+  FROM (SELECT {flags}))""")
     if p.objective == "squared":
         g, h, loss = "z - y", d(1), "(z - y) * (z - y)"
     else:
@@ -66,7 +79,7 @@ def boost_ctes(rows: str, numeric: list[str], categorical: list[str], p: BoostPa
     for t in range(p.n_trees):
         bag = f"{_bag_sql(p.seed, t, 'model', 'id')} < {d(p.subsample)}" if p.subsample < 1.0 else "TRUE"
         ctes.append(f"n{t}_0 AS MATERIALIZED (SELECT *, {g} AS g, {h} AS h, tr AND {bag} AS inb, 1 AS node, TRUE AS open FROM z{t})")
-        allowed = " OR ".join(f"(model = {m} AND feat IN ({', '.join(map(str, tree_features(p, len(feats), t, m)))}))" for m in range(k))
+        allowed = " OR ".join(f"(model = {m} AND feat IN ({', '.join(map(str, tree_features(p, len(feats), t, m)))}))" for m in range(k + refit))
         for lv in range(p.max_depth):
             src = f"n{t}_{lv}"
             cells = " UNION ALL ".join(f"SELECT model, node, {i} AS feat, b{i} AS bin, g, h FROM {src} WHERE inb AND open" for i in range(len(feats)))
@@ -132,8 +145,29 @@ def boost_ctes(rows: str, numeric: list[str], categorical: list[str], p: BoostPa
     return ctes
 
 
-def oof_sql(p: BoostParams) -> str:
+def oof_sql(p: BoostParams, prefix: str = "") -> str:
     """SELECT of (id, fold, y, pred): the margin after the best iteration of the model that did not see the row."""
-    parts = " UNION ALL ".join(f"SELECT model, id, y, z, {t} AS t FROM z{t} WHERE va" for t in range(p.n_trees + 1))
+    parts = " UNION ALL ".join(f"SELECT model, id, y, z, {t} AS t FROM {prefix}z{t} WHERE va" for t in range(p.n_trees + 1))
+    pred = "z" if p.objective == "squared" else "1.0::double / (1.0::double + exp(-z))"
+    return f"SELECT id, a.model AS fold, y, {pred} AS pred FROM ({parts}) a JOIN {prefix}best b ON a.model = b.model AND a.t = b.best_iter"
+
+
+def rest_sql(p: BoostParams, prefix: str = "") -> str:
+    """SELECT of (id, model, pred): what the best iterations give for the rows that neither train nor validate."""
+    parts = " UNION ALL ".join(f"SELECT model, id, z, {t} AS t FROM {prefix}z{t} WHERE NOT tr AND NOT va" for t in range(p.n_trees + 1))
     pred = "z" if p.objective == "squared" else "1.0::double / (1.0::double + exp(-z))"
-    return f"SELECT id, a.model AS fold, y, {pred} AS pred FROM ({parts}) a JOIN best b ON a.model = b.model AND a.t = b.best_iter"
+    return f"SELECT id, a.model, {pred} AS pred FROM ({parts}) a JOIN {prefix}best b ON a.model = b.model AND a.t = b.best_iter"
+
+
+def solve_ctes(src: str, n: int) -> list[str]:
+    """CTEs from a one-row ``src`` with a symmetric system a<i>_<j>, right side a<i>_<n+1>, to ``solved`` (w1 .. wn)."""
+    ctes, last = [], src
+    for k in range(1, n):
+        cols = [f"a{i}_{j}" if i <= k else f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i in range(1, n + 1) for j in range(1, n + 2)]
+        ctes.append(f"g{k} AS MATERIALIZED (SELECT {', '.join(cols)} FROM {last})")
+        last = f"g{k}"
+    for i in range(n, 0, -1):
+        known = "".join(f" - a{i}_{j} * w{j}" for j in range(i + 1, n + 1))
+        ctes.append(f"v{i} AS MATERIALIZED (SELECT *, (a{i}_{n + 1}{known}) / a{i}_{i} AS w{i} FROM {last})")
+        last = f"v{i}"
+    return [*ctes, f"solved AS (SELECT * FROM {last})"]

@@ -336,15 +336,16 @@ SELECT model, feat, bin, round(gain, 6) AS gain, round(GL, 6) AS GL, round(HL, 6
 
 
 # --------------------------------------------------------------- logistic (penalised intercept), unrolled Newton steps
-def _logistic_ctes(steps: int = 10) -> str:
+def _logistic_ctes(steps: int = 10, free: bool = False) -> str:
+    """``free``: the intercept is not penalised."""
     ctes = ["lr0 AS (SELECT CAST(k AS INTEGER) AS o, 0.0::double AS b, 0.0::double AS w1, 0.0::double AS w2 "
             "FROM range(-1, 5) t(k))"]
     for i in range(1, steps + 1):
         prev = f"lr{i - 1}"
         ctes.append(f"""ag{i} AS (
   SELECT m.o, m.b, m.w1, m.w2,
-         sum(pp - y) + m.b AS g0, sum((pp - y) * p1) + m.w1 AS g1, sum((pp - y) * p2) + m.w2 AS g2,
-         sum(pp * (1.0::double - pp)) + 1.0::double AS h00, sum(pp * (1.0::double - pp) * p1) AS h01,
+         sum(pp - y){'' if free else ' + m.b'} AS g0, sum((pp - y) * p1) + m.w1 AS g1, sum((pp - y) * p2) + m.w2 AS g2,
+         sum(pp * (1.0::double - pp)){'' if free else ' + 1.0::double'} AS h00, sum(pp * (1.0::double - pp) * p1) AS h01,
          sum(pp * (1.0::double - pp) * p2) AS h02, sum(pp * (1.0::double - pp) * p1 * p1) + 1.0::double AS h11,
          sum(pp * (1.0::double - pp) * p1 * p2) AS h12, sum(pp * (1.0::double - pp) * p2 * p2) + 1.0::double AS h22
   FROM (SELECT m.o, m.b, m.w1, m.w2, f.p1, f.p2, CAST(f.y AS DOUBLE) AS y,
@@ -489,9 +490,10 @@ oracle("vote_only_submission", ORACLE["vote_submission"])
 
 
 # --------------------------------------------------------------- boosted fits, tree by tree
-from .boostsql import boost_ctes, cuts_sql, oof_sql  # noqa: E402
+from .boostsql import boost_ctes, cuts_sql, oof_sql, prefixed, rest_sql, solve_ctes  # noqa: E402
 from .catalog import (  # noqa: E402
-    CV_P, EARLY_P, FOREST_DEPTH, FOREST_TREES, HOLD_P, LEAF_P, MANY_P, SAMPLED_P, SCORES_P, SIG_NUM, SYMMETRIC_P, _quick)
+    CV_P, CV_SUBMISSION_P, EARLY_P, FOREST_DEPTH, FOREST_TREES, HOLD_P, LEAF_P, MANY_P, SAMPLED_P, SCORES_P, SIG_NUM,
+    STACK_A, STACK_B, SYMMETRIC_P, _quick)
 
 
 def _boost(p, label="s", strata=None, cats=(), num=SIG_NUM):
@@ -565,3 +567,68 @@ oracle("cv_scores", ",\n".join([_ROWS, *boost_ctes("tr", ["o_totalprice", "c_acc
        + f"""
 SELECT 'model' AS model, fold, 'rmse' AS metric, round(sqrt(avg((y - pred) * (y - pred))), 6) AS value
 FROM ({oof_sql(SCORES_P)}) o GROUP BY fold""")
+
+
+# --------------------------------------------------------------- pipelines with boosters
+def _enc_rows(label: str, cats: list[str], plain: bool, lam: float) -> str:
+    """CTE ``rows``: training rows of each outer part, its validation rows and all test rows with encoded columns."""
+    base = f"""{FSIG},
+skf AS (SELECT id, {label} AS y, o_totalprice, c_acctbal, {', '.join(cats)}, {strat_fold('id', None if plain else label, 5, 42)} AS fold FROM fsig WHERE part = 'train'),
+ex AS (SELECT CAST(o.k AS INTEGER) AS "outer", skf.* FROM skf, range(5) o(k) WHERE fold <> o.k),
+valid AS (SELECT fold AS "outer", * FROM skf),
+tst AS (SELECT CAST(o.k AS INTEGER) AS "outer", id, NULL AS y, o_totalprice, c_acctbal, {', '.join(cats)} FROM fsig, range(5) o(k) WHERE part = 'test'),
+{_te_cv_ctes(cats)}"""
+    part = []
+    for src, role in (("ex", "train"), ("valid", "valid"), ("tst", "test")):
+        joins = [f'LEFT JOIN tot_{c} t_{c} ON v."outer" = t_{c}."outer" AND v.{c} = t_{c}.key' for c in cats]
+        sels = [f"coalesce({smoothed(f't_{c}.S', f't_{c}.N', 'gm.gm', lam)}, gm.gm) AS {c}_encoded" for c in cats]
+        if role == "train" and not plain:
+            src = "exi"
+            joins += [f'LEFT JOIN cell_{c} c_{c} ON v."outer" = c_{c}."outer" AND v."inner" = c_{c}."inner" AND v.{c} = c_{c}.key' for c in cats]
+            sels = [f"coalesce({smoothed(f'(t_{c}.S - c_{c}.s)', f'(t_{c}.N - c_{c}.n)', 'gm.gm', lam)}, gm.gm) AS {c}_encoded" for c in cats]
+        part.append(f"""SELECT v."outer" AS model, v.id, '{role}' = 'train' AS tr, '{role}' = 'valid' AS va, v.y, v.o_totalprice, v.c_acctbal, {', '.join(sels)}
+  FROM {src} v JOIN gm ON v."outer" = gm."outer" {' '.join(joins)}""")
+    return f"WITH {base},\nrows AS MATERIALIZED ({' UNION ALL '.join(part)})"
+
+
+_SUB = "SELECT id, round(avg(pred), 6) AS pred FROM ({}) o GROUP BY id"
+oracle("cv_plain_encoding", ",\n".join([_enc_rows("s", ["c_mktsegment"], True, 2.0), *boost_ctes(
+    "rows", ["o_totalprice", "c_mktsegment_encoded"], [], CV_P, 5, owned=True)]) + "\n" + _SUB.format(rest_sql(CV_P)))
+oracle("cv_submission", ",\n".join([_enc_rows("y_sig", ["c_mktsegment", "o_orderpriority"], False, 0.5), *boost_ctes(
+    "rows", ["o_totalprice", "c_acctbal", "c_mktsegment_encoded", "o_orderpriority_encoded"], [], CV_SUBMISSION_P, 5, owned=True)])
+    + "\n" + _SUB.format(rest_sql(CV_SUBMISSION_P)))
+
+_RAW = ["o_totalprice", "c_acctbal", "c_nationkey"]
+_BASES = [("a0_", STACK_A, _RAW), ("b0_", STACK_B, _RAW), ("a1_", STACK_A, [*_RAW, "nation_mean"]), ("b1_", STACK_B, [*_RAW, "nation_mean"])]
+_STACK = [f"""WITH {FSIG},
+em AS (SELECT c_nationkey AS k, avg(y_sig) AS m FROM fsig WHERE part = 'original' GROUP BY 1),
+tr AS MATERIALIZED (SELECT id, fold, label AS y, o_totalprice, c_acctbal, c_nationkey, em.m AS nation_mean FROM (
+  SELECT *, y_sig AS label, {strat_fold('id', 'y_sig', 5, 42)} AS fold FROM fsig WHERE part = 'train'
+  UNION ALL SELECT *, NULL, -1 FROM fsig WHERE part = 'test') f LEFT JOIN em ON f.c_nationkey = em.k)"""]
+for _pre, _p, _feats in _BASES:
+    _STACK += prefixed(boost_ctes("tr", _feats, [], _p, 5, train="fold >= 0", refit=True), _pre)
+_N = range(1, 5)
+_STACK.append("stack AS MATERIALIZED (SELECT o1.id, o1.y, " + ", ".join(f"o{i}.pred AS p{i}" for i in _N) + " FROM "
+              + " JOIN ".join(f"({oof_sql(_BASES[i - 1][1], _BASES[i - 1][0])}) o{i}" + ("" if i == 1 else f" ON o{i}.id = o1.id") for i in _N) + ")")
+_STACK.append("mom AS MATERIALIZED (SELECT avg(y) AS my, " + ", ".join(f"avg(p{i}) AS m{i}_" for i in _N) + " FROM stack)")
+_STACK.append("sys AS MATERIALIZED (SELECT " + ", ".join(
+    f"sum((p{i} - m{i}_) * ({'y - my' if j == 5 else f'p{j} - m{j}_'})) {'+ 1.0::double' if i == j else ''} AS a{i}_{j}" for i in _N for j in range(1, 6))
+    + " FROM stack, mom)")
+_STACK += solve_ctes("sys", 4)
+_TST = " JOIN ".join(f"(SELECT id, 1.0::double / (1.0::double + exp(-z)) AS p{i} FROM {_BASES[i - 1][0]}z{_BASES[i - 1][1].n_trees} WHERE model = 5 AND y IS NULL) t{i}"
+                     + ("" if i == 1 else f" ON t{i}.id = t1.id") for i in _N)
+oracle("stack_submission", ",\n".join(_STACK) + "\nSELECT t1.id, round(my + " + " + ".join(f"w{i} * (p{i} - m{i}_)" for i in _N) + f", 6) AS pred FROM {_TST}, mom, solved")
+
+_REPORT = [f"""WITH {FSIG},
+tr AS MATERIALIZED (SELECT id, {strat_fold('id', 'y_sig', 5, 42)} AS fold, y_sig AS y, o_totalprice, c_acctbal, c_nationkey FROM fsig WHERE part = 'train')"""]
+_TWO = [("a0_", STACK_A, ["o_totalprice", "c_acctbal"]), ("b0_", STACK_B, ["o_totalprice", "c_nationkey"])]
+for _pre, _p, _feats in _TWO:
+    _REPORT += prefixed(boost_ctes("tr", _feats, [], _p, 5), _pre)
+_REPORT.append(f"""fpred AS MATERIALIZED (SELECT a.id, a.fold, CAST(a.y AS INTEGER) AS y, a.pred AS p1, b.pred AS p2
+  FROM ({oof_sql(STACK_A, 'a0_')}) a JOIN ({oof_sql(STACK_B, 'b0_')}) b ON a.id = b.id)""")
+_REPORT.append(_logistic_ctes(free=True))
+_REPORT.append("""sc AS MATERIALIZED (SELECT 'a' AS model, y, p1 AS pred FROM fpred UNION ALL SELECT 'b', y, p2 FROM fpred
+  UNION ALL SELECT 'stacker_in_sample', y, 1.0::double / (1.0::double + exp(-(b + w1 * p1 + w2 * p2))) FROM fpred, lrmodel WHERE o = -1
+  UNION ALL SELECT 'stacker_cv', y, 1.0::double / (1.0::double + exp(-(b + w1 * p1 + w2 * p2))) FROM fpred JOIN lrmodel ON o = fold)""")
+oracle("stacking_report", ",\n".join(_REPORT) + f"""
+SELECT model, 'auc' AS metric, round(value, {D}) AS value FROM {auc_sql('sc', 'pred', 'y', 'model', 'value')} q""")
