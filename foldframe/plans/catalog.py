@@ -783,3 +783,23 @@ def q_cv_plain(spark, sf):
                               "s", cols[2:], CV_P, stratified=False, target_encode_cols=["c_mktsegment"], encoding="plain",
                               smoothing=2.0, metric="rmse")
     return rounded(r.submission, 6)
+
+
+@query("bucketed_join_oof")
+def q_bucketed_oof(spark, sf):
+    """S5, S3, J2 over tables bucketed by id: three joined side by side without another shuffle."""
+    d = fx.fpred_oof(spark, sf)
+    tables = []
+    for c in ("p1", "p2", "p3"):
+        path = _written(spark, d.select("id", c, "y"), lambda t, p: io.write_bucketed(t, p, buckets=16))
+        tables.append(io.read_bucketed(spark, path, buckets=16))
+    return rounded(blend.join_oof(tables))
+
+
+@query("bucketed_align_folds")
+def q_bucketed_align(spark, sf):
+    """S6, S4, J3 over tables bucketed by (id, fold)."""
+    d = fx.fpred_test(spark, sf)
+    keys = ("id", "fold")
+    paths = [_written(spark, d.select("id", "fold", c), lambda t, p: io.write_bucketed(t, p, keys, 16)) for c in ("p1", "p2")]
+    return rounded(blend.align_fold_predictions([io.read_bucketed(spark, p, keys, 16) for p in paths]))

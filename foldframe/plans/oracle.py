@@ -632,3 +632,6 @@ _REPORT.append("""sc AS MATERIALIZED (SELECT 'a' AS model, y, p1 AS pred FROM fp
   UNION ALL SELECT 'stacker_cv', y, 1.0::double / (1.0::double + exp(-(b + w1 * p1 + w2 * p2))) FROM fpred JOIN lrmodel ON o = fold)""")
 oracle("stacking_report", ",\n".join(_REPORT) + f"""
 SELECT model, 'auc' AS metric, round(value, {D}) AS value FROM {auc_sql('sc', 'pred', 'y', 'model', 'value')} q""")
+
+oracle("bucketed_join_oof", ORACLE["join_oof"])
+oracle("bucketed_align_folds", ORACLE["align_fold_predictions"])

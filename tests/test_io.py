@@ -40,3 +40,26 @@ def test_write_submission(spark, tmp_path):
     sub = io.write_submission(template, preds, str(tmp_path / "sub"), "target")
     rows = {r["id"]: r["target"] for r in sub.collect()}
     assert rows == {1: 0.3, 2: None}
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmp_path):
+    from foldframe.operators import blend
+    rows = [(i, i % 5, i / 7, float(i % 2)) for i in range(200)]
+    d = spark.createDataFrame(rows, "id long, fold int, p double, y double")
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")        # tables beyond any broadcast
+    try:
+        for keys, join in ((("id",), blend.join_oof), (("id", "fold"), blend.align_fold_predictions)):
+            tables = []
+            for i in range(3):
+                path = str(tmp_path / f"{'_'.join(keys)}{i}")
+                cols = [*keys, F.col("p").alias(f"p{i}"), *(["y"] if len(keys) == 1 else [])]
+                io.write_bucketed(d.select(*cols), path, keys, buckets=4)
+                tables.append(io.read_bucketed(spark, path, keys, buckets=4))
+            out = join(tables)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+            got = sorted((r["id"], r["p0"], r["p1"], r["p2"]) for r in out.collect())
+            assert got == [(i, p, p, p) for i, _, p, _ in rows]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
