@@ -13,6 +13,9 @@ number of features and folds, never by the number of rows:
   to model ``o`` only when ``fold <> o`` (a masked sum, no row copies).
   ``penalize_intercept=True`` gives the liblinear objective
   ``1/2 (|w|^2 + b^2) + C * logloss``; ``False`` leaves ``b`` free (lbfgs).
+* **Wide features**: p(p + 1) / 2 aggregate expressions are fine for a stack of predictions, not for hundreds of columns.
+  From ``WIDE`` columns on the same sums are matrix products of Arrow batches: each task adds up a Gram matrix per group (or a Hessian
+  per model) and emits it row by row; equal rows are summed in parallel.  The results agree up to rounding.
 * **scoring** (T12) is a column expression with literal coefficients, so
   it stays inside whole-stage codegen and works on streaming DataFrames.
 """
@@ -23,11 +26,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALL = -1   # key of the model fitted on every row
+WIDE = 32   # columns from which sums are taken by matrix products
 
 
 @dataclass
@@ -73,6 +78,48 @@ def _means(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     return np.array([float(row[f"m{i}"]) for i in range(len(cols))])
 
 
+def _rows_summed(parts: DataFrame, keys: Sequence[str]) -> list:
+    """Rows (keys, i, v) of the tasks' matrices, equal (keys, i) added up: matrix rows x groups reach the driver."""
+    names = [*keys, "i", "v"]
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.sum([np.asarray(v) for v in t.column("v").to_pylist()], axis=0)
+        return pa.table([t.column(c)[:1] for c in names[:-1]] + [pa.array([total.tolist()], pa.list_(pa.float64()))], names=names)
+    return parts.groupBy(*keys, "i").applyInArrow(add, parts.schema).collect()
+
+
+def _gram(df: DataFrame, cols: Sequence[str], by: Sequence[str], m: np.ndarray) -> dict:
+    """``{group: (n, s, Q)}`` by one matrix product per batch and group; null values add nothing, as in a SQL sum."""
+    p, by = len(cols), list(by)
+
+    def run(batches):
+        sums: dict = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.column_stack([b.column(c).fill_null(mi).to_numpy(zero_copy_only=False) for c, mi in zip(cols, m)]) - m
+            groups: dict = {}
+            for r, key in enumerate(zip(*(b.column(c).to_pylist() for c in by))) if by else [(slice(None), ())]:
+                groups.setdefault(key, []).append(r)
+            for key, rows in groups.items():
+                own = x[rows] if by else x
+                q = np.vstack([own.T @ own, own.sum(axis=0)])
+                n, total = sums.get(key, (0, 0.0))
+                sums[key] = (n + len(own), total + q)
+        rows = [(*key, i, [float(n)] if i > p else total[i].tolist()) for key, (n, total) in sums.items() for i in range(p + 2)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[*by, "i", "v"])
+
+    fields = [df.schema[c] for c in by]
+    from pyspark.sql.pandas.types import to_arrow_type
+    kinds = [*(to_arrow_type(f.dataType) for f in fields), pa.int32(), pa.list_(pa.float64())]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "i int", "v array<double>"])
+    out: dict = {}
+    for r in _rows_summed(df.mapInArrow(run, schema), by):
+        out.setdefault(tuple(r[c] for c in by), {})[r["i"]] = np.array(r["v"])
+    return {key: (int(v[p + 1][0]), v[p], np.array([v[i] for i in range(p)])) for key, v in out.items()}
+
+
 def centred_moments(df: DataFrame, cols: Sequence[str], by: Sequence[str]):
     """``{group: (n, s, Q)}`` of ``cols`` centred on their global means ``m``.
 
@@ -82,6 +129,10 @@ def centred_moments(df: DataFrame, cols: Sequence[str], by: Sequence[str]):
     df = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).persist(
         StorageLevel.MEMORY_AND_DISK)
     m = _means(df, cols)
+    if len(cols) >= WIDE:
+        out = _gram(df, cols, by, m)
+        df.unpersist()
+        return m, out
     xs = [F.col(c) - F.lit(float(mi)) for c, mi in zip(cols, m)]
     p = len(cols)
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -171,6 +222,58 @@ def fit_lda_cv(df: DataFrame, features: Sequence[str], label_col: str,
 
 
 # ---------------------------------------------------------------- logistic
+def _newton_sums(data: DataFrame, keys: Sequence[int], w: dict, xs: Sequence[str]) -> dict:
+    """``{key: (loss, gradient, Hessian)}`` of all models in one aggregate, written as SQL text
+    (one JVM call per expression, not one per operator)."""
+    d, aggs = len(xs), []
+    for key in keys:
+        z = " + ".join([f"({float(w[key][0])!r}D)"] + [f"({float(w[key][j])!r}D) * {xs[j]}" for j in range(1, d)])
+        p = f"(1.0D / (1.0D + exp(-({z}))))"
+        mask = "" if key == ALL else f"CASE WHEN __fold <> {key} THEN 1.0D ELSE 0.0D END * "
+        tag = "a" if key == ALL else str(key)
+        aggs.append(F.expr(f"sum({mask}(greatest({z}, 0.0D) + log1p(exp(-abs({z}))) - __y * ({z}))) AS l{tag}"))
+        aggs += [F.expr(f"sum({mask}({p} - __y) * {xs[i]}) AS g{tag}_{i}") for i in range(d)]
+        aggs += [F.expr(f"sum({mask}{p} * (1.0D - {p}) * {xs[i]} * {xs[j]}) AS h{tag}_{i}_{j}") for i in range(d) for j in range(i, d)]
+    row, out = data.agg(*aggs).first(), {}
+    for key in keys:
+        tag = "a" if key == ALL else str(key)
+        H = np.zeros((d, d))
+        for i in range(d):
+            for j in range(i, d):
+                H[i, j] = H[j, i] = row[f"h{tag}_{i}_{j}"]
+        out[key] = (row[f"l{tag}"] or 0.0, np.array([row[f"g{tag}_{i}"] for i in range(d)]), H)
+    return out
+
+
+def _newton_wide(data: DataFrame, keys: Sequence[int], w: dict, d: int) -> dict:
+    """The same by matrix products of batches; rows with a null feature, label or fold are not allowed."""
+    point = {k: np.array(w[k]) for k in keys}
+
+    def run(batches):
+        sums = {k: np.zeros((d + 2, d)) for k in keys}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            col = lambda c: b.column(c).to_numpy(zero_copy_only=True)  # noqa: E731  nulls fail here
+            x = np.column_stack([np.ones(b.num_rows), *(col(f"__x{j}") for j in range(1, d))])
+            y, fold = col("__y"), col("__fold") if "__fold" in b.schema.names else None
+            for k in keys:
+                rows = slice(None) if k == ALL else fold != k
+                own, t = x[rows], y[rows]
+                z = own @ point[k]
+                p = 0.5 * (1.0 + np.tanh(0.5 * z))
+                sums[k][:d] += (own * (p * (1.0 - p))[:, None]).T @ own
+                sums[k][d] += own.T @ (p - t)
+                sums[k][d + 1, 0] += float((np.maximum(z, 0.0) + np.log1p(np.exp(-np.abs(z))) - t * z).sum())
+        rows = [(k, i, v.tolist()) for k, total in sums.items() for i, v in enumerate(total)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.list_(pa.float64())))],
+                                         names=["k", "i", "v"])
+    total = {k: np.zeros((d + 2, d)) for k in keys}
+    for r in _rows_summed(data.mapInArrow(run, "k int, i int, v array<double>"), ["k"]):
+        total[r["k"]][r["i"]] = r["v"]
+    return {k: (float(t[d + 1, 0]), t[d], t[:d]) for k, t in total.items()}
+
+
 def fit_logistic_cv(df: DataFrame, features: Sequence[str], label_col: str,
                     fold_col: str | None = "fold", C: float = 1.0,
                     penalize_intercept: bool = True, max_iter: int = 50,
@@ -197,36 +300,19 @@ def fit_logistic_cv(df: DataFrame, features: Sequence[str], label_col: str,
     xs = ["1.0D"] + [f"__x{j}" for j in range(1, d)]
     it, step = 0, 0.0
     for it in range(1, max_iter + 1):
-        # all k+1 models' gradients and Hessians in one aggregate, written as SQL text
-        # (one JVM call per expression, not one per operator)
-        aggs = []
-        for key in keys:
-            z = " + ".join([f"({float(w[key][0])!r}D)"] +
-                           [f"({float(w[key][j])!r}D) * {xs[j]}" for j in range(1, d)])
-            p = f"(1.0D / (1.0D + exp(-({z}))))"
-            mask = "" if key == ALL else f"CASE WHEN __fold <> {key} THEN 1.0D ELSE 0.0D END * "
-            tag = "a" if key == ALL else str(key)
-            aggs.append(F.expr(f"sum({mask}(greatest({z}, 0.0D) + log1p(exp(-abs({z}))) - __y * ({z}))) AS l{tag}"))
-            aggs += [F.expr(f"sum({mask}({p} - __y) * {xs[i]}) AS g{tag}_{i}") for i in range(d)]
-            aggs += [F.expr(f"sum({mask}{p} * (1.0D - {p}) * {xs[i]} * {xs[j]}) AS h{tag}_{i}_{j}")
-                     for i in range(d) for j in range(i, d)]
-        row = data.agg(*aggs).first()
+        sums = _newton_wide(data, keys, w, d) if d > WIDE else _newton_sums(data, keys, w, xs)
         step = 0.0
         for key in keys:
-            tag = "a" if key == ALL else str(key)
-            value = (row[f"l{tag}"] or 0.0) * C + 0.5 * float(w[key] @ reg @ w[key])
+            loss, gradient, hessian = sums[key]
+            value = loss * C + 0.5 * float(w[key] @ reg @ w[key])
             point, least, move = last[key]
             if not value <= least + 1e-9 * max(1.0, abs(least)):    # also when not a number
                 last[key] = (point, least, move / 2)
                 w[key] = point - move / 2
                 step = max(step, float(np.max(np.abs(move / 2))))
                 continue
-            g = np.array([row[f"g{tag}_{i}"] for i in range(d)]) * C + reg @ w[key]
-            H = np.zeros((d, d))
-            for i in range(d):
-                for j in range(i, d):
-                    H[i, j] = H[j, i] = row[f"h{tag}_{i}_{j}"] * C
-            H += reg
+            g = gradient * C + reg @ w[key]
+            H = hessian * C + reg
             delta = np.linalg.solve(H, g)
             last[key] = (w[key], value, delta)
             w[key] = w[key] - delta

@@ -157,3 +157,33 @@ def test_streaming_boosted_scoring(spark, tmp_path):
     out = spark.sql("SELECT * FROM scored_boost").toPandas().merge(
         res.state.select("id", F.col("__B3").alias("b")).toPandas(), on="id")
     assert len(out) == 300 and np.allclose(out["pred"], out["b"], atol=1e-9)
+
+
+def test_wide_features_equal_the_dense_solution(spark, monkeypatch):
+    """200 features for ridge and discriminant, 40 for the logistic regression; and the same as the expression path."""
+    rng = np.random.RandomState(9)
+    n, p = 900, 200
+    X = rng.randn(n, p)
+    y = (rng.rand(n) < 1 / (1 + np.exp(-(X[:, 0] - X[:, 1])))).astype(int)
+    cols = [f"x{j}" for j in range(p)]
+    df = spark.createDataFrame([(i, int(i % 3), int(y[i]), *map(float, X[i])) for i in range(n)],
+                               "id long, fold int, y int, " + ", ".join(f"{c} double" for c in cols))
+    m = linear.fit_ridge_cv(df, cols, "y", "fold")
+    for key, rows in ((linear.ALL, slice(None)), (1, np.arange(n) % 3 != 1)):
+        A, t = X[rows], y[rows]
+        Ac, tc = A - A.mean(0), t - t.mean()
+        w = np.linalg.solve(Ac.T @ Ac + np.eye(p), Ac.T @ tc)
+        assert np.allclose(m.coefs[key][1], w, atol=1e-9) and abs(m.coefs[key][0] - (t.mean() - A.mean(0) @ w)) < 1e-9
+    few = cols[:40]
+    lr, lda = linear.fit_logistic_cv(df, few, "y", "fold", k=3), linear.fit_lda_cv(df, few, "y", "fold")
+    w = _newton(X[:, :40], y)
+    assert abs(lr.coefs[linear.ALL][0] - w[0]) < 1e-8 and np.allclose(lr.coefs[linear.ALL][1], w[1:], atol=1e-8)
+    monkeypatch.setattr(linear, "WIDE", 1000)
+    plain = linear.fit_lda_cv(df, few[:10], "y", "fold")
+    monkeypatch.setattr(linear, "WIDE", 2)
+    block, logit = linear.fit_lda_cv(df, few[:10], "y", "fold"), linear.fit_logistic_cv(df, few[:3], "y", "fold", k=3)
+    for key in plain.coefs:
+        assert np.allclose(plain.coefs[key][1], block.coefs[key][1], atol=1e-9)
+    rows = np.arange(n) % 3 != 2
+    w = _newton(X[rows][:, :3], y[rows])
+    assert np.allclose(logit.coefs[2][1], w[1:], atol=1e-8) and set(lda.coefs) == {-1, 0, 1, 2}
