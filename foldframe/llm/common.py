@@ -32,6 +32,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
         pass
 
 
+def sheltered(docs: DataFrame, *own: str) -> DataFrame:
+    """``docs`` with all columns but ``own`` under names that no operator uses, so that no input column can clash with an
+    operator's; ``out.select(*inner.columns).toDF(*docs.columns)`` gives the names back."""
+    return docs.toDF(*[c if c in own else f"x__{i}" for i, c in enumerate(docs.columns)])
+
+
 class Scratch:
     """Written tables of one operator call, in the shared folder.
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldframe.llm.common import WORD, Scratch, table
+from foldframe.llm.common import WORD, Scratch, sheltered, table
 
 #: Weight curves of the weight slots at the knots; each integrates to 1, so mean weights stay.
 KNOTS = (0.0, 0.5, 1.0)
@@ -128,8 +128,9 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` in training order: whole documents, each as often as the mix takes it."""
+    names, docs = docs.columns, sheltered(docs, "doc_id", "text", "source")
     mixed = mix(sized(docs, [f"`{c}`" for c in docs.columns]), cut=False, **options)
-    return training_order(mixed).select(*docs.columns)
+    return training_order(mixed).select(*docs.columns).toDF(*names)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

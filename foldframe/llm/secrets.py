@@ -27,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldframe.llm.common import Scratch, table
+from foldframe.llm.common import Scratch, sheltered, table
 
 CANDIDATE = r"[A-Za-z0-9_+/\-]{16,}={0,2}"
 _NAMES = r"(?i)(password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|auth)"
@@ -139,13 +139,14 @@ def redact(docs: DataFrame, scored: DataFrame, mark: str = "[SECRET]", id_col: s
     """``docs`` with every secret replaced; rows without candidates are not shuffled."""
     secret = scored.where("is_secret").groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_h")).agg(
         F.collect_set("nth").alias("_nth"))
+    names, docs = docs.columns, sheltered(docs, id_col, text_col)
     has = F.coalesce(F.col(text_col).rlike(FINDING), F.lit(False))
     rows = docs.where(has).join(secret, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_h")), "left")
     gaps, hits = F.split(text_col, FINDING, -1), F.regexp_extract_all(text_col, F.lit(f"({FINDING})"))
     put = F.concat(F.transform(hits, lambda h, i: F.when(F.array_contains("_nth", i), F.lit(mark)).otherwise(h)), F.array(F.lit("")))
     text = F.when(F.col("_nth").isNull(), F.col(text_col)).otherwise(
         F.array_join(F.zip_with(gaps, put, lambda g, h: F.concat(g, h)), ""))
-    return rows.withColumn(text_col, text).select(*docs.columns).unionByName(docs.where(~has))
+    return rows.withColumn(text_col, text).select(*docs.columns).unionByName(docs.where(~has)).toDF(*names)
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldframe.llm.common import Scratch, table
+from foldframe.llm.common import Scratch, sheltered, table
 from foldframe.llm.components import connected_components
 
 _CHUNK = 1 << 16
@@ -125,12 +125,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group, that of the smallest id (null ids after all others)."""
     key = F.sha2(F.concat_ws("\u0001", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text_col), 256)
+    names, docs = docs.columns, sheltered(docs, id_col, text_col)
     groups = simhash_groups(docs, id_col, text_col, keep={"_key": key}, **options)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "_key"))["_key"].alias("_key"))
     # repeated rows share a key; the rank within it needs no shuffle beyond the join's
     again = Window.partitionBy("_key").orderBy("_key")
     return (docs.withColumn("_key", key).join(first.select("_key").distinct(), "_key", "left_semi")
-            .withColumn("_nth", F.row_number().over(again)).where("_nth = 1").select(*docs.columns))
+            .withColumn("_nth", F.row_number().over(again)).where("_nth = 1").select(*docs.columns).toDF(*names))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

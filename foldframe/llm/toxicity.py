@@ -11,8 +11,8 @@ least ``min_rows`` training rows whose share of toxic rows differs from the over
 to the scoring tasks; every text is scored whole.
 
 Results: null text counts as empty and gets the score of the bias; null labels teach nothing; a
-null id counts as the empty string in the split; without training rows every score is 0.5, no text is predicted toxic and ``drop_toxic`` keeps all;
-repeated rows are scored alike; an empty table gives an empty result; of other columns none is read.
+null id counts as the empty string in the split; of a labelled id with several texts one teaches; without training rows every score
+is that of ``PRIOR``, so no text is predicted toxic; repeated rows are scored alike; an empty table gives an empty result; of other columns none is read.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ _TERM = re.compile(r"\w+")
 BITS = 20
 #: Words also count by their first letters, which finds inflected and compound forms.
 PREFIXES = (5, 7)
+#: Bias of a model that no row taught: few texts are toxic.
+PRIOR = -5.0
 
 
 def _places(word: str, bits: int) -> list[int]:
@@ -55,7 +57,6 @@ class FactorizationMachine:
     ids: np.ndarray  # hashed terms that have weights, ascending
     w: np.ndarray
     v: np.ndarray
-    trained: bool = True
 
     def scorer(self, bits: int = BITS, memo_words: int = 50_000):
         """A function text -> score that remembers which weights a word has."""
@@ -86,7 +87,7 @@ def fit_fm(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs:
     """AdaGrad on the logistic loss of (rows of hashed terms, 0/1 labels)."""
     n = len(rows)
     if n == 0:
-        return FactorizationMachine(0.0, np.empty(0, np.int32), np.empty(0), np.empty((0, factors)), trained=False)
+        return FactorizationMachine(PRIOR, np.empty(0, np.int32), np.empty(0), np.empty((0, factors)))
     y = np.asarray(labels, float)
     sizes = np.array([len(r) for r in rows])
     flat = np.concatenate(rows)
@@ -143,7 +144,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int, id_col: s
         return pd.Series([terms(t).tobytes() for t in texts])
 
     found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(own), "i").select(
-        "i", "y", hashed("t").alias("h")).toArrow().sort_by([("i", "ascending"), ("h", "ascending")])
+        "i", "y", hashed("t").alias("h")).groupBy("i", "y").agg(F.max("h").alias("h")).toArrow().sort_by([("i", "ascending"), ("h", "ascending")])
     return [np.frombuffer(h, np.int32) for h in found["h"].to_pylist()], np.array(found["y"].to_pylist(), float)
 
 
@@ -169,13 +170,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity_score(model, F.col("text")).alias("score")
-                       ).withColumn("predicted", ((F.col("score") >= 0.5) & F.lit(model.trained)).cast("int"))
+                       ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; all of them if no label trains the model."""
-    model = fit_toxicity(docs, labels, **options)
-    if not model.trained:
-        return docs
-    score = toxicity_score(model, F.col(text_col))
-    return docs.withColumn("_toxicity", score).where(F.col("_toxicity") < threshold).select(*docs.columns)
+    """``docs`` without the rows that score ``threshold`` or more."""
+    return docs.where(toxicity_score(fit_toxicity(docs, labels, **options), F.col(text_col)) < threshold)

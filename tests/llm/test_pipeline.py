@@ -52,3 +52,21 @@ def test_odd_rows(spark, tmp_path):
     write_tables(str(tmp_path), docs, labels)
     rows = cp.run(spark, str(tmp_path)).collect()
     assert rows and {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()}
+
+
+def test_stages_keep_input_columns_of_their_own_names(spark):
+    """Columns called like the operators' internal ones come through unchanged; empty tables too."""
+    from foldframe.llm.mixing import mixed_documents
+    from foldframe.llm.secrets import redact_secrets
+    from foldframe.llm.simhash import drop_near_duplicates
+    from foldframe.llm.toxicity import drop_toxic
+    odd = ["_key", "_nth", "_id", "_h", "_size", "_n", "_hash", "_bucket", "_target", "_slot", "_epochs", "_toxicity", "_e", "root", "fp", "x__0"]
+    rows = [(i, f"text number{i} of some words {i * 7}", "a", *(f"{c}{i}" for c in odd)) for i in range(12)]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in odd)
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for stage in (lambda d: drop_toxic(d, labels, threshold=1.1), drop_near_duplicates, redact_secrets, mixed_documents):
+            out = stage(docs)
+            assert out.columns == docs.columns
+            want = {r.doc_id: r for r in docs.collect()}
+            assert all(tuple(r)[2:] == tuple(want[r.doc_id])[2:] for r in out.collect())

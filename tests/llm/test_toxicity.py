@@ -49,7 +49,7 @@ def test_odd_rows(spark):
     rows = docs.select("doc_id", toxicity.toxicity_score(model, F.col("text")).alias("s")).collect()
     assert len(rows) == docs.count() and all(0 <= r.s <= 1 for r in rows)
     none = toxicity.fit_toxicity(docs, labels.limit(0))
-    assert {r.s for r in docs.select(toxicity.toxicity_score(none, F.col("text")).alias("s")).collect()} == {0.5}
+    assert {r.s for r in docs.select(toxicity.toxicity_score(none, F.col("text")).alias("s")).collect()} == {1 / (1 + np.exp(5.0))}
     kept = toxicity.drop_toxic(docs, labels, threshold=1.1)
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert toxicity.drop_toxic(empty_documents(spark), labels).count() == 0
@@ -63,4 +63,10 @@ def test_without_training_rows_nothing_is_toxic(spark, tmp_path):
         assert toxicity.drop_toxic(docs, labels).count() == 20
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
-    assert {(r.score, r.predicted) for r in toxicity.op7_toxicity(spark, str(tmp_path)).collect()} == {(0.5, 0)}
+    assert {(r.score, r.predicted) for r in toxicity.op7_toxicity(spark, str(tmp_path)).collect()} == {(1 / (1 + np.exp(5.0)), 0)}   # predicted agrees with the score
+
+
+def test_a_labelled_id_of_many_rows_teaches_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
+    rows, y = toxicity.training_rows(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), 100)
+    assert len(rows) == len(y) <= 2
