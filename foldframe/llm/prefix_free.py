@@ -86,7 +86,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def _ranks(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rank: how many are smaller, positions whose value occurs again)."""
-    order = np.argsort(a, kind="stable")
+    order = np.argsort(a)
     return _regroup(a[order], order, np.zeros(len(a), np.int64), None)
 
 
@@ -114,7 +114,7 @@ def _prefix_ranks(value: np.ndarray, rest: np.ndarray, width: int, until: int) -
         has = rest[equal] > width
         ahead[has] = rank[equal[has] + width] + 1
         key = rank[equal] * (n + 1) + ahead
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         where = equal[order]
         rank, equal = _regroup(key[order], where, rank.copy(), rank[where])
         width *= 2
@@ -156,7 +156,7 @@ def repeated_windows(strings: list[bytes], window: int) -> list[np.ndarray]:
     pos = np.concatenate([np.arange(a, a + max(0, m - window + 1)) for a, m in zip(start.tolist(), lens.tolist())])
     at = np.searchsorted(begin, pos, side="right") - 1
     key = suffix[wstart[phrase[at]] + pos - begin[at]].astype(np.int64) * (int(after.max()) + 1) + after[at]
-    by = pos[np.argsort(key, kind="stable")]
+    by = pos[np.argsort(key)]
     alive = np.arange(len(by) - 1)
     for step in [*range(0, window - GRAM, GRAM), window - GRAM]:
         alive = alive[x[by[alive] + step] == x[by[alive + 1] + step]]
