@@ -166,3 +166,31 @@ def test_a_registry_spec_runs_unchanged(spark):
     d = fx.fsig(spark, SF_SMALL).filter(F.col("part") == "train")
     res = boost.fit_boosted(d, ["o_totalprice", "c_acctbal"], "s", [boost.ModelSpec("all", F.lit(True))], p)
     assert all(len(t.leaves) <= 15 for t in res.trees[0]) and max(len(t.leaves) for t in res.trees[0]) > 8
+
+
+@pytest.mark.parametrize("kw", [{}, {"objective": "logistic"}, {"subsample": 0.6}, {"validation_fraction": 0.2}])
+def test_passes_read_cells_of_equal_rows(spark, monkeypatch, kw):
+    """Passes read a row per bin and fold, however many rows; the trees are those of rows that can't be added up."""
+    rng = np.random.RandomState(9)
+    x = rng.randint(0, 4, 900)
+    s = (x > 1) + 0.5 * rng.randn(900)
+    y = (s > 0.5).astype(float) if kw.get("objective") else s
+    df = spark.createDataFrame([(i, int(a), float(i), float(b), i % 3) for i, (a, b) in enumerate(zip(x, y))], "id long, x int, z double, s double, fold int")
+    p = boost.BoostParams(n_trees=3, learning_rate=0.5, max_depth=2, max_bins=1024, early_stopping=3, **kw)
+    sizes, plain = [], boost._pass
+    monkeypatch.setattr(boost, "_pass", lambda view, *a, **k: (sizes.append(view.count()), plain(view, *a, **k))[1])
+    few = boost.fit_boosted(df, ["x"], "s", boost.cv_specs(3), p, keep_cols=["fold"])
+    assert max(sizes) <= 4 * 3 * 8
+    # a second feature of as many bins as rows, which no split can use, keeps the rows apart
+    sizes.clear()
+    own = boost.fit_bins(df, ["x", "z"], (), 1024)
+    monkeypatch.setattr(boost, "tree_features", lambda p, n, tree, model: [0])
+    many = boost.fit_boosted(df, ["x", "z"], "s", boost.cv_specs(3), p, binning=own, keep_cols=["fold"])
+    assert max(sizes) == 900
+    for a, b in zip(few.trees, many.trees):
+        assert [[(n, t.threshold) for n, t in sorted(u.splits.items())] for u in a] == [[(n, t.threshold) for n, t in sorted(u.splits.items())] for u in b]
+        assert all(np.isclose(u.leaves[n], v.leaves[n], atol=1e-9) for u, v in zip(a, b) for n in u.leaves)
+    assert np.allclose(few.valid_loss, many.valid_loss, atol=1e-9) and few.best_iter == many.best_iter
+    for res in (few, many):
+        res.pred = boost.oof_predictions(res, 3).toPandas().sort_values("id")
+    assert len(few.pred) == 900 and np.allclose(few.pred["pred"], many.pred["pred"], atol=1e-9) and np.allclose(few.pred["y"], y)
