@@ -6,9 +6,9 @@ word, for the end and for the class of all other words, within which a word has
 class's corpus count.  So model memory is bounded while no count is: other words are looked up in the
 full count table by a join.
 
-Training: a start from a bounded sample of segments (documented in ``train``), then ``rounds`` of Baum-Welch over all training texts, cut
+Training: from the head's shares of the corpus, moved apart by state, ``rounds`` of Baum-Welch over all training texts, cut
 whole into segments of ``segment`` tokens; each task adds up its expected counts and Spark sums them
-by word.  Scoring: the exact likelihood of each whole text by the scaled forward recursion, all texts of
+by word.  The texts' ids are written once and read by every round.  Scoring: the exact likelihood of each whole text by the scaled forward recursion, all texts of
 a batch side by side, plus the shares of its other words.
 
 Results: null text is the end alone; a null id counts as the empty string in the split; repeated rows
@@ -166,16 +166,25 @@ class _Head:
         return cls.made[1]
 
 
-def _round(texts: DataFrame, shared, key: str, segment: int, scratch: Scratch, block: int = 2048) -> tuple:
-    """Expected counts over all texts: each task's sums, added up by symbol."""
+def encoded(texts: DataFrame, shared, key: str, scratch: Scratch) -> DataFrame:
+    """Written table of the ids of every text (32-bit), read by the rounds."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = _Head.ids(key, shared.value.head)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([encode(t, ids, len(ids)).tobytes() for t in batch.column(0).to_pylist()], pa.binary())], names=["ids"])
+
+    return scratch.write(texts.mapInArrow(run, "ids binary"), "ids")
+
+
+def _round(seqs: DataFrame, shared, segment: int, block: int = 2048) -> tuple:
+    """Expected counts over all texts (``encoded``): each task's sums, added up by symbol."""
     k = len(shared.value.start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        ids = _Head.ids(key, model.head)
         start, later, move, emit = np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emit), k))
         for batch in batches:
-            cut, first = segments([encode(t, ids, model.other) for t in batch.column(0).to_pylist()], segment)
+            cut, first = segments([np.frombuffer(x, np.int32) for x in batch.column(0).to_pylist()], segment)
             for lo in range(0, len(cut), block):
                 found = expected_counts(model, cut[lo:lo + block], first[lo:lo + block])
                 start += found[0]
@@ -190,7 +199,7 @@ def _round(texts: DataFrame, shared, key: str, segment: int, scratch: Scratch, b
                                          names=["symbol", *(f"s{s}" for s in range(k))])
 
     cols = ", ".join(f"s{s} double" for s in range(k))
-    found = texts.mapInArrow(run, f"symbol int, {cols}").groupBy("symbol").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(k))).toArrow()
+    found = seqs.mapInArrow(run, f"symbol int, {cols}").groupBy("symbol").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(k))).toArrow()
     symbol = found["symbol"].to_numpy()
     value = np.stack([found[f"s{s}"].to_numpy() for s in range(k)], axis=1)
     emit = np.zeros((len(shared.value.emit), k))
@@ -201,9 +210,9 @@ def _round(texts: DataFrame, shared, key: str, segment: int, scratch: Scratch, b
 
 
 def train(texts: DataFrame, counts: DataFrame, stats: dict, scratch: Scratch, states: int = 6, head_words: int = 131_072, min_count: int = 5,
-          rounds: int = 3, segment: int = 128, init_segments: int = 4000, init_rounds: int = 12, seed: int = 3) -> Model:
-    """The model of all texts.  About ``init_segments`` texts, chosen by hash, give one segment each to the start on
-    the driver; the rounds that follow go over every segment of every text."""
+          rounds: int = 3, segment: int = 128, seed: int = 3) -> Model:
+    """The model of all texts: every round goes over every segment of every text, the first from the corpus-wide shares of the
+    symbols times a random factor by state."""
     spark = texts.sparkSession
     known = counts.where("word is not null")
     by_count = sorted(((r["c"], r["n"]) for r in known.groupBy("c").agg(F.count("*").alias("n")).collect()), reverse=True)
@@ -227,31 +236,14 @@ def train(texts: DataFrame, counts: DataFrame, stats: dict, scratch: Scratch, st
     if not stats["texts"]:
         return model
     key = scratch.tag + scratch.path("model")
-    cut_share = int(min(1.0, init_segments / stats["texts"]) * (1 << 20))
     shared = spark.sparkContext.broadcast(model)
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Head.ids(key, shared.value.head)
-        for batch in batches:
-            own = []
-            for i, text in enumerate(batch.column(0).to_pylist()):
-                seq = encode(text, ids, len(ids))
-                runs = -(-len(seq) // segment)
-                at = segment * (len(seq) % 1009 * 31 % runs)
-                own.append(seq[at:at + segment].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary())], names=["ids"])
-
-    chosen = texts.where(F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1 << 20)) < cut_share)
-    cut = [np.frombuffer(x, np.int32) for x in sorted(chosen.mapInArrow(sample, "ids binary").toArrow()["ids"].to_pylist())]
-    if cut:
-        first = np.ones(len(cut), bool)
-        for _ in range(init_rounds):
-            found = expected_counts(model, cut, first)
-            model = maximise(head, base, found[0], found[0], found[2], found[3])
-    for _ in range(rounds):
-        shared.unpersist()
-        shared = spark.sparkContext.broadcast(model)
-        model = maximise(head, base, *_round(texts, shared, key, segment, scratch))
+    seqs = encoded(texts, shared, key, scratch)
+    for i in range(rounds):
+        if i:
+            shared.unpersist()
+            shared = spark.sparkContext.broadcast(model)
+        model = maximise(head, base, *_round(seqs, shared, segment))
+    scratch.drop(seqs)
     shared.unpersist()
     model.key = key
     return model

@@ -83,3 +83,24 @@ def test_odd_rows(spark):
     assert hmm.hmm_scores(empty_documents(spark)).count() == 0
     alone = docs.where(F.col("doc_id").isNull())  # nothing to train on
     assert math.isfinite(hmm.hmm_scores(alone).first()["score"])
+
+
+def test_every_text_shapes_the_model_alike(spark, monkeypatch):
+    """All that Baum-Welch sees, on the driver or in tasks, are whole texts' segments: no round runs on a part of them."""
+    docs = spark.createDataFrame([(i, " ".join("abcdefgh"[(i + j) % (5 + i % 3)] for j in range(20 + i % 7))) for i in range(60)], "t long, x string")
+    texts = docs.select(F.col("x").alias("t"))
+    counts = hmm.word_counts(texts, hmm.Scratch(spark, "hmm-test"))
+    own, seen = hmm.expected_counts, []
+    monkeypatch.setattr(hmm, "expected_counts", lambda *a: (seen.append(len(a[1])), own(*a))[1])
+    stats = {"tokens": counts.agg(F.sum("c")).first()[0], "texts": 60, "distinct": counts.count()}
+    model = hmm.train(texts, counts, stats, hmm.Scratch(spark, "hmm-test"), states=2, rounds=2)
+    assert not seen                     # nothing is fitted on the driver
+    ids = {w: i for i, w in enumerate(model.head)}
+    cut, first = hmm.segments([hmm.encode(r.t, ids, len(ids)) for r in texts.collect()], 128)
+    base = np.concatenate([stats["head_counts"], [stats["tokens"] - 60 - stats["head_counts"].sum(), 60]]) + hmm.ALPHA
+    base = base / base.sum()
+    emit = base[:, None] * np.exp(0.5 * np.random.default_rng(3).standard_normal((len(base), 2)))
+    want = hmm.Model(model.head, np.full(2, 0.5), np.full(2, 0.5), np.array([[0.9, 0.1], [0.1, 0.9]]), emit / emit.sum(axis=0))
+    for _ in range(2):
+        want = hmm.maximise(model.head, base, *own(want, cut, first)[:4])
+    assert np.allclose(model.emit, want.emit) and np.allclose(model.move, want.move) and np.allclose(model.start, want.start)
