@@ -7,6 +7,7 @@ test rows ``(id, fold, pred)``, submissions ``(id, pred)``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -98,14 +99,13 @@ def cv_pipeline(train: DataFrame, test: DataFrame, label_col: str, features: Seq
         res = boost.fit_boosted(rows, feats, label_col, specs, params, categorical=categorical_cols,
                                 id_col=id_col, keep_cols=["outer", "fold", "__role"], disjoint=True,
                                 owner=F.col("outer"))
-        st = res.state
         pred = None
         for o in range(k):
             pred = (F.when(F.col("outer") == o, res.prediction(o)) if pred is None
                     else pred.when(F.col("outer") == o, res.prediction(o)))
-        oof = st.filter(F.col("__role") == "valid").select(id_col, "fold", F.col("__y").alias("y"),
+        oof = res.rows(F.col("__role") == "valid").select(id_col, "fold", F.col("__y").alias("y"),
                                                              pred.alias("pred"))
-        fold_test = st.filter(F.col("__role") == "test").select(id_col, F.col("outer").alias("fold"),
+        fold_test = res.rows(F.col("__role") == "test").select(id_col, F.col("outer").alias("fold"),
                                                                  pred.alias("pred"))
     else:
         rows = (train.select(id_col, "fold", label_col, *feats, F.lit("train").alias("__role"))
@@ -127,14 +127,19 @@ def cv_pipeline(train: DataFrame, test: DataFrame, label_col: str, features: Seq
 
 
 # ------------------------------------------------------------------------- C2, C3
+def _written(tables: Sequence[DataFrame], tag: str) -> list[DataFrame]:
+    """The tables in the shared folder: key checks, joins and fits read them several times each."""
+    return [materialise(t, tag) for t in tables]
+
+
 def blend_pipeline(oof_tables: Sequence[DataFrame], fold_tables: Sequence[DataFrame],
                    pred_cols: Sequence[str], kind: str = "ridge", label_col: str = "y",
                    id_col: str = "id") -> DataFrame:
     """J2 -> full ridge / LDA fit -> J3 -> score each (id, fold) -> A5 -> (id, pred)."""
-    oof = blend.join_oof(oof_tables, id_col, label_col)
+    oof = blend.join_oof(_written(oof_tables, "blend-oof"), id_col, label_col)
     fit = linear.fit_ridge_cv if kind == "ridge" else linear.fit_lda_cv
     model = fit(oof, pred_cols, label_col, None)
-    test = blend.align_fold_predictions(fold_tables, id_col)
+    test = blend.align_fold_predictions(_written(fold_tables, "blend-test"), id_col)
     scored = test.select(id_col, "fold", model.predict().alias("pred"))
     return blend.mean_over_folds(scored, ["pred"], id_col)
 
@@ -155,15 +160,15 @@ def vote_pipeline(oof_tables: Sequence[DataFrame], fold_tables: Sequence[DataFra
     ``final="mean"`` averages LR, LDA and vote (which equals the vote, Q22);
     ``final="vote"`` returns the vote only.
     """
-    oof = blend.join_oof(oof_tables, id_col, label_col)
-    oof = folds.assign_stratified_kfold(oof, label_col, k=k, seed=seed, id_col=id_col, fold_col="__f")
+    oof = blend.join_oof(_written(oof_tables, "vote-oof"), id_col, label_col)
+    oof = materialise(folds.assign_stratified_kfold(oof, label_col, k=k, seed=seed, id_col=id_col, fold_col="__f"), "vote-rows")
     lr = linear.fit_logistic_cv(oof, pred_cols, label_col, "__f", k=k)
     lda = linear.fit_lda_cv(oof, pred_cols, label_col, "__f")
     scored = oof.select(id_col, label_col, F.col("__f").alias("fold"),
                         lr.predict_by_fold("__f").alias("lr"), lda.predict_by_fold("__f").alias("lda"),
                         linear.soft_vote_by_fold([lr, lda], "__f").alias("vote"))
     scores = metrics.score_report(scored, ["lr", "lda", "vote"], label_col)
-    test = blend.align_fold_predictions(fold_tables, id_col)
+    test = blend.align_fold_predictions(_written(fold_tables, "vote-test"), id_col)
     t = test.select(id_col, "fold", lr.predict().alias("lr"), lda.predict().alias("lda"),
                     linear.soft_vote([lr, lda]).alias("vote"))
     avg = blend.mean_over_folds(t, ["lr", "lda", "vote"], id_col)
@@ -217,6 +222,9 @@ class StackingEvaluator:
     def fit(self) -> StackingEvaluator:
         d = (self.df.withColumn("fold", F.col(self.fold_col)) if self.fold_col else
              folds.assign_stratified_kfold(self.df, self.label, k=self.k, seed=self.seed, id_col=self.id))
+        # read by every fit and by the stack: computed once
+        own = dict.fromkeys([self.id, "fold", self.label, *(f for bm in self.models for f in [*bm.features, *bm.categorical])])
+        d = materialise(d.select(*own), "stacking-rows")
         blend.assert_unique(d, [self.id], "stacking rows")
         specs = boost.cv_specs(self.k, "fold", None, refit=True)
         stack = d.select(self.id, "fold", F.col(self.label).alias("y"))
@@ -233,7 +241,7 @@ class StackingEvaluator:
             stack = stack.join(boost.oof_predictions(res, self.k, id_col=self.id)
                                .select(self.id, F.col("pred").alias(bm.name)), self.id)
             names.append(bm.name)
-        self.stack = stack
+        self.stack = stack = materialise(stack, "stack")       # read by the stacker, the report and its scores
         self.stacker = _fit_linear(self.stacker_kind, stack, names, "y", "fold", self.k)
         rep = metrics.score_report(stack, names, "y")
         s_in = stack.select("y", self.stacker.predict().alias("stacker_in_sample"))
@@ -246,7 +254,7 @@ class StackingEvaluator:
         return self.scores
 
     def close(self) -> None:
-        """Release the bases' cached rows; the report can't be computed any more, ``predict`` still works."""
+        """Release the bases' cached rows; ``report`` and ``predict`` still work."""
         for res in self.results.values():
             if isinstance(res, boost.BoostResult):
                 res.close()
@@ -283,21 +291,35 @@ def stack_pipeline(train: DataFrame, test: DataFrame, label_col: str, features:
             .unionByName(test.withColumn("fold", F.lit(-1))
                          .withColumn(label_col, F.lit(None).cast(d.schema[label_col].dataType))
                          .select(id_col, "fold", label_col, *feature_sets[-1][1], F.lit("test").alias("__role"))))
+    rows = materialise(rows, "stack-rows")          # read by every base
     specs = boost.cv_specs(k, "fold", "__role", refit=True)
-    oof = d.select(id_col, "fold", F.col(label_col).alias("y"))
-    tst = test.select(id_col)
-    names = []
+    learns = rows.filter(F.col("__role") == "train")
+    oof = learns.select(id_col, "fold", F.col(label_col).alias("y"))
+    tst = rows.filter(F.col("__role") == "test").select(id_col)
+    names, todo = [], []
+    binnings: dict = {}                             # bases of the same features and number of bins have the same bins
     for fs_name, feats in feature_sets:
         for b_name, params in (external_bases or bases) if fs_name == "ext" else bases:
             name = f"{b_name}_{fs_name}"
-            res = boost.fit_boosted(rows, feats, label_col, specs, params,
-                                    categorical=[c for c in categorical if c in feats],
-                                    id_col=id_col, keep_cols=["fold", "__role"])
-            done = materialise(res.state.select(id_col, "__role", res.prediction(k).alias("refit"), boost.oof_expr(res, k).alias("oof")), "base")
-            res.close()
-            oof = oof.join(done.filter(F.col("__role") == "train").select(id_col, F.col("oof").alias(name)), id_col)
-            tst = tst.join(done.filter(F.col("__role") == "test").select(id_col, F.col("refit").alias(name)), id_col)
-            names.append(name)
+            cats = [c for c in categorical if c in feats]
+            bins = (fs_name, params.max_bins)
+            if bins not in binnings:
+                binnings[bins] = boost.fit_bins(learns, [f for f in feats if f not in cats], cats, params.max_bins)
+            todo.append((name, feats, params, cats, binnings[bins]))
+
+    def fit(name: str, feats: list[str], params: BoostParams, cats: list[str], binning: boost.Binning) -> DataFrame:
+        res = boost.fit_boosted(rows, feats, label_col, specs, params, categorical=cats, id_col=id_col,
+                                binning=binning, keep_cols=["fold", "__role"])
+        done = materialise(res.state.select(id_col, "__role", res.prediction(k).alias("refit"), boost.oof_expr(res, k).alias("oof")), "base")
+        res.close()
+        return done
+    # two at a time: while the driver plans a pass of one, tasks of the other run
+    with ThreadPoolExecutor(2) as pool:
+        fitted = [x.result() for x in [pool.submit(fit, *job) for job in todo]]
+    for (name, *_), done in zip(todo, fitted):
+        oof = oof.join(done.filter(F.col("__role") == "train").select(id_col, F.col("oof").alias(name)), id_col)
+        tst = tst.join(done.filter(F.col("__role") == "test").select(id_col, F.col("refit").alias(name)), id_col)
+        names.append(name)
     ridge = linear.fit_ridge_cv(oof, names, "y", "fold", alpha=1.0)
     scored = oof.select("y", ridge.predict_by_fold("fold").alias("ridge"))
     auc = metrics.pooled_score(scored, "ridge", "y", model="ridge")
