@@ -5,9 +5,10 @@ A text is its set of lower-cased terms, hashed into ``2**bits`` places.  The mac
 a group, that additive weights miss; a logistic function gives the score.
 
 Fitting: at most ``train_rows`` labelled rows (a documented bound; those first by MD5 of the id) are
-turned into hashed terms by the executors and fitted on the driver by AdaGrad.  Only terms of at
+turned into hashed terms by the executors and written.  Only terms of at
 least ``min_rows`` training rows whose share of toxic rows differs from the overall share by
-``min_z`` standard deviations get weights.  The model, at most ``2**bits`` weights and factors, is shipped
+``min_z`` standard deviations get weights; the executors count them, and only the rows' terms that get weights
+come to the driver, which fits them by AdaGrad.  The model, at most ``2**bits`` weights and factors, is shipped
 to the scoring tasks; every text is scored whole.
 
 Results: null text counts as empty and gets the score of the bias; null labels teach nothing; a
@@ -24,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldframe.llm.common import table
+from foldframe.llm.common import Scratch, table
 
 _TERM = re.compile(r"\w+")
 BITS = 20
@@ -81,21 +83,26 @@ class FactorizationMachine:
         return score
 
 
+def _telling(counts: np.ndarray, toxic: np.ndarray, n: int, share: float, min_rows: int, min_z: float) -> np.ndarray:
+    """Which terms get weights, by their rows and toxic rows among ``n`` rows with a ``share`` of toxic ones."""
+    spread = np.sqrt(counts * share * (1 - share) * (1 - counts / n)) + 1e-9
+    return (counts >= min_rows) & (np.abs((toxic - counts * share) / spread) >= min_z)
+
+
 def fit_fm(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 25, rate: float = 0.3,
            l2_w: float = 0.002, l2_v: float = 0.005, min_rows: int = 5, min_z: float = 4.5, batch: int = 256,
-           seed: int = 7) -> FactorizationMachine:
-    """AdaGrad on the logistic loss of (rows of hashed terms, 0/1 labels)."""
+           seed: int = 7, ids: np.ndarray | None = None) -> FactorizationMachine:
+    """AdaGrad on the logistic loss of (rows of hashed terms, 0/1 labels).  ``ids``: the terms that get weights, ascending, if known."""
     n = len(rows)
     if n == 0:
         return FactorizationMachine(PRIOR, np.empty(0, np.int32), np.empty(0), np.empty((0, factors)))
     y = np.asarray(labels, float)
     sizes = np.array([len(r) for r in rows])
     flat = np.concatenate(rows)
-    ids, inverse = np.unique(flat, return_inverse=True)
-    counts, share = np.bincount(inverse, minlength=len(ids)), y.mean()
-    spread = np.sqrt(counts * share * (1 - share) * (1 - counts / n)) + 1e-9
-    z = (np.bincount(inverse, np.repeat(y, sizes), minlength=len(ids)) - counts * share) / spread
-    ids = ids[(counts >= min_rows) & (np.abs(z) >= min_z)]
+    if ids is None:
+        ids, inverse = np.unique(flat, return_inverse=True)
+        counts, toxic = np.bincount(inverse, minlength=len(ids)), np.bincount(inverse, np.repeat(y, sizes), minlength=len(ids))
+        ids = ids[_telling(counts, toxic, n, y.mean(), min_rows, min_z)]
     at = np.searchsorted(ids, flat)
     known = (at < len(ids)) & (ids[np.minimum(at, max(0, len(ids) - 1))] == flat) if len(ids) else np.zeros(len(flat), bool)
     owner = np.repeat(np.arange(n), sizes)[known]
@@ -132,9 +139,9 @@ def fit_fm(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs:
     return FactorizationMachine(bias, ids, w, v)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int, id_col: str = "doc_id", text_col: str = "text",
-                  label_col: str = "toxic") -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashed terms and labels of at most ``train_rows`` labelled documents of the training split."""
+def labelled_terms(docs: DataFrame, labels: DataFrame, train_rows: int, id_col: str = "doc_id", text_col: str = "text",
+                   label_col: str = "toxic") -> DataFrame:
+    """``i, y, h``: id, label and hashed terms (32-bit integers) of at most ``train_rows`` labelled documents of the training split."""
     own = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where("y is not null and i is not null")
     own = own.where(~held_out(F.col("i"))).groupBy("i").agg(F.max("y").alias("y"))
     own = own.orderBy(F.md5(F.col("i").cast("string")), "i").limit(train_rows)  # at most train_rows are broadcast
@@ -143,11 +150,42 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int, id_col: s
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([terms(t).tobytes() for t in texts])
 
-    found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(own), "i").select(
-        "i", "y", hashed("t").alias("h")).groupBy("i", "y").agg(F.max("h").alias("h")).toArrow().sort_by([("i", "ascending"), ("h", "ascending")])
+    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(own), "i").select(
+        "i", "y", hashed("t").alias("h")).groupBy("i", "y").agg(F.max("h").alias("h"))
+
+
+def _collected(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    found = rows.toArrow().sort_by([("i", "ascending"), ("h", "ascending")])
     return [np.frombuffer(h, np.int32) for h in found["h"].to_pylist()], np.array(found["y"].to_pylist(), float)
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int, **columns) -> tuple[list[np.ndarray], np.ndarray]:
+    """All hashed terms and labels of at most ``train_rows`` labelled documents of the training split."""
+    return _collected(labelled_terms(docs, labels, train_rows, **columns))
+
+
+def telling_terms(rows: DataFrame, min_rows: int, min_z: float, bits: int = BITS) -> np.ndarray:
+    """The terms of ``labelled_terms`` that get weights, ascending; at most ``2**bits`` sums reach the driver."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, toxic = np.zeros((1 << bits) + 1, np.int64), np.zeros((1 << bits) + 1)       # the last: all rows
+        for b in batches:
+            for y, h in zip(b.column(0).to_pylist(), b.column(1)):
+                at = np.append(np.frombuffer(h.as_buffer(), np.int32), 1 << bits)
+                n[at] += 1
+                toxic[at] += y
+        at = np.flatnonzero(n)
+        for lo in range(0, len(at), 1 << 16):
+            part = at[lo:lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(n[part]), pa.array(toxic[part])], names=["t", "n", "s"])
+
+    sums = rows.select(F.col("y").cast("double"), "h").mapInArrow(count, "t int, n long, s double").groupBy("t").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s")).where(f"n >= {int(min_rows)} OR t = {1 << bits}").toArrow().sort_by("t")
+    t, n, s = (sums[c].to_numpy() for c in ("t", "n", "s"))
+    if not len(t):
+        return np.empty(0, np.int32)
+    return t[:-1][_telling(n[:-1], s[:-1], n[-1], s[-1] / n[-1], min_rows, min_z)]
+
+
 def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
@@ -162,8 +200,19 @@ def toxicity_score(model: FactorizationMachine, text: Column) -> Column:
     return run(text)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, **options) -> FactorizationMachine:
-    return fit_fm(*training_rows(docs, labels, train_rows), **options)
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, min_rows: int = 5, min_z: float = 4.5,
+                 **options) -> FactorizationMachine:
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.write(labelled_terms(docs, labels, train_rows), "terms")     # read by the counts and by the fit
+    ids = telling_terms(rows, min_rows, min_z)
+
+    @F.pandas_udf("binary")
+    def kept(terms_: pd.Series) -> pd.Series:
+        return pd.Series([(t := np.frombuffer(h, np.int32))[np.isin(t, ids)].tobytes() for h in terms_], dtype=object)
+
+    found = _collected(rows.select("i", "y", kept("h").alias("h")))
+    scratch.clear()
+    return fit_fm(*found, ids=ids, **options)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,22 @@ def test_without_training_rows_nothing_is_toxic(spark, tmp_path):
     assert {(r.score, r.predicted) for r in toxicity.op7_toxicity(spark, str(tmp_path)).collect()} == {(1 / (1 + np.exp(5.0)), 0)}   # predicted agrees with the score
 
 
+def test_the_driver_gets_only_terms_with_weights(spark, monkeypatch):
+    """The model is that of all terms, though only the telling ones of a row come to the driver."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(["foul"] * (i % 4 == 0) + [f"w{i}x{j}" for j in range(40)] + [f"c{rng.integers(9)}"]) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    rows, y = toxicity.training_rows(docs, labels, 20_000)
+    want = toxicity.fit_fm(rows, y)
+    got, plain = [], toxicity.fit_fm
+    monkeypatch.setattr(toxicity, "fit_fm", lambda rows, y, **k: (got.extend(rows), plain(rows, y, **k))[1])
+    model = toxicity.fit_toxicity(docs, labels)
+    assert len(got) == len(rows) and sum(map(len, got)) < sum(map(len, rows)) / 20
+    assert len(want.ids) and (model.ids == want.ids).all() and model.bias == want.bias
+    assert (model.w == want.w).all() and (model.v == want.v).all()
+
+
 def test_a_labelled_id_of_many_rows_teaches_once(spark):
     docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
     rows, y = toxicity.training_rows(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), 100)
