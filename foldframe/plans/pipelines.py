@@ -59,6 +59,7 @@ def cv_pipeline(train: DataFrame, test: DataFrame, label_col: str, features: Seq
         raise ValueError("external_rows can't be combined with target_encode_cols")
     metric = metric or ("auc" if params.objective == "logistic" or stratified else "rmse")
     feats = list(features)
+    train, test = _written([train, test], "cv-rows")
     if external is not None and external_cols:
         tables = [train, test] + ([external_rows] if external_rows is not None else [])
         train, test, *more = stats.external_stats(external, tables, external_cols, label_col,
@@ -77,6 +78,7 @@ def cv_pipeline(train: DataFrame, test: DataFrame, label_col: str, features: Seq
              if stratified else folds.assign_kfold(train, k=k, seed=seed, id_col=id_col))
 
     if target_encode_cols:
+        train = materialise(train, "cv-folds")          # read by priors, statistics, copies and validation rows
         if encoding == "plain":
             part = folds.explode_outer_train(train, k)
             every = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
