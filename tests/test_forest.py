@@ -194,3 +194,27 @@ def test_passes_read_cells_of_equal_rows(spark, monkeypatch, kw):
     for res in (few, many):
         res.pred = boost.oof_predictions(res, 3).toPandas().sort_values("id")
     assert len(few.pred) == 900 and np.allclose(few.pred["pred"], many.pred["pred"], atol=1e-9) and np.allclose(few.pred["y"], y)
+
+
+@pytest.mark.parametrize("kw", [{}, {"subsample": 0.6}])
+def test_folds_share_cells(spark, monkeypatch, kw):
+    """A cell serves all fold models: as many of them as bins, not as bins and folds."""
+    df = spark.createDataFrame([(i, i % 4, float(i % 7), i % 11 % 5) for i in range(600)], "id long, x int, s double, fold int")
+    p = boost.BoostParams(n_trees=2, max_depth=2, max_bins=16, early_stopping=2, **kw)
+    sizes, plain = [], boost._pass
+    monkeypatch.setattr(boost, "_pass", lambda view, *a, **k: (sizes.append(view.count()), plain(view, *a, **k))[1])
+    res = boost.fit_boosted(df, ["x"], "s", boost.cv_specs(5), p, keep_cols=["fold"])
+    assert set(sizes) == {4}
+    pred = boost.oof_predictions(res, 5).toPandas()
+    for o in range(5):       # losses of the best iteration are those of the rows
+        own = pred[pred["fold"] == o]
+        assert np.isclose(((own["pred"] - own["y"]) ** 2).mean(), res.valid_loss[o][res.best_iter[o]], atol=1e-9)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.7, 1.0 - 2.0 ** -34])
+def test_bags_are_those_of_the_number(spark, share):
+    """Comparing the digits gives the rows whose number is below the share; the plan converts none."""
+    df = spark.createDataFrame([(i,) for i in range(300)] + [(None,)], "id long")
+    text = boost.bag_sql(42, 3, 1, "id", share)
+    number = "CAST(conv(substr(md5(concat_ws('|', 'bag', '42', '3', '1', CAST(id AS STRING))), 1, 8), 16, 10) AS DOUBLE) / 4294967296.0D"
+    assert "conv(" not in text and df.where(f"({text}) <> ({number} < {share!r}D) OR ({text}) IS NULL").count() == 0
