@@ -6,7 +6,7 @@ from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
 from foldframe.operators import boost, folds
-from foldframe.operators.forest import Binning, Forest, Nodes, Split, Tree
+from foldframe.operators.forest import Binning, Codes, Forest, Nodes, Split, Tree
 from foldframe.plans import registry
 
 
@@ -218,3 +218,55 @@ def test_bags_are_those_of_the_number(spark, share):
     text = boost.bag_sql(42, 3, 1, "id", share)
     number = "CAST(conv(substr(md5(concat_ws('|', 'bag', '42', '3', '1', CAST(id AS STRING))), 1, 8), 16, 10) AS DOUBLE) / 4294967296.0D"
     assert "conv(" not in text and df.where(f"({text}) <> ({number} < {share!r}D) OR ({text}) IS NULL").count() == 0
+
+
+def test_sides_of_many_categories_are_bits(spark):
+    """A side of 100,000 categories reaches the driver as a bit for each, and holds the codes of the best cut by ratio."""
+    n = 100_000
+    hist = spark.range(n).selectExpr("0 AS model", "1L AS node", "0 AS feat", "CAST(id AS INT) AS bin",
+                                     "CAST((id * 7919 % 100003) - 50000 AS DOUBLE) AS G", "1.0D AS H", "1L AS C")
+    row = boost.best_splits(hist, Binning(["c"], [True], [[]], [n + 1]), boost.BoostParams()).first()
+    assert sum(len(x["bits"]) for x in row["left"]) <= n / 8 + 1
+    g = np.arange(n, dtype=np.int64) * 7919 % 100003 - 50000.0
+    order = np.argsort(g, kind="stable")
+    left, k = np.cumsum(g[order])[:-1], np.arange(1, n)
+    gain = 0.5 * (left ** 2 / (k + 1) + (g.sum() - left) ** 2 / (n - k + 1) - g.sum() ** 2 / (n + 1))
+    best = int(np.argmax(gain))
+    codes = Codes.of_parts(row["left"])
+    assert row["feat"] == 0 and np.isclose(row["gain"], gain[best]) and list(codes) == sorted(order[:best + 1].tolist())
+    assert len(codes) == best + 1 == row["CL"] and codes == Codes.of(order[:best + 1].tolist()) and int(order[best + 1]) not in codes
+
+
+@pytest.mark.parametrize("kw", [{}, {"symmetric": True}, {"subsample": 0.7}, {"objective": "logistic"}])
+def test_wide_columns_send_a_row_per_value(spark, monkeypatch, kw):
+    """Where a task can't keep the sums of a column of many values, their rows lie together: what a pass sends follows the values, not the
+    tasks or rows, also of a value that most rows have; the trees are the same."""
+    rng = np.random.RandomState(4)
+    n, k = 2400, 60
+    c, x = np.where(rng.rand(n) < 0.4, 7, rng.randint(0, k, n)), rng.rand(n)
+    s = (c % 3 == 1) + x + 0.1 * rng.randn(n)
+    s = (s > 1).astype(float) if kw.get("objective") else s
+    df = spark.createDataFrame([(i, float(a), None if b == 9 else int(b), float(t), i % 3) for i, (a, b, t) in enumerate(zip(x, c, s))],
+                               "id long, x double, c int, s double, fold int").repartition(6).cache()
+    p = boost.BoostParams(n_trees=2, learning_rate=0.5, max_depth=2, max_bins=40, early_stopping=2, **kw)
+
+    def fit():
+        return boost.fit_boosted(df, ["x", "c"], "s", boost.cv_specs(3), p, categorical=["c"], keep_cols=["fold"])
+    kept = fit()
+    monkeypatch.setattr(boost, "TASK_CELLS", 1 << 8)
+    monkeypatch.setattr(boost, "HELD_CELLS", 150)
+    sent, plain = [], boost._pass
+
+    def counted(view, asks, kept, binning, p, persist):
+        task = boost._histogram_task(asks, binning.bin_cols, binning.n_bins, p.objective, False, boost.HELD_CELLS)
+        sent.append((view.mapInArrow(task, boost.HIST).where("feat = 1 AND C > 0").count(), max((len(a.nodes) for a in asks), default=0)))
+        return plain(view, asks, kept, binning, p, persist)
+    monkeypatch.setattr(boost, "_pass", counted)
+    wide = fit()
+    assert all(rows <= 3 * (k + 15) * nodes for rows, nodes in sent) and max(sent)[0] > 0
+    for a, b in zip(kept.trees, wide.trees):
+        assert [[(n, s.feature, s.threshold, s.left) for n, s in sorted(t.splits.items())] for t in a] == \
+               [[(n, s.feature, s.threshold, s.left) for n, s in sorted(t.splits.items())] for t in b]
+        assert all(np.isclose(t.leaves[n], u.leaves[n], atol=1e-9) for t, u in zip(a, b) for n in t.leaves)
+    got = [boost.oof_predictions(r, 3).toPandas().sort_values("id") for r in (kept, wide)]
+    assert len(got[1]) == n and np.allclose(got[0]["pred"], got[1]["pred"], atol=1e-9)
